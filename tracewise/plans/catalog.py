@@ -85,3 +85,155 @@ def _window_floor(v):
                     floor_to_window("ts", 60).alias("window_1h"),
                     floor_to_window("ts", 1440).alias("window_1d"),
                     floor_to_window("ts", 7).alias("window_7m"))
+
+
+# ---- detection, root cause ------------------------------------------------
+from tracewise.operators import rca as RC  # noqa: E402
+from tracewise.operators import regression as RG  # noqa: E402
+from tracewise.operators.metrics import metrics_long, replace_windows  # noqa: E402
+from tracewise.operators.traces import assemble_traces  # noqa: E402
+
+EARLIER_RUN_CUTOFF = "2024-01-20 12:00:00"
+
+
+def _earlier_traces(v: Views):
+    """Traces an earlier run would have seen: those started before the cutoff."""
+    return v.tr.where(F.col("started_at") < F.lit(EARLIER_RUN_CUTOFF).cast("timestamp_ntz"))
+
+
+def _earlier_mts(v: Views):
+    """Metric table stored by the earlier run."""
+    def build():
+        t = _earlier_traces(v)
+        return metrics_long(t, v.ev.join(t.select("trace_id"), "trace_id", "left_semi"))
+    return v._stage("mts_earlier", build)
+
+
+def _earlier_reg(v: Views):
+    return v._stage("reg_earlier", lambda: RG.detect_all(_earlier_mts(v), v.cfg, 1440))
+
+
+def _earlier_rca(v: Views):
+    return v._stage("rca_earlier", lambda: RC.rca_reports(_earlier_reg(v)))
+
+
+@query("metric_series")
+def _metric_series(v):
+    """Daily series of the configured metrics with positions."""
+    return RG.metric_series(v.mts, 1440, v.cfg)
+
+
+@query("stage_metric_series")
+def _stage_metric_series(v):
+    """Stage mean series with the stage name stripped from the metric."""
+    from tracewise.sources.lookups import STAGE_METRIC_PREFIX
+    m = v.mts.where(F.col("metric_name").startswith(STAGE_METRIC_PREFIX))
+    return m.select("window_start", "window_minutes",
+                    F.expr("substr(metric_name, instr(metric_name, ':') + 1)").alias("stage_name"),
+                    "value")
+
+
+@query("detect_threshold")
+def _detect_threshold(v):
+    """W3 + W7 text."""
+    return RG.detect_threshold(v.mts, v.cfg, 1440).drop("_cfg_pos")
+
+
+def _stats(v):
+    return RG._series_stats(v.mts, v.cfg.select("metric_name").distinct(), 1440, 5)
+
+
+@query("detect_zscore")
+def _detect_zscore(v):
+    """W4 + W7 text."""
+    return RG.detect_zscore(_stats(v)).drop("_cfg_pos")
+
+
+@query("detect_trend")
+def _detect_trend(v):
+    """W5 + W7 text."""
+    return RG.detect_trend(_stats(v)).drop("_cfg_pos")
+
+
+@query("detect_all")
+def _detect_all(v):
+    """W6 + K3: stored regression rows with ids."""
+    return v.reg
+
+
+@query("regression_dedup")
+def _regression_dedup(v):
+    """K3: flags of a full run that are not yet stored by an earlier run."""
+    earlier = _earlier_reg(v)
+    return RG.keep_first(RG.detect_flags(v.mts, v.cfg, 1440), earlier).drop("_cfg_pos")
+
+
+@query("rca_evidence")
+def _rca_evidence(v):
+    """Last flag per (window, metric)."""
+    return RC.evidence(v.reg).drop("method")
+
+
+@query("rca_reports")
+def _rca_reports(v):
+    """One report per regressed window."""
+    return v.rca
+
+
+@query("rca_summary_text")
+def _rca_summary_text(v):
+    """The summary sentence per window."""
+    return v.rca.select("window_start", "root_cause_category", "summary")
+
+
+@query("rca_bridge")
+def _rca_bridge(v):
+    """Report x regression bridge rows."""
+    return RC.bridge(v.rca)
+
+
+@query("rca_drilldown")
+def _rca_drilldown(v):
+    """Report -> bridge -> regression."""
+    return RC.drilldown(v.rca, v.reg)
+
+
+@query("rca_upsert")
+def _rca_upsert(v):
+    """K5: reports of an earlier run kept, reports of new windows added."""
+    return RC.upsert_reports(_earlier_rca(v), v.rca, force=False).drop("regression_ids")
+
+
+@query("rca_upsert_force")
+def _rca_upsert_force(v):
+    """K5 with force: fresh reports replace stored ones."""
+    return RC.upsert_reports(_earlier_rca(v), v.rca, force=True).drop("regression_ids")
+
+
+@query("flagged_points")
+def _flagged_points(v):
+    """Daily points of the configured metrics, flagged when their window
+    has any regression."""
+    pts = RG.metric_series(v.mts, 1440, v.cfg).drop("series_pos")
+    wins = v.reg.select("window_start").distinct().withColumn("flagged", F.lit(True))
+    return (pts.join(wins, "window_start", "left")
+            .withColumn("flagged", F.coalesce(F.col("flagged"), F.lit(False))))
+
+
+@query("metrics_replace_window")
+def _metrics_replace_window(v):
+    """K4: metrics stored by an earlier run, recomputed windows replaced."""
+    fresh = v.mts.where(F.col("window_start") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    return replace_windows(_earlier_mts(v), fresh)
+
+
+@query("open_regressions")
+def _open_regressions(v):
+    """Newest 50 regressions (window desc, id)."""
+    return v.reg.orderBy(F.col("window_start").desc(), F.col("id")).limit(50)
+
+
+@query("open_rca_reports")
+def _open_rca_reports(v):
+    """Newest 50 reports."""
+    return v.rca.drop("regression_ids").orderBy(F.col("window_start").desc(), F.col("id")).limit(50)

@@ -29,14 +29,39 @@ def finish(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a stage table by a reliable checkpoint into the
+    shared ``spark.checkpoint.dir`` (the stored traces / metrics /
+    regressions / reports tables of a pipeline run)."""
+    from tracewise.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 class Views:
-    """Lazily built derived views over one test-data folder (memoised per
-    query build, so a query that needs traces twice plans them once)."""
+    """Lazily built derived views over one test-data folder.
+
+    The stage tables (traces, metric points, regressions, reports) are
+    materialised once per session and folder, as a pipeline run stores them,
+    so later queries read them instead of re-deriving them.
+    """
+
+    _stored: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._memo: dict = {}
 
+    def _stage(self, key, build):
+        k = (self.spark.sparkContext.applicationId, self.sf_dir, key)
+        if k not in Views._stored:
+            Views._stored[k] = materialize(build())
+        return Views._stored[k]
+
+    @classmethod
+    def forget(cls):
+        cls._stored.clear()
+
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
@@ -52,12 +77,12 @@ class Views:
     @property
     def tr(self) -> DataFrame:
         from tracewise.operators.traces import assemble_traces
-        return self._get("tr", lambda: assemble_traces(self.ev))
+        return self._stage("tr", lambda: assemble_traces(self.ev))
 
     @property
     def mts(self) -> DataFrame:
         from tracewise.operators.metrics import metrics_long
-        return self._get("mts", lambda: metrics_long(self.tr, self.ev))
+        return self._stage("mts", lambda: metrics_long(self.tr, self.ev))
 
     @property
     def cfg(self) -> DataFrame:
@@ -67,12 +92,12 @@ class Views:
     @property
     def reg(self) -> DataFrame:
         from tracewise.operators.regression import detect_all
-        return self._get("reg", lambda: detect_all(self.mts, self.cfg, window_minutes=1440))
+        return self._stage("reg", lambda: detect_all(self.mts, self.cfg, window_minutes=1440))
 
     @property
     def rca(self) -> DataFrame:
         from tracewise.operators.rca import rca_reports
-        return self._get("rca", lambda: rca_reports(self.reg))
+        return self._stage("rca", lambda: rca_reports(self.reg))
 
     @property
     def turns(self) -> DataFrame:

@@ -127,3 +127,212 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, ts,
        {floor_sql('ts', '1440')} AS window_1d,
        {floor_sql('ts', '7')} AS window_7m
 FROM events"""
+
+
+# ---- detection / root cause ----------------------------------------------
+
+def mts_chain(sfx: str, tr_filter: str | None = None) -> list[str]:
+    """tr{sfx} / tw{sfx} / twm{sfx} / swa{sfx} / mts{sfx} over an optional
+    filter of the traces (an earlier run's view)."""
+    w = f"WHERE {tr_filter}" if tr_filter else ""
+    trx = f"tr{sfx} AS (SELECT * FROM tr {w})"
+    twx = (TW.replace("tw AS", f"tw{sfx} AS").replace("FROM tr t", f"FROM tr{sfx} t"))
+    twmx = TWM.replace("twm AS", f"twm{sfx} AS").replace("FROM tw ", f"FROM tw{sfx} ")
+    swax = SWA.replace("swa AS", f"swa{sfx} AS").replace("JOIN tw ON ev.trace_id = tw.trace_id",
+                                                         f"JOIN tw{sfx} tw ON ev.trace_id = tw.trace_id")
+    mtsx = (MTS.replace("mts AS", f"mts{sfx} AS").replace("FROM twm", f"FROM twm{sfx}")
+            .replace("FROM swa", f"FROM swa{sfx}"))
+    return [trx, twx, twmx, swax, mtsx]
+
+
+CFGP = """cfg AS (
+  SELECT * FROM (VALUES ('error_rate_pct', 45.0::DOUBLE, 'above', 0),
+                        ('latency_p95_ms', 330.0::DOUBLE, 'above', 1),
+                        ('stage_latency_avg_ms:purchase', 52.0::DOUBLE, 'above', 2))
+         AS c(metric_name, threshold, direction, pos))"""
+
+
+def detect_chain(sfx: str) -> list[str]:
+    m = f"mts{sfx}"
+    stats = f"""stats{sfx} AS (
+  SELECT *, count(value) OVER wb AS n_before, avg(value) OVER wb AS mean,
+         stddev_pop(value) OVER wb AS sd, lag(value, 4) OVER w AS first_v,
+         row_number() OVER w AS rn,
+         count(*) OVER (PARTITION BY metric_name, window_minutes) AS len
+  FROM {m} WHERE window_minutes = 1440 AND metric_name IN (SELECT metric_name FROM cfg)
+  WINDOW w AS (PARTITION BY metric_name, window_minutes ORDER BY window_start),
+         wb AS (PARTITION BY metric_name, window_minutes ORDER BY window_start
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    thr = f"""thr{sfx} AS (
+  SELECT m.metric_name, 'threshold' AS method, 'critical' AS severity, m.window_start,
+         m.window_minutes, c.threshold AS baseline_value, m.value AS current_value,
+         NULL::DOUBLE AS delta_pct,
+         m.metric_name || '=' || printf('%.2f', m.value) || ' breached fixed threshold '
+           || CAST(c.threshold AS VARCHAR) || ' (' || c.direction || ').' AS description,
+         c.pos AS cfg_pos
+  FROM {m} m JOIN cfg c ON m.metric_name = c.metric_name
+  WHERE m.window_minutes = 1440
+    AND CASE WHEN c.direction = 'above' THEN m.value > c.threshold ELSE m.value < c.threshold END)"""
+    zs = f"""zs{sfx} AS (
+  SELECT metric_name, 'zscore' AS method,
+         CASE WHEN abs(z) >= 3 THEN 'critical' ELSE 'warning' END AS severity,
+         window_start, window_minutes, mean AS baseline_value, value AS current_value,
+         CASE WHEN mean <> 0 THEN (value - mean) / mean * 100.0 END AS delta_pct,
+         metric_name || '=' || printf('%.2f', value) || ' is ' || printf('%.2f', z)
+           || ' std devs from baseline mean ' || printf('%.2f', mean) || '.' AS description,
+         0 AS cfg_pos
+  FROM (SELECT *, (value - mean) / sd AS z FROM stats{sfx} WHERE n_before >= 3 AND sd <> 0)
+  WHERE abs(z) >= 2)"""
+    trd = f"""trd{sfx} AS (
+  SELECT metric_name, 'trend' AS method, 'warning' AS severity, window_start, window_minutes,
+         first_v AS baseline_value, value AS current_value, pct AS delta_pct,
+         metric_name || ' moved ' || printf('%+.1f', pct) || '% over the last 5 windows ('
+           || printf('%.2f', first_v) || ' -> ' || printf('%.2f', value) || ').' AS description,
+         0 AS cfg_pos
+  FROM (SELECT *, (value - first_v) / first_v * 100.0 AS pct FROM stats{sfx}
+        WHERE rn = len AND len >= 5 AND first_v <> 0)
+  WHERE abs(pct) >= 10)"""
+    flags = f"""flags{sfx} AS (SELECT * FROM thr{sfx} UNION ALL SELECT * FROM zs{sfx}
+                                UNION ALL SELECT * FROM trd{sfx})"""
+    dedup = f"""dedup{sfx} AS (SELECT * FROM flags{sfx} QUALIFY row_number() OVER (
+    PARTITION BY metric_name, method, window_start, window_minutes ORDER BY cfg_pos) = 1)"""
+    reg = f"""reg{sfx} AS (
+  SELECT row_number() OVER (ORDER BY metric_name,
+           CASE method WHEN 'threshold' THEN 0 WHEN 'zscore' THEN 1 ELSE 2 END,
+           window_start, window_minutes) AS id,
+         metric_name, method, severity, window_start, window_minutes, baseline_value,
+         current_value, delta_pct, description
+  FROM dedup{sfx})"""
+    return [stats, thr, zs, trd, flags, dedup, reg]
+
+
+def rca_chain(sfx: str) -> list[str]:
+    r = f"reg{sfx}"
+    evd = f"""evd{sfx} AS (
+  SELECT window_start, window_minutes, metric_name, min(id) AS first_id,
+         arg_max(row(id, delta_pct, current_value, method), id) AS last
+  FROM {r} GROUP BY window_start, window_minutes, metric_name)"""
+    win = f"""win{sfx} AS (
+  SELECT window_start, window_minutes,
+         bool_or(metric_name = 'latency_p95_ms') AS has_p95,
+         bool_or(metric_name = 'error_rate_pct') AS has_err,
+         bool_or(starts_with(metric_name, 'stage_latency_avg_ms:')) AS has_stage,
+         max(CASE WHEN metric_name = 'latency_p95_ms' THEN last[2] END) AS p95_delta,
+         max(CASE WHEN metric_name = 'error_rate_pct' THEN last[3] END) AS err_current,
+         arg_max(row(metric_name, last[2]), row(coalesce(last[2], 0.0), -first_id))
+           FILTER (WHERE starts_with(metric_name, 'stage_latency_avg_ms:')) AS dominant,
+         string_agg(metric_name, ', ' ORDER BY first_id) AS names
+  FROM evd{sfx} GROUP BY window_start, window_minutes)"""
+    ids = f"""rids{sfx} AS (SELECT window_start, window_minutes, list(id ORDER BY id) AS regression_ids
+                 FROM {r} GROUP BY window_start, window_minutes)"""
+    p95 = "coalesce(printf('%+.1f', w.p95_delta), 'n/a')"
+    sd = "coalesce(printf('%+.1f', w.dominant[2]), 'n/a')"
+    err = "coalesce(printf('%.1f', w.err_current), 'n/a')"
+    stage = "substr(w.dominant[1], instr(w.dominant[1], ':') + 1)"
+    rca = f"""rca{sfx} AS (
+  SELECT row_number() OVER (ORDER BY w.window_minutes, w.window_start) AS id,
+         w.window_start, w.window_minutes, i.regression_ids,
+         CASE WHEN w.has_stage AND w.has_p95 THEN 'stage_latency:' || {stage}
+              WHEN w.has_err AND w.has_p95 THEN 'cascading_failure'
+              WHEN w.has_err THEN 'error_rate_isolated'
+              WHEN w.has_p95 THEN 'latency_isolated'
+              ELSE 'unmatched_pattern' END AS root_cause_category,
+         CASE WHEN w.has_stage AND w.has_p95 THEN 'high'
+              WHEN w.has_err OR w.has_p95 THEN 'medium' ELSE 'low' END AS confidence,
+         CASE WHEN w.has_stage AND w.has_p95 THEN
+                'Overall trace latency (p95) regressed by ' || {p95} || '%. The ''' || {stage}
+                || ''' stage''s average latency regressed by ' || {sd} || '% in the same window, '
+                || 'making it the dominant contributor. Root cause: ' || {stage} || ' stage slowdown '
+                || '(e.g. cold index, upstream API degradation, or a config change affecting that '
+                || 'stage specifically).'
+              WHEN w.has_err AND w.has_p95 THEN
+                'Both latency (p95 ' || {p95} || '%) and error rate (' || {err} || '%) regressed '
+                || 'in the same window. Likely a cascading failure: elevated latency is causing '
+                || 'timeouts or downstream errors. Treat the latency regression as primary; '
+                || 're-check error rate after latency is addressed.'
+              WHEN w.has_err THEN
+                'Error rate spiked to ' || {err} || '% without an accompanying latency regression. '
+                || 'This points to a functional bug (e.g. input validation, parsing, or an upstream '
+                || 'schema change) rather than a performance issue. Check recent '
+                || 'non-timing-related code or config changes.'
+              WHEN w.has_p95 THEN
+                'Overall latency regressed by ' || {p95} || '% without a clearly dominant single '
+                || 'stage. Check for a broad infrastructure issue (host contention, network) '
+                || 'rather than a single pipeline stage.'
+              ELSE 'Regression(s) detected on ' || w.names || ' but the pattern doesn''t match '
+                || 'a known rule. Manual investigation needed.' END AS summary
+  FROM win{sfx} w JOIN rids{sfx} i USING (window_start, window_minutes))"""
+    return [evd, win, ids, rca]
+
+
+CUT = "started_at < TIMESTAMP '2024-01-20 12:00:00'"
+FULL_REG = (*BASE_MTS, CFGP, *detect_chain(""))
+FULL_RCA = (*FULL_REG, *rca_chain(""))
+EARLY = (*mts_chain("_e", CUT), *detect_chain("_e"))
+
+SQL["metric_series"] = with_(*BASE_MTS, CFGP) + f"""
+SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')},
+       CAST(row_number() OVER (PARTITION BY metric_name, window_minutes ORDER BY window_start) - 1
+            AS INTEGER) AS series_pos
+FROM mts WHERE window_minutes = 1440 AND metric_name IN (SELECT metric_name FROM cfg)"""
+
+SQL["stage_metric_series"] = with_(*BASE_MTS) + f"""
+SELECT window_start, window_minutes, substr(metric_name, instr(metric_name, ':') + 1) AS stage_name,
+       {R('value', 'value')}
+FROM mts WHERE starts_with(metric_name, 'stage_latency_avg_ms:')"""
+
+_REG_COLS = (f"metric_name, method, severity, window_start, window_minutes, "
+             f"{R('baseline_value', 'baseline_value')}, {R('current_value', 'current_value')}, "
+             f"{R('delta_pct', 'delta_pct')}, description")
+SQL["detect_threshold"] = with_(*FULL_REG) + f"SELECT {_REG_COLS} FROM thr"
+SQL["detect_zscore"] = with_(*FULL_REG) + f"SELECT {_REG_COLS} FROM zs"
+SQL["detect_trend"] = with_(*FULL_REG) + f"SELECT {_REG_COLS} FROM trd"
+SQL["detect_all"] = with_(*FULL_REG) + f"SELECT id, {_REG_COLS} FROM reg"
+SQL["regression_dedup"] = with_(*FULL_REG, *EARLY) + f"""
+SELECT {_REG_COLS} FROM dedup d
+WHERE NOT EXISTS (SELECT 1 FROM reg_e e WHERE e.metric_name = d.metric_name AND e.method = d.method
+                  AND e.window_start = d.window_start AND e.window_minutes = d.window_minutes)"""
+
+SQL["rca_evidence"] = with_(*FULL_RCA) + f"""
+SELECT window_start, window_minutes, metric_name, first_id, last[1] AS last_id,
+       {R('last[2]', 'delta_pct')}, {R('last[3]', 'current_value')} FROM evd"""
+_RCA_COLS = "id, window_start, window_minutes, regression_ids, root_cause_category, confidence, summary"
+SQL["rca_reports"] = with_(*FULL_RCA) + f"SELECT {_RCA_COLS} FROM rca"
+SQL["rca_summary_text"] = with_(*FULL_RCA) + "SELECT window_start, root_cause_category, summary FROM rca"
+SQL["rca_bridge"] = with_(*FULL_RCA) + """
+SELECT id AS rca_report_id, unnest(regression_ids) AS regression_id FROM rca"""
+SQL["rca_drilldown"] = with_(*FULL_RCA) + f"""
+SELECT b.rca_report_id, b.regression_id, r.root_cause_category, r.confidence,
+       r.window_start AS report_window_start, g.metric_name, g.method, g.severity,
+       {R('g.delta_pct', 'delta_pct')}, {R('g.current_value', 'current_value')}
+FROM (SELECT id AS rca_report_id, unnest(regression_ids) AS regression_id FROM rca) b
+JOIN rca r ON r.id = b.rca_report_id JOIN reg g ON g.id = b.regression_id"""
+_UPS = "window_start, window_minutes, root_cause_category, confidence, summary"
+SQL["rca_upsert"] = with_(*FULL_RCA, *EARLY, *rca_chain("_e")) + f"""
+SELECT {_UPS}, 'stored' AS origin FROM rca_e
+UNION ALL
+SELECT {_UPS}, 'fresh' FROM rca f
+WHERE NOT EXISTS (SELECT 1 FROM rca_e e WHERE e.window_start = f.window_start
+                  AND e.window_minutes = f.window_minutes)"""
+SQL["rca_upsert_force"] = with_(*FULL_RCA, *EARLY, *rca_chain("_e")) + f"""
+SELECT {_UPS}, 'stored' AS origin FROM rca_e e
+WHERE NOT EXISTS (SELECT 1 FROM rca f WHERE e.window_start = f.window_start
+                  AND e.window_minutes = f.window_minutes)
+UNION ALL
+SELECT {_UPS}, 'fresh' FROM rca"""
+SQL["flagged_points"] = with_(*FULL_REG) + f"""
+SELECT m.window_start, m.window_end, m.window_minutes, m.metric_name, {R('m.value', 'value')},
+       m.window_start IN (SELECT window_start FROM reg) AS flagged
+FROM mts m WHERE m.window_minutes = 1440 AND m.metric_name IN (SELECT metric_name FROM cfg)"""
+SQL["metrics_replace_window"] = with_(*BASE_MTS, *mts_chain("_e", CUT)) + f"""
+SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')} FROM mts_e e
+WHERE NOT EXISTS (SELECT 1 FROM mts f WHERE f.window_start >= TIMESTAMP '2024-01-20'
+                  AND f.window_start = e.window_start AND f.window_minutes = e.window_minutes)
+UNION ALL
+SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')} FROM mts
+WHERE window_start >= TIMESTAMP '2024-01-20'"""
+SQL["open_regressions"] = with_(*FULL_REG) + f"""
+SELECT id, {_REG_COLS} FROM reg ORDER BY window_start DESC, id LIMIT 50"""
+SQL["open_rca_reports"] = with_(*FULL_RCA) + """
+SELECT id, window_start, window_minutes, root_cause_category, confidence, summary
+FROM rca ORDER BY window_start DESC, id LIMIT 50"""
