@@ -237,3 +237,139 @@ def _open_regressions(v):
 def _open_rca_reports(v):
     """Newest 50 reports."""
     return v.rca.drop("regression_ids").orderBy(F.col("window_start").desc(), F.col("id")).limit(50)
+
+
+# ---- evaluation ------------------------------------------------------------
+from tracewise.functions.text import content_tokens  # noqa: E402
+from tracewise.functions.text import faithfulness_overlap as _faith  # noqa: E402
+from tracewise.functions.text import relevance_keyword as _rel  # noqa: E402
+from tracewise.functions.text import validate_query as _validate  # noqa: E402
+from tracewise.operators import evaluate as EVL  # noqa: E402
+from tracewise.sources.lookups import EVALUATOR_NAMES  # noqa: E402
+
+
+def _stored_evals(v: Views):
+    """Evaluations an earlier run stored: all four evaluators for the first
+    exchange of every conversation, only the heuristics for the second."""
+    def build():
+        t = v.turns
+        first = EVL.evaluate_all(t.where(F.col("turn") == 0))
+        second = EVL.evaluate_all(t.where(F.col("turn") == 2)) \
+            .where(F.col("evaluator_name").startswith("heuristic_"))
+        return first.unionByName(second)
+    return v._get("stored_evals2", build)
+
+
+@query("tokenize")
+def _tokenize(v):
+    """Content-token sets of query and answer (sorted for display)."""
+    return v.turns.select("trace_id",
+                          F.sort_array(content_tokens(F.col("query"))).alias("query_tokens"),
+                          F.sort_array(content_tokens(F.col("answer"))).alias("answer_tokens"))
+
+
+@query("faithfulness_overlap")
+def _faithfulness(v):
+    """Answer tokens found in the context."""
+    return v.turns.select("trace_id", _faith(F.col("answer"), F.col("context")).alias("score"))
+
+
+@query("relevance_keyword")
+def _relevance(v):
+    """Query tokens found in the answer."""
+    return v.turns.select("trace_id", _rel(F.col("query"), F.col("answer")).alias("score"))
+
+
+@query("evaluate_missing")
+def _evaluate_missing(v):
+    """Rows a run appends for pairs not stored yet."""
+    return EVL.evaluate_missing(v.turns, _stored_evals(v)).drop("attempt")
+
+
+@query("evaluate_force")
+def _evaluate_force(v):
+    """X4 with force: every pair again, as the next attempt."""
+    return EVL.evaluate_missing(v.turns, _stored_evals(v), force=True)
+
+
+@query("score_by_evaluator")
+def _score_by_evaluator(v):
+    """A10: mean non-skipped score per evaluator."""
+    return EVL.score_by_evaluator(EVL.evaluate_all(v.turns))
+
+
+@query("evaluator_pivot")
+def _evaluator_pivot(v):
+    """Stored + newly appended evaluations pivoted per trace."""
+    allev = _stored_evals(v).unionByName(EVL.evaluate_missing(v.turns, _stored_evals(v)))
+    return EVL.evaluator_pivot(allev)
+
+
+def _turn_traces(v):
+    return v.turns.select("trace_id", "conv_id", "turn",
+                          F.length("answer").alias("answer_chars"))
+
+
+@query("combined_quality_report")
+def _combined_quality_report(v):
+    """J2 + A11 + A12: every answered turn with the stored scores and their mean."""
+    return EVL.combined_report(_turn_traces(v), _stored_evals(v))
+
+
+@query("eval_coverage")
+def _eval_coverage(v):
+    """Per-evaluator means and trace coverage of the stored evaluations."""
+    return EVL.eval_coverage(_stored_evals(v))
+
+
+@query("calibration")
+def _calibration(v):
+    """Good vs bad separation of the heuristics on labelled documents."""
+    return EVL.calibration_summary(v.calib)
+
+
+@query("parse_responses")
+def _parse_responses(v):
+    """Normalised assistant replies."""
+    c = v.table("conversations").where(F.col("role") == "assistant")
+    ans, n, fb = EVL.parse_responses(F.col("text"))
+    return c.select("conv_id", "turn", ans.alias("answer"), n.alias("char_length"),
+                    fb.alias("is_fallback"))
+
+
+@query("fallback_rate")
+def _fallback_rate(v):
+    """Share of assistant replies that are fallbacks."""
+    c = v.table("conversations").where(F.col("role") == "assistant")
+    fb = EVL.fallback_flags(F.col("text"))
+    return c.agg(F.count(F.lit(1)).alias("n_answers"),
+                 F.count(F.when(fb, 1)).alias("n_fallback"),
+                 (F.count(F.when(fb, 1)) / F.count(F.lit(1))).alias("fallback_rate"))
+
+
+@query("validate_queries")
+def _validate_queries(v):
+    """Every user message validated as a query."""
+    c = v.table("conversations").where(F.col("role") == "user")
+    q, ok, why = _validate(F.col("text"))
+    return c.select("conv_id", "turn", q.alias("query"), ok.alias("is_valid"),
+                    why.alias("reject_reason"))
+
+
+@query("render_prompts")
+def _render_prompts(v):
+    """P10: generation and judge prompts of every answered turn."""
+    t = v.turns
+    jf, jr = EVL.render_judge_prompts(F.col("query"), F.col("context"), F.col("answer"))
+    return t.select("trace_id", EVL.render_rag_prompt(F.col("query"), F.col("context")).alias("prompt"),
+                    jf.alias("judge_faithfulness_prompt"), jr.alias("judge_relevance_prompt"))
+
+
+@query("parse_judge_replies")
+def _parse_judge_replies(v):
+    """JSON replies (event payloads stand in) parsed into judge results."""
+    e = v.table("events")
+    r = EVL.parse_judge_reply(F.col("props"))
+    return e.select(F.col("event_id").cast("string").alias("event_id"),
+                    r["score"].alias("score"), r["reasoning"].alias("reasoning"),
+                    r["skipped"].alias("skipped"))

@@ -336,3 +336,184 @@ SELECT id, {_REG_COLS} FROM reg ORDER BY window_start DESC, id LIMIT 50"""
 SQL["open_rca_reports"] = with_(*FULL_RCA) + """
 SELECT id, window_start, window_minutes, root_cause_category, confidence, summary
 FROM rca ORDER BY window_start DESC, id LIMIT 50"""
+
+
+# ---- evaluation ------------------------------------------------------------
+_SW = ("the is a an of to and in on for that this it as are was were be by with at from or "
+       "not but can will which into than").split()
+_SW_SQL = "[" + ", ".join(f"'{w}'" for w in _SW) + "]"
+
+
+def tok(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), "
+            f"lambda w: length(w) >= 3 AND NOT list_contains({_SW_SQL}, w)))")
+
+
+def overlap(a: str, b: str) -> str:
+    k = f"len(list_intersect({tok(a)}, {tok(b)}))"
+    n = f"len({tok(a)})"
+    return (f"(CASE WHEN {a} IS NULL OR {a} = '' OR {b} IS NULL OR {b} = '' THEN 0.0 "
+            f"WHEN {n} = 0 THEN 0.0 ELSE {py_round_ratio_sql(k, n)} END)")
+
+
+TURNS = """turns AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS trace_id, conv_id, turn,
+         text AS query, ctx AS context, next_text AS answer
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text,
+               array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), chr(10)) AS ctx
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
+
+_FR = "Fraction of the answer''s content words also present in retrieved context."
+_RR = "Fraction of the query''s content words addressed in the answer."
+_JS = "[FALLBACK: NO GEMINI_API_KEY SET] judge skipped"
+
+
+def evals_of(src: str, evaluators: str = "") -> str:
+    rows = f"""
+  SELECT trace_id, 'heuristic_faithfulness_overlap' AS evaluator_name, {overlap('answer', 'context')} AS score,
+         '{_FR}' AS reasoning, false AS skipped, 0 AS attempt FROM {src}
+  UNION ALL SELECT trace_id, 'heuristic_relevance_keyword', {overlap('query', 'answer')}, '{_RR}', false, 0 FROM {src}"""
+    if evaluators != "heuristic":
+        rows += f"""
+  UNION ALL SELECT trace_id, 'llm_judge_faithfulness', NULL::DOUBLE, '{_JS}', true, 0 FROM {src}
+  UNION ALL SELECT trace_id, 'llm_judge_relevance', NULL::DOUBLE, '{_JS}', true, 0 FROM {src}"""
+    return rows
+
+
+ALL_EVALS = f"all_evals AS ({evals_of('turns')})"
+STORED = (f"stored AS ({evals_of('(SELECT * FROM turns WHERE turn = 0)')}\n  UNION ALL "
+          f"{evals_of('(SELECT * FROM turns WHERE turn = 2)', 'heuristic')})")
+MISSING = """missing AS (
+  SELECT * FROM all_evals a WHERE NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.trace_id = a.trace_id AND s.evaluator_name = a.evaluator_name))"""
+EVAL_BASE = (TURNS, ALL_EVALS, STORED, MISSING)
+
+
+def pivot_sql(src: str) -> str:
+    cols = ",\n".join(
+        f"  arg_min(score, attempt) FILTER (WHERE evaluator_name = '{n}' AND score IS NOT NULL) AS {n}"
+        for n in ["heuristic_faithfulness_overlap", "heuristic_relevance_keyword",
+                  "llm_judge_faithfulness", "llm_judge_relevance"])
+    return f"SELECT trace_id,\n{cols}\nFROM {src} GROUP BY trace_id"
+
+
+_SCORES = ["heuristic_faithfulness_overlap", "heuristic_relevance_keyword",
+           "llm_judge_faithfulness", "llm_judge_relevance"]
+
+SQL["tokenize"] = with_(TURNS) + f"""
+SELECT trace_id, list_sort({tok('query')}) AS query_tokens, list_sort({tok('answer')}) AS answer_tokens
+FROM turns"""
+SQL["faithfulness_overlap"] = with_(TURNS) + f"""
+SELECT trace_id, {R(overlap('answer', 'context'), 'score')} FROM turns"""
+SQL["relevance_keyword"] = with_(TURNS) + f"""
+SELECT trace_id, {R(overlap('query', 'answer'), 'score')} FROM turns"""
+SQL["evaluate_missing"] = with_(*EVAL_BASE) + f"""
+SELECT trace_id, evaluator_name, {R('score', 'score')}, reasoning, skipped FROM missing"""
+SQL["evaluate_force"] = with_(*EVAL_BASE) + f"""
+SELECT a.trace_id, a.evaluator_name, {R('a.score', 'score')}, a.reasoning, a.skipped,
+       CAST(coalesce(n.nxt, 0) AS INTEGER) AS attempt
+FROM all_evals a LEFT JOIN (SELECT trace_id, max(attempt) + 1 AS nxt FROM stored GROUP BY trace_id) n
+  ON a.trace_id = n.trace_id"""
+SQL["score_by_evaluator"] = with_(*EVAL_BASE) + f"""
+SELECT evaluator_name, {R('avg(score)', 'avg_score')}, count(score) AS n_scored
+FROM all_evals WHERE NOT skipped GROUP BY evaluator_name"""
+SQL["evaluator_pivot"] = with_(*EVAL_BASE) + "SELECT * FROM (" + pivot_sql(
+    "(SELECT * FROM stored UNION ALL SELECT * FROM missing)") + ")"
+_mean = ("(SELECT avg(x) FROM unnest([" + ", ".join(f"p.{c}" for c in _SCORES) + "]) AS u(x))")
+SQL["combined_quality_report"] = with_(*EVAL_BASE, "piv AS (" + pivot_sql("stored") + ")") + f"""
+SELECT t.trace_id, t.conv_id, t.turn, length(t.answer) AS answer_chars,
+       {", ".join(R('p.' + c, c) for c in _SCORES)},
+       {R(_mean, 'avg_quality_score')}
+FROM turns t LEFT JOIN piv p ON t.trace_id = p.trace_id"""
+SQL["eval_coverage"] = with_(*EVAL_BASE) + f"""
+SELECT e.evaluator_name, {R('avg(e.score)', 'avg_score')}, count(e.score) AS n,
+       c.scored_traces, c.total_traces
+FROM stored e CROSS JOIN (
+  SELECT count(*) FILTER (WHERE sc) AS scored_traces, count(*) AS total_traces
+  FROM (SELECT trace_id, bool_or(score IS NOT NULL) AS sc FROM stored GROUP BY trace_id)) c
+WHERE e.score IS NOT NULL
+GROUP BY e.evaluator_name, c.scored_traces, c.total_traces"""
+CALIB = """calib AS (
+  SELECT d.doc_id, d.text AS context,
+         CASE WHEN instr(d.text, chr(10)) > 0 THEN substr(d.text, 1, instr(d.text, chr(10)) - 1) ELSE d.text END AS query,
+         CASE WHEN instr(d.text, chr(10)) > 0 THEN substr(d.text, instr(d.text, chr(10)) + 1) ELSE '' END AS answer,
+         CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END AS label
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+SQL["calibration"] = with_(CALIB) + f"""
+SELECT round(gf, 3) AS avg_good_faithfulness, round(bf, 3) AS avg_bad_faithfulness,
+       round(gr, 3) AS avg_good_relevance, round(br, 3) AS avg_bad_relevance,
+       gf > bf AS faithfulness_separates_good_bad, gr > br AS relevance_separates_good_bad
+FROM (SELECT avg(f) FILTER (WHERE label = 'good') AS gf, avg(f) FILTER (WHERE label = 'bad') AS bf,
+             avg(r) FILTER (WHERE label = 'good') AS gr, avg(r) FILTER (WHERE label = 'bad') AS br
+      FROM (SELECT label, {overlap('answer', 'context')} AS f, {overlap('query', 'answer')} AS r FROM calib))"""
+
+_WS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def pystrip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+SQL["parse_responses"] = f"""
+SELECT conv_id, turn, {pystrip_sql('text')} AS answer, length({pystrip_sql('text')}) AS char_length,
+       starts_with({pystrip_sql('text')}, '[FALLBACK') AS is_fallback
+FROM conversations WHERE role = 'assistant'"""
+_fb = (f"(starts_with({pystrip_sql('text')}, '[FALLBACK') OR "
+       f"starts_with({pystrip_sql('text')}, 'I don''t have enough information'))")
+SQL["fallback_rate"] = f"""
+SELECT count(*) AS n_answers, count(*) FILTER (WHERE {_fb}) AS n_fallback,
+       {R(f'count(*) FILTER (WHERE {_fb}) / count(*)', 'fallback_rate')}
+FROM conversations WHERE role = 'assistant'"""
+SQL["validate_queries"] = f"""
+SELECT conv_id, turn, {pystrip_sql('text')} AS query,
+       text IS NOT NULL AND length({pystrip_sql('text')}) BETWEEN 1 AND 1000 AS is_valid,
+       CASE WHEN text IS NULL THEN 'Query cannot be None'
+            WHEN length({pystrip_sql('text')}) = 0 THEN 'Query cannot be empty'
+            WHEN length({pystrip_sql('text')}) > 1000 THEN
+              'Query too long (' || CAST(length({pystrip_sql('text')}) AS VARCHAR) || ' chars). Max is 1000.'
+       END AS reject_reason
+FROM conversations WHERE role = 'user'"""
+
+
+def _sqlstr(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill_sql(template: str, **cols: str) -> str:
+    import re
+    names = "|".join(cols)
+    out, pos = [], 0
+    for m in re.finditer(r"\{(" + names + r")\}", template):
+        if m.start() > pos:
+            out.append(_sqlstr(template[pos:m.start()]))
+        out.append(f"({cols[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        out.append(_sqlstr(template[pos:]))
+    return " || ".join(out)
+
+
+def _render_sql() -> str:
+    from tracewise.operators.evaluate import (JUDGE_FAITHFULNESS_PROMPT, JUDGE_RELEVANCE_PROMPT,
+                                              NO_CONTEXT_PLACEHOLDER, RAG_PROMPT)
+    ctx = (f"CASE WHEN length({pystrip_sql('context')}) = 0 THEN {_sqlstr(NO_CONTEXT_PLACEHOLDER)} "
+           f"ELSE context END")
+    p = fill_sql(RAG_PROMPT, context=ctx, query="query")
+    jf = fill_sql(JUDGE_FAITHFULNESS_PROMPT, context="left(context, 4000)", answer="answer")
+    jr = fill_sql(JUDGE_RELEVANCE_PROMPT, query="query", answer="answer")
+    return with_(TURNS) + f"""
+SELECT trace_id, {p} AS prompt, {jf} AS judge_faithfulness_prompt, {jr} AS judge_relevance_prompt
+FROM turns"""
+
+
+SQL["render_prompts"] = _render_sql()
+SQL["parse_judge_replies"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, {R("TRY_CAST(json_extract(props, '$.score') AS DOUBLE)", 'score')},
+       CASE WHEN NOT json_valid(props) THEN '[JUDGE ERROR] invalid JSON'
+            WHEN TRY_CAST(json_extract(props, '$.score') AS DOUBLE) IS NULL THEN '[JUDGE ERROR] ''score'''
+            ELSE coalesce(json_extract_string(props, '$.reasoning'), '') END AS reasoning,
+       TRY_CAST(json_extract(props, '$.score') AS DOUBLE) IS NULL AS skipped
+FROM events"""
