@@ -373,3 +373,146 @@ def _parse_judge_replies(v):
     return e.select(F.col("event_id").cast("string").alias("event_id"),
                     r["score"].alias("score"), r["reasoning"].alias("reasoning"),
                     r["skipped"].alias("skipped"))
+
+
+# ---- corpus and retrieval ----------------------------------------------------
+from tracewise.operators import retrieval as RT  # noqa: E402
+
+RETRIEVE_K = 3  # answers use the top 3, retrieval over-fetches 2k
+
+
+def _chunks(v: Views):
+    return v._stage("chunks", lambda: v.chunks)
+
+
+def _expected(v: Views):
+    return v._stage("expected", lambda: RT.contained_in(
+        v.questions, v.table("documents").select("doc_id", "text")))
+
+
+def _retrieved(v: Views):
+    """Over-fetched neighbours (2k) of every question with chunk texts."""
+    def build():
+        ch = _chunks(v)
+        items = RT.hash_embed(ch, ["chunk_id"])
+        from tracewise.functions.text import validate_query
+        nq, ok, _ = validate_query(F.col("query"))
+        qs = v.questions.select("qid", nq.alias("query"), ok.alias("ok")).where("ok")
+        qemb = RT.hash_embed(qs.select("qid", F.col("query").alias("text")), ["qid"])
+        nn = RT.knn(items, ["chunk_id"], qemb, 2 * RETRIEVE_K,
+                    all_items=ch.select("chunk_id"), all_queries=qs.select("qid"))
+        return nn.join(ch.select("chunk_id", "doc_id", "text"), "chunk_id")
+    return v._stage("retrieved", build)
+
+
+def _ranked(v: Views):
+    return RT.rank_top_k(_retrieved(v), RETRIEVE_K).withColumn(
+        "source", F.col("doc_id").cast("string"))
+
+
+@query("scan_corpus")
+def _scan_corpus(v):
+    """S3: the corpus as (document, source, text length, paragraphs)."""
+    d = v.table("documents")
+    return d.select("doc_id", "source", F.length("text").alias("n_chars"),
+                    F.size(F.filter(F.split("text", "\n", -1), lambda p: F.length(F.trim(p)) > 0))
+                     .alias("n_lines"))
+
+
+@query("chunk_documents")
+def _chunk_documents(v):
+    """V1 + V2: greedy paragraph chunks of every document."""
+    return _chunks(v).select("doc_id", "source", "chunk_index", "chunk_id", "text")
+
+
+@query("hash_embed")
+def _hash_embed(v):
+    """V3: sparse hashed counts and normalised weights of every chunk."""
+    e = RT.hash_embed(_chunks(v), ["chunk_id"])
+    return e.select("chunk_id", "bucket", "cnt", "sq", (F.col("cnt") / F.sqrt("sq")).alias("weight"))
+
+
+@query("knn_topk")
+def _knn_topk(v):
+    """The 2k nearest chunks of every question."""
+    return _retrieved(v).select("qid", "chunk_id", "distance", "rank")
+
+
+@query("rank_top_k")
+def _rank_top_k(v):
+    """Text-deduplicated top k."""
+    return _ranked(v).select("qid", "chunk_id", "distance", "used_rank")
+
+
+@query("retrieve_rank")
+def _retrieve_rank(v):
+    """V6: chunks retrieved (2k) and used (k, after dedup) per question."""
+    got = _retrieved(v).groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("num_chunks_retrieved"))
+    used = _ranked(v).groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("num_chunks_used"))
+    return got.join(used, "qid", "left")
+
+
+@query("pack_context")
+def _pack_context(v):
+    """V7: budgeted context per question."""
+    return RT.pack_context(_ranked(v))
+
+
+@query("sources_per_query")
+def _sources_per_query(v):
+    """V8: sorted distinct sources of the ranked chunks."""
+    return RT.sources_per_query(_ranked(v)).drop("num_chunks_used")
+
+
+@query("lookup_topic_source")
+def _lookup_topic_source(v):
+    """Expected source documents of every question (containment)."""
+    return _expected(v)
+
+
+def _hits(v):
+    src = RT.sources_per_query(_ranked(v))
+    exp = _expected(v).groupBy("qid").agg(
+        F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
+    q = v.questions.select("qid", "difficulty", "query")
+    from tracewise.functions.text import validate_query
+    _, ok, _ = validate_query(F.col("query"))
+    return (q.withColumn("is_valid", ok).join(src, "qid", "left").join(exp, "qid", "left")
+            .withColumn("hit", F.coalesce(F.size(F.array_intersect(
+                F.coalesce("expected", F.array().cast("array<string>")),
+                F.coalesce("sources", F.array().cast("array<string>")))) > 0, F.lit(False))))
+
+
+@query("hit_rate_at_k")
+def _hit_rate_at_k(v):
+    """Overall hit rate at k."""
+    return RT.hit_rate_at_k(_hits(v))
+
+
+@query("hit_rate_by_group")
+def _hit_rate_by_group(v):
+    """Hit rate by difficulty plus the overall rollup row."""
+    return RT.hit_rate_by_group(_hits(v))
+
+
+@query("retrieve_batch")
+def _retrieve_batch(v):
+    """V9: validation -> embedding -> kNN -> rank -> pack -> prompt for the
+    question table."""
+    from tracewise.functions.text import validate_query
+    q = v.questions
+    nq, ok, why = validate_query(F.col("query"))
+    ctx = RT.pack_context(_ranked(v))
+    src = RT.sources_per_query(_ranked(v))
+    base = q.select("qid", nq.alias("query"), ok.alias("is_valid"), why.alias("reject_reason"))
+    out = base.join(ctx, "qid", "left").join(src, "qid", "left")
+    return out.select("qid", "is_valid", "reject_reason", "sources", "num_chunks_used", "context",
+                      F.when(F.col("is_valid"), EVL.render_rag_prompt(F.col("query"),
+                             F.coalesce("context", F.lit("")))).alias("prompt"))
+
+
+@query("question_slice")
+def _question_slice(v):
+    """Difficulty filter, then start index 3 (1-based), then limit 5."""
+    return (v.questions.where(F.col("difficulty") == "intermediate")
+            .orderBy("qid").offset(2).limit(5))

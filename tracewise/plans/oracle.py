@@ -517,3 +517,135 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, {R("TRY_CAST(json_extract(props, '
             ELSE coalesce(json_extract_string(props, '$.reasoning'), '') END AS reasoning,
        TRY_CAST(json_extract(props, '$.score') AS DOUBLE) IS NULL AS skipped
 FROM events"""
+
+
+# ---- corpus and retrieval ----------------------------------------------------
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+CHUNKS = f"""chunks AS (
+  SELECT doc_id, source, CAST(i - 1 AS INTEGER) AS chunk_index,
+         CAST(doc_id AS VARCHAR) || '::chunk-' || CAST(i - 1 AS VARCHAR) AS chunk_id, text
+  FROM (SELECT doc_id, source, cl, generate_subscripts(cl, 1) AS i, unnest(cl) AS text FROM (
+    SELECT doc_id, source,
+           list_filter(list_transform(string_split(
+             list_reduce(list_prepend('', ps), lambda a, x:
+               CASE WHEN length(list_last(string_split(a, chr(1))) || x || chr(10)) >= 200
+                    THEN a || x || chr(1) ELSE a || x || chr(10) END), chr(1)),
+             lambda c: {strip_sql('c')}), lambda c: length(c) > 0) AS cl
+    FROM (SELECT doc_id, source,
+                 list_filter(list_transform(string_split(text, chr(10)), lambda p: {strip_sql('p')}),
+                             lambda p: length(p) > 0) AS ps
+          FROM documents)
+    WHERE len(ps) > 0)))"""
+
+_EMB_RE = r"[\pL\pN_]{2,}"
+
+
+def emb_sql(name: str, src: str, key: str, text: str) -> str:
+    return f"""{name} AS (
+  SELECT {key}, bucket, count(*) AS cnt, sum(count(*) * count(*)) OVER (PARTITION BY {key}) AS sq
+  FROM (SELECT {key}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 384 AS bucket
+        FROM (SELECT {key}, unnest(list_filter(regexp_extract_all(lower({text}), '{_EMB_RE}'),
+                                   lambda t: NOT list_contains({_SW_SQL}, t))) AS tok FROM {src}))
+  GROUP BY {key}, bucket)"""
+
+
+QUESTIONS = """questions AS (
+  SELECT item_id AS qid, text AS query,
+         (['basic', 'intermediate', 'advanced'])[item_id % 3 + 1] AS difficulty FROM benchmark)"""
+VQ = f"""vq AS (SELECT qid, {strip_sql('query')} AS query FROM questions
+          WHERE query IS NOT NULL AND length({strip_sql('query')}) BETWEEN 1 AND 1000)"""
+KNN = f"""dots AS (
+  SELECT q.qid, c.chunk_id, sum(q.cnt * c.cnt) AS dot FROM qemb q JOIN cemb c ON q.bucket = c.bucket
+  GROUP BY q.qid, c.chunk_id),
+qn AS (SELECT vq.qid, coalesce(max(e.sq), 0) AS sq FROM vq LEFT JOIN qemb e ON vq.qid = e.qid GROUP BY vq.qid),
+cn AS (SELECT ch.chunk_id, coalesce(max(e.sq), 0) AS sq FROM chunks ch LEFT JOIN cemb e
+         ON ch.chunk_id = e.chunk_id GROUP BY ch.chunk_id),
+pairs AS (
+  SELECT q.qid, c.chunk_id,
+         (CASE WHEN q.sq > 0 THEN 1.0 ELSE 0.0 END + CASE WHEN c.sq > 0 THEN 1.0 ELSE 0.0 END)
+         - 2.0 * CASE WHEN q.sq > 0 AND c.sq > 0
+                      THEN CAST(coalesce(d.dot, 0) AS DOUBLE) / (sqrt(q.sq) * sqrt(c.sq)) ELSE 0.0 END
+           AS distance
+  FROM qn q CROSS JOIN cn c LEFT JOIN dots d ON d.qid = q.qid AND d.chunk_id = c.chunk_id),
+nn AS (
+  SELECT p.*, CAST(row_number() OVER (PARTITION BY p.qid ORDER BY p.distance, p.chunk_id) - 1 AS INTEGER) AS rank
+  FROM pairs p QUALIFY rank < 6),
+nnt AS (SELECT nn.*, ch.doc_id, ch.text FROM nn JOIN chunks ch ON nn.chunk_id = ch.chunk_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) - 1 AS INTEGER) AS used_rank
+  FROM (SELECT * FROM nnt QUALIFY row_number() OVER (PARTITION BY qid, text ORDER BY distance, chunk_id) = 1)
+  QUALIFY used_rank < 3),
+packed AS (
+  SELECT qid, coalesce(string_agg(piece, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY used_rank)
+                       FILTER (WHERE run <= 3000), '') AS context
+  FROM (SELECT qid, used_rank, piece, sum(length(piece)) OVER (PARTITION BY qid ORDER BY used_rank
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+        FROM (SELECT qid, used_rank, '[Source: ' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || text AS piece
+              FROM ranked))
+  GROUP BY qid),
+srcs AS (SELECT qid, list_sort(list_distinct(list(CAST(doc_id AS VARCHAR)))) AS sources,
+                CAST(count(*) AS INTEGER) AS num_chunks_used FROM ranked GROUP BY qid),
+expected AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0),
+hits AS (
+  SELECT q.qid, q.difficulty,
+         q.query IS NOT NULL AND length({strip_sql('q.query')}) BETWEEN 1 AND 1000 AS is_valid,
+         coalesce(EXISTS (SELECT 1 FROM expected e JOIN ranked r ON r.qid = e.qid
+                          AND CAST(r.doc_id AS VARCHAR) = CAST(e.doc_id AS VARCHAR)
+                          WHERE e.qid = q.qid), false) AS hit
+  FROM questions q)"""
+
+RETR = (CHUNKS, emb_sql("cemb", "chunks", "chunk_id", "text"), QUESTIONS, VQ,
+        emb_sql("qemb", "vq", "qid", "query"), KNN)
+
+SQL["scan_corpus"] = """
+SELECT doc_id, source, length(text) AS n_chars,
+       len(list_filter(string_split(text, chr(10)), lambda p: length(trim(p)) > 0)) AS n_lines
+FROM documents"""
+SQL["chunk_documents"] = with_(CHUNKS) + "SELECT doc_id, source, chunk_index, chunk_id, text FROM chunks"
+SQL["hash_embed"] = with_(CHUNKS, emb_sql("cemb", "chunks", "chunk_id", "text")) + f"""
+SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, cnt, sq, {R('cnt / sqrt(sq)', 'weight')} FROM cemb"""
+SQL["knn_topk"] = with_(*RETR) + f"SELECT qid, chunk_id, {R('distance', 'distance')}, rank FROM nn"
+SQL["rank_top_k"] = with_(*RETR) + f"SELECT qid, chunk_id, {R('distance', 'distance')}, used_rank FROM ranked"
+SQL["retrieve_rank"] = with_(*RETR) + """
+SELECT n.qid, CAST(count(*) AS INTEGER) AS num_chunks_retrieved,
+       (SELECT CAST(count(*) AS INTEGER) FROM ranked r WHERE r.qid = n.qid) AS num_chunks_used
+FROM nn n GROUP BY n.qid"""
+SQL["pack_context"] = with_(*RETR) + "SELECT qid, context FROM packed"
+SQL["sources_per_query"] = with_(*RETR) + "SELECT qid, sources FROM srcs"
+SQL["lookup_topic_source"] = with_(*RETR) + "SELECT qid, doc_id FROM expected"
+SQL["hit_rate_at_k"] = with_(*RETR) + f"""
+SELECT sum(CAST(hit AS BIGINT)) AS hits, count(*) AS n,
+       {py_round_ratio_sql('sum(CAST(hit AS BIGINT))', 'count(*)')} AS hit_rate_at_k FROM hits"""
+SQL["hit_rate_by_group"] = with_(*RETR) + f"""
+SELECT coalesce(difficulty, 'OVERALL') AS difficulty, count(*) AS total,
+       sum(CAST(hit AS BIGINT)) AS hits, sum(CAST(NOT is_valid AS BIGINT)) AS errors,
+       {R('sum(CAST(hit AS BIGINT)) / count(*) * 100.0', 'hit_rate_pct')}
+FROM hits GROUP BY ROLLUP (difficulty)"""
+
+
+def _batch_sql() -> str:
+    from tracewise.operators.evaluate import NO_CONTEXT_PLACEHOLDER, RAG_PROMPT
+    ctx = (f"CASE WHEN length({strip_sql('coalesce(p.context, ' + chr(39) + chr(39) + ')')}) = 0 "
+           f"THEN {_sqlstr(NO_CONTEXT_PLACEHOLDER)} ELSE coalesce(p.context, '') END")
+    prompt = fill_sql(RAG_PROMPT, context=ctx, query=strip_sql("q.query"))
+    valid = f"(q.query IS NOT NULL AND length({strip_sql('q.query')}) BETWEEN 1 AND 1000)"
+    return with_(*RETR) + f"""
+SELECT q.qid, {valid} AS is_valid,
+       CASE WHEN q.query IS NULL THEN 'Query cannot be None'
+            WHEN length({strip_sql('q.query')}) = 0 THEN 'Query cannot be empty'
+            WHEN length({strip_sql('q.query')}) > 1000 THEN
+              'Query too long (' || CAST(length({strip_sql('q.query')}) AS VARCHAR) || ' chars). Max is 1000.'
+       END AS reject_reason,
+       s.sources, s.num_chunks_used, p.context,
+       CASE WHEN {valid} THEN {prompt} END AS prompt
+FROM questions q LEFT JOIN packed p ON q.qid = p.qid LEFT JOIN srcs s ON q.qid = s.qid"""
+
+
+SQL["retrieve_batch"] = _batch_sql()
+SQL["question_slice"] = with_(QUESTIONS) + """
+SELECT qid, query, difficulty FROM questions WHERE difficulty = 'intermediate'
+ORDER BY qid LIMIT 5 OFFSET 2"""
