@@ -7,9 +7,13 @@ all rows that task becomes the job.  Here the rows are range-partitioned on
 numbers its own rows, a small (key, partition) table of counts gives every
 segment its offset, and a join on (key, partition) adds it back.
 
-The range exchange is read twice (counts and rows) inside one plan; Spark
-reuses the exchange, and its partition count is fixed explicitly so adaptive
-execution never coalesces the two reads differently.
+The range-partitioned, position-tagged rows are read twice (for the counts
+and for the rows).  Two independent range shuffles could sample different
+bounds, so the tagged rows are first cut off by a reliable checkpoint (in
+``spark.checkpoint.dir``): partition ids and positions are then fixed data,
+whatever the optimizer does with either read, and a lost executor
+re-reads them instead of recomputing a different split.  Callers pass the
+narrow (key, order, row-id) projection and join the rank back by row id.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
              .sortWithinPartitions(*(keys + order))
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_pos", F.monotonically_increasing_id()))
+    from tracewise.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    srt = srt.checkpoint(eager=True)
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")]
     if running_sum:
         aggs.append(F.sum(running_sum).alias("_ssum"))

@@ -67,10 +67,11 @@ def with_stage_order(events: DataFrame, num_partitions: int | None = None) -> Da
 
     Distributed ranking: a hot trace is split across range partitions.
     """
-    return (rank_within_groups(events, ["trace_id"], ["timestamp_start", "event_id"],
-                               num_partitions=num_partitions, rank_col="_r")
-            .withColumn("stage_order", F.col("_r").cast("int"))
-            .drop("_r", "_n"))
+    ranks = (rank_within_groups(events.select("trace_id", "timestamp_start", "event_id"),
+                                ["trace_id"], ["timestamp_start", "event_id"],
+                                num_partitions=num_partitions, rank_col="_r")
+             .select("event_id", F.col("_r").cast("int").alias("stage_order")))
+    return events.join(ranks, "event_id")
 
 
 def stage_order_violations(events: DataFrame, expected: list[str],
@@ -83,7 +84,7 @@ def stage_order_violations(events: DataFrame, expected: list[str],
     exp = F.array(*[F.lit(s) for s in expected])
     ev = with_stage_order(events, num_partitions)
     want = F.when(F.col("stage_order") < len(expected),
-                  F.element_at(exp, F.col("stage_order") + 1))
+                  F.try_element_at(exp, F.col("stage_order") + 1))
     bad = want.isNull() | (want != F.col("stage_name"))
     ev = ev.withColumn("_want", want).withColumn("_bad", bad)
     agg = ev.groupBy("trace_id").agg(
@@ -101,11 +102,13 @@ def trace_waterfall(events: DataFrame, traces: DataFrame,
                     num_partitions: int | None = None) -> DataFrame:
     """Stages of every trace in start order with the offset from the
     trace start and the running latency total."""
-    ranked = rank_within_groups(
-        events.select("trace_id", "event_id", "stage_name", "timestamp_start",
-                      "latency_ms", "status"),
+    ranks = rank_within_groups(
+        events.select("trace_id", "timestamp_start", "event_id", "latency_ms"),
         ["trace_id"], ["timestamp_start", "event_id"], running_sum="latency_ms",
         num_partitions=num_partitions, rank_col="_r", cum_col="cumulative_latency_ms")
+    ranked = events.select("event_id", "stage_name", "status").join(
+        ranks.select("event_id", "trace_id", "timestamp_start", "latency_ms", "_r",
+                     "cumulative_latency_ms"), "event_id")
     starts = traces.select("trace_id", "started_at")
     offset_us = F.unix_micros(F.col("timestamp_start").cast("timestamp")) - \
         F.unix_micros(F.col("started_at").cast("timestamp"))

@@ -516,3 +516,159 @@ def _question_slice(v):
     """Difficulty filter, then start index 3 (1-based), then limit 5."""
     return (v.questions.where(F.col("difficulty") == "intermediate")
             .orderBy("qid").offset(2).limit(5))
+
+
+# ---- reports, dashboards, outbox, sync -------------------------------------------
+from tracewise.operators import alerts as AL  # noqa: E402
+from tracewise.operators import report as RP  # noqa: E402
+from tracewise.operators import sinks as SK  # noqa: E402
+from tracewise.operators import traces as TR  # noqa: E402
+from tracewise.plans.common import FIXTURE_STAGE_ORDER  # noqa: E402
+
+
+def _alert_log(v: Views):
+    """Attempts an earlier run logged: alerts for windows before the cutoff;
+    critical regressions and all reports went out, warnings were skipped
+    (no webhook), retried ones come back due."""
+    def build():
+        cut = F.lit(EARLIER_RUN_CUTOFF).cast("timestamp_ntz")
+        reg = v.reg.where(F.col("window_start") < cut).select(
+            F.lit("regression").alias("alert_type"), F.col("id").cast("string").alias("reference_id"),
+            (F.col("severity") == "critical").alias("success"),
+            F.when(F.col("severity") != "critical", F.lit(AL.SKIPPED_NO_WEBHOOK)).alias("error"),
+            F.timestamp_add("DAY", F.lit(1), F.col("window_start")).alias("sent_at"))
+        rca = v.rca.where(F.col("window_start") < cut).select(
+            F.lit("rca").alias("alert_type"), F.col("id").cast("string").alias("reference_id"),
+            F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
+            F.timestamp_add("DAY", F.lit(1), F.col("window_start")).alias("sent_at"))
+        return reg.unionByName(rca)
+    return v._get("alert_log", build)
+
+
+def _due(v: Views):
+    return AL.outbox(AL.candidates(v.reg, v.rca, 50), _alert_log(v))
+
+
+@query("alert_log_tail")
+def _alert_log_tail(v):
+    """T4: last 50 alert attempts."""
+    return _alert_log(v).orderBy(F.col("sent_at").desc(), "alert_type", "reference_id").limit(50)
+
+
+@query("alert_outbox")
+def _alert_outbox(v):
+    """Alerts still due (no successful attempt yet)."""
+    return _due(v)
+
+
+@query("alert_payloads")
+def _alert_payloads(v):
+    """L2: JSON payload of every due alert."""
+    d = _due(v)
+    return AL.regression_payloads(d, v.reg).unionByName(AL.rca_payloads(d, v.rca))
+
+
+@query("daily_digest")
+def _daily_digest(v):
+    """L3: one digest per day."""
+    return AL.daily_digest(v.tr, v.reg, v.rca)
+
+
+@query("summary_stats")
+def _summary_stats(v):
+    """Report header counts."""
+    return RP.summary_stats(v.tr, _stored_evals(v), v.reg, v.rca)
+
+
+@query("kpi_overview")
+def _kpi_overview(v):
+    """A3: KPI row of the event dashboard."""
+    return RP.kpi_overview(v.ev)
+
+
+@query("stage_avg_latency")
+def _stage_avg_latency(v):
+    """A4: mean latency by stage."""
+    return RP.stage_avg_latency(v.ev)
+
+
+@query("bi_measures")
+def _bi_measures(v):
+    """BI measures."""
+    return RP.bi_measures(v.tr, EVL.evaluate_all(v.turns), v.reg)
+
+
+@query("stage_status_breakdown")
+def _stage_status_breakdown(v):
+    """Events by stage and status."""
+    return RP.stage_status_breakdown(v.ev)
+
+
+@query("metric_trend")
+def _metric_trend(v):
+    """p95 latency and error-rate series of every window size."""
+    return v.mts.where(F.col("metric_name").isin("latency_p95_ms", "error_rate_pct"))
+
+
+@query("recent_traces")
+def _recent_traces(v):
+    """20 newest traces."""
+    return RP.recent_traces(v.tr, 20)
+
+
+@query("worst_recent_traces")
+def _worst_recent_traces(v):
+    """Slowest 10 of the 200 newest traces."""
+    return RP.worst_recent_traces(v.tr, 200, 10)
+
+
+@query("recent_traces_display")
+def _recent_traces_display(v):
+    """Display form of the 20 newest traces."""
+    return RP.display_traces(RP.recent_traces(v.tr, 20))
+
+
+@query("trace_rollup")
+def _trace_rollup(v):
+    """A2: dashboard rollup per trace."""
+    return TR.trace_rollup(v.ev)
+
+
+@query("stage_order")
+def _stage_order(v):
+    """The trace_events table: events with their 0-based order."""
+    return TR.with_stage_order(v.ev).select(
+        "event_id", "trace_id", "stage_name", "stage_order", "timestamp_start", "timestamp_end",
+        "latency_ms", "status", "error")
+
+
+@query("stage_order_violations")
+def _stage_order_violations(v):
+    """Traces whose stages are not a prefix of the pipeline order."""
+    return TR.stage_order_violations(v.ev, FIXTURE_STAGE_ORDER)
+
+
+@query("trace_waterfall")
+def _trace_waterfall(v):
+    """Offsets and running latency per trace."""
+    return TR.trace_waterfall(v.ev, v.tr)
+
+
+@query("trace_detail")
+def _trace_detail(v):
+    """Trace header with its ordered events (and evaluations, if any)."""
+    return TR.trace_detail(v.tr, v.ev, _stored_evals(v))
+
+
+@query("payload_summary")
+def _payload_summary(v):
+    """Summaries of the output payloads."""
+    return RP.payload_summaries(v.ev, "output_summary")
+
+
+@query("sync_new_traces")
+def _sync_new_traces(v):
+    """Traces a second sync inserts (ids not stored by the first)."""
+    cut = F.lit(EARLIER_RUN_CUTOFF).cast("timestamp_ntz")
+    stored = v._stage("tr_earlier", lambda: assemble_traces(v.ev.where(F.col("timestamp_start") < cut)))
+    return SK.sync_traces(v.ev, stored)

@@ -649,3 +649,124 @@ SQL["retrieve_batch"] = _batch_sql()
 SQL["question_slice"] = with_(QUESTIONS) + """
 SELECT qid, query, difficulty FROM questions WHERE difficulty = 'intermediate'
 ORDER BY qid LIMIT 5 OFFSET 2"""
+
+
+# ---- reports, dashboards, outbox, sync -------------------------------------------
+ALOG = """alog AS (
+  SELECT 'regression' AS alert_type, CAST(id AS VARCHAR) AS reference_id, severity = 'critical' AS success,
+         CASE WHEN severity <> 'critical' THEN '[SKIPPED] DISCORD_WEBHOOK_URL not set' END AS error,
+         window_start + INTERVAL 1 DAY AS sent_at
+  FROM reg WHERE window_start < TIMESTAMP '2024-01-20 12:00:00'
+  UNION ALL
+  SELECT 'rca', CAST(id AS VARCHAR), true, NULL, window_start + INTERVAL 1 DAY
+  FROM rca WHERE window_start < TIMESTAMP '2024-01-20 12:00:00')"""
+DUE = """cands AS (
+  SELECT * FROM (SELECT 'regression' AS alert_type, CAST(id AS VARCHAR) AS reference_id FROM reg
+                 ORDER BY window_start DESC, id LIMIT 50)
+  UNION ALL
+  SELECT * FROM (SELECT 'rca', CAST(id AS VARCHAR) FROM rca ORDER BY window_start DESC, id LIMIT 50)),
+due AS (SELECT * FROM cands c WHERE NOT EXISTS (
+  SELECT 1 FROM alog l WHERE l.success AND l.alert_type = c.alert_type AND l.reference_id = c.reference_id))"""
+OUTBOX = (*FULL_RCA, ALOG, DUE)
+
+SQL["alert_log_tail"] = with_(*OUTBOX) + """
+SELECT * FROM alog ORDER BY sent_at DESC, alert_type, reference_id LIMIT 50"""
+SQL["alert_outbox"] = with_(*OUTBOX) + "SELECT alert_type, reference_id FROM due"
+SQL["alert_payloads"] = with_(*OUTBOX) + """
+SELECT d.alert_type, d.reference_id, to_json({'embeds': [{
+         'title': '🚨 Regression detected: ' || r.metric_name, 'description': r.description,
+         'color': CASE WHEN r.severity = 'critical' THEN 15158332 ELSE 15844367 END,
+         'fields': [{'name': 'Method', 'value': r.method, 'inline': true},
+                    {'name': 'Severity', 'value': r.severity, 'inline': true},
+                    {'name': 'Window', 'value': strftime(r.window_start, '%Y-%m-%d %H:%M:%S'), 'inline': false}]}]})::VARCHAR AS payload
+FROM due d JOIN reg r ON d.alert_type = 'regression' AND d.reference_id = CAST(r.id AS VARCHAR)
+UNION ALL
+SELECT d.alert_type, d.reference_id, to_json({'embeds': [{
+         'title': '🔍 Root cause: ' || r.root_cause_category, 'description': left(r.summary, 2000),
+         'color': 3447003,
+         'fields': [{'name': 'Confidence', 'value': r.confidence, 'inline': true},
+                    {'name': 'Window', 'value': strftime(r.window_start, '%Y-%m-%d %H:%M:%S'), 'inline': true}]}]})::VARCHAR
+FROM due d JOIN rca r ON d.alert_type = 'rca' AND d.reference_id = CAST(r.id AS VARCHAR)"""
+SQL["daily_digest"] = with_(*FULL_RCA) + """
+SELECT 'digest' AS alert_type, strftime(t.day, '%Y-%m-%d') AS reference_id, t.total_traces, t.error_traces,
+       coalesce(r.n, 0) AS total_regressions, coalesce(c.n, 0) AS total_rca_reports,
+       to_json({'embeds': [{'title': '📊 Daily Digest', 'color': 3066993, 'fields': [
+         {'name': 'total_traces', 'value': CAST(t.total_traces AS VARCHAR), 'inline': true},
+         {'name': 'error_traces', 'value': CAST(t.error_traces AS VARCHAR), 'inline': true},
+         {'name': 'total_regressions', 'value': CAST(coalesce(r.n, 0) AS VARCHAR), 'inline': true},
+         {'name': 'total_rca_reports', 'value': CAST(coalesce(c.n, 0) AS VARCHAR), 'inline': true}]}]})::VARCHAR AS payload
+FROM (SELECT CAST(started_at AS DATE) AS day, count(*) AS total_traces,
+             count(*) FILTER (WHERE has_error) AS error_traces FROM tr GROUP BY 1) t
+LEFT JOIN (SELECT CAST(window_start AS DATE) AS day, count(*) AS n FROM reg GROUP BY 1) r ON t.day = r.day
+LEFT JOIN (SELECT CAST(window_start AS DATE) AS day, count(*) AS n FROM rca GROUP BY 1) c ON t.day = c.day"""
+SQL["summary_stats"] = with_(*FULL_RCA, *EVAL_BASE[:3]) + """
+SELECT (SELECT count(*) FROM tr) AS total_traces, (SELECT count(*) FROM stored) AS total_evaluations,
+       (SELECT count(*) FROM reg) AS total_regressions, (SELECT count(*) FROM rca) AS total_rca_reports,
+       (SELECT count(*) FROM tr WHERE has_error) AS error_traces"""
+SQL["kpi_overview"] = with_(EV) + f"""
+SELECT count(*) AS total_traces, sum(n) AS total_events, {R('avg(lat)', 'avg_trace_latency_ms')},
+       {R('sum(CAST(err AS BIGINT)) / count(*) * 100.0', 'error_rate_pct')}
+FROM (SELECT trace_id, sum(latency_ms) AS lat, bool_or(status = 'error') AS err, count(*) AS n
+      FROM ev GROUP BY trace_id)"""
+SQL["stage_avg_latency"] = with_(EV) + f"""
+SELECT stage_name, {R('avg(latency_ms)', 'avg_latency_ms')} FROM ev GROUP BY stage_name"""
+SQL["bi_measures"] = with_(*FULL_REG, TURNS, ALL_EVALS) + f"""
+SELECT {R('(SELECT avg(total_latency_ms) FROM tr)', 'avg_trace_latency_ms')},
+       {R('(SELECT count(*) FILTER (WHERE has_error) / count(*) FROM tr)', 'error_rate')},
+       {R('(SELECT quantile_cont(total_latency_ms, 0.95) FROM tr)', 'p95_trace_latency_ms')},
+       {R("(SELECT avg(score) FROM all_evals WHERE evaluator_name IN ('heuristic_faithfulness_overlap', 'llm_judge_faithfulness'))", 'avg_faithfulness_score')},
+       {R("(SELECT avg(score) FROM all_evals WHERE evaluator_name IN ('heuristic_relevance_keyword', 'llm_judge_relevance'))", 'avg_relevance_score')},
+       (SELECT count(*) FROM reg WHERE severity = 'critical') AS critical_regression_count"""
+SQL["stage_status_breakdown"] = with_(EV) + """
+SELECT stage_name, count(*) FILTER (WHERE status = 'success') AS success,
+       count(*) FILTER (WHERE status = 'error') AS error FROM ev GROUP BY stage_name"""
+SQL["metric_trend"] = with_(*BASE_MTS) + f"""
+SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')} FROM mts
+WHERE metric_name IN ('latency_p95_ms', 'error_rate_pct')"""
+_TRC = (f"trace_id, query_id, started_at, ended_at, {R('total_latency_ms', 'total_latency_ms')}, num_stages, "
+        f"slowest_stage, {R('slowest_stage_latency_ms', 'slowest_stage_latency_ms')}, has_error, error_stage")
+SQL["recent_traces"] = with_(*BASE_TR) + f"SELECT {_TRC} FROM tr ORDER BY started_at DESC, trace_id LIMIT 20"
+SQL["worst_recent_traces"] = with_(*BASE_TR) + f"""
+SELECT {_TRC} FROM (SELECT * FROM tr ORDER BY started_at DESC, trace_id LIMIT 200)
+ORDER BY total_latency_ms DESC, trace_id LIMIT 10"""
+SQL["recent_traces_display"] = with_(*BASE_TR) + f"""
+SELECT left(trace_id, 8) || '...' AS trace_id_short, trace_id, started_at, num_stages,
+       {R('total_latency_ms', 'total_latency_ms')},
+       CASE WHEN has_error THEN '❌ error' ELSE '✅ success' END AS status
+FROM (SELECT * FROM tr ORDER BY started_at DESC, trace_id LIMIT 20)"""
+SQL["trace_rollup"] = with_(EV) + f"""
+SELECT trace_id, count(stage_name) AS num_stages, {R('sum(latency_ms)', 'total_latency_ms')},
+       bool_or(status = 'error') AS has_error, min(timestamp_start) AS started_at
+FROM ev GROUP BY trace_id"""
+SO = """so AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY timestamp_start, event_id) - 1
+                  AS INTEGER) AS stage_order FROM ev)"""
+SQL["stage_order"] = with_(EV, SO) + f"""
+SELECT event_id, trace_id, stage_name, stage_order, timestamp_start, timestamp_end,
+       {R('latency_ms', 'latency_ms')}, status, error FROM so"""
+SQL["stage_order_violations"] = with_(EV, SO) + """
+SELECT trace_id, CAST(count(*) AS INTEGER) AS num_stages, min(stage_order) FILTER (WHERE bad) AS first_violation_order,
+       arg_min(want, stage_order) FILTER (WHERE bad) AS expected_stage,
+       arg_min(stage_name, stage_order) FILTER (WHERE bad) AS actual_stage
+FROM (SELECT *, CASE WHEN stage_order < 5 THEN (['signup', 'view', 'click', 'purchase', 'error'])[stage_order + 1] END AS want,
+             (stage_order >= 5 OR (['signup', 'view', 'click', 'purchase', 'error'])[stage_order + 1] <> stage_name) AS bad
+      FROM so)
+GROUP BY trace_id HAVING bool_or(bad)"""
+SQL["trace_waterfall"] = with_(EV, TR, SO) + f"""
+SELECT s.trace_id, s.stage_order, s.event_id, s.stage_name, s.status, {R('s.latency_ms', 'latency_ms')},
+       {R('(epoch_us(s.timestamp_start) - epoch_us(t.started_at)) / 1000.0', 'offset_ms')},
+       {R('sum(s.latency_ms) OVER (PARTITION BY s.trace_id ORDER BY s.stage_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'cumulative_latency_ms')}
+FROM so s JOIN tr t ON s.trace_id = t.trace_id"""
+SQL["trace_detail"] = with_(EV, TR, SO, *EVAL_BASE[:3]) + f"""
+SELECT t.trace_id, t.started_at, {R('t.total_latency_ms', 'total_latency_ms')}, t.has_error, p.kind, p.seq,
+       p.name, {R('p.value', 'value')}, p.detail
+FROM tr t JOIN (
+  SELECT trace_id, 'event' AS kind, stage_order AS seq, stage_name AS name, latency_ms AS value, status AS detail FROM so
+  UNION ALL
+  SELECT trace_id, 'evaluation', NULL::INTEGER, evaluator_name, score, reasoning FROM stored) p
+ON t.trace_id = p.trace_id"""
+SQL["payload_summary"] = with_(EV) + """
+SELECT event_id, CASE WHEN output_summary IS NOT NULL THEN 'str' END AS summary_type,
+       length(output_summary) AS summary_length, left(output_summary, 200) AS summary_preview FROM ev"""
+SQL["sync_new_traces"] = with_(EV, TR) + f"""
+SELECT {_TRC} FROM tr WHERE trace_id NOT IN (
+  SELECT DISTINCT trace_id FROM ev WHERE timestamp_start < TIMESTAMP '2024-01-20 12:00:00')"""
