@@ -24,14 +24,21 @@ def _make(spec: str, none_text: str | None):
 _CACHE: dict = {}
 
 
-def pyfmt(c, spec: str, none_text: str | None = None) -> Column:
+def pyfmt(c, spec: str, none_text: str | None = None, settle_digits: int | None = 9) -> Column:
     """Format a double column with Python format spec ``spec`` (e.g. '.2f',
-    '+.1f'); nulls become ``none_text``."""
+    '+.1f'); nulls become ``none_text``.
+
+    The value is first rounded to ``settle_digits`` decimals: sums and means
+    differ in their last bits with the order of addition, which would
+    otherwise flip a printed digit exactly at a tie such as 53.405.
+    """
     key = (spec, none_text)
     if key not in _CACHE:
         _CACHE[key] = _make(spec, none_text)
-    col = F.col(c) if isinstance(c, str) else c
-    return _CACHE[key](col.cast("double"))
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    if settle_digits is not None:
+        col = F.round(col, settle_digits)
+    return _CACHE[key](col)
 
 
 def pystr(c) -> Column:

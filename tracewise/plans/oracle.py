@@ -167,7 +167,7 @@ def detect_chain(sfx: str) -> list[str]:
   SELECT m.metric_name, 'threshold' AS method, 'critical' AS severity, m.window_start,
          m.window_minutes, c.threshold AS baseline_value, m.value AS current_value,
          NULL::DOUBLE AS delta_pct,
-         m.metric_name || '=' || printf('%.2f', m.value) || ' breached fixed threshold '
+         m.metric_name || '=' || printf('%.2f', round(m.value, 9)) || ' breached fixed threshold '
            || CAST(c.threshold AS VARCHAR) || ' (' || c.direction || ').' AS description,
          c.pos AS cfg_pos
   FROM {m} m JOIN cfg c ON m.metric_name = c.metric_name
@@ -178,16 +178,16 @@ def detect_chain(sfx: str) -> list[str]:
          CASE WHEN abs(z) >= 3 THEN 'critical' ELSE 'warning' END AS severity,
          window_start, window_minutes, mean AS baseline_value, value AS current_value,
          CASE WHEN mean <> 0 THEN (value - mean) / mean * 100.0 END AS delta_pct,
-         metric_name || '=' || printf('%.2f', value) || ' is ' || printf('%.2f', z)
-           || ' std devs from baseline mean ' || printf('%.2f', mean) || '.' AS description,
+         metric_name || '=' || printf('%.2f', round(value, 9)) || ' is ' || printf('%.2f', round(z, 9))
+           || ' std devs from baseline mean ' || printf('%.2f', round(mean, 9)) || '.' AS description,
          0 AS cfg_pos
   FROM (SELECT *, (value - mean) / sd AS z FROM stats{sfx} WHERE n_before >= 3 AND sd <> 0)
   WHERE abs(z) >= 2)"""
     trd = f"""trd{sfx} AS (
   SELECT metric_name, 'trend' AS method, 'warning' AS severity, window_start, window_minutes,
          first_v AS baseline_value, value AS current_value, pct AS delta_pct,
-         metric_name || ' moved ' || printf('%+.1f', pct) || '% over the last 5 windows ('
-           || printf('%.2f', first_v) || ' -> ' || printf('%.2f', value) || ').' AS description,
+         metric_name || ' moved ' || printf('%+.1f', round(pct, 9)) || '% over the last 5 windows ('
+           || printf('%.2f', round(first_v, 9)) || ' -> ' || printf('%.2f', round(value, 9)) || ').' AS description,
          0 AS cfg_pos
   FROM (SELECT *, (value - first_v) / first_v * 100.0 AS pct FROM stats{sfx}
         WHERE rn = len AND len >= 5 AND first_v <> 0)
@@ -225,9 +225,9 @@ def rca_chain(sfx: str) -> list[str]:
   FROM evd{sfx} GROUP BY window_start, window_minutes)"""
     ids = f"""rids{sfx} AS (SELECT window_start, window_minutes, list(id ORDER BY id) AS regression_ids
                  FROM {r} GROUP BY window_start, window_minutes)"""
-    p95 = "coalesce(printf('%+.1f', w.p95_delta), 'n/a')"
-    sd = "coalesce(printf('%+.1f', w.dominant[2]), 'n/a')"
-    err = "coalesce(printf('%.1f', w.err_current), 'n/a')"
+    p95 = "coalesce(printf('%+.1f', round(w.p95_delta, 9)), 'n/a')"
+    sd = "coalesce(printf('%+.1f', round(w.dominant[2], 9)), 'n/a')"
+    err = "coalesce(printf('%.1f', round(w.err_current, 9)), 'n/a')"
     stage = "substr(w.dominant[1], instr(w.dominant[1], ':') + 1)"
     rca = f"""rca{sfx} AS (
   SELECT row_number() OVER (ORDER BY w.window_minutes, w.window_start) AS id,

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewise.schemas import STAGE_EVENT
 
@@ -36,7 +37,8 @@ def scan_stage_events(spark: SparkSession, path: str, with_corrupt: bool = False
     """
     schema = STAGE_EVENT
     if with_corrupt:
-        schema = schema.add("_corrupt_record", "string")
+        # StructType.add mutates: build a new schema
+        schema = T.StructType(list(STAGE_EVENT.fields) + [T.StructField("_corrupt_record", T.StringType())])
     try:
         df = (spark.read.schema(schema)
               .option("mode", "PERMISSIVE")
