@@ -23,12 +23,17 @@ def _col(c) -> Column:
 
 def content_tokens(text, stopwords=None, min_len: int = 3) -> Column:
     """Distinct lower-case ``[a-z0-9]+`` words, minus stopwords, of at
-    least ``min_len`` characters.  Null text gives an empty set."""
+    least ``min_len`` characters.  Null text gives an empty set.
+
+    A maximal ``[a-z0-9]`` run of ``min_len`` or more characters is exactly a
+    match of ``[a-z0-9]{min_len,}`` (shorter runs have no such match), so the
+    length filter lives in the pattern and the stopwords go by
+    ``array_except`` (which also de-duplicates): no per-element lambda.
+    """
     sw = F.array(*[F.lit(w) for w in (stopwords or EVAL_STOPWORDS)])
     words = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))),
-                                 F.lit("([a-z0-9]+)"), 1)
-    kept = F.filter(words, lambda w: (F.length(w) >= min_len) & ~F.array_contains(sw, w))
-    return F.array_distinct(kept)
+                                 F.lit(f"([a-z0-9]{{{int(min_len)},}})"), 1)
+    return F.array_except(words, sw)
 
 
 def overlap_counts(a_text, b_text) -> tuple[Column, Column]:
@@ -43,25 +48,28 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-def overlap_score(a_text, b_text, digits: int = 3) -> Column:
+def overlap_score(a_text, b_text, digits: int = 3, a_tokens=None, b_tokens=None) -> Column:
     """|A ∩ B| / |A| rounded like Python's ``round``; 0.0 when either text is
-    empty or A has no content tokens."""
+    empty or A has no content tokens.  Pass precomputed token columns to
+    avoid re-deriving them inside every branch."""
     from tracewise.functions.numeric import py_round_ratio
     a, b = _col(a_text), _col(b_text)
-    k, n = overlap_counts(a, b)
+    at = a_tokens if a_tokens is not None else content_tokens(a)
+    bt = b_tokens if b_tokens is not None else content_tokens(b)
+    k, n = F.size(F.array_intersect(at, bt)), F.size(at)
     return (F.when(_blank(a) | _blank(b), F.lit(0.0))
             .when(n == 0, F.lit(0.0))
             .otherwise(py_round_ratio(k, n, digits)))
 
 
-def faithfulness_overlap(answer, context) -> Column:
+def faithfulness_overlap(answer, context, answer_tokens=None, context_tokens=None) -> Column:
     """Share of the answer's content words found in the context."""
-    return overlap_score(answer, context)
+    return overlap_score(answer, context, 3, answer_tokens, context_tokens)
 
 
-def relevance_keyword(query, answer) -> Column:
+def relevance_keyword(query, answer, query_tokens=None, answer_tokens=None) -> Column:
     """Share of the query's content words found in the answer."""
-    return overlap_score(query, answer)
+    return overlap_score(query, answer, 3, query_tokens, answer_tokens)
 
 
 def is_fallback_answer(answer) -> Column:

@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.text import (faithfulness_overlap, is_fallback_answer, py_strip,
-                                      relevance_keyword)
+from tracewise.functions.text import (content_tokens, faithfulness_overlap, is_fallback_answer,
+                                      py_strip, relevance_keyword)
 from tracewise.sources.lookups import (EVALUATOR_NAMES, FAITHFULNESS_EVALUATORS,
                                        FAITHFULNESS_REASONING, FALLBACK_PREFIX,
                                        JUDGE_CONTEXT_CHARS, JUDGE_SKIPPED_REASONING,
@@ -106,14 +106,18 @@ def evaluate_all(turns: DataFrame, judge: Callable[[Column, Column, Column, str]
     answer) row.  ``judge(query, context, answer, kind)`` may return a
     struct(score, reasoning, skipped) column, e.g. a pandas UDF."""
     q, c, a = F.col("query"), F.col("context"), F.col("answer")
+    # token sets once per row (a separate projection keeps them shared)
+    turns = turns.select("trace_id", "query", "context", "answer",
+                         content_tokens(q).alias("_qt"), content_tokens(c).alias("_ct"),
+                         content_tokens(a).alias("_at"))
 
     def row(name, res):
         return F.struct(F.lit(name).alias("evaluator_name"), res["score"].alias("score"),
                         res["reasoning"].alias("reasoning"), res["skipped"].alias("skipped"))
 
-    heur_f = F.struct(faithfulness_overlap(a, c).alias("score"),
+    heur_f = F.struct(faithfulness_overlap(a, c, F.col("_at"), F.col("_ct")).alias("score"),
                       F.lit(FAITHFULNESS_REASONING).alias("reasoning"), F.lit(False).alias("skipped"))
-    heur_r = F.struct(relevance_keyword(q, a).alias("score"),
+    heur_r = F.struct(relevance_keyword(q, a, F.col("_qt"), F.col("_at")).alias("score"),
                       F.lit(RELEVANCE_REASONING).alias("reasoning"), F.lit(False).alias("skipped"))
     jf = judge(q, c, a, "faithfulness") if judge else judge_skipped()
     jr = judge(q, c, a, "relevance") if judge else judge_skipped()

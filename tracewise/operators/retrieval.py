@@ -41,25 +41,37 @@ MAX_QUERY_BATCH_BYTES = 64 << 20
 def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Column:
     """Array of chunks: split on ``separator``, strip, drop blank paragraphs,
     merge greedily until the buffer (each paragraph followed by the
-    separator) reaches ``min_len`` characters, flush the tail."""
+    separator) reaches ``min_len`` characters, flush the tail.
+
+    The fold carries the buffer length, so a step costs one concatenation;
+    a flushed buffer is stripped by cutting the trailing separator (the
+    paragraphs are stripped already) unless the separator is not blank.
+    """
     ws = PY_WHITESPACE_CLASS
     paras = F.filter(F.transform(F.split(text, re.escape(separator), -1),
                                  lambda p: F.regexp_replace(p, f"^{ws}+|{ws}+$", "")),
                      lambda p: F.length(p) > 0)
-    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("buf"))
+    sep_len = len(separator)
+    blank_sep = separator.strip() == ""
+    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("buf"),
+                    F.lit(0).alias("n"))
+
+    def finished(buf, n):
+        return F.substring(buf, 1, n - sep_len) if blank_sep else py_strip(buf)
 
     def step(acc, p):
         buf = F.concat(acc["buf"], p, F.lit(separator))
-        full = F.length(buf) >= min_len
+        n = acc["n"] + F.length(p) + F.lit(sep_len)
+        full = n >= min_len
         return F.struct(
-            F.when(full, F.concat(acc["chunks"], F.array(py_strip(buf)))).otherwise(acc["chunks"])
+            F.when(full, F.concat(acc["chunks"], F.array(finished(buf, n)))).otherwise(acc["chunks"])
              .alias("chunks"),
-            F.when(full, F.lit("")).otherwise(buf).alias("buf"))
+            F.when(full, F.lit("")).otherwise(buf).alias("buf"),
+            F.when(full, F.lit(0)).otherwise(n).alias("n"))
 
     def finish(acc):
-        tail = py_strip(acc["buf"])
-        return F.when(F.length(tail) > 0, F.concat(acc["chunks"], F.array(tail))) \
-                .otherwise(acc["chunks"])
+        tail = finished(acc["buf"], acc["n"])
+        return F.when(acc["n"] > 0, F.concat(acc["chunks"], F.array(tail))).otherwise(acc["chunks"])
 
     return F.aggregate(paras, init, step, finish)
 
@@ -87,7 +99,10 @@ def hash_embed(df: DataFrame, key: list[str], text_col: str = "text", dim: int =
                stopwords: list[str] | None = None) -> DataFrame:
     """V3: sparse hashed term counts (key..., bucket, cnt) plus the squared
     norm ``sq`` of the count vector of each item (repeated per row)."""
-    tok = df.select(*key, F.explode(embed_tokens(F.col(text_col), stopwords)).alias("tok"))
+    sw = stopwords if stopwords is not None else EVAL_STOPWORDS
+    tok = (df.select(*key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)),
+                                                          F.lit(EMBED_TOKEN_PATTERN), 0)).alias("tok"))
+           .where(~F.col("tok").isin(sw)))
     counts = (tok.groupBy(*key, md5_bucket("tok", dim).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("cnt")))
     w = Window.partitionBy(*key)
@@ -99,31 +114,45 @@ def embed_weights(sparse: DataFrame, key: list[str]) -> DataFrame:
     return sparse.select(*key, "bucket", (F.col("cnt") / F.sqrt(F.col("sq"))).alias("weight"))
 
 
-def _vectors(sparse: DataFrame, key: list[str]) -> DataFrame:
-    # one row per item with its non-zero buckets (at most ``dim`` entries),
-    # as two aligned arrays
-    v = (sparse.groupBy(*key)
-         .agg(F.collect_list(F.struct("bucket", "cnt")).alias("_v"), F.first("sq").alias("sq")))
-    return v.select(*key, F.transform("_v", lambda e: e["bucket"]).alias("b"),
-                    F.transform("_v", lambda e: e["cnt"]).alias("c"), "sq")
-
-
-def _dense(bs, cs, dim: int) -> np.ndarray:
-    m = np.zeros((len(bs), dim), dtype=np.float64)
-    lens = np.fromiter((len(b) for b in bs), dtype=np.int64, count=len(bs))
-    if lens.sum():
-        rows = np.repeat(np.arange(len(bs)), lens)
-        m[rows, np.concatenate([np.asarray(b, dtype=np.int64) for b in bs])] = \
-            np.concatenate([np.asarray(c, dtype=np.float64) for c in cs])
+def token_buckets(df: DataFrame, key: list[str], text_col: str = "text", dim: int = EMBEDDING_DIM,
+                  stopwords: list[str] | None = None) -> DataFrame:
+    """One row per token: (key..., bucket); stopwords give a null bucket and
+    items without tokens one null row (``explode_outer``), so every item is
+    present.  Explode is narrow: the rows of one item stay consecutive in
+    their partition, which the kNN scorer relies on (no shuffle, no regroup)."""
+    sw = stopwords if stopwords is not None else EVAL_STOPWORDS
+    tok = df.select(*key, F.explode_outer(F.regexp_extract_all(
+        F.lower(F.col(text_col)), F.lit(EMBED_TOKEN_PATTERN), 0)).alias("tok"))
+    b = F.when(F.col("tok").isNotNull() & ~F.col("tok").isin(sw), md5_bucket("tok", dim))
+    return tok.select(*key, b.alias("bucket"))
+
+
+def _runs(ids: np.ndarray) -> np.ndarray:
+    """Start offsets of runs of equal consecutive ids."""
+    if len(ids) == 0:
+        return np.zeros(0, dtype=np.int64)
+    change = np.ones(len(ids), dtype=bool)
+    change[1:] = ids[1:] != ids[:-1]
+    return np.flatnonzero(change)
+
+
+def _count_matrix(run_of_row: np.ndarray, buckets: np.ndarray, n_runs: int, dim: int) -> np.ndarray:
+    m = np.zeros((n_runs, dim), dtype=np.float64)
+    ok = ~np.isnan(buckets)
+    np.add.at(m, (run_of_row[ok], buckets[ok].astype(np.int64)), 1.0)
     return m
 
 
 # ---- V4: exact kNN -----------------------------------------------------------
 
-def _local_topn(qids: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, n: int,
-                key_cols: list[str], id_col: str, dim: int):
-    """mapInPandas body: the ``n`` nearest rows of this partition for every
-    query of the broadcast batch (a running best over the Arrow batches)."""
+def _local_topn(qids: np.ndarray, qmat: np.ndarray, n: int, key_cols: list[str],
+                id_col: str, dim: int):
+    """mapInPandas body over (key..., bucket) token rows: rebuild the count
+    vector of every item from its consecutive rows (carrying an item cut by
+    an Arrow batch boundary into the next batch), score it against the
+    broadcast query batch and keep the ``n`` nearest per query (running
+    best over the partition)."""
+    qsq = (qmat * qmat).sum(axis=1)
     nq = (qsq > 0).astype(np.float64)[None, :]
     sqrt_q = np.sqrt(qsq)[None, :]
 
@@ -131,65 +160,73 @@ def _local_topn(qids: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, n: int,
         frame = frame.sort_values(["qid", "distance", "_sid"], kind="stable")
         return frame.groupby("qid", sort=False).head(n)
 
+    def score(rows: pd.DataFrame):
+        ids = rows[id_col].astype(str).to_numpy()
+        starts = _runs(ids)
+        run_of_row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        cm = _count_matrix(run_of_row, rows["bucket"].to_numpy(dtype=np.float64), len(starts), dim)
+        items = rows.iloc[starts][key_cols].reset_index(drop=True)
+        items["_sid"] = ids[starts]
+        csq = (cm * cm).sum(axis=1)                     # exact: small integers
+        dot = cm @ qmat.T
+        denom = sqrt_q * np.sqrt(csq)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sc = np.where(denom > 0, dot / denom, 0.0)
+        dist = (nq + (csq > 0).astype(np.float64)[:, None]) - 2.0 * sc
+        take = min(n, len(items))
+        # the take-th smallest distance per query; every item up to it
+        # (ties included) is a candidate, then (distance, id) decides
+        kth = np.partition(dist, take - 1, axis=0)[take - 1]
+        r, c = np.nonzero(dist <= kth[None, :])
+        out = items.iloc[r].reset_index(drop=True)
+        out["qid"] = qids[c]
+        out["distance"] = dist[r, c]
+        return trim(out)
+
     def run(batches):
-        best = None
+        best, carry = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            pdf = pdf.assign(_sid=pdf[id_col].astype(str)).sort_values("_sid", kind="stable")
-            pdf = pdf.reset_index(drop=True)
-            cm = _dense(pdf["b"].tolist(), pdf["c"].tolist(), dim)
-            csq = pdf["sq"].to_numpy(dtype=np.float64)
-            dot = cm @ qmat.T                       # exact: small integers
-            denom = sqrt_q * np.sqrt(csq)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(denom > 0, dot / denom, 0.0)
-            nc = (csq > 0).astype(np.float64)[:, None]
-            dist = (nq + nc) - 2.0 * score
-            take = min(n, len(pdf))
-            # rows are in id order, a stable sort keeps it for equal distances
-            idx = np.argsort(dist, axis=0, kind="stable")[:take, :]
-            rows = idx.T.reshape(-1)
-            cols = np.repeat(np.arange(len(qids)), take)
-            out = pdf.loc[rows, key_cols + ["_sid"]].reset_index(drop=True)
-            out["qid"] = qids[cols]
-            out["distance"] = dist[rows, cols]
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            ids = pdf[id_col].astype(str).to_numpy()
+            last = _runs(ids)[-1]
+            carry = pdf.iloc[last:]               # may continue in the next batch
+            done = pdf.iloc[:last]
+            if len(done):
+                out = score(done)
+                best = out if best is None else trim(pd.concat([best, out], ignore_index=True))
+        if carry is not None and len(carry):
+            out = score(carry.reset_index(drop=True))
             best = out if best is None else trim(pd.concat([best, out], ignore_index=True))
         if best is not None:
             yield best.drop(columns=["_sid"])
     return run
 
 
-def _with_empty(keys_df: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
-    # items without any token keep an empty vector (they are still neighbours)
-    return (keys_df.select(*key).join(vectors, key, "left")
-            .select(*key, F.coalesce("b", F.array().cast("array<int>")).alias("b"),
-                    F.coalesce("c", F.array().cast("array<bigint>")).alias("c"),
-                    F.coalesce("sq", F.lit(0).cast("bigint")).alias("sq")))
-
-
-def knn(items_sparse: DataFrame, item_key: list[str], queries_sparse: DataFrame,
-        n: int, dim: int = EMBEDDING_DIM, batch_bytes: int = MAX_QUERY_BATCH_BYTES,
-        all_items: DataFrame | None = None, all_queries: DataFrame | None = None) -> DataFrame:
+def knn(items: DataFrame, item_key: list[str], queries: DataFrame, n: int,
+        dim: int = EMBEDDING_DIM, batch_bytes: int = MAX_QUERY_BATCH_BYTES,
+        item_text: str = "text", query_text: str = "text",
+        stopwords: list[str] | None = None) -> DataFrame:
     """For every query (``qid``) the ``n`` nearest items by squared
     L2 distance of the normalised hashed vectors, ties by item id (as text);
-    columns item_key..., qid, distance, rank (0-based).
+    columns item_key..., qid, distance, rank (0-based).  Items and queries
+    are given as text (one row per item, unique ids); items or queries
+    without tokens still take part.
 
     Queries are broadcast in batches of at most ``batch_bytes`` of dense
     vectors (the size is checked from the query count first); more queries
     mean more passes over the items, never a larger broadcast.
     """
-    spark = items_sparse.sparkSession
+    spark = items.sparkSession
     id_col = item_key[0]
-    qv = _vectors(queries_sparse, ["qid"])
-    if all_queries is not None:
-        qv = _with_empty(all_queries, qv, ["qid"])
+    qv = (token_buckets(queries, ["qid"], query_text, dim, stopwords)
+          .groupBy("qid").agg(F.collect_list("bucket").alias("b")))
     n_queries = qv.count()
     per_batch = max(1, batch_bytes // (dim * 8))
-    items = _vectors(items_sparse, item_key)
-    if all_items is not None:
-        items = _with_empty(all_items, items, item_key)
-    schema = T.StructType([items.schema[c] for c in item_key] +
+    rows = token_buckets(items, item_key, item_text, dim, stopwords)
+    schema = T.StructType([rows.schema[c] for c in item_key] +
                           [T.StructField("qid", qv.schema["qid"].dataType),
                            T.StructField("distance", T.DoubleType())])
     parts = []
@@ -197,10 +234,11 @@ def knn(items_sparse: DataFrame, item_key: list[str], queries_sparse: DataFrame,
     for start in range(0, n_queries, per_batch):
         batch = qv_sorted.offset(start).limit(per_batch).collect()  # <= batch_bytes dense
         qids = np.array([r["qid"] for r in batch])
-        qmat = _dense([r["b"] for r in batch], [r["c"] for r in batch], dim)
-        qsq = np.array([r["sq"] for r in batch], dtype=np.float64)
-        parts.append(items.mapInPandas(_local_topn(qids, qmat, qsq, n, item_key, id_col, dim),
-                                       schema))
+        qmat = np.zeros((len(batch), dim), dtype=np.float64)
+        for i, r in enumerate(batch):
+            if r["b"]:
+                qmat[i] = np.bincount(np.asarray(r["b"], dtype=np.int64), minlength=dim)
+        parts.append(rows.mapInPandas(_local_topn(qids, qmat, n, item_key, id_col, dim), schema))
     if not parts:
         return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
     local = parts[0]
@@ -261,10 +299,12 @@ def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext:
     """(pid, did) for every document whose text contains the passage.
 
     Candidates come from an equi-join on an interior word 3-gram of the
-    passage (words 1-3, complete words in any containing document) against
-    the documents' word 3-grams; ``instr`` verifies.  Passages of fewer than
-    five words use a single interior word (3-4 words) or, for one or two
-    words, a scan of the document word index for words containing them.
+    passage (words 2-4: complete words in any containing document) against
+    the documents' word 3-grams, which one regex pass extracts (one gram per
+    word start, whitespace normalised); ``instr`` verifies.  Passages of 3-4
+    words anchor on one interior word; one- or two-word passages fall back to
+    a broadcast scan of the distinct document words (built only when such
+    passages exist).
     """
     pw = passages.select(pid, ptext, _words(F.col(ptext)).alias("_w"))
     n = F.size("_w")
@@ -274,22 +314,25 @@ def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext:
                                    F.element_at("_w", 4)))
          .when(n >= 3, F.element_at("_w", 2)).alias("_anchor"),
         F.when(n >= 5, F.lit(3)).when(n >= 3, F.lit(1)).otherwise(F.lit(0)).alias("_g"))
-    dw = docs.select(did, _words(F.col(dtext)).alias("_w"))
-    starts = F.when(F.size("_w") >= 3, F.sequence(F.lit(1), F.size("_w") - 2)) \
-              .otherwise(F.array().cast("array<int>"))
-    grams3 = dw.select(did, F.explode(F.array_distinct(F.transform(
-        starts,
-        lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1),
-                              F.element_at("_w", i + 2))))).alias("_anchor")) \
-        .withColumn("_g", F.lit(3))
-    grams1 = dw.select(did, F.explode(F.array_distinct("_w")).alias("_anchor")).withColumn("_g", F.lit(1))
-    index = grams3.unionByName(grams1)
-    cand = anchored.where(F.col("_g") > 0).join(index, ["_anchor", "_g"]).select(pid, did, ptext)
-    # one- and two-word passages: words of the index that contain the passage
-    short = anchored.where(F.col("_g") == 0).select(pid, ptext)
-    short_cand = (grams1.select(did, "_anchor").join(
-        F.broadcast(short), F.instr(F.col("_anchor"), F.col(ptext)) > 0).select(pid, did, ptext))
-    cand = cand.unionByName(short_cand).distinct()
+    # one gram per word start: a lookahead captures the next three words
+    norm = F.regexp_replace(F.col(dtext), r"\s+", " ")
+    grams3 = docs.select(did, F.explode(F.regexp_extract_all(
+        norm, F.lit(r"(?=(\S+ \S+ \S+))\S+"), 1)).alias("_anchor"))
+    cand = (anchored.where(F.col("_g") == 3).select(pid, ptext, "_anchor")
+            .join(grams3, "_anchor").select(pid, did, ptext))
+    kinds = {r["_g"] for r in anchored.select("_g").distinct().collect()}  # at most 3 values
+    if kinds & {0, 1}:
+        words = docs.select(did, F.explode(F.array_distinct(_words(F.col(dtext)))).alias("_anchor"))
+        one = (anchored.where(F.col("_g") == 1).select(pid, ptext, "_anchor")
+               .join(words, "_anchor").select(pid, did, ptext))
+        # one or two words: the first word lies inside one document word;
+        # a passage without any word is in every document
+        short = (pw.where(n < 3).select(pid, ptext, F.element_at(F.array_remove("_w", ""), 1)
+                                        .alias("_first")))
+        hit = F.col("_first").isNull() | (F.instr(F.col("_anchor"), F.col("_first")) > 0)
+        tiny = words.join(F.broadcast(short), hit).select(pid, did, ptext)
+        cand = cand.unionByName(one).unionByName(tiny)
+    cand = cand.distinct()
     return (cand.join(docs.select(did, dtext), did)
             .where(F.instr(F.col(dtext), F.col(ptext)) > 0).select(pid, did))
 

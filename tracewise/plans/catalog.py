@@ -38,8 +38,7 @@ def _assemble_traces(v: Views):
 
 
 def _window_metrics(v: Views, minutes: int):
-    return (M.window_trace_metrics(v.tr)
-            .where(F.col("window_minutes") == minutes)
+    return (M.window_trace_metrics(v.tr, [minutes])
             .select("window_start", F.col("window_minutes").cast("int").alias("window_minutes"),
                     *M.TRACE_METRICS))
 
@@ -257,7 +256,12 @@ def _stored_evals(v: Views):
         second = EVL.evaluate_all(t.where(F.col("turn") == 2)) \
             .where(F.col("evaluator_name").startswith("heuristic_"))
         return first.unionByName(second)
-    return v._get("stored_evals2", build)
+    return v._stage("stored_evals", build)
+
+
+def _all_evals(v: Views):
+    """Every evaluator row of every answered turn (the evaluations table)."""
+    return v._stage("all_evals", lambda: EVL.evaluate_all(v.turns))
 
 
 @query("tokenize")
@@ -283,7 +287,8 @@ def _relevance(v):
 @query("evaluate_missing")
 def _evaluate_missing(v):
     """Rows a run appends for pairs not stored yet."""
-    return EVL.evaluate_missing(v.turns, _stored_evals(v)).drop("attempt")
+    return _all_evals(v).join(_stored_evals(v).select("trace_id", "evaluator_name"),
+                              ["trace_id", "evaluator_name"], "left_anti").drop("attempt")
 
 
 @query("evaluate_force")
@@ -295,13 +300,15 @@ def _evaluate_force(v):
 @query("score_by_evaluator")
 def _score_by_evaluator(v):
     """A10: mean non-skipped score per evaluator."""
-    return EVL.score_by_evaluator(EVL.evaluate_all(v.turns))
+    return EVL.score_by_evaluator(_all_evals(v))
 
 
 @query("evaluator_pivot")
 def _evaluator_pivot(v):
     """Stored + newly appended evaluations pivoted per trace."""
-    allev = _stored_evals(v).unionByName(EVL.evaluate_missing(v.turns, _stored_evals(v)))
+    allev = _stored_evals(v).unionByName(
+        _all_evals(v).join(_stored_evals(v).select("trace_id", "evaluator_name"),
+                           ["trace_id", "evaluator_name"], "left_anti"))
     return EVL.evaluator_pivot(allev)
 
 
@@ -394,13 +401,11 @@ def _retrieved(v: Views):
     """Over-fetched neighbours (2k) of every question with chunk texts."""
     def build():
         ch = _chunks(v)
-        items = RT.hash_embed(ch, ["chunk_id"])
         from tracewise.functions.text import validate_query
         nq, ok, _ = validate_query(F.col("query"))
         qs = v.questions.select("qid", nq.alias("query"), ok.alias("ok")).where("ok")
-        qemb = RT.hash_embed(qs.select("qid", F.col("query").alias("text")), ["qid"])
-        nn = RT.knn(items, ["chunk_id"], qemb, 2 * RETRIEVE_K,
-                    all_items=ch.select("chunk_id"), all_queries=qs.select("qid"))
+        nn = RT.knn(ch.select("chunk_id", "text"), ["chunk_id"], qs.select("qid", "query"),
+                    2 * RETRIEVE_K, query_text="query")
         return nn.join(ch.select("chunk_id", "doc_id", "text"), "chunk_id")
     return v._stage("retrieved", build)
 
@@ -595,7 +600,7 @@ def _stage_avg_latency(v):
 @query("bi_measures")
 def _bi_measures(v):
     """BI measures."""
-    return RP.bi_measures(v.tr, EVL.evaluate_all(v.turns), v.reg)
+    return RP.bi_measures(v.tr, _all_evals(v), v.reg)
 
 
 @query("stage_status_breakdown")
