@@ -200,6 +200,17 @@ def calibration_summary(calib: DataFrame) -> DataFrame:
                       (F.col("gr") > F.col("br")).alias("relevance_separates_good_bad"))
 
 
+def quality_trend(evals: DataFrame, axis: str) -> DataFrame:
+    """Mean faithfulness and relevance (over their two evaluators each)
+    along an ordering axis (creation date, or turn position)."""
+    return evals.groupBy(axis).agg(
+        F.avg(F.when(F.col("evaluator_name").isin(FAITHFULNESS_EVALUATORS), F.col("score")))
+         .alias("avg_faithfulness_score"),
+        F.avg(F.when(F.col("evaluator_name").isin(RELEVANCE_EVALUATORS), F.col("score")))
+         .alias("avg_relevance_score"),
+        F.count(F.col("score")).alias("n_scores"))
+
+
 def parse_responses(raw: Column) -> tuple[Column, Column, Column]:
     """(answer, char_length, is_fallback); a null reply stays null."""
     ans = py_strip(raw)

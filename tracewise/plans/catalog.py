@@ -677,3 +677,17 @@ def _sync_new_traces(v):
     cut = F.lit(EARLIER_RUN_CUTOFF).cast("timestamp_ntz")
     stored = v._stage("tr_earlier", lambda: assemble_traces(v.ev.where(F.col("timestamp_start") < cut)))
     return SK.sync_traces(v.ev, stored)
+
+
+@query("scan_events")
+def _scan_events(v):
+    """The stage-event view over the events table."""
+    return v.ev
+
+
+@query("quality_trend")
+def _quality_trend(v):
+    """Quality along the conversation (turn position is the data's only
+    ordering axis for evaluations)."""
+    e = _all_evals(v).join(v.turns.select("trace_id", "turn"), "trace_id")
+    return EVL.quality_trend(e, "turn")

@@ -770,3 +770,14 @@ SELECT event_id, CASE WHEN output_summary IS NOT NULL THEN 'str' END AS summary_
 SQL["sync_new_traces"] = with_(EV, TR) + f"""
 SELECT {_TRC} FROM tr WHERE trace_id NOT IN (
   SELECT DISTINCT trace_id FROM ev WHERE timestamp_start < TIMESTAMP '2024-01-20 12:00:00')"""
+
+SQL["scan_events"] = with_(EV) + f"""
+SELECT event_id, trace_id, query_id, stage_name, timestamp_start, timestamp_end,
+       {R('latency_ms', 'latency_ms')}, status, error, NULL::VARCHAR AS input_summary,
+       output_summary, NULL::VARCHAR AS metadata FROM ev"""
+SQL["quality_trend"] = with_(*EVAL_BASE) + f"""
+SELECT t.turn,
+       {R("avg(e.score) FILTER (WHERE e.evaluator_name IN ('heuristic_faithfulness_overlap', 'llm_judge_faithfulness'))", 'avg_faithfulness_score')},
+       {R("avg(e.score) FILTER (WHERE e.evaluator_name IN ('heuristic_relevance_keyword', 'llm_judge_relevance'))", 'avg_relevance_score')},
+       count(e.score) AS n_scores
+FROM all_evals e JOIN turns t ON e.trace_id = t.trace_id GROUP BY t.turn"""
