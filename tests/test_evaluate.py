@@ -85,3 +85,16 @@ def test_calibration_and_judge_reply(spark):
                               "reply string").select(parse_judge_reply(F.col("reply")).alias("j")).collect()
     assert j[0].j.score == 0.8 and not j[0].j.skipped
     assert j[1].j.skipped and j[2].j.skipped and j[2].j.reasoning == "[JUDGE ERROR] 'score'"
+
+
+def test_fixed_formatting_matches_python(spark):
+    import random
+    from tracewise.functions.fmt import fixed
+    random.seed(3)
+    vals = [0.125, 0.375, 53.405, 1.005, 1.015, 2.675, -2.675, 0.0, -0.0, 12.5, -0.25, 1273.855]
+    vals += [round(random.uniform(-900, 900), random.randint(0, 4)) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for n, plus in [(2, False), (1, True)]:
+        spec = ("+" if plus else "") + f".{n}f"
+        rows = df.select("x", fixed("x", n, plus=plus, settle_digits=None).alias("s")).collect()
+        assert all(r.s == format(r.x, spec) for r in rows)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.fmt import pyfmt
+from tracewise.functions.fmt import fixed
 from tracewise.operators.ids import dense_ids
 from tracewise.sources.lookups import STAGE_METRIC_PREFIX
 
@@ -83,9 +83,9 @@ def diagnose(regressions: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("first_id", "metric_name"))).alias("_seen"),
     )
     stage = F.expr("substr(dominant.metric_name, instr(dominant.metric_name, ':') + 1)")
-    p95 = pyfmt("p95_delta", "+.1f", "n/a")
-    stage_delta = pyfmt(F.col("dominant.delta_pct"), "+.1f", "n/a")
-    err = pyfmt("err_current", ".1f", "n/a")
+    p95 = fixed("p95_delta", 1, plus=True, none_text="n/a")
+    stage_delta = fixed(F.col("dominant.delta_pct"), 1, plus=True, none_text="n/a")
+    err = fixed("err_current", 1, none_text="n/a")
     names = F.array_join(F.transform("_seen", lambda s: s["metric_name"]), ", ")
     has_stage, has_p95, has_err = F.col("has_stage"), F.col("has_p95"), F.col("has_err")
     category = (F.when(has_stage & has_p95, F.concat(F.lit("stage_latency:"), stage))

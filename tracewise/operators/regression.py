@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.fmt import pyfmt, pystr
+from tracewise.functions.fmt import fixed, pystr
 from tracewise.operators.ids import dense_ids
 
 METHOD_RANK = {"threshold": 0, "zscore": 1, "trend": 2}
@@ -44,7 +44,7 @@ def detect_threshold(metrics: DataFrame, config: DataFrame,
     j = m.join(F.broadcast(cfg), "metric_name")
     above = F.coalesce(F.col("direction"), F.lit("above")) == "above"
     hit = F.when(above, F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    desc = F.concat(F.col("metric_name"), F.lit("="), pyfmt("value", ".2f"),
+    desc = F.concat(F.col("metric_name"), F.lit("="), fixed("value", 2),
                     F.lit(" breached fixed threshold "), pystr("threshold"),
                     F.lit(" ("), F.coalesce(F.col("direction"), F.lit("above")), F.lit(")."))
     return j.where(hit).select(
@@ -77,9 +77,9 @@ def detect_zscore(stats: DataFrame, z_thresh: float = 2.0, min_baseline_points:
               .withColumn("_z", z)
               .where(F.abs(F.col("_z")) >= z_thresh))
     delta = F.when(F.col("_mean") != 0, (F.col("value") - F.col("_mean")) / F.col("_mean") * 100.0)
-    desc = F.concat(F.col("metric_name"), F.lit("="), pyfmt("value", ".2f"), F.lit(" is "),
-                    pyfmt("_z", ".2f"), F.lit(" std devs from baseline mean "),
-                    pyfmt("_mean", ".2f"), F.lit("."))
+    desc = F.concat(F.col("metric_name"), F.lit("="), fixed("value", 2), F.lit(" is "),
+                    fixed("_z", 2), F.lit(" std devs from baseline mean "),
+                    fixed("_mean", 2), F.lit("."))
     return s.select(
         "metric_name", F.lit("zscore").alias("method"),
         F.when(F.abs(F.col("_z")) >= 3, "critical").otherwise("warning").alias("severity"),
@@ -95,9 +95,9 @@ def detect_trend(stats: DataFrame, lookback: int = 5, min_change_pct: float = 10
                        & (F.col("_first") != 0))
     pct = (F.col("value") - F.col("_first")) / F.col("_first") * 100.0
     s = last.withColumn("_pct", pct).where(F.abs(F.col("_pct")) >= min_change_pct)
-    desc = F.concat(F.col("metric_name"), F.lit(" moved "), pyfmt("_pct", "+.1f"),
-                    F.lit(f"% over the last {lookback} windows ("), pyfmt("_first", ".2f"),
-                    F.lit(" -> "), pyfmt("value", ".2f"), F.lit(")."))
+    desc = F.concat(F.col("metric_name"), F.lit(" moved "), fixed("_pct", 1, plus=True),
+                    F.lit(f"% over the last {lookback} windows ("), fixed("_first", 2),
+                    F.lit(" -> "), fixed("value", 2), F.lit(")."))
     return s.select(
         "metric_name", F.lit("trend").alias("method"), F.lit("warning").alias("severity"),
         "window_start", "window_minutes", F.col("_first").alias("baseline_value"),
