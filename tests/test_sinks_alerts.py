@@ -55,3 +55,13 @@ def test_outbox_retries_failed_attempts(spark):
     log = attempt_rows(due, F.col("reference_id") == "1")
     again = {(r.alert_type, r.reference_id) for r in outbox(candidates(reg, rca), log).collect()}
     assert again == {("regression", "2")}
+
+
+def test_partitioned_rewrite_replaces_only_given_windows(spark, tmpdir_path):
+    from tracewise.operators.sinks import write_table
+    path = os.path.join(tmpdir_path, "metrics")
+    a = spark.createDataFrame([(5, "m", 1.0), (60, "m", 2.0)], "window_minutes int, metric_name string, value double")
+    write_table(a, path, partition_by=["window_minutes"])
+    write_table(spark.createDataFrame([(5, "m", 9.0)], a.schema), path, partition_by=["window_minutes"])
+    got = {(r.window_minutes, r.value) for r in spark.read.parquet(path).collect()}
+    assert got == {(5, 9.0), (60, 2.0)}

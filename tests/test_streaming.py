@@ -66,3 +66,22 @@ def test_foreach_batch_sync_is_idempotent(spark, tmpdir_path):
     fn(tr, 0)
     fn(tr, 0)          # a retried epoch writes nothing twice
     assert spark.read.parquet(target).count() == tr.count()
+
+
+def test_threshold_alert_stream(spark, tmpdir_path):
+    import datetime as dt
+    from tracewise.streaming.jobs import threshold_alerts_stream
+    from tracewise.sources.lookups import detection_config
+    rows = [(f"t{i}", dt.datetime(2026, 7, 1 + i // 10, 10, i % 10), 100.0 + 50 * i, i % 3 == 0)
+            for i in range(40)]
+    tr = spark.createDataFrame(rows, "trace_id string, started_at timestamp, "
+                                     "total_latency_ms double, has_error boolean")
+    path = os.path.join(tmpdir_path, "tr")
+    tr.write.parquet(path)
+    stream = spark.readStream.schema(tr.schema).parquet(path)
+    cfg = detection_config(spark, [("latency_p95_ms", 1000.0, "above"), ("error_rate_pct", 50.0, "above")])
+    out = _run(threshold_alerts_stream(window_metrics_stream(stream, 1440, delay="0 seconds"), cfg),
+               "st_alerts")
+    got = {(r.metric_name, r.window_start.day) for r in out.collect()}
+    # windows closed by the watermark: days 1-3; p95 above 1000 on days 2 and 3
+    assert ("latency_p95_ms", 2) in got and ("latency_p95_ms", 1) not in got

@@ -34,6 +34,8 @@ from tracewise.sources.lookups import (CONTEXT_SEPARATOR, DEFAULT_MAX_CONTEXT_CH
 EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # broadcast budget of one query batch (dense float64 rows)
 MAX_QUERY_BATCH_BYTES = 64 << 20
+# rows of one broadcast batch of one- or two-word passages (containment)
+MAX_TINY_PASSAGES = 10_000
 
 
 # ---- V1 / V2: chunking -----------------------------------------------------
@@ -326,12 +328,16 @@ def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext:
         one = (anchored.where(F.col("_g") == 1).select(pid, ptext, "_anchor")
                .join(words, "_anchor").select(pid, did, ptext))
         # one or two words: the first word lies inside one document word;
-        # a passage without any word is in every document
+        # a passage without any word is in every document.  Such passages
+        # are broadcast in batches of at most MAX_TINY_PASSAGES rows.
         short = (pw.where(n < 3).select(pid, ptext, F.element_at(F.array_remove("_w", ""), 1)
-                                        .alias("_first")))
+                                        .alias("_first")).orderBy(pid))
         hit = F.col("_first").isNull() | (F.instr(F.col("_anchor"), F.col("_first")) > 0)
-        tiny = words.join(F.broadcast(short), hit).select(pid, did, ptext)
-        cand = cand.unionByName(one).unionByName(tiny)
+        cand = cand.unionByName(one)
+        n_short = short.count()
+        for start in range(0, n_short, MAX_TINY_PASSAGES):
+            batch = short.offset(start).limit(MAX_TINY_PASSAGES)
+            cand = cand.unionByName(words.join(F.broadcast(batch), hit).select(pid, did, ptext))
     cand = cand.distinct()
     return (cand.join(docs.select(did, dtext), did)
             .where(F.instr(F.col(dtext), F.col(ptext)) > 0).select(pid, did))
