@@ -15,12 +15,13 @@ def test_exact_percentiles_match_pandas_with_hot_group(spark):
     v = np.round(rng.gamma(2.0, 300.0, 5000), 2)
     pdf = pd.DataFrame({"g": g, "v": v})
     pdf.loc[pdf.index[:5], "v"] = np.nan
-    got = {r.g: r for r in exact_percentiles(spark.createDataFrame(pdf), ["g"], "v",
-                                             {"p50": .5, "p95": .95, "p99": .99},
-                                             num_partitions=13).collect()}
-    for key, grp in pdf.dropna().groupby("g"):
-        for name, q in (("p50", .5), ("p95", .95), ("p99", .99)):
-            assert abs(getattr(got[key], name) - grp.v.quantile(q)) < 1e-9
+    for threshold in (1000, None, 10 ** 6):    # hot group split / all range-ranked / all whole
+        got = {r.g: r for r in exact_percentiles(spark.createDataFrame(pdf), ["g"], "v",
+                                                 {"p50": .5, "p95": .95, "p99": .99},
+                                                 num_partitions=13, hot_threshold=threshold).collect()}
+        for key, grp in pdf.dropna().groupby("g"):
+            for name, q in (("p50", .5), ("p95", .95), ("p99", .99)):
+                assert abs(getattr(got[key], name) - grp.v.quantile(q)) < 1e-9
 
 
 def test_window_floor_epoch_aligned(spark):

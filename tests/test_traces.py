@@ -71,6 +71,11 @@ def test_stage_order_and_violations(spark):
 def test_waterfall(spark):
     ev_df = frame(spark)
     w = {r.event_id: r for r in trace_waterfall(ev_df, assemble_traces(ev_df)).collect()}
+    # the same through the distributed (hot-group) path
+    w2 = {r.event_id: r for r in trace_waterfall(ev_df, assemble_traces(ev_df),
+                                                 hot_threshold=None).collect()}
+    assert {k: (r.stage_order, r.cumulative_latency_ms) for k, r in w.items()} == \
+        {k: (r.stage_order, r.cumulative_latency_ms) for k, r in w2.items()}
     assert w["e3"].cumulative_latency_ms == 23.0 and w["e3"].offset_ms == 2000.0
     assert w["e6"].offset_ms == 0.001
 
@@ -82,6 +87,6 @@ def test_hot_trace_ranking_spans_partitions(spark):
              t0 + dt.timedelta(seconds=i), 1.0, "success", None, None, None, None)
             for i in range(3000)]
     df = spark.createDataFrame(rows, STAGE_EVENT)
-    got = with_stage_order(df, num_partitions=16).where(F.col("trace_id") == "hot") \
+    got = with_stage_order(df, num_partitions=16, hot_threshold=500).where(F.col("trace_id") == "hot") \
         .orderBy("timestamp_start").select("stage_order").collect()
     assert [r.stage_order for r in got] == list(range(len(got)))

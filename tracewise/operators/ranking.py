@@ -22,6 +22,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _TMP = ["_pid", "_pos", "_cnt", "_first", "_off", "_ssum", "_soff"]
+# A group larger than this is "hot": it is cut across tasks by range
+# partitioning; smaller groups are handled whole by one task (window or
+# aggregate).  The hot-key list is bounded by rows / HOT_GROUP_ROWS.
+HOT_GROUP_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Keys of groups with more than ``threshold`` rows (partial-aggregated
+    count, so the hot groups themselves cost one row per task here)."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+            .where(F.col("_c") > threshold).select(*keys))
+
+
+def _split_hot(df: DataFrame, keys: list[str], threshold: int | None):
+    """(cold rows, hot rows or None).  Hot keys are few by construction, so
+    they are broadcast for the split."""
+    if threshold is None:
+        return None, df
+    hot = hot_keys(df, keys, threshold)
+    if hot.isEmpty():
+        return df, None
+    hot = F.broadcast(hot)
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
+def _window_ranks(df: DataFrame, keys, order, running_sum, rank_col, size_col, cum_col):
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = (df.withColumn(rank_col, F.row_number().over(w) - 1)
+             .withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    if running_sum:
+        out = out.withColumn(cum_col, F.sum(running_sum).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -33,15 +66,30 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
                        running_sum: str | None = None, num_partitions: int | None = None,
                        rank_col: str = "_rank", size_col: str = "_n",
-                       cum_col: str = "_cum") -> DataFrame:
+                       cum_col: str = "_cum", hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``rank_col`` (0-based position of the row inside its ``keys`` group
     when sorted by ``order``), ``size_col`` (group size) and optionally
     ``cum_col`` (running sum of ``running_sum`` up to and including the row).
 
-    Rows equal on (keys, order) get distinct consecutive ranks in arbitrary
-    order; give ``order`` a unique tie-break when that matters.
+    Groups up to ``hot_threshold`` rows are ranked by a window (one task per
+    group); larger groups are cut across range partitions
+    (``hot_threshold=None`` sends every group that way).  Rows equal on
+    (keys, order) get distinct consecutive ranks in arbitrary order; give
+    ``order`` a unique tie-break when that matters.
     """
     keys, order = list(keys), list(order)
+    cold, hot = _split_hot(df, keys, hot_threshold)
+    parts = []
+    if cold is not None:
+        parts.append(_window_ranks(cold, keys, order, running_sum, rank_col, size_col, cum_col))
+    if hot is not None:
+        parts.append(_range_ranks(hot, keys, order, running_sum, num_partitions,
+                                  rank_col, size_col, cum_col))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _range_ranks(df: DataFrame, keys: list[str], order: list[str], running_sum, num_partitions,
+                 rank_col, size_col, cum_col) -> DataFrame:
     n = _num_partitions(df, num_partitions)
     srt = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
              .sortWithinPartitions(*(keys + order))
@@ -70,17 +118,32 @@ def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], num_partitions: int | None = None) -> DataFrame:
+                      probs: dict[str, float], num_partitions: int | None = None,
+                      hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Exact percentiles with linear interpolation (pandas / numpy 'linear',
     Spark ``percentile``), one row per group: keys + one column per name in
     ``probs``.  Nulls are ignored; groups with no values are absent.
 
-    Only the (at most two) rows around each target position are pulled out of
-    the ranked data, so no task ever holds a whole group.
+    Groups up to ``hot_threshold`` values use Spark's exact ``percentile``
+    aggregate; for larger groups only the (at most two) rows around each
+    target position are pulled out of range-partitioned ranked data, so no
+    task ever holds a hot group.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    ranked = rank_within_groups(base, keys, ["_v"], num_partitions=num_partitions)
+    cold, hot = _split_hot(base, keys, hot_threshold)
+    parts = []
+    if cold is not None:
+        parts.append(cold.groupBy(*keys).agg(
+            *[F.percentile("_v", F.lit(float(p))).alias(name) for name, p in probs.items()]))
+    if hot is not None:
+        parts.append(_hot_percentiles(hot, keys, probs, num_partitions))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _hot_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float],
+                     num_partitions: int | None) -> DataFrame:
+    ranked = _range_ranks(base, keys, ["_v"], None, num_partitions, "_rank", "_n", "_cum")
     sizes = ranked.select(*keys, "_n").distinct()
     targets = []
     for name, p in probs.items():

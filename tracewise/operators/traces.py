@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.operators.ranking import rank_within_groups
+from tracewise.operators.ranking import HOT_GROUP_ROWS, rank_within_groups
 
 UNTRACED = "untraced"
 
@@ -62,14 +62,16 @@ def trace_rollup(events: DataFrame) -> DataFrame:
             .orderBy(F.col("started_at").desc(), F.col("trace_id")))
 
 
-def with_stage_order(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def with_stage_order(events: DataFrame, num_partitions: int | None = None,
+                     hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """0-based position of each event in its trace by (start, event_id).
 
     Distributed ranking: a hot trace is split across range partitions.
     """
     ranks = (rank_within_groups(events.select("trace_id", "timestamp_start", "event_id"),
                                 ["trace_id"], ["timestamp_start", "event_id"],
-                                num_partitions=num_partitions, rank_col="_r")
+                                num_partitions=num_partitions, rank_col="_r",
+                                hot_threshold=hot_threshold)
              .select("event_id", F.col("_r").cast("int").alias("stage_order")))
     return events.join(ranks, "event_id")
 
@@ -98,14 +100,15 @@ def stage_order_violations(events: DataFrame, expected: list[str],
     return agg.where(F.col("first_violation_order").isNotNull())
 
 
-def trace_waterfall(events: DataFrame, traces: DataFrame,
-                    num_partitions: int | None = None) -> DataFrame:
+def trace_waterfall(events: DataFrame, traces: DataFrame, num_partitions: int | None = None,
+                    hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Stages of every trace in start order with the offset from the
     trace start and the running latency total."""
     ranks = rank_within_groups(
         events.select("trace_id", "timestamp_start", "event_id", "latency_ms"),
         ["trace_id"], ["timestamp_start", "event_id"], running_sum="latency_ms",
-        num_partitions=num_partitions, rank_col="_r", cum_col="cumulative_latency_ms")
+        num_partitions=num_partitions, rank_col="_r", cum_col="cumulative_latency_ms",
+        hot_threshold=hot_threshold)
     ranked = events.select("event_id", "stage_name", "status").join(
         ranks.select("event_id", "trace_id", "timestamp_start", "latency_ms", "_r",
                      "cumulative_latency_ms"), "event_id")
