@@ -51,50 +51,24 @@ def pystr(c) -> Column:
     return col.cast("double").cast("string")
 
 
-def _pow2_decimal(k: Column) -> Column:
-    """2^k exactly as decimal(38,0) for 0 <= k <= 124 (two exact shifts)."""
-    lo = F.least(k, F.lit(62))
-    hi = F.greatest(k - F.lit(62), F.lit(0))
-    one = F.lit(1).cast("long")
-    a = F.call_function("shiftleft", one, lo).cast("decimal(38,0)")
-    b = F.call_function("shiftleft", one, F.least(hi, F.lit(62))).cast("decimal(38,0)")
-    return a * b
-
-
 def fixed(c, decimals: int, plus: bool = False, none_text: str | None = None,
           settle_digits: int | None = 9) -> Column:
-    """Python's ``format(x, '.Nf')`` (``'+.Nf'`` with ``plus``) as JVM-side
-    expressions.
-
-    Java's ``%.Nf`` rounds the shortest decimal form half-up; Python rounds
-    the exact binary value (ties to even only when exact).  They differ only
-    when the shortest form has exactly N+1 decimals ending in 5.  There the
-    double is compared exactly with that decimal through its integer image
-    |x| * 2^k (k = 53 - floor(log2|x|): an integer for any double), in
-    decimal(38,0) arithmetic, and rounded away from the side it lies on.
+    """Python's ``format(x, '.Nf')`` (``'+.Nf'`` with ``plus``) as a JVM-side
+    expression.
+
+    Java's ``%.Nf`` rounds the shortest decimal form half-up, which differs
+    from Python at ties such as 53.405.  ``format_number`` goes through
+    ``DecimalFormat`` with HALF_EVEN, which rounds on the exact binary value
+    (ties to even only when exact) -- Python's rule; only its grouping
+    commas are removed.  ``settle_digits`` first rounds away last-bit noise
+    of sums and means so that both engines print the same digits.
     """
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     if settle_digits is not None:
         x = F.round(x, settle_digits)
-    n = int(decimals)
-    ax = F.abs(x)
-    java = F.format_string(f"%{'+' if plus else ''}.{n}f", x)
-    # shortest decimal form with exactly n+1 decimals ending in 5?
-    s = ax.cast("string")
-    frac = F.when(F.instr(s, ".") > 0, F.substring_index(s, ".", -1)).otherwise(F.lit(""))
-    is_tie = (~F.instr(s, "E").cast("boolean")) & (F.length(frac) == n + 1) & frac.endswith("5")
-    scaled = F.lit(10 ** (n + 1))
-    d_unscaled = (ax.cast(f"decimal(38,{n + 1})") * scaled).cast("decimal(38,0)")
-    k = F.lit(53) - F.floor(F.log2(ax)).cast("int")
-    m = (ax * F.pow(F.lit(2.0), k.cast("double"))).cast("long").cast("decimal(38,0)")
-    lhs = m * scaled.cast("decimal(38,0)")                  # |x| * 2^k * 10^(n+1)
-    rhs = d_unscaled * _pow2_decimal(k)                      # D * 2^k
-    kept = (d_unscaled / 10).cast("long")                    # digits before the trailing 5
-    up = (F.when(lhs > rhs, F.lit(1)).when(lhs < rhs, F.lit(0))
-          .otherwise(F.when(kept % 2 == 0, F.lit(0)).otherwise(F.lit(1))))
-    mag = ((kept + up).cast("decimal(38,0)") / F.lit(10 ** n)).cast(f"decimal(38,{n})").cast("string")
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
-    out = F.when(is_tie, F.concat(sign, mag)).otherwise(java)
+    out = F.regexp_replace(F.format_number(x, int(decimals)), ",", "")
+    if plus:
+        out = F.when(out.startswith("-"), out).otherwise(F.concat(F.lit("+"), out))
     if none_text is not None:
         out = F.when(x.isNull(), F.lit(none_text)).otherwise(out)
     return out
