@@ -94,4 +94,5 @@ def payload_summaries(events: DataFrame, col: str = "output_summary", max_previe
     """Privacy-preserving summary of a payload column."""
     s = payload_summary(F.col(col), max_preview)
     return events.select("event_id", s["type"].alias("summary_type"),
-                         s["length"].alias("summary_length"), s["preview"].alias("summary_preview"))
+                         s["length"].cast("long").alias("summary_length"),
+                         s["preview"].alias("summary_preview"))

@@ -314,7 +314,7 @@ def _evaluator_pivot(v):
 
 def _turn_traces(v):
     return v.turns.select("trace_id", "conv_id", "turn",
-                          F.length("answer").alias("answer_chars"))
+                          F.length("answer").cast("long").alias("answer_chars"))
 
 
 @query("combined_quality_report")
@@ -340,7 +340,7 @@ def _parse_responses(v):
     """Normalised assistant replies."""
     c = v.table("conversations").where(F.col("role") == "assistant")
     ans, n, fb = EVL.parse_responses(F.col("text"))
-    return c.select("conv_id", "turn", ans.alias("answer"), n.alias("char_length"),
+    return c.select("conv_id", "turn", ans.alias("answer"), n.cast("long").alias("char_length"),
                     fb.alias("is_fallback"))
 
 
@@ -419,9 +419,9 @@ def _ranked(v: Views):
 def _scan_corpus(v):
     """S3: the corpus as (document, source, text length, paragraphs)."""
     d = v.table("documents")
-    return d.select("doc_id", "source", F.length("text").alias("n_chars"),
+    return d.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"),
                     F.size(F.filter(F.split("text", "\n", -1), lambda p: F.length(F.trim(p)) > 0))
-                     .alias("n_lines"))
+                     .cast("long").alias("n_lines"))
 
 
 @query("chunk_documents")

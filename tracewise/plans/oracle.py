@@ -607,7 +607,7 @@ SELECT doc_id, source, length(text) AS n_chars,
 FROM documents"""
 SQL["chunk_documents"] = with_(CHUNKS) + "SELECT doc_id, source, chunk_index, chunk_id, text FROM chunks"
 SQL["hash_embed"] = with_(CHUNKS, emb_sql("cemb", "chunks", "chunk_id", "text")) + f"""
-SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, cnt, sq, {R('cnt / sqrt(sq)', 'weight')} FROM cemb"""
+SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, cnt, CAST(sq AS BIGINT) AS sq, {R('cnt / sqrt(sq)', 'weight')} FROM cemb"""
 SQL["knn_topk"] = with_(*RETR) + f"SELECT qid, chunk_id, {R('distance', 'distance')}, rank FROM nn"
 SQL["rank_top_k"] = with_(*RETR) + f"SELECT qid, chunk_id, {R('distance', 'distance')}, used_rank FROM ranked"
 SQL["retrieve_rank"] = with_(*RETR) + """
@@ -618,11 +618,11 @@ SQL["pack_context"] = with_(*RETR) + "SELECT qid, context FROM packed"
 SQL["sources_per_query"] = with_(*RETR) + "SELECT qid, sources FROM srcs"
 SQL["lookup_topic_source"] = with_(*RETR) + "SELECT qid, doc_id FROM expected"
 SQL["hit_rate_at_k"] = with_(*RETR) + f"""
-SELECT sum(CAST(hit AS BIGINT)) AS hits, count(*) AS n,
+SELECT CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits, count(*) AS n,
        {py_round_ratio_sql('sum(CAST(hit AS BIGINT))', 'count(*)')} AS hit_rate_at_k FROM hits"""
 SQL["hit_rate_by_group"] = with_(*RETR) + f"""
 SELECT coalesce(difficulty, 'OVERALL') AS difficulty, count(*) AS total,
-       sum(CAST(hit AS BIGINT)) AS hits, sum(CAST(NOT is_valid AS BIGINT)) AS errors,
+       CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits, CAST(sum(CAST(NOT is_valid AS BIGINT)) AS BIGINT) AS errors,
        {R('sum(CAST(hit AS BIGINT)) / count(*) * 100.0', 'hit_rate_pct')}
 FROM hits GROUP BY ROLLUP (difficulty)"""
 
@@ -704,7 +704,7 @@ SELECT (SELECT count(*) FROM tr) AS total_traces, (SELECT count(*) FROM stored)
        (SELECT count(*) FROM reg) AS total_regressions, (SELECT count(*) FROM rca) AS total_rca_reports,
        (SELECT count(*) FROM tr WHERE has_error) AS error_traces"""
 SQL["kpi_overview"] = with_(EV) + f"""
-SELECT count(*) AS total_traces, sum(n) AS total_events, {R('avg(lat)', 'avg_trace_latency_ms')},
+SELECT count(*) AS total_traces, CAST(sum(n) AS BIGINT) AS total_events, {R('avg(lat)', 'avg_trace_latency_ms')},
        {R('sum(CAST(err AS BIGINT)) / count(*) * 100.0', 'error_rate_pct')}
 FROM (SELECT trace_id, sum(latency_ms) AS lat, bool_or(status = 'error') AS err, count(*) AS n
       FROM ev GROUP BY trace_id)"""
