@@ -101,7 +101,7 @@ class Views:
 
     @property
     def turns(self) -> DataFrame:
-        return self._get("turns", lambda: fixtures.turns(self.table("conversations")))
+        return self._stage("turns", lambda: fixtures.turns(self.table("conversations")))
 
     @property
     def evals(self) -> DataFrame:

@@ -25,6 +25,16 @@ DEFAULT_CONF = {
 }
 
 
+def _local_driver_memory() -> str:
+    """Half the machine's memory, between 2 and 16 GiB (local mode only)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = max(2, min(16, int(total / 2 / (1 << 30))))
+    return f"{gib}g"
+
+
 def get_session(master: str | None = None, app_name: str = "tracewise",
                 shuffle_partitions: int | None = None,
                 extra_conf: dict | None = None) -> SparkSession:
@@ -38,7 +48,8 @@ def get_session(master: str | None = None, app_name: str = "tracewise",
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf.setdefault("spark.driver.memory", os.environ.get("TRACEWISE_DRIVER_MEMORY", "16g"))
+        conf.setdefault("spark.driver.memory",
+                        os.environ.get("TRACEWISE_DRIVER_MEMORY", _local_driver_memory()))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
