@@ -2,45 +2,16 @@
 
 Java's ``format_string`` rounds half-up on the shortest decimal form, Python
 rounds the exact binary value (so ``'%.2f' % 0.125 == '0.12'``).  Report and
-alert texts must read like the reference.  ``fixed`` does it with JVM-side
-expressions (used by the operators); ``pyfmt`` is the same through Python's
-own ``format`` in an Arrow-batched UDF, kept for any other format spec.
+alert texts must read like the reference; ``fixed`` does it with JVM-side
+expressions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _make(spec: str, none_text: str | None):
-    @F.pandas_udf("string")
-    def _fmt(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: none_text if v is None or pd.isna(v) else format(float(v), spec))
-    return _fmt
-
-
-_CACHE: dict = {}
-
-
-def pyfmt(c, spec: str, none_text: str | None = None, settle_digits: int | None = 9) -> Column:
-    """Format a double column with Python format spec ``spec`` (e.g. '.2f',
-    '+.1f'); nulls become ``none_text``.
-
-    The value is first rounded to ``settle_digits`` decimals: sums and means
-    differ in their last bits with the order of addition, which would
-    otherwise flip a printed digit exactly at a tie such as 53.405.
-    """
-    key = (spec, none_text)
-    if key not in _CACHE:
-        _CACHE[key] = _make(spec, none_text)
-    col = (F.col(c) if isinstance(c, str) else c).cast("double")
-    if settle_digits is not None:
-        col = F.round(col, settle_digits)
-    return _CACHE[key](col)
-
-
 def pystr(c) -> Column:
     """Python ``str(float)`` for ordinary magnitudes (1e-4 <= |x| < 1e16).
 

@@ -54,3 +54,11 @@ def py_round_ratio_sql(k: str, n: str, digits: int = 3) -> str:
            f"WHEN {q} % 2 = 0 THEN 0 ELSE 1 END")
     return (f"(({q} + CASE WHEN 2 * {r} < ({n}) THEN 0 WHEN 2 * {r} > ({n}) THEN 1 "
             f"ELSE {tie} END)::DOUBLE / {float(s)!r})")
+
+
+def py_round(x, digits: int) -> Column:
+    """Python's ``round(x, digits)`` for a double column: the correctly
+    rounded decimal of the exact binary value (ties to even only when exact),
+    via ``format_number`` (DecimalFormat, HALF_EVEN), read back as a double."""
+    col = F.col(x) if isinstance(x, str) else x
+    return F.regexp_replace(F.format_number(col.cast("double"), int(digits)), ",", "").cast("double")

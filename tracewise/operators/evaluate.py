@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewise.functions.numeric import py_round
 from tracewise.functions.text import (content_tokens, faithfulness_overlap, is_fallback_answer,
                                       py_strip, relevance_keyword)
 from tracewise.sources.lookups import (EVALUATOR_NAMES, FAITHFULNESS_EVALUATORS,
@@ -192,10 +193,10 @@ def calibration_summary(calib: DataFrame) -> DataFrame:
     g, b = F.col("label") == "good", F.col("label") == "bad"
     agg = s.agg(F.avg(F.when(g, F.col("f"))).alias("gf"), F.avg(F.when(b, F.col("f"))).alias("bf"),
                 F.avg(F.when(g, F.col("r"))).alias("gr"), F.avg(F.when(b, F.col("r"))).alias("br"))
-    return agg.select(F.round("gf", 3).alias("avg_good_faithfulness"),
-                      F.round("bf", 3).alias("avg_bad_faithfulness"),
-                      F.round("gr", 3).alias("avg_good_relevance"),
-                      F.round("br", 3).alias("avg_bad_relevance"),
+    return agg.select(py_round("gf", 3).alias("avg_good_faithfulness"),
+                      py_round("bf", 3).alias("avg_bad_faithfulness"),
+                      py_round("gr", 3).alias("avg_good_relevance"),
+                      py_round("br", 3).alias("avg_bad_relevance"),
                       (F.col("gf") > F.col("bf")).alias("faithfulness_separates_good_bad"),
                       (F.col("gr") > F.col("br")).alias("relevance_separates_good_bad"))
 
@@ -237,11 +238,3 @@ def faithfulness_relevance_means(evals: DataFrame) -> DataFrame:
          .alias("avg_faithfulness_score"),
         F.avg(F.when(F.col("evaluator_name").isin(RELEVANCE_EVALUATORS), F.col("score")))
          .alias("avg_relevance_score"))
-
-
-def fallback_flags(answers: Column) -> Column:
-    return is_fallback_answer(answers)
-
-
-def first_attempt_window() -> Window:
-    return Window.partitionBy("trace_id", "evaluator_name").orderBy("attempt")

@@ -36,6 +36,8 @@ EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_QUERY_BATCH_BYTES = 64 << 20
 # rows of one broadcast batch of one- or two-word passages (containment)
 MAX_TINY_PASSAGES = 10_000
+# passage anchors broadcast at most (beyond: shuffle join, AQE splits skew)
+MAX_BROADCAST_ANCHORS = 1_000_000
 
 
 # ---- V1 / V2: chunking -----------------------------------------------------
@@ -91,12 +93,6 @@ def chunk_documents(docs: DataFrame, separator: str = "\n\n", min_len: int = 200
 
 # ---- V3: hashed embedding ----------------------------------------------------
 
-def embed_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
-    sw = F.array(*[F.lit(w) for w in (stopwords if stopwords is not None else EVAL_STOPWORDS)])
-    toks = F.regexp_extract_all(F.lower(text), F.lit(EMBED_TOKEN_PATTERN), 0)
-    return F.filter(toks, lambda t: ~F.array_contains(sw, t))
-
-
 def hash_embed(df: DataFrame, key: list[str], text_col: str = "text", dim: int = EMBEDDING_DIM,
                stopwords: list[str] | None = None) -> DataFrame:
     """V3: sparse hashed term counts (key..., bucket, cnt) plus the squared
@@ -111,11 +107,6 @@ def hash_embed(df: DataFrame, key: list[str], text_col: str = "text", dim: int =
     return counts.withColumn("sq", F.sum(F.col("cnt") * F.col("cnt")).over(w))
 
 
-def embed_weights(sparse: DataFrame, key: list[str]) -> DataFrame:
-    """L2-normalised weights of the sparse embedding (the vector itself)."""
-    return sparse.select(*key, "bucket", (F.col("cnt") / F.sqrt(F.col("sq"))).alias("weight"))
-
-
 def token_buckets(df: DataFrame, key: list[str], text_col: str = "text", dim: int = EMBEDDING_DIM,
                   stopwords: list[str] | None = None) -> DataFrame:
     """One row per token: (key..., bucket); stopwords give a null bucket and
@@ -320,8 +311,11 @@ def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext:
     norm = F.regexp_replace(F.col(dtext), r"\s+", " ")
     grams3 = docs.select(did, F.explode(F.regexp_extract_all(
         norm, F.lit(r"(?=(\S+ \S+ \S+))\S+"), 1)).alias("_anchor"))
-    cand = (anchored.where(F.col("_g") == 3).select(pid, ptext, "_anchor")
-            .join(grams3, "_anchor").select(pid, did, ptext))
+    anchors = anchored.where(F.col("_g") == 3).select(pid, ptext, "_anchor")
+    if anchors.count() <= MAX_BROADCAST_ANCHORS:
+        # bounded: a common 3-gram then never gathers its documents in one task
+        anchors = F.broadcast(anchors)
+    cand = anchors.join(grams3, "_anchor").select(pid, did, ptext)
     kinds = {r["_g"] for r in anchored.select("_g").distinct().collect()}  # at most 3 values
     if kinds & {0, 1}:
         words = docs.select(did, F.explode(F.array_distinct(_words(F.col(dtext)))).alias("_anchor"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewise.functions.numeric import py_round
 from tracewise.operators.ranking import HOT_GROUP_ROWS, rank_within_groups
 
 UNTRACED = "untraced"
@@ -41,7 +42,7 @@ def assemble_traces(events: DataFrame, include_untraced: bool = True) -> DataFra
         F.min_by("query_id", order).alias("query_id"),
         F.min("timestamp_start").alias("started_at"),
         F.max_by("timestamp_end", order).alias("ended_at"),
-        F.round(F.sum("latency_ms"), 3).alias("total_latency_ms"),
+        py_round(F.sum("latency_ms"), 3).alias("total_latency_ms"),
         F.count(F.lit(1)).cast("int").alias("num_stages"),
         F.min_by("stage_name", slow_order).alias("slowest_stage"),
         F.max("latency_ms").alias("slowest_stage_latency_ms"),

@@ -348,7 +348,8 @@ def _parse_responses(v):
 def _fallback_rate(v):
     """Share of assistant replies that are fallbacks."""
     c = v.table("conversations").where(F.col("role") == "assistant")
-    fb = EVL.fallback_flags(F.col("text"))
+    from tracewise.functions.text import is_fallback_answer
+    fb = is_fallback_answer(F.col("text"))
     return c.agg(F.count(F.lit(1)).alias("n_answers"),
                  F.count(F.when(fb, 1)).alias("n_fallback"),
                  (F.count(F.when(fb, 1)) / F.count(F.lit(1))).alias("fallback_rate"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.operators.ranking import exact_percentiles  # noqa: F401  (batch twin)
+from tracewise.functions.numeric import py_round
 from tracewise.operators.sinks import new_by_key
 from tracewise.schemas import STAGE_EVENT
 
@@ -54,7 +54,7 @@ def trace_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 h
             .agg(F.min_by("query_id", order).alias("query_id"),
                  F.min("timestamp_start").alias("started_at"),
                  F.max_by("timestamp_end", order).alias("ended_at"),
-                 F.round(F.sum("latency_ms"), 3).alias("total_latency_ms"),
+                 py_round(F.sum("latency_ms"), 3).alias("total_latency_ms"),
                  F.count(F.lit(1)).cast("int").alias("num_stages"),
                  F.min_by("stage_name", slow).alias("slowest_stage"),
                  F.max("latency_ms").alias("slowest_stage_latency_ms"),
