@@ -111,8 +111,11 @@ def detect_flags(metrics: DataFrame, config: DataFrame, window_minutes: int | No
     """All raw flags: thresholds per config row, z-score and trend per
     distinct configured metric (duplicates across config rows kept)."""
     names = config.select("metric_name").distinct()
-    stats = _series_stats(metrics, names, window_minutes, lookback)
-    return (detect_threshold(metrics, config, window_minutes)
+    # all three methods read the same windowed series rows: one row per
+    # (configured metric, window), so caching it is cheap; the cache is
+    # recomputed from lineage if an executor is lost
+    stats = _series_stats(metrics, names, window_minutes, lookback).cache()
+    return (detect_threshold(stats, config)
             .unionByName(detect_zscore(stats, z_thresh, min_baseline_points))
             .unionByName(detect_trend(stats, lookback, min_change_pct)))
 
