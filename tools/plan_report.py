@@ -12,6 +12,25 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def _once(plan: str) -> str:
+    """Keep the nested plan of a cached relation only the first time it is
+    printed (every scan of the cache prints it again)."""
+    out, seen, skip_indent = [], set(), None
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :|+-"))
+        if skip_indent is not None:
+            if indent > skip_indent:
+                continue
+            skip_indent = None
+        out.append(line)
+        if "InMemoryRelation" in line:
+            key = re.sub(r"#\d+L?", "", line.strip())
+            if key in seen:
+                skip_indent = indent
+            seen.add(key)
+    return "\n".join(out)
+
+
 def builds(v):
     """Stage builds as a pipeline run executes them (inputs = stored tables)."""
     from pyspark.sql import functions as F
@@ -55,7 +74,7 @@ def main():
     for n, build in builds(v).items():
         df = build()
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = _once(df._jdf.queryExecution().executedPlan().toString())
         c = lambda pat: len(re.findall(pat, plan))
         scans = []
         for m in re.finditer(r"FileScan parquet [^\n]*", plan):
