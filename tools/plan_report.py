@@ -24,7 +24,7 @@ def _once(plan: str) -> str:
             skip_indent = None
         out.append(line)
         if "InMemoryRelation" in line:
-            key = re.sub(r"#\d+L?", "", line.strip())
+            key = re.sub(r"#\d+L?", "", line.lstrip(" :|+-"))
             if key in seen:
                 skip_indent = indent
             seen.add(key)
