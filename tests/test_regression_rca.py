@@ -75,3 +75,34 @@ def test_rca_null_delta_and_reruns(spark):
     fresh = rca_reports(reg)
     assert upsert_reports(stored, fresh).first().summary == "old"
     assert upsert_reports(stored, fresh, force=True).first().summary != "old"
+
+
+def _series(spark, name, values, start_day=1):
+    rows = []
+    for i, v in enumerate(values):
+        ws = dt.datetime(2026, 6, start_day + i)
+        rows.append((ws, ws + dt.timedelta(days=1), 1440, name, float(v)))
+    return spark.createDataFrame(rows, "window_start timestamp_ntz, window_end timestamp_ntz, "
+                                       "window_minutes int, metric_name string, value double")
+
+
+def test_detection_edge_cases(spark):
+    cfg = detection_config(spark, [("flat", 5.0, "above"), ("zero_first", 100.0, "below"),
+                                   ("short", 3.0, "above"), ("short", 1.0, "above")])
+    m = (_series(spark, "flat", [5, 5, 5, 5, 5, 5])                    # stdev 0, threshold equal
+         .unionByName(_series(spark, "zero_first", [0, 1, 1, 1, 50]))  # trend base 0
+         .unionByName(_series(spark, "short", [1, 2, 4, 8])))          # 4 points
+    got = {(r.metric_name, r.method, r.window_start.day): r
+           for r in detect_all(m, cfg, 1440).collect()}
+    assert not any(k[0] == "flat" for k in got)            # no z-score on stdev 0, no '>' on equal
+    assert not any(k[0] == "zero_first" and k[1] == "trend" for k in got)
+    below = [k for k in got if k[0] == "zero_first" and k[1] == "threshold"]
+    assert len(below) == 5                                  # 'below' flags every value < 100
+    assert not any(k[0] == "short" and k[1] == "trend" for k in got)   # fewer than 5 points
+    # two configs on one metric: one flag per window, the first config's wins when both fire
+    short = {k[2]: got[k] for k in got if k[0] == "short" and k[1] == "threshold"}
+    assert sorted(short) == [2, 3, 4]
+    assert short[4].baseline_value == 3.0 and short[2].baseline_value == 1.0
+    # a stored flag is not inserted again
+    again = detect_all(m, cfg, 1440, existing=detect_all(m, cfg, 1440))
+    assert again.count() == 0
