@@ -356,3 +356,68 @@ def hit_rate_by_group(hits: DataFrame, group_col: str = "difficulty") -> DataFra
         F.sum((~F.col("is_valid")).cast("long")).alias("errors"))
     return g.select(F.coalesce(F.col(group_col), F.lit("OVERALL")).alias(group_col), "total", "hits",
                     "errors", (F.col("hits") / F.col("total") * 100.0).alias("hit_rate_pct"))
+
+
+# ---- V4 on dense vectors -------------------------------------------------------
+
+def _local_topn_dense(qids: np.ndarray, qmat: np.ndarray, n: int, id_col: str, vec_col: str,
+                      exclude_self: bool, settle: int):
+    """mapInPandas body: ``n`` nearest items of this partition per query of
+    the broadcast batch by squared L2 (|q|^2 + |c|^2 - 2 q.c), distances
+    settled to ``settle`` decimals, ties by item id."""
+    qq = (qmat * qmat).sum(axis=1)[None, :]
+
+    def run(batches):
+        best = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
+            cm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            cc = (cm * cm).sum(axis=1)[:, None]
+            dist = np.round((qq + cc) - 2.0 * (cm @ qmat.T), settle)
+            ids = pdf[id_col].to_numpy()
+            if exclude_self:
+                dist[ids[:, None] == qids[None, :]] = np.inf
+            take = min(n, len(pdf))
+            kth = np.partition(dist, take - 1, axis=0)[take - 1]
+            r, c = np.nonzero((dist <= kth[None, :]) & np.isfinite(dist))
+            out = pd.DataFrame({id_col: ids[r], "qid": qids[c], "distance": dist[r, c]})
+            best = out if best is None else pd.concat([best, out], ignore_index=True)
+            best = (best.sort_values(["qid", "distance", id_col], kind="stable")
+                    .groupby("qid", sort=False).head(n))
+        if best is not None:
+            yield best
+    return run
+
+
+def knn_dense(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n: int,
+              exclude_self: bool = False, settle: int = 9,
+              batch_bytes: int = MAX_QUERY_BATCH_BYTES) -> DataFrame:
+    """V4 / J8 on dense vectors: for every query (``qid``, ``vec_col``) the
+    ``n`` nearest items by squared L2 distance, ties by item id; with
+    ``exclude_self`` an item never neighbours the query of the same id.
+    Query batches are broadcast within ``batch_bytes`` (dense float64)."""
+    spark = items.sparkSession
+    dim = len(queries.select(vec_col).first()[0])            # one row: the width
+    per_batch = max(1, batch_bytes // (dim * 8))
+    qs = queries.select("qid", vec_col).orderBy("qid")
+    n_queries = qs.count()
+    it = items.select(id_col, vec_col)
+    schema = T.StructType([it.schema[id_col], T.StructField("qid", queries.schema["qid"].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    parts = []
+    for start in range(0, n_queries, per_batch):
+        batch = qs.offset(start).limit(per_batch).collect()   # <= batch_bytes dense
+        qids = np.array([r["qid"] for r in batch])
+        qmat = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in batch])
+        parts.append(it.mapInPandas(_local_topn_dense(qids, qmat, n, id_col, vec_col,
+                                                      exclude_self, settle), schema))
+    if not parts:
+        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
+    local = parts[0]
+    for p in parts[1:]:
+        local = local.unionByName(p)
+    w = Window.partitionBy("qid").orderBy("distance", id_col)
+    return (local.withColumn("rank", F.row_number().over(w) - 1)
+            .where(F.col("rank") < n).withColumn("rank", F.col("rank").cast("int")))

@@ -692,3 +692,37 @@ def _quality_trend(v):
     ordering axis for evaluations)."""
     e = _all_evals(v).join(v.turns.select("trace_id", "turn"), "trace_id")
     return EVL.quality_trend(e, "turn")
+
+
+# ---- dense vectors -------------------------------------------------------------
+
+def _dense_nn(v: Views):
+    """The 5 nearest other vectors of every vector of the embeddings table."""
+    def build():
+        e = v.table("embeddings")
+        return RT.knn_dense(e.select("vec_id", "embedding"), "vec_id", "embedding",
+                            e.select(F.col("vec_id").alias("qid"), "embedding"), 5,
+                            exclude_self=True)
+    return v._stage("dense_nn", build)
+
+
+@query("knn_embeddings")
+def _knn_embeddings(v):
+    """V4 / J8 on the dense embeddings: 5 nearest neighbours, self excluded."""
+    return _dense_nn(v).select("qid", "vec_id", "distance", "rank")
+
+
+@query("label_hit_rate")
+def _label_hit_rate(v):
+    """A13 on dense vectors: share of vectors with a same-label neighbour in
+    their top 5, per label and overall (rollup)."""
+    from tracewise.functions.numeric import py_round_ratio
+    e = v.table("embeddings").select("vec_id", "label")
+    nn = _dense_nn(v).join(e, "vec_id").select("qid", F.col("label").alias("nlabel"))
+    q = e.select(F.col("vec_id").alias("qid"), "label")
+    per = (q.join(nn, "qid", "left").groupBy("qid", "label")
+           .agg(F.max(F.col("nlabel") == F.col("label")).alias("hit")))
+    g = per.rollup("label").agg(F.count(F.lit(1)).alias("n"),
+                                F.sum(F.coalesce(F.col("hit"), F.lit(False)).cast("long")).alias("hits"))
+    return g.select(F.coalesce(F.col("label").cast("string"), F.lit("OVERALL")).alias("label"),
+                    "n", "hits", py_round_ratio(F.col("hits"), F.col("n"), 3).alias("hit_rate_at_5"))

@@ -781,3 +781,26 @@ SELECT t.turn,
        {R("avg(e.score) FILTER (WHERE e.evaluator_name IN ('heuristic_relevance_keyword', 'llm_judge_relevance'))", 'avg_relevance_score')},
        count(e.score) AS n_scores
 FROM all_evals e JOIN turns t ON e.trace_id = t.trace_id GROUP BY t.turn"""
+
+
+# ---- dense vectors -------------------------------------------------------------
+DENSE = """ev64 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+                  list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS vv
+           FROM embeddings),
+dpairs AS (
+  SELECT q.vec_id AS qid, c.vec_id,
+         round((q.vv + c.vv) - 2.0 * list_inner_product(q.v, c.v), 9) AS distance
+  FROM ev64 q JOIN ev64 c ON q.vec_id <> c.vec_id),
+dnn AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) - 1 AS INTEGER) AS rank
+        FROM dpairs QUALIFY rank < 5)"""
+SQL["knn_embeddings"] = with_(DENSE) + "SELECT qid, vec_id, distance, rank FROM dnn"
+SQL["label_hit_rate"] = with_(DENSE) + f"""
+, per AS (
+  SELECT q.vec_id AS qid, q.label,
+         bool_or(c.label = q.label) AS hit
+  FROM ev64 q LEFT JOIN dnn n ON n.qid = q.vec_id LEFT JOIN ev64 c ON c.vec_id = n.vec_id
+  GROUP BY q.vec_id, q.label)
+SELECT coalesce(CAST(label AS VARCHAR), 'OVERALL') AS label, count(*) AS n,
+       CAST(sum(CAST(coalesce(hit, false) AS BIGINT)) AS BIGINT) AS hits,
+       {py_round_ratio_sql('sum(CAST(coalesce(hit, false) AS BIGINT))', 'count(*)')} AS hit_rate_at_5
+FROM per GROUP BY ROLLUP (label)"""
