@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.functions.hashing import md5_bucket
+from tracewise.operators.partitioning import spread
 from tracewise.functions.text import EVAL_STOPWORDS, PY_WHITESPACE_CLASS, py_strip
 from tracewise.sources.lookups import (CONTEXT_SEPARATOR, DEFAULT_MAX_CONTEXT_CHARS,
                                        EMBEDDING_DIM)
@@ -85,6 +86,7 @@ def chunk_documents(docs: DataFrame, separator: str = "\n\n", min_len: int = 200
     """V1 + V2: one row per chunk: id, source, chunk_index, chunk_id
     ``<id>::chunk-<i>`` and the chunk text."""
     keep = [c for c in docs.columns if c not in (text_col,)]
+    docs = spread(docs)
     return (docs.select(*keep, F.posexplode(chunk_text(F.col(text_col), separator, min_len))
                         .alias("chunk_index", "text"))
             .withColumn("chunk_id", F.concat(F.col(id_col).cast("string"), F.lit("::chunk-"),
@@ -218,7 +220,7 @@ def knn(items: DataFrame, item_key: list[str], queries: DataFrame, n: int,
           .groupBy("qid").agg(F.collect_list("bucket").alias("b")))
     n_queries = qv.count()
     per_batch = max(1, batch_bytes // (dim * 8))
-    rows = token_buckets(items, item_key, item_text, dim, stopwords)
+    rows = token_buckets(spread(items), item_key, item_text, dim, stopwords)
     schema = T.StructType([rows.schema[c] for c in item_key] +
                           [T.StructField("qid", qv.schema["qid"].dataType),
                            T.StructField("distance", T.DoubleType())])
@@ -309,7 +311,7 @@ def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext:
         F.when(n >= 5, F.lit(3)).when(n >= 3, F.lit(1)).otherwise(F.lit(0)).alias("_g"))
     # one gram per word start: a lookahead captures the next three words
     norm = F.regexp_replace(F.col(dtext), r"\s+", " ")
-    grams3 = docs.select(did, F.explode(F.regexp_extract_all(
+    grams3 = spread(docs).select(did, F.explode(F.regexp_extract_all(
         norm, F.lit(r"(?=(\S+ \S+ \S+))\S+"), 1)).alias("_anchor"))
     anchors = anchored.where(F.col("_g") == 3).select(pid, ptext, "_anchor")
     if anchors.count() <= MAX_BROADCAST_ANCHORS:
@@ -403,7 +405,7 @@ def knn_dense(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n
     per_batch = max(1, batch_bytes // (dim * 8))
     qs = queries.select("qid", vec_col).orderBy("qid")
     n_queries = qs.count()
-    it = items.select(id_col, vec_col)
+    it = spread(items.select(id_col, vec_col))
     schema = T.StructType([it.schema[id_col], T.StructField("qid", queries.schema["qid"].dataType),
                            T.StructField("distance", T.DoubleType())])
     parts = []
