@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions.numeric import py_round
+from tracewise.operators.partitioning import spread
 from tracewise.functions.text import (content_tokens, faithfulness_overlap, is_fallback_answer,
                                       py_strip, relevance_keyword)
 from tracewise.sources.lookups import (EVALUATOR_NAMES, FAITHFULNESS_EVALUATORS,
@@ -107,8 +108,9 @@ def evaluate_all(turns: DataFrame, judge: Callable[[Column, Column, Column, str]
     answer) row.  ``judge(query, context, answer, kind)`` may return a
     struct(score, reasoning, skipped) column, e.g. a pandas UDF."""
     q, c, a = F.col("query"), F.col("context"), F.col("answer")
-    # token sets once per row (a separate projection keeps them shared)
-    turns = turns.select("trace_id", "query", "context", "answer",
+    # token sets once per row (a separate projection keeps them shared);
+    # tokenising long contexts is CPU work: use every core
+    turns = spread(turns).select("trace_id", "query", "context", "answer",
                          content_tokens(q).alias("_qt"), content_tokens(c).alias("_ct"),
                          content_tokens(a).alias("_at"))
 
