@@ -103,23 +103,6 @@ class Views:
     def turns(self) -> DataFrame:
         return self._stage("turns", lambda: fixtures.turns(self.table("conversations")))
 
-    @property
-    def evals(self) -> DataFrame:
-        from tracewise.operators.evaluate import evaluate_missing
-        return self._get("evals", lambda: evaluate_missing(self.turns, self.stored_evals))
-
-    @property
-    def stored_evals(self) -> DataFrame:
-        # "already stored": the evaluations of even conversations
-        from tracewise.operators.evaluate import evaluate_all
-        return self._get("stored_evals", lambda: evaluate_all(
-            self.turns.where(F.col("conv_id") % 2 == 0)))
-
-    @property
-    def all_evals(self) -> DataFrame:
-        from tracewise.operators.evaluate import evaluate_all
-        return self._get("all_evals", lambda: evaluate_all(self.turns))
-
     @property
     def calib(self) -> DataFrame:
         return self._get("calib", lambda: fixtures.calibration(self.table("documents"),
