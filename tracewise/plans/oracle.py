@@ -12,7 +12,8 @@ from tracewise.functions.numeric import py_round_ratio_sql
 
 
 def R(expr: str, alias: str) -> str:
-    return f"round({expr}, 6) AS {alias}"
+    # settle to 9 decimals, then half away from zero at 6 (as plans.common.finish)
+    return f"round(round(CAST({expr} AS DOUBLE), 9) * 1000000.0) / 1000000.0 AS {alias}"
 
 
 EV = """ev AS (
