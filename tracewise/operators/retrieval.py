@@ -31,6 +31,19 @@ from tracewise.functions.text import EVAL_STOPWORDS, PY_WHITESPACE_CLASS, py_str
 from tracewise.sources.lookups import (CONTEXT_SEPARATOR, DEFAULT_MAX_CONTEXT_CHARS,
                                        EMBEDDING_DIM)
 
+def _ship_by_value() -> None:
+    """Pickle this module's task functions by value, so Python workers need
+    no installed copy of the package (the scorers below run in mapInPandas)."""
+    import sys
+    from pyspark import cloudpickle
+    mod = sys.modules[__name__]
+    if mod not in _SHIPPED:
+        cloudpickle.register_pickle_by_value(mod)
+        _SHIPPED.append(mod)
+
+
+_SHIPPED: list = []
+
 # token pattern of the hashed vectoriser: runs of 2+ word characters
 EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # broadcast budget of one query batch (dense float64 rows)
@@ -233,6 +246,7 @@ def knn(items: DataFrame, item_key: list[str], queries: DataFrame, n: int,
         for i, r in enumerate(batch):
             if r["b"]:
                 qmat[i] = np.bincount(np.asarray(r["b"], dtype=np.int64), minlength=dim)
+        _ship_by_value()
         parts.append(rows.mapInPandas(_local_topn(qids, qmat, n, item_key, id_col, dim), schema))
     if not parts:
         return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
@@ -413,6 +427,7 @@ def knn_dense(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n
         batch = qs.offset(start).limit(per_batch).collect()   # <= batch_bytes dense
         qids = np.array([r["qid"] for r in batch])
         qmat = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in batch])
+        _ship_by_value()
         parts.append(it.mapInPandas(_local_topn_dense(qids, qmat, n, id_col, vec_col,
                                                       exclude_self, settle), schema))
     if not parts:
