@@ -85,3 +85,41 @@ def test_threshold_alert_stream(spark, tmpdir_path):
     got = {(r.metric_name, r.window_start.day) for r in out.collect()}
     # windows closed by the watermark: days 1-3; p95 above 1000 on days 2 and 3
     assert ("latency_p95_ms", 2) in got and ("latency_p95_ms", 1) not in got
+
+
+def test_late_event_of_closed_trace_is_dropped(spark, tmpdir_path):
+    import datetime as dt
+    from tracewise.schemas import STAGE_EVENT
+
+    def ev(eid, tid, hh, mm):
+        t = dt.datetime(2026, 7, 1, hh, mm)
+        return (eid, tid, None, "s", t, t + dt.timedelta(seconds=1), 1.0, "success",
+                None, None, None, None)
+
+    src = os.path.join(tmpdir_path, "src")
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    spark.createDataFrame([ev("a1", "A", 10, 0), ev("a2", "A", 10, 1), ev("b1", "B", 12, 0)],
+                          STAGE_EVENT).coalesce(1).write.mode("append").parquet(src)
+
+    out = os.path.join(tmpdir_path, "out")
+
+    def run(name):
+        target = os.path.join(out, name)
+        stream = spark.readStream.schema(STAGE_EVENT).parquet(src)
+        q = (trace_sessions(stream, gap="10 minutes", delay="5 minutes").writeStream
+             .foreachBatch(lambda df, epoch: df.write.mode("append").parquet(target))
+             .outputMode("append").option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        if not os.path.exists(target):
+            return set()
+        return {(r.trace_id, r.num_stages) for r in spark.read.parquet(target).collect()}
+
+    first = run("late_run1")
+    assert ("A", 2) in first                 # A closed: the watermark passed its gap
+    # a late event of A (behind the watermark) and a newer trace C
+    spark.createDataFrame([ev("a3", "A", 10, 2), ev("c1", "C", 13, 0)],
+                          STAGE_EVENT).coalesce(1).write.mode("append").parquet(src)
+    second = run("late_run2")
+    assert not any(t == "A" for t, _ in second)   # never re-emitted, late event dropped
+    assert ("B", 1) in second
