@@ -120,8 +120,8 @@ class Views:
     def chunks(self) -> DataFrame:
         from tracewise.operators.retrieval import chunk_documents
         return self._get("chunks", lambda: chunk_documents(
-            self.table("documents").select("doc_id", "source", "text"),
-            separator="\n", min_len=200))
+            self.table("documents").select("doc_id", "source", "text", "n_chars"),
+            separator="\n", min_len=200, length_col="n_chars"))
 
     @property
     def questions(self) -> DataFrame:
