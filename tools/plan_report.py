@@ -46,7 +46,8 @@ def builds(v):
         "stage order <- events (W8)": lambda: TR.with_stage_order(v.ev),
         "evaluations <- turns (X4)": lambda: EVL.evaluate_all(v.turns),
         "chunks <- documents (V1)": lambda: RT.chunk_documents(
-            v.table("documents").select("doc_id", "source", "text"), "\n", 200),
+            v.table("documents").select("doc_id", "source", "text", "n_chars"), "\n", 200,
+            length_col="n_chars"),
         "kNN <- chunks, questions (V4)": lambda: RT.knn(
             _chunks(v).select("chunk_id", "text"), ["chunk_id"],
             v.questions.select("qid", "query"), 6, query_text="query"),
