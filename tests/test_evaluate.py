@@ -98,3 +98,15 @@ def test_fixed_formatting_matches_python(spark):
         spec = ("+" if plus else "") + f".{n}f"
         rows = df.select("x", fixed("x", n, plus=plus, settle_digits=None).alias("s")).collect()
         assert all(r.s == format(r.x, spec) for r in rows)
+
+
+def test_py_round_matches_python(spark):
+    import random
+    from tracewise.functions.numeric import py_round
+    random.seed(9)
+    vals = [0.0625, 0.125, 2.675, 1.0005, -2.5e-4, 1234.5675, 0.0, -0.0, 99999.9995]
+    vals += [random.uniform(-5000, 5000) for _ in range(2000)]
+    vals += [round(random.uniform(0, 100), 4) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select("x", py_round("x", 3).alias("r")).collect()
+    assert all(r.r == round(r.x, 3) for r in rows)
