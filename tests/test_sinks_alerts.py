@@ -65,3 +65,27 @@ def test_partitioned_rewrite_replaces_only_given_windows(spark, tmpdir_path):
     write_table(spark.createDataFrame([(5, "m", 9.0)], a.schema), path, partition_by=["window_minutes"])
     got = {(r.window_minutes, r.value) for r in spark.read.parquet(path).collect()}
     assert got == {(5, 9.0), (60, 2.0)}
+
+
+def test_export_all_seven_tables(spark, tmpdir_path):
+    from tracewise.operators.metrics import metrics_long
+    from tracewise.operators.rca import rca_reports
+    from tracewise.operators.regression import detect_all
+    from tracewise.operators.sinks import export_all
+    from tracewise.operators.traces import assemble_traces, with_stage_order
+    from tracewise.sources.fixtures import stage_events
+    from tracewise.sources.lookups import detection_config
+    ev = stage_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    tr = assemble_traces(ev)
+    mts = metrics_long(tr, ev).withColumn("id", F.monotonically_increasing_id())
+    cfg = detection_config(spark, [("latency_p95_ms", 1.0, "above")])
+    reg = detect_all(mts, cfg, 1440)
+    rep = rca_reports(reg)
+    evals = spark.createDataFrame([], "id long, trace_id string, evaluator_name string, score double, "
+                                      "reasoning string, skipped boolean, created_at timestamp")
+    written = export_all(tr, with_stage_order(ev), mts, evals, reg, rep, tmpdir_path, single_file=True)
+    assert len(written) == 7
+    bridge = spark.read.parquet(os.path.join(tmpdir_path, "rca_regression_bridge.parquet"))
+    assert bridge.count() == reg.count()
+    assert spark.read.option("header", True).csv(
+        os.path.join(tmpdir_path, "traces.csv")).count() == tr.count()

@@ -67,3 +67,17 @@ def export_tables(tables: dict[str, DataFrame], out_dir: str, single_file: bool
 def append_attempts(attempts: DataFrame, log_path: str) -> None:
     """K9: append alert attempt rows to the alert log."""
     attempts.write.mode("append").parquet(log_path)
+
+
+def export_all(traces: DataFrame, trace_events: DataFrame, metrics: DataFrame,
+               evaluations: DataFrame, regressions: DataFrame, reports: DataFrame,
+               out_dir: str, single_file: bool = False) -> dict:
+    """K8: the seven-table star schema (traces, trace_events,
+    metrics_timeseries, evaluations, regressions, rca_reports and the
+    report/regression bridge derived from the reports), CSV and Parquet."""
+    from tracewise.operators.rca import bridge
+    return export_tables({
+        "traces": traces, "trace_events": trace_events, "metrics_timeseries": metrics,
+        "evaluations": evaluations, "regressions": regressions, "rca_reports": reports,
+        "rca_regression_bridge": bridge(reports),
+    }, out_dir, single_file)
