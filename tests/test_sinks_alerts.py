@@ -89,3 +89,23 @@ def test_export_all_seven_tables(spark, tmpdir_path):
     assert bridge.count() == reg.count()
     assert spark.read.option("header", True).csv(
         os.path.join(tmpdir_path, "traces.csv")).count() == tr.count()
+
+
+def test_end_to_end_from_event_log(spark, tmpdir_path):
+    """JSON-lines log -> traces (insert-if-absent) -> metrics -> regressions ->
+    reports, with plain ``timestamp`` event times, as in the README example."""
+    from tracewise.operators.metrics import metrics_long
+    from tracewise.operators.rca import rca_reports
+    from tracewise.operators.regression import detect_all
+    from tracewise.operators.traces import assemble_traces
+    from tracewise.sources.fixtures import stage_events
+    from tracewise.sources.lookups import detection_config
+    ev = stage_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    append_events_jsonl(ev, os.path.join(tmpdir_path, "events"))
+    events = scan_stage_events(spark, os.path.join(tmpdir_path, "events"))
+    first = assemble_traces(events.where(F.col("timestamp_start") < F.lit("2024-01-15").cast("timestamp")))
+    traces = first.unionByName(new_by_key(assemble_traces(events), first, ["trace_id"]))
+    assert traces.count() == assemble_traces(ev).count()
+    metrics = metrics_long(traces, events)
+    regs = detect_all(metrics, detection_config(spark, [("latency_p95_ms", 100.0, "above")]), 1440)
+    assert rca_reports(regs).count() == regs.select("window_start").distinct().count()
