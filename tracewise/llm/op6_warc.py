@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00
                    min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write the deduplicated archives of ``pages`` (page_id, url, html) to ``path``."""
     (records(resolve(pages, min_bytes), date).write
-     .option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path))
+     .option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -113,9 +113,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(data: bytes, rows: int = 500):
-    """Batches of the records in one archive, cut by Content-Length."""
+    """Batches of the records in one archive (gzip, or plain), cut by Content-Length."""
+    import gzip
     import re
     from urllib.parse import unquote
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     out, at = [], 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
