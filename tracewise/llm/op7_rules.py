@@ -27,7 +27,7 @@ from tracewise.llm.common import extended, ship_by_value, store
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-#: Rows the learner may take to the driver; beyond it, those of smallest id hash.
+#: Labelled rows (about) that the learner takes to the driver; of more, a share by id hash.
 MAX_LABELLED = 50_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
          "n_digits", "n_marks"]
@@ -240,16 +240,18 @@ def _prune(rule, x, bad, rows) -> list[Condition]:
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
         prefix: str = "", max_labelled: int = MAX_LABELLED, **how) -> DecisionList:
-    """Learn from at most ``max_labelled`` rows of ``stats`` with a label (0 is bad).
+    """Learn from about ``max_labelled`` rows of ``stats`` with a label (0 is bad), all if there are fewer.
 
-    The rows of smallest id hash are taken, so the choice is the same in every run.
+    Which rows are taken depends on a hash of the id, so it is the same in every run.
     """
     y = (labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull())
          .select(F.col(doc_id).alias("__y_id"), (F.col(quality) == 0).alias("__y_bad")))
+    share = min(1.0, max_labelled / max(1, y.count()))
+    y = y.where(F.pmod(F.xxhash64("__y_id", F.lit(1)), F.lit(1_000_000)) < F.lit(share * 1_000_000))
     rows = (stats.join(y, F.col(doc_id) == F.col("__y_id"))
             .select(F.xxhash64("__y_id").alias("h"), F.col("__y_id").alias("i"), F.col("__y_bad").alias("bad"),
                     *[feature(f, prefix).alias("f_" + f) for f in FEATURES])
-            .orderBy("h", "i", "bad").limit(max_labelled).toPandas())
+            .toPandas().sort_values(["h", "i", "bad"], kind="stable"))
     if not len(rows):
         return DecisionList()
     x = {f: rows["f_" + f].to_numpy(dtype=float) for f in FEATURES}
