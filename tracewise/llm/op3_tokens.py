@@ -32,7 +32,7 @@ from tracewise.llm.common import ship_by_value, store
 
 #: Pre-tokens joined inside the tasks: 9 bytes each, 9 MB in all.
 HOT_PRETOKENS = 1_000_000
-_FLUSH = 400_000               # distinct pre-tokens a task holds before it emits them
+_FLUSH = 600_000               # pre-tokens a task holds before it merges, and emits, them
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _classes = None
@@ -143,6 +143,26 @@ class _Cutter:
         return h, starts, size, row, specials, points
 
 
+def _strings(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The runs of code points as an Arrow string array."""
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    own = points[np.arange(begin[-1]) - np.repeat(begin[:-1] - starts, sizes)]
+    width = np.concatenate([[0], np.cumsum(1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF))])
+    data = own.tobytes().decode("utf-32-le").encode()
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(width[begin].astype(np.int64).tobytes()),
+                                            pa.py_buffer(data)).cast(pa.string())
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    u, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return u, n, pa.concat_arrays([p[2] for p in parts]).take(pa.array(at))
+
+
+def _vocabulary_batch(u: np.ndarray, n: np.ndarray, strings: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(W.signed(u)), strings, pa.array(n)], names=["hash", "pretoken", "freq"])
+
+
 def _slices(batches, text):
     for batch in batches:
         for part, data, _ in W.text_slices(batch, text):
@@ -155,28 +175,19 @@ def pretoken_vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataF
     specials = _specials(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = _Cutter(specials), {}
-
-        def emit():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array([held[k][1] for k in keys], pa.string()),
-                 pa.array([held[k][0] for k in keys], pa.int64())], names=["hash", "pretoken", "freq"])
-            held.clear()
-
+        cutter, held = _Cutter(specials), []
         for _, _, texts in _slices(batches, text):
             h, starts, size, _, _, points = cutter(texts)
+            if not len(h):
+                continue
             u, at, n = np.unique(h, return_index=True, return_counts=True)
-            for key, s, m, k in zip(u.tolist(), starts[at].tolist(), size[at].tolist(), n.tolist()):
-                old = held.get(key)
-                if old is None:
-                    held[key] = [k, points[s:s + m].tobytes().decode("utf-32-le", "surrogatepass")]
-                else:
-                    old[0] += k
-            if len(held) > _FLUSH:
-                yield from emit()
+            held.append((u, n, _strings(points, starts[at], size[at])))
+            if sum(len(x[0]) for x in held) > _FLUSH:
+                held = [_merged(held)]
+                if len(held[0][0]) > _FLUSH // 2:
+                    yield _vocabulary_batch(*held.pop())
         if held:
-            yield from emit()
+            yield _vocabulary_batch(*_merged(held))
 
     rows = docs.select(F.col(text).alias("text") if text != "text" else F.col(text)).mapInArrow(
         run, "hash long, pretoken string, freq long")
