@@ -32,27 +32,24 @@ from tracewise.llm.common import ship_by_value, store
 
 #: Pre-tokens joined inside the tasks: 9 bytes each, 9 MB in all.
 HOT_PRETOKENS = 1_000_000
-_FLUSH = 600_000               # pre-tokens a task holds before it merges, and emits, them
+_FLUSH = 400_000               # pre-tokens a task holds before it merges, and emits, them
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-_classes = None
 
 
 def char_classes() -> np.ndarray:
-    """The class of every code point: letter, number, white space or other."""
-    global _classes
-    if _classes is None:
-        import regex
-        every = "".join(map(chr, [c if not 0xD800 <= c < 0xE000 else 0xFFFF for c in range(sys.maxunicode + 1)]))
-        out = np.full(len(every), OTHER, dtype=np.uint8)
+    """The class of every code point (letter, number, white space or other), 1.1 MB."""
+    import regex
+    out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    for base in range(0, sys.maxunicode + 1, 1 << 14):
+        block = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\uFFFF" for c in range(base, base + (1 << 14)))
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, every):
-                out[m.start():m.end()] = kind
-        _classes = out
-    return _classes
+            for m in regex.finditer(pattern, block):
+                out[base + m.start():base + m.end()] = kind
+    return out
 
 
-def pretoken_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+def pretoken_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin in ``points`` (code points of texts back to back).
 
     ``first`` marks the first code point of each text.  The rules are those of
@@ -61,7 +58,7 @@ def pretoken_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     character before a word stands alone (or is that blank).
     """
     n = len(points)
-    kind = char_classes()[points]
+    kind = classes[points]
     run = first.copy()
     run[1:] |= kind[1:] != kind[:-1]
     space = kind == SPACE
@@ -110,8 +107,9 @@ def _check(path: str) -> None:
 class _Cutter:
     """Cuts slices of texts into hashed pre-tokens."""
 
-    def __init__(self, specials: list[str]):
+    def __init__(self, specials: list[str], classes: np.ndarray):
         import re
+        self.classes = classes
         self.special = re.compile("|".join(re.escape(s) for s in specials)) if specials else None
 
     def __call__(self, texts: list[str]):
@@ -136,7 +134,7 @@ class _Cutter:
         ends = np.cumsum(sizes)
         first = np.zeros(len(points), dtype=bool)
         first[(ends - sizes)[sizes > 0]] = True
-        starts = pretoken_starts(points, first)
+        starts = pretoken_starts(points, first, self.classes)
         size = np.diff(np.append(starts, len(points)))
         h = W.run_hashes(points.astype(np.uint64) + np.uint64(1), starts, size)
         row = np.asarray(rows)[np.searchsorted(ends, starts, side="right")]
@@ -165,17 +163,17 @@ def _vocabulary_batch(u: np.ndarray, n: np.ndarray, strings: pa.Array) -> pa.Rec
 
 def _slices(batches, text):
     for batch in batches:
-        for part, data, _ in W.text_slices(batch, text):
+        for part, data, _ in W.text_slices(batch, text, 1 << 19):
             yield part, data, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
 
 
 def pretoken_vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Distinct pre-tokens of the corpus: hash, pretoken, freq."""
     ship_by_value()
-    specials = _specials(path)
+    specials, classes = _specials(path), docs.sparkSession.sparkContext.broadcast(char_classes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = _Cutter(specials), []
+        cutter, held = _Cutter(specials, classes.value), []
         for _, _, texts in _slices(batches, text):
             h, starts, size, _, _, points = cutter(texts)
             if not len(h):
@@ -199,6 +197,8 @@ def count_pieces(vocabulary: DataFrame, path: str) -> DataFrame:
     ship_by_value()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True     # a pre-token is ordinary text
@@ -227,10 +227,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, hot: int = HOT_PR
              .select("hash", F.col("n_pieces").cast("short")).toArrow())
     keys = np.asarray(table.column(0), dtype=np.int64)
     order = np.argsort(keys)
+    classes = spark.sparkContext.broadcast(char_classes())
     known = spark.sparkContext.broadcast((keys[order], np.asarray(table.column(1))[order].astype(np.uint8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, (key, count) = _Cutter(specials), known.value
+        cutter, (key, count) = _Cutter(specials, classes.value), known.value
         row_id = 0
         for part, data, texts in _slices(batches, "text"):
             h, _, _, row, special, _ = cutter(texts)
