@@ -139,7 +139,8 @@ def _marked(rows: DataFrame) -> DataFrame:
     full: all strings of the phrase repeat; shown: it stands for its context in
     the next step.
     """
-    found = _decided(rows, "core", "context")
+    # stored: read three times, and a hot core's rows are no longer tied to one task
+    found = store(_decided(rows, "core", "context"), "phrases")
     same = ["core", "context"]
     own = F.struct("key", "id", "s")
     seen = found.where("open").groupBy(*same).agg(F.count("*").alias("c_n"), F.min(own).alias("c_first"))
