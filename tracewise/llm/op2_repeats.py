@@ -130,6 +130,8 @@ def _decided(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` whose key occurs twice or more, with ``open``: whether its values differ."""
     seen = (rows.groupBy(F.col(key).alias("k_key")).agg(F.count("*").alias("k_n"), F.min(value).alias("k_lo"), F.max(value).alias("k_hi"))
             .where("k_n > 1").select("k_key", (F.col("k_lo") < F.col("k_hi")).alias("open")))
+    # stored, so that the join below is of its own and a hot key's rows can be split
+    seen = store(seen, f"seen-{key}")
     return rows.join(seen, F.col(key) == F.col("k_key")).drop("k_key")
 
 
