@@ -9,19 +9,19 @@ least ``similar`` percent.  Documents of equal sets form one node.
    is kept as a fixed-size bit table; any order gives the same links.
 2. Sets that link share one of their first n - ceil(t n) + 1 shingles in that
    order.  These are shuffled once; buckets with a single node fall away.
-3. Partition: each node is compared with the node its buckets name most; the
-   links found join nodes to groups of similar documents.
+3. Partition: each node names the node that most of its buckets have first; naming
+   joins alike nodes to groups, linked or not, and the pairs named are compared.
 4. Token-group matrix: for every group (cut into blocks of bounded size) the
    union of its members' leading shingles is stored as rows (shingle, block).
-   A node meets the blocks of other groups on these rows; the number of
-   shingles met bounds their overlap from above, and only (node, block) pairs
-   whose bound allows a link go on.
+   A node meets blocks on these rows, unless their members there are all linked
+   with it already; the number of shingles met bounds the overlap from above, and
+   only (node, block) pairs whose bound allows a link go on.
 5. Open: in a block, the number of a node's shingles in the union of the
    members' whole sets is a bound again; if it allows a link, the exact overlaps
    with all members come from one pass over the node's rows of the matrix.
 6. Groups and new links give the components.
 
-Nothing is capped: any pair that links meets in step 4 unless it shares a group.
+Nothing is capped: two nodes that link meet in step 4 unless links of step 3 join them.
 
 Defined results: a document without words has no shingles and links with
 nothing; one with fewer words than a shingle has its whole word sequence as its
@@ -165,54 +165,61 @@ def _frequent_table(scan: DataFrame) -> np.ndarray:
 
 def _live_rows(rows: DataFrame) -> DataFrame:
     """token, node, size, pivot: rows of buckets with two nodes or more; pivot is the bucket's least node."""
-    dealt = rows.repartition("token", "salt")          # read twice, shuffled once
-    part = dealt.groupBy("token", "salt").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    whole = part.where("salt < 0 and lo < hi").select("token", "salt", "lo")
+    # read three times, shuffled once; copies of a set go within their task
+    dealt = rows.repartition("token", "salt").dropDuplicates(["token", "salt", "node"])
+    # all columns, and filters on aggregates only: so the shuffle is the same one for both readers
+    part = dealt.groupBy("token", "salt").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                              F.max("salt").alias("s"), F.max("size").alias("size"))
+    part = part.where("size > 0 and (s >= 0 or lo < hi)")
+    whole = part.where("s < 0").select("token", "salt", "lo")
     # the parts of a frequent shingle's bucket meet in one row each
-    parted = (part.where("salt >= 0").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    parted = (part.where("s >= 0").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
               .select("token", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), "lo"))
     return dealt.join(whole.unionByName(parted), ["token", "salt"]).select("token", "node", "size", F.col("lo").alias("pivot"))
 
 
 def _open(asked: DataFrame, members: DataFrame, texts: DataFrame, n: int, similar: int) -> DataFrame:
-    """Compare nodes with blocks: ``asked`` (node, block), ``members`` (node, block), ``texts`` (node, text).
+    """Compare nodes with blocks: ``asked`` and ``members`` (node, root, block), ``texts`` (node, text).
 
-    Returns node, other: a member that links, for each (node, block) that has one.
+    Returns node, other: for each (node, block) a member that links of every root
+    but the node's own.
     """
     parts = asked.groupBy("block").agg(F.ceil(F.count("*") / _QUERIES).cast("int").alias("parts"))
     query = (asked.join(parts, "block").join(texts, "node")
-             .select("block", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "node", "text"))
+             .select("block", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"),
+                     "node", "root", "text"))
     held = (members.join(parts, "block").join(texts, "node")
-            .select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "text"))
+            .select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
+                    "node", "root", "text"))
     rows = query.unionByName(held).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, matrix = None, [], [], None
+        key, nodes, roots, sets, matrix = None, [], [], [], None
         for batch in batches:
             for part, data, offsets in W.text_slices(batch):
                 flat, bounds = shingle_sets(data, offsets, n)
                 mine = W.signed(set_digest(flat, bounds))
-                block, sub, kind, node = (part.column(c).to_pylist() for c in range(4))
+                block, sub, kind, node, root = (part.column(c).to_pylist() for c in range(5))
                 found = []
                 for k in range(part.num_rows):
                     if (block[k], sub[k]) != key:
-                        key, nodes, sets, matrix = (block[k], sub[k]), [], [], None
+                        key, nodes, roots, sets, matrix = (block[k], sub[k]), [], [], [], None
                     if mine[k] != node[k]:             # another text of the same doc_id
                         continue
                     own = flat[bounds[k]:bounds[k + 1]]
                     if kind[k] == 0:
                         nodes.append(node[k])
+                        roots.append(root[k])
                         sets.append(own.copy())
                     elif nodes:
                         matrix = matrix or _Matrix(sets)
-                        hit = matrix.linked(own, similar)
-                        if hit is not None:
-                            found.append((node[k], nodes[hit]))
+                        new = {roots[m]: nodes[m] for m in matrix.linked(own, similar) if roots[m] != root[k]}
+                        found += [(node[k], other) for other in new.values()]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)],
                                                      names=["node", "other"])
 
-    return rows.mapInArrow(run, "node long, other long").where("node <> other")
+    return rows.mapInArrow(run, "node long, other long")
 
 
 class _Matrix:
@@ -224,19 +231,15 @@ class _Matrix:
         order = np.argsort(token, kind="stable")
         self.token, self.member = token[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-    def linked(self, own: np.ndarray, similar: int) -> int | None:
-        """The member most similar to the set ``own``, if they link."""
+    def linked(self, own: np.ndarray, similar: int) -> list[int]:
+        """The members that link with the set ``own``."""
         lo = np.searchsorted(self.token, own, side="left")
         count = np.searchsorted(self.token, own, side="right") - lo
         if 100 * np.count_nonzero(count) < similar * len(own):
-            return None                                # not even the union holds enough of it
+            return []                                  # not even the union holds enough of it
         at = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
         both = np.bincount(self.member[at], minlength=len(self.sizes))
-        union = len(own) + self.sizes - both
-        links = 100 * both >= similar * union
-        if not links.any():
-            return None
-        return int(np.argmax(np.where(links, both / union, -1.0)))
+        return np.flatnonzero(100 * both >= similar * (len(own) + self.sizes - both)).tolist()
 
 
 def _least_met(size: Column, other: Column, similar: int) -> Column:
@@ -268,34 +271,35 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
     # partition: the node most named by a node's buckets, if it is named often enough
     named = (live.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.max("size").alias("size"))
              .where(F.col("c") * 500 >= F.col("size") * (100 - similar)))
-    best = named.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("block"))
-    best = store(best, "best")
-    pivots = best.select("block").distinct().select("block", F.col("block").alias("node"))
+    best = store(named.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("b"))
+                 .select("node", F.col("node").alias("root"), F.col("b.pivot").alias("block")), "best")
+    pivots = best.select(F.col("block").alias("node")).distinct().select("node", F.col("node").alias("root"), F.col("node").alias("block"))
     first = store(_open(best, pivots, texts, n, similar), "first")
     root = components(first, "node", "other")
+    alike = components(best, "node", "block").withColumnsRenamed({"node": "a_node", "root": "alike"})
 
-    # token-group matrix over blocks of the groups
-    group = nodes.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
-    per = group.groupBy("root").agg(F.count("*").alias("g_nodes"), F.sum("size").alias("g_size"))
+    # token-group matrix: groups of nodes that are alike, cut into blocks
+    group = (nodes.join(root, "node", "left").join(alike, F.col("node") == F.col("a_node"), "left")
+             .select("node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("alike", "node").alias("alike")))
+    per = group.groupBy("alike").agg(F.count("*").alias("g_nodes"), F.sum("size").alias("g_size"))
     blocks = F.ceil(F.greatest(F.col("g_nodes") / BLOCK_NODES, F.col("g_size") / BLOCK_SHINGLES)).cast("int")
-    group = store(group.join(per.withColumn("blocks", blocks), "root").select(
-        "node", "size", "root", "g_nodes",
-        F.when(F.col("blocks") == 1, F.col("root")).otherwise(
-            F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks"))).alias("block")), "blocks")
-    span = group.groupBy("block").agg(F.min("size").alias("b_min"), F.max("size").alias("b_max"))
-    rows = store(live.select("token", "node").join(group, "node").distinct(), "rows")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rows = rows.join(mixed, "token").withColumn("rank", F.struct("g_nodes", "root"))
-    matrix = rows.select("token", F.col("block").alias("m_block"), F.col("rank").alias("m_rank")).distinct()
-    met = (rows.join(matrix, "token").where(F.col("rank") < F.col("m_rank"))
-           .groupBy("node", "m_block").agg(F.count("*").alias("met"), F.max("size").alias("size"))
-           .join(span, F.col("m_block") == F.col("block")))
+    group = store(group.join(per.withColumn("blocks", blocks), "alike").select(
+        "node", "size", "root", F.when(F.col("blocks") == 1, F.col("alike")).otherwise(
+            F.xxhash64("alike", F.pmod(F.xxhash64("node"), "blocks"))).alias("block")), "blocks")
+    span = group.groupBy(F.col("block").alias("s_block")).agg(F.min("size").alias("b_min"), F.max("size").alias("b_max"))
+    rows = store(live.select("token", "node").join(group, "node"), "rows")
+    matrix = rows.groupBy("token", F.col("block").alias("m_block")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("t_lo"), F.max("root").alias("t_hi")).where("t_lo < t_hi").select("token")
+    # a node asks its own block and those of greater number, unless a block has its root alone
+    met = (rows.join(mixed, "token").join(matrix, "token").where("block <= m_block and (lo < hi or lo <> root)")
+           .groupBy("node", "root", "m_block").agg(F.count("*").alias("met"), F.max("size").alias("size"))
+           .join(span, F.col("m_block") == F.col("s_block")))
     size, lo, hi = F.col("size"), F.col("b_min"), F.col("b_max")
     least = F.least(*[_least_met(size, other, similar) for other in (
         F.greatest(lo, F.ceil(size * similar / 100 - 1e-6)), F.least(hi, F.floor(size * 100 / similar + 1e-6)))])
     asked = store(met.where((size * 100 >= lo * similar) & (hi * 100 >= size * similar) & (F.col("met") >= least))
-                  .select("node", "block"), "asked")
-    held = group.join(asked.select("block").distinct(), "block", "left_semi").select("node", "block")
+                  .select("node", "root", F.col("m_block").alias("block")), "asked")
+    held = group.join(asked.select("block").distinct(), "block", "left_semi").select("node", "root", "block")
     return sizes, first.unionByName(_open(asked, held, texts, n, similar))
 
 
