@@ -166,6 +166,8 @@ def _frequent_table(scan: DataFrame) -> np.ndarray:
 def _live_rows(rows: DataFrame) -> DataFrame:
     """token, node, size, pivot: rows of buckets with two nodes or more; pivot is the bucket's least node."""
     # read three times, shuffled once; copies of a set go within their task
+    # (columns without nulls: else each reader filters them before the shuffle in its own way)
+    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
     dealt = rows.repartition("token", "salt").dropDuplicates(["token", "salt", "node"])
     # all columns, and filters on aggregates only: so the shuffle is the same one for both readers
     part = dealt.groupBy("token", "salt").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
@@ -288,6 +290,7 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
             F.xxhash64("alike", F.pmod(F.xxhash64("node"), "blocks"))).alias("block")), "blocks")
     span = group.groupBy(F.col("block").alias("s_block")).agg(F.min("size").alias("b_min"), F.max("size").alias("b_max"))
     rows = store(live.select("token", "node").join(group, "node"), "rows")
+    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns]).repartition("token")
     matrix = rows.groupBy("token", F.col("block").alias("m_block")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("t_lo"), F.max("root").alias("t_hi")).where("t_lo < t_hi").select("token")
     # a node asks its own block and those of greater number, unless a block has its root alone
