@@ -282,12 +282,13 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
 
     # token-group matrix: groups of nodes that are alike, cut into blocks
     group = (nodes.join(root, "node", "left").join(alike, F.col("node") == F.col("a_node"), "left")
-             .select("node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("alike", "node").alias("alike")))
-    per = group.groupBy("alike").agg(F.count("*").alias("g_nodes"), F.sum("size").alias("g_size"))
+             .select("node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("alike", "node").alias("alike"))
+             # nodes of a block are of nearly one size, which makes its bound sharp
+             .withColumn("band", F.floor(F.log(F.col("size").cast("double")) * 25).cast("int")))
+    per = group.groupBy("alike", "band").agg(F.count("*").alias("g_nodes"), F.sum("size").alias("g_size"))
     blocks = F.ceil(F.greatest(F.col("g_nodes") / BLOCK_NODES, F.col("g_size") / BLOCK_SHINGLES)).cast("int")
-    group = store(group.join(per.withColumn("blocks", blocks), "alike").select(
-        "node", "size", "root", F.when(F.col("blocks") == 1, F.col("alike")).otherwise(
-            F.xxhash64("alike", F.pmod(F.xxhash64("node"), "blocks"))).alias("block")), "blocks")
+    group = store(group.join(per.withColumn("blocks", blocks), ["alike", "band"]).select(
+        "node", "size", "root", F.xxhash64("alike", "band", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "blocks")
     span = group.groupBy(F.col("block").alias("s_block")).agg(F.min("size").alias("b_min"), F.max("size").alias("b_max"))
     rows = store(live.select("token", "node").join(group, "node"), "rows")
     rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns]).repartition("token")
