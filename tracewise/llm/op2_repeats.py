@@ -83,6 +83,8 @@ def phrases(data: np.ndarray, bounds: np.ndarray):
     np.add.at(change, bounds[:-1][fit], 1)
     np.add.at(change, bounds[1:][fit] - LENGTH + 1, -1)
     start = np.flatnonzero(np.cumsum(change)[:len(low)])
+    if not len(start):
+        return roll, start, start, start
     at = (low[start] & _PLACE).astype(np.int64)
     new = np.ones(len(start), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
