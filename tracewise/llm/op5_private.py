@@ -76,7 +76,7 @@ def _valid(kind: Column, match: Column) -> Column:
     """The base checks of a match."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     n = F.length(digits)
-    octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
     return (F.when(kind == "email", F.lit(True))
             .when(kind == "ip", match.rlike(rf"^{octet}\.{octet}\.{octet}\.(?:{octet})$"))
             .when(kind == "card", F.when(n.between(16, 19), _luhn(digits)).otherwise(F.lit(False)))
