@@ -53,7 +53,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate),
           ("private_data", private_data), ("sentencepiece", pieces)]
 
-#: Learning, span classification and encoding have no SQL form; tests hold the pipeline against brute force.
+#: Learning, span classification and encoding have no SQL form.
 ORACLE_SQL = None
 
 
