@@ -52,6 +52,7 @@ _SALTS = 16                    # parts of a frequent shingle's bucket
 BLOCK_NODES = 128              # nodes of a group that one block holds,
 BLOCK_SHINGLES = 500_000       # and shingles
 _QUERIES = 2_000               # nodes that meet a block in one task
+_SIEVE = 25                    # a sieve of doc_ids has 2^25 bits in 2^19 rows: 8 MB
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +181,27 @@ def _live_rows(rows: DataFrame) -> DataFrame:
     return dealt.join(whole.unionByName(parted), ["token", "salt"]).select("token", "node", "size", F.col("lo").alias("pivot"))
 
 
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be one of ``ids``: all that are, and few others.
+
+    The sieve's size has a bound, so it is broadcast; texts that it holds back are not shuffled.
+    """
+    at = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << _SIEVE) - 1))
+    bits = (ids.select(at.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(__at & 63 as int))")).alias("__bits")))
+    return (docs.withColumn("__at", at).join(F.broadcast(bits), F.shiftright("__at", 6) == F.col("__word"))
+            .where("getbit(__bits, cast(__at & 63 as int)) = 1").select(*docs.columns))
+
+
+def _texts(docs: DataFrame, home: DataFrame, *asking: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``asking``; the text is that of the node's ``home``."""
+    ids = asking[0].select("node")
+    for more in asking[1:]:
+        ids = ids.unionByName(more.select("node"))
+    need = store(ids.distinct().join(home, "node").select("node", F.col("home").alias("doc_id")), "need")
+    return store(_sieved(docs, need).join(need, "doc_id").select("node", "text"), "texts")
+
+
 def _open(asked: DataFrame, members: DataFrame, texts: DataFrame, n: int, similar: int) -> DataFrame:
     """Compare nodes with blocks: ``asked`` and ``members`` (node, root, block), ``texts`` (node, text).
 
@@ -267,8 +289,6 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
     live = store(_live_rows(_leading_rows(docs.where("doc_id is not null"), _frequent_table(scan), n, similar)), "live")
     nodes = live.groupBy("node").agg(F.max("size").alias("size"))
     home = sizes.where("doc_id is not null and size > 0").groupBy("node").agg(F.min("doc_id").alias("home"))
-    texts = store(docs.join(nodes.join(home, "node").select("node", "home"), F.col("doc_id") == F.col("home"))
-                  .select("node", "text"), "texts")
 
     # partition: the node most named by a node's buckets, if it is named often enough
     named = (live.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.max("size").alias("size"))
@@ -276,7 +296,7 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
     best = store(named.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("b"))
                  .select("node", F.col("node").alias("root"), F.col("b.pivot").alias("block")), "best")
     pivots = best.select(F.col("block").alias("node")).distinct().select("node", F.col("node").alias("root"), F.col("node").alias("block"))
-    first = store(_open(best, pivots, texts, n, similar), "first")
+    first = store(_open(best, pivots, _texts(docs, home, best, pivots), n, similar), "first")
     root = components(first, "node", "other")
     alike = components(best, "node", "block").withColumnsRenamed({"node": "a_node", "root": "alike"})
 
@@ -304,7 +324,7 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
     asked = store(met.where((size * 100 >= lo * similar) & (hi * 100 >= size * similar) & (F.col("met") >= least))
                   .select("node", "root", F.col("m_block").alias("block")), "asked")
     held = group.join(asked.select("block").distinct(), "block", "left_semi").select("node", "root", "block")
-    return sizes, first.unionByName(_open(asked, held, texts, n, similar))
+    return sizes, first.unionByName(_open(asked, held, _texts(docs, home, asked, held), n, similar))
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
