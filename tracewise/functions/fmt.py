@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 
 
 def pystr(c) -> Column:
-    """Python ``str(float)`` for ordinary magnitudes (1e-4 <= |x| < 1e16).
+    """Python ``str(float)``.
 
-    Spark's cast to string gives the same shortest repr, e.g. 45.0 -> '45.0';
-    outside that range Python switches to exponent form at other limits.
+    The cast gives the same shortest digits, but writes exponents from 1e7 on
+    and below 1e-3, Python from 1e16 on and below 1e-4, with a sign and two digits.
     """
-    col = F.col(c) if isinstance(c, str) else c
-    return col.cast("double").cast("string")
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    text, size = x.cast("string"), F.abs(x)
+    large = F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = F.regexp_replace(x.cast("decimal(38,24)").cast("string"), r"0+$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    spelt = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"),
+                     F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""),
+                     F.abs(power).cast("string"))
+    return (F.when(~text.contains("E"), text).when((size >= 1e7) & (size < 1e16), large)
+            .when((size >= 1e-4) & (size < 1e-3), small).otherwise(spelt))
 
 
 def fixed(c, decimals: int, plus: bool = False, none_text: str | None = None,

@@ -24,15 +24,11 @@ SKIPPED_NO_WEBHOOK = "[SKIPPED] DISCORD_WEBHOOK_URL not set"
 # ---------------------------------------------------------------------------
 
 
-def candidates(regressions: DataFrame, reports: DataFrame, limit: int = 50) -> DataFrame:
-    """Alert candidates: the newest ``limit`` regressions and reports."""
-    reg = (regressions.orderBy(F.col("window_start").desc(), F.col("id")).limit(limit)
-           .select(F.lit("regression").alias("alert_type"),
-                   F.col("id").cast("string").alias("reference_id")))
-    rca = (reports.orderBy(F.col("window_start").desc(), F.col("id")).limit(limit)
-           .select(F.lit("rca").alias("alert_type"),
-                   F.col("id").cast("string").alias("reference_id")))
-    return reg.unionByName(rca)
+def candidates(regressions: DataFrame, reports: DataFrame) -> DataFrame:
+    """Alert candidates: every regression and report."""
+    def of(kind, df):
+        return df.select(F.lit(kind).alias("alert_type"), F.col("id").cast("string").alias("reference_id"))
+    return of("regression", regressions).unionByName(of("rca", reports))
 
 
 def outbox(cands: DataFrame, log: DataFrame) -> DataFrame:

@@ -138,7 +138,10 @@ def evaluate_missing(turns: DataFrame, stored: DataFrame, force: bool = False,
         nxt = stored.groupBy("trace_id").agg((F.max("attempt") + 1).alias("_next"))
         return (evaluate_all(turns, judge).join(nxt, "trace_id", "left")
                 .withColumn("attempt", F.coalesce(F.col("_next"), F.lit(0))).drop("_next"))
-    fresh = evaluate_all(turns, judge)
+    # traces with all evaluators stored are not scored at all
+    complete = (stored.where(F.col("evaluator_name").isin(list(EVALUATOR_NAMES))).groupBy("trace_id")
+                .agg(F.count_distinct("evaluator_name").alias("_n")).where(F.col("_n") == len(EVALUATOR_NAMES)))
+    fresh = evaluate_all(turns.join(complete, "trace_id", "left_anti"), judge)
     return fresh.join(stored.select("trace_id", "evaluator_name").distinct(),
                       ["trace_id", "evaluator_name"], "left_anti")
 
@@ -221,13 +224,14 @@ def parse_responses(raw: Column) -> tuple[Column, Column, Column]:
 
 
 def parse_judge_reply(reply: Column) -> Column:
-    """JSON judge reply -> struct(score, reasoning, skipped).  A reply
-    that is not JSON or has no numeric score is skipped with a tagged reason."""
-    parsed = F.from_json(reply, "score double, reasoning string")
-    score = parsed["score"]
+    """JSON judge reply -> struct(score, reasoning, skipped).  A score given
+    as a string counts as its number.  A reply that is not JSON or has no numeric
+    score is skipped with a tagged reason."""
+    parsed = F.try_parse_json(reply)
+    score = F.try_variant_get(parsed, "$.score", "double")
     reason = F.when(parsed.isNull(), F.lit("[JUDGE ERROR] invalid JSON")) \
               .when(score.isNull(), F.lit("[JUDGE ERROR] 'score'")) \
-              .otherwise(F.coalesce(parsed["reasoning"], F.lit("")))
+              .otherwise(F.coalesce(F.try_variant_get(parsed, "$.reasoning", "string"), F.lit("")))
     return F.struct(score.alias("score"), reason.alias("reasoning"),
                     score.isNull().alias("skipped"))
 

@@ -120,17 +120,18 @@ def rca_reports(regressions: DataFrame, polish_note: bool = False) -> DataFrame:
 def upsert_reports(stored: DataFrame, fresh: DataFrame, force: bool = False) -> DataFrame:
     """K5: new report table.  Without ``force`` a window already reported
     keeps its report and only new windows are added; with ``force`` the
-    fresh report replaces the stored one."""
+    fresh report replaces the stored one.  Stored reports keep their ids;
+    added ones get the ids after the highest stored one."""
     key = ["window_start", "window_minutes"]
-    cols = [c for c in fresh.columns if c != "id"]
     if force:
-        kept = stored.join(fresh.select(*key), key, "left_anti")
-        added = fresh
+        kept, added = stored.join(fresh.select(*key), key, "left_anti"), fresh
     else:
-        kept = stored
-        added = fresh.join(stored.select(*key), key, "left_anti")
-    return (kept.select(*cols).withColumn("origin", F.lit("stored"))
-            .unionByName(added.select(*cols).withColumn("origin", F.lit("fresh"))))
+        kept, added = stored, fresh.join(stored.select(*key), key, "left_anti")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    added = (dense_ids(added.drop("id"), "window_minutes", ["window_start"])
+             .withColumn("id", (F.col("id") + top).cast("long")))
+    return (kept.select(*fresh.columns).withColumn("origin", F.lit("stored"))
+            .unionByName(added.select(*fresh.columns).withColumn("origin", F.lit("fresh"))))
 
 
 def bridge(reports: DataFrame) -> DataFrame:

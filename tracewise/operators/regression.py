@@ -136,16 +136,18 @@ def keep_first(flags: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return f
 
 
-def with_regression_ids(flags: DataFrame, start_id: int = 0) -> DataFrame:
+def with_regression_ids(flags: DataFrame, start_id=0) -> DataFrame:
     """Ids in the order (metric_name, method threshold<zscore<trend,
-    window_start, window_minutes), starting after ``start_id``."""
+    window_start, window_minutes), starting after ``start_id`` (a number or a column)."""
     f = flags.withColumn("_mr", _method_rank())
     f = dense_ids(f, "metric_name", ["_mr", "window_start", "window_minutes"])
-    return f.withColumn("id", F.col("id") + F.lit(start_id)).drop("_mr")
+    return f.withColumn("id", (F.col("id") + F.lit(start_id)).cast("long")).drop("_mr")
 
 
 def detect_all(metrics: DataFrame, config: DataFrame, window_minutes: int | None = 1440,
                existing: DataFrame | None = None, **kw) -> DataFrame:
-    """W6 + K3: the regression rows a run would store (with ids)."""
+    """W6 + K3: the regression rows a run would store.  Ids go on after the
+    highest one of ``existing``."""
     flags = keep_first(detect_flags(metrics, config, window_minutes, **kw), existing)
-    return with_regression_ids(flags).select("id", *OUT_COLS)
+    start = 0 if existing is None else existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return with_regression_ids(flags, start).select("id", *OUT_COLS)

@@ -94,66 +94,13 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
     return F.aggregate(paras, init, step, finish)
 
 
-# documents longer than this (characters) take the linear per-document pass:
-# the JVM fold's cost grows with chunks^2 and chunks <= characters / min_len
-HOT_DOC_CHARS = 2_000_000
-
-
-def _chunk_large_docs(separator: str, min_len: int, keep: list[str], text_col: str):
-    """mapInPandas body for very long documents: one linear pass over the
-    paragraphs per document (the array-building fold would grow with
-    paragraphs x chunks).  Same rules as ``chunk_text``."""
-    sep_len = len(separator)
-
-    def run(batches):
-        for pdf in batches:
-            out = {c: [] for c in keep}
-            out["chunk_index"], out["text"] = [], []
-            for rec in pdf.to_dict("records"):
-                parts = [p for p in (x.strip() for x in (rec[text_col] or "").split(separator)) if p]
-                cuts, size = [0], 0
-                for i, p in enumerate(parts):
-                    size += len(p) + sep_len
-                    if size >= min_len:
-                        cuts.append(i + 1)
-                        size = 0
-                if cuts[-1] < len(parts):
-                    cuts.append(len(parts))
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for c in keep:
-                        out[c].append(rec[c])
-                    out["chunk_index"].append(k)
-                    out["text"].append((separator.join(parts[a:b]) + separator).strip())
-            yield pd.DataFrame(out)
-    return run
-
-
 def chunk_documents(docs: DataFrame, separator: str = "\n\n", min_len: int = 200,
-                    id_col: str = "doc_id", text_col: str = "text",
-                    hot_chars: int | None = HOT_DOC_CHARS,
-                    length_col: str | None = None) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """V1 + V2: one row per chunk: id, source, chunk_index, chunk_id
-    ``<id>::chunk-<i>`` and the chunk text.  Documents longer than
-    ``hot_chars`` characters are chunked by a linear per-document pass
-    (``None``: all by the JVM fold).  ``length_col`` (a stored text length)
-    lets a one-column check skip that pass when no document is that long;
-    a wrong hint only costs speed, never changes chunks."""
-    if hot_chars is not None and length_col is not None:
-        if docs.where(F.col(length_col) > hot_chars).limit(1).count() == 0:
-            hot_chars = None
-    keep = [c for c in docs.columns if c not in (text_col, length_col)]
-    docs = spread(docs.drop(length_col) if length_col else docs)
-    long_doc = F.length(F.col(text_col)) > hot_chars if hot_chars is not None else None
-    small = docs if long_doc is None else docs.where(~long_doc | F.col(text_col).isNull())
-    out = small.select(*keep, F.posexplode(chunk_text(F.col(text_col), separator, min_len))
-                       .alias("chunk_index", "text"))
-    if long_doc is not None:
-        schema = T.StructType([docs.schema[c] for c in keep] +
-                              [T.StructField("chunk_index", T.IntegerType()),
-                               T.StructField("text", T.StringType())])
-        _ship_by_value()
-        out = out.unionByName(docs.where(long_doc).mapInPandas(
-            _chunk_large_docs(separator, min_len, keep, text_col), schema))
+    ``<id>::chunk-<i>`` and the chunk text."""
+    keep = [c for c in docs.columns if c != text_col]
+    out = spread(docs).select(*keep, F.posexplode(chunk_text(F.col(text_col), separator, min_len))
+                              .alias("chunk_index", "text"))
     return out.withColumn("chunk_id", F.concat(F.col(id_col).cast("string"), F.lit("::chunk-"),
                                                F.col("chunk_index").cast("string")))
 
@@ -467,7 +414,8 @@ def knn_dense(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n
     ``exclude_self`` an item never neighbours the query of the same id.
     Query batches are broadcast within ``batch_bytes`` (dense float64)."""
     spark = items.sparkSession
-    dim = len(queries.select(vec_col).first()[0])            # one row: the width
+    first = queries.select(vec_col).first()                  # one row: the width
+    dim = len(first[0]) if first else 1
     per_batch = max(1, batch_bytes // (dim * 8))
     qs = queries.select("qid", vec_col).orderBy("qid")
     n_queries = qs.count()

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tracewise.schemas import EXPORT_COLUMNS
 
 
+#: columns that say when a row was stored
+STORED_AT = {"created_at", "detected_at"}
+
+
 def append_events_jsonl(events: DataFrame, path: str) -> None:
     """K1: append stage events as JSON lines (ISO-8601 UTC times)."""
     (events.write.mode("append")
@@ -43,19 +47,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     replaced (e.g. recomputed metric windows)."""
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
 def export_tables(tables: dict[str, DataFrame], out_dir: str, single_file: bool = False) -> dict:
     """K8: export each table (its export column subset) as CSV with header
     and as Parquet, overwriting.  ``single_file`` coalesces to one file per
-    table for BI tools (only for small tables)."""
+    table for BI tools (only for small tables).  Time stamps of storing that a
+    table lacks are set to now; any other missing column is an error."""
     written = {}
     for name, df in tables.items():
         cols = EXPORT_COLUMNS.get(name, df.columns)
-        out = df.select(*[c for c in cols if c in df.columns])
+        if missing := set(cols) - set(df.columns) - STORED_AT:
+            raise ValueError(f"export of {name}: no columns {sorted(missing)}")
+        out = df.select(*[c if c in df.columns else F.current_timestamp().alias(c) for c in cols])
         if single_file:
             out = out.coalesce(1)
         out.write.mode("overwrite").option("header", "true").csv(f"{out_dir}/{name}.csv")

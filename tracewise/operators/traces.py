@@ -67,14 +67,13 @@ def with_stage_order(events: DataFrame, num_partitions: int | None = None,
                      hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """0-based position of each event in its trace by (start, event_id).
 
-    Distributed ranking: a hot trace is split across range partitions.
+    The position is added to the rows themselves, so repeated deliveries of
+    an event stay single rows.  A hot trace is split across range partitions.
     """
-    ranks = (rank_within_groups(events.select("trace_id", "timestamp_start", "event_id"),
-                                ["trace_id"], ["timestamp_start", "event_id"],
+    ranked = rank_within_groups(events, ["trace_id"], ["timestamp_start", "event_id"],
                                 num_partitions=num_partitions, rank_col="_r",
                                 hot_threshold=hot_threshold)
-             .select("event_id", F.col("_r").cast("int").alias("stage_order")))
-    return events.join(ranks, "event_id")
+    return ranked.select(*events.columns, F.col("_r").cast("int").alias("stage_order"))
 
 
 def stage_order_violations(events: DataFrame, expected: list[str],
@@ -105,14 +104,11 @@ def trace_waterfall(events: DataFrame, traces: DataFrame, num_partitions: int |
                     hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Stages of every trace in start order with the offset from the
     trace start and the running latency total."""
-    ranks = rank_within_groups(
-        events.select("trace_id", "timestamp_start", "event_id", "latency_ms"),
+    ranked = rank_within_groups(
+        events.select("trace_id", "timestamp_start", "event_id", "stage_name", "status", "latency_ms"),
         ["trace_id"], ["timestamp_start", "event_id"], running_sum="latency_ms",
         num_partitions=num_partitions, rank_col="_r", cum_col="cumulative_latency_ms",
         hot_threshold=hot_threshold)
-    ranked = events.select("event_id", "stage_name", "status").join(
-        ranks.select("event_id", "trace_id", "timestamp_start", "latency_ms", "_r",
-                     "cumulative_latency_ms"), "event_id")
     starts = traces.select("trace_id", "started_at")
     offset_us = F.unix_micros(F.col("timestamp_start").cast("timestamp")) - \
         F.unix_micros(F.col("started_at").cast("timestamp"))

@@ -287,8 +287,7 @@ def _relevance(v):
 @query("evaluate_missing")
 def _evaluate_missing(v):
     """Rows a run appends for pairs not stored yet."""
-    return _all_evals(v).join(_stored_evals(v).select("trace_id", "evaluator_name"),
-                              ["trace_id", "evaluator_name"], "left_anti").drop("attempt")
+    return EVL.evaluate_missing(v.turns, _stored_evals(v)).drop("attempt")
 
 
 @query("evaluate_force")
@@ -552,7 +551,7 @@ def _alert_log(v: Views):
 
 
 def _due(v: Views):
-    return AL.outbox(AL.candidates(v.reg, v.rca, 50), _alert_log(v))
+    return AL.outbox(AL.candidates(v.reg, v.rca), _alert_log(v))
 
 
 @query("alert_log_tail")

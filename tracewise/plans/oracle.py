@@ -9,6 +9,10 @@ as in ``plans.common.finish``.
 from __future__ import annotations
 
 from tracewise.functions.numeric import py_round_ratio_sql
+from tracewise.functions.text import EVAL_STOPWORDS
+from tracewise.operators import rca as RC
+from tracewise.sources.lookups import (FAITHFULNESS_REASONING, JUDGE_SKIPPED_REASONING,
+                                       RELEVANCE_REASONING)
 
 
 def R(expr: str, alias: str) -> str:
@@ -16,6 +20,24 @@ def R(expr: str, alias: str) -> str:
     return f"round(round(CAST({expr} AS DOUBLE), 9) * 1000000.0) / 1000000.0 AS {alias}"
 
 
+def _sqlstr(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill_sql(template: str, **cols: str) -> str:
+    import re
+    names = "|".join(cols)
+    out, pos = [], 0
+    for m in re.finditer(r"\{(" + names + r")\}", template):
+        if m.start() > pos:
+            out.append(_sqlstr(template[pos:m.start()]))
+        out.append(f"({cols[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        out.append(_sqlstr(template[pos:]))
+    return " || ".join(out)
+
+
 EV = """ev AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id,
          CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS trace_id,
@@ -241,27 +263,11 @@ def rca_chain(sfx: str) -> list[str]:
          CASE WHEN w.has_stage AND w.has_p95 THEN 'high'
               WHEN w.has_err OR w.has_p95 THEN 'medium' ELSE 'low' END AS confidence,
          CASE WHEN w.has_stage AND w.has_p95 THEN
-                'Overall trace latency (p95) regressed by ' || {p95} || '%. The ''' || {stage}
-                || ''' stage''s average latency regressed by ' || {sd} || '% in the same window, '
-                || 'making it the dominant contributor. Root cause: ' || {stage} || ' stage slowdown '
-                || '(e.g. cold index, upstream API degradation, or a config change affecting that '
-                || 'stage specifically).'
-              WHEN w.has_err AND w.has_p95 THEN
-                'Both latency (p95 ' || {p95} || '%) and error rate (' || {err} || '%) regressed '
-                || 'in the same window. Likely a cascading failure: elevated latency is causing '
-                || 'timeouts or downstream errors. Treat the latency regression as primary; '
-                || 're-check error rate after latency is addressed.'
-              WHEN w.has_err THEN
-                'Error rate spiked to ' || {err} || '% without an accompanying latency regression. '
-                || 'This points to a functional bug (e.g. input validation, parsing, or an upstream '
-                || 'schema change) rather than a performance issue. Check recent '
-                || 'non-timing-related code or config changes.'
-              WHEN w.has_p95 THEN
-                'Overall latency regressed by ' || {p95} || '% without a clearly dominant single '
-                || 'stage. Check for a broad infrastructure issue (host contention, network) '
-                || 'rather than a single pipeline stage.'
-              ELSE 'Regression(s) detected on ' || w.names || ' but the pattern doesn''t match '
-                || 'a known rule. Manual investigation needed.' END AS summary
+                {fill_sql(RC.STAGE_SUMMARY, p95=p95, stage=stage, stage_delta=sd)}
+              WHEN w.has_err AND w.has_p95 THEN {fill_sql(RC.CASCADE_SUMMARY, p95=p95, err=err)}
+              WHEN w.has_err THEN {fill_sql(RC.ERROR_SUMMARY, err=err)}
+              WHEN w.has_p95 THEN {fill_sql(RC.LATENCY_SUMMARY, p95=p95)}
+              ELSE {fill_sql(RC.UNMATCHED_SUMMARY, names='w.names')} END AS summary
   FROM win{sfx} w JOIN rids{sfx} i USING (window_start, window_minutes))"""
     return [evd, win, ids, rca]
 
@@ -309,26 +315,31 @@ SELECT b.rca_report_id, b.regression_id, r.root_cause_category, r.confidence,
 FROM (SELECT id AS rca_report_id, unnest(regression_ids) AS regression_id FROM rca) b
 JOIN rca r ON r.id = b.rca_report_id JOIN reg g ON g.id = b.regression_id"""
 _UPS = "window_start, window_minutes, root_cause_category, confidence, summary"
+_NEXT = ("(SELECT coalesce(max(id), 0) FROM rca_e) "
+         "+ row_number() OVER (ORDER BY window_minutes, window_start)")
 SQL["rca_upsert"] = with_(*FULL_RCA, *EARLY, *rca_chain("_e")) + f"""
-SELECT {_UPS}, 'stored' AS origin FROM rca_e
+SELECT id, {_UPS}, 'stored' AS origin FROM rca_e
 UNION ALL
-SELECT {_UPS}, 'fresh' FROM rca f
+SELECT {_NEXT}, {_UPS}, 'fresh' FROM rca f
 WHERE NOT EXISTS (SELECT 1 FROM rca_e e WHERE e.window_start = f.window_start
                   AND e.window_minutes = f.window_minutes)"""
 SQL["rca_upsert_force"] = with_(*FULL_RCA, *EARLY, *rca_chain("_e")) + f"""
-SELECT {_UPS}, 'stored' AS origin FROM rca_e e
+SELECT id, {_UPS}, 'stored' AS origin FROM rca_e e
 WHERE NOT EXISTS (SELECT 1 FROM rca f WHERE e.window_start = f.window_start
                   AND e.window_minutes = f.window_minutes)
 UNION ALL
-SELECT {_UPS}, 'fresh' FROM rca"""
+SELECT {_NEXT}, {_UPS}, 'fresh' FROM rca"""
 SQL["flagged_points"] = with_(*FULL_REG) + f"""
 SELECT m.window_start, m.window_end, m.window_minutes, m.metric_name, {R('m.value', 'value')},
        m.window_start IN (SELECT window_start FROM reg) AS flagged
 FROM mts m WHERE m.window_minutes = 1440 AND m.metric_name IN (SELECT metric_name FROM cfg)"""
-SQL["metrics_replace_window"] = with_(*BASE_MTS, *mts_chain("_e", CUT)) + f"""
-SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')} FROM mts_e e
-WHERE NOT EXISTS (SELECT 1 FROM mts f WHERE f.window_start >= TIMESTAMP '2024-01-20'
-                  AND f.window_start = e.window_start AND f.window_minutes = e.window_minutes)
+_REDONE = """redone AS (
+  SELECT DISTINCT window_start, window_minutes FROM mts WHERE window_start >= TIMESTAMP '2024-01-20')"""
+SQL["metrics_replace_window"] = with_(*[c.replace(" AS (", " AS MATERIALIZED (", 1) for c in (
+    *BASE_MTS, *mts_chain("_e", CUT), _REDONE)]) + f"""
+SELECT e.window_start, e.window_end, e.window_minutes, e.metric_name, {R('e.value', 'value')}
+FROM mts_e e LEFT JOIN redone d ON d.window_start = e.window_start AND d.window_minutes = e.window_minutes
+WHERE d.window_start IS NULL
 UNION ALL
 SELECT window_start, window_end, window_minutes, metric_name, {R('value', 'value')} FROM mts
 WHERE window_start >= TIMESTAMP '2024-01-20'"""
@@ -340,9 +351,7 @@ FROM rca ORDER BY window_start DESC, id LIMIT 50"""
 
 
 # ---- evaluation ------------------------------------------------------------
-_SW = ("the is a an of to and in on for that this it as are was were be by with at from or "
-       "not but can will which into than").split()
-_SW_SQL = "[" + ", ".join(f"'{w}'" for w in _SW) + "]"
+_SW_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(EVAL_STOPWORDS)) + "]"
 
 
 def tok(x: str) -> str:
@@ -366,20 +375,18 @@ TURNS = """turns AS (
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
 
-_FR = "Fraction of the answer''s content words also present in retrieved context."
-_RR = "Fraction of the query''s content words addressed in the answer."
-_JS = "[FALLBACK: NO GEMINI_API_KEY SET] judge skipped"
+_FR, _RR, _JS = (_sqlstr(s) for s in (FAITHFULNESS_REASONING, RELEVANCE_REASONING, JUDGE_SKIPPED_REASONING))
 
 
 def evals_of(src: str, evaluators: str = "") -> str:
     rows = f"""
   SELECT trace_id, 'heuristic_faithfulness_overlap' AS evaluator_name, {overlap('answer', 'context')} AS score,
-         '{_FR}' AS reasoning, false AS skipped, 0 AS attempt FROM {src}
-  UNION ALL SELECT trace_id, 'heuristic_relevance_keyword', {overlap('query', 'answer')}, '{_RR}', false, 0 FROM {src}"""
+         {_FR} AS reasoning, false AS skipped, 0 AS attempt FROM {src}
+  UNION ALL SELECT trace_id, 'heuristic_relevance_keyword', {overlap('query', 'answer')}, {_RR}, false, 0 FROM {src}"""
     if evaluators != "heuristic":
         rows += f"""
-  UNION ALL SELECT trace_id, 'llm_judge_faithfulness', NULL::DOUBLE, '{_JS}', true, 0 FROM {src}
-  UNION ALL SELECT trace_id, 'llm_judge_relevance', NULL::DOUBLE, '{_JS}', true, 0 FROM {src}"""
+  UNION ALL SELECT trace_id, 'llm_judge_faithfulness', NULL::DOUBLE, {_JS}, true, 0 FROM {src}
+  UNION ALL SELECT trace_id, 'llm_judge_relevance', NULL::DOUBLE, {_JS}, true, 0 FROM {src}"""
     return rows
 
 
@@ -479,24 +486,6 @@ SELECT conv_id, turn, {pystrip_sql('text')} AS query,
 FROM conversations WHERE role = 'user'"""
 
 
-def _sqlstr(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def fill_sql(template: str, **cols: str) -> str:
-    import re
-    names = "|".join(cols)
-    out, pos = [], 0
-    for m in re.finditer(r"\{(" + names + r")\}", template):
-        if m.start() > pos:
-            out.append(_sqlstr(template[pos:m.start()]))
-        out.append(f"({cols[m.group(1)]})")
-        pos = m.end()
-    if pos < len(template):
-        out.append(_sqlstr(template[pos:]))
-    return " || ".join(out)
-
-
 def _render_sql() -> str:
     from tracewise.operators.evaluate import (JUDGE_FAITHFULNESS_PROMPT, JUDGE_RELEVANCE_PROMPT,
                                               NO_CONTEXT_PLACEHOLDER, RAG_PROMPT)
@@ -512,11 +501,11 @@ FROM turns"""
 
 SQL["render_prompts"] = _render_sql()
 SQL["parse_judge_replies"] = f"""
-SELECT CAST(event_id AS VARCHAR) AS event_id, {R("TRY_CAST(json_extract(props, '$.score') AS DOUBLE)", 'score')},
+SELECT CAST(event_id AS VARCHAR) AS event_id, {R("TRY_CAST(json_extract_string(props, '$.score') AS DOUBLE)", 'score')},
        CASE WHEN NOT json_valid(props) THEN '[JUDGE ERROR] invalid JSON'
-            WHEN TRY_CAST(json_extract(props, '$.score') AS DOUBLE) IS NULL THEN '[JUDGE ERROR] ''score'''
+            WHEN TRY_CAST(json_extract_string(props, '$.score') AS DOUBLE) IS NULL THEN '[JUDGE ERROR] ''score'''
             ELSE coalesce(json_extract_string(props, '$.reasoning'), '') END AS reasoning,
-       TRY_CAST(json_extract(props, '$.score') AS DOUBLE) IS NULL AS skipped
+       TRY_CAST(json_extract_string(props, '$.score') AS DOUBLE) IS NULL AS skipped
 FROM events"""
 
 
@@ -662,10 +651,8 @@ ALOG = """alog AS (
   SELECT 'rca', CAST(id AS VARCHAR), true, NULL, window_start + INTERVAL 1 DAY
   FROM rca WHERE window_start < TIMESTAMP '2024-01-20 12:00:00')"""
 DUE = """cands AS (
-  SELECT * FROM (SELECT 'regression' AS alert_type, CAST(id AS VARCHAR) AS reference_id FROM reg
-                 ORDER BY window_start DESC, id LIMIT 50)
-  UNION ALL
-  SELECT * FROM (SELECT 'rca', CAST(id AS VARCHAR) FROM rca ORDER BY window_start DESC, id LIMIT 50)),
+  SELECT 'regression' AS alert_type, CAST(id AS VARCHAR) AS reference_id FROM reg
+  UNION ALL SELECT 'rca', CAST(id AS VARCHAR) FROM rca),
 due AS (SELECT * FROM cands c WHERE NOT EXISTS (
   SELECT 1 FROM alog l WHERE l.success AND l.alert_type = c.alert_type AND l.reference_id = c.reference_id))"""
 OUTBOX = (*FULL_RCA, ALOG, DUE)

@@ -58,7 +58,7 @@ def get_session(master: str | None = None, app_name: str = "tracewise",
     spark = builder.getOrCreate()
     # runtime SQL confs also apply to an already running session
     for k, v in conf.items():
-        if k.startswith("spark.sql."):
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark

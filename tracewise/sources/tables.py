@@ -30,9 +30,9 @@ def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def scan_stage_events(spark: SparkSession, path: str, with_corrupt: bool = False) -> DataFrame:
     """JSON-lines stage-event log with the declared schema.
 
-    Blank lines are skipped by the JSON source; malformed lines do not stop
-    the job -- with ``with_corrupt`` they come back in ``_corrupt_record``
-    (all other columns null) so they can be routed to a side table.  A
+    Blank lines are skipped by the JSON source; a malformed line fails the
+    job.  With ``with_corrupt`` such lines come back in ``_corrupt_record``
+    instead (all other columns null), to be routed to a side table.  A
     missing path gives an empty frame, like the reference.
     """
     schema = STAGE_EVENT
@@ -41,7 +41,7 @@ def scan_stage_events(spark: SparkSession, path: str, with_corrupt: bool = False
         schema = T.StructType(list(STAGE_EVENT.fields) + [T.StructField("_corrupt_record", T.StringType())])
     try:
         df = (spark.read.schema(schema)
-              .option("mode", "PERMISSIVE")
+              .option("mode", "PERMISSIVE" if with_corrupt else "FAILFAST")
               .option("columnNameOfCorruptRecord", "_corrupt_record")
               .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX][X]")
               .json(path))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,10 @@ def sync_batch(table_path: str, key: list[str]) -> Callable[[DataFrame, int], No
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            stored = spark.read.parquet(table_path)
-        except Exception:  # first batch: table does not exist yet
+            stored = spark.read.schema(batch.schema).parquet(table_path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":    # not the first batch: let it fail
+                raise
             stored = None
         rows = batch.dropDuplicates(key)
         if stored is not None:
