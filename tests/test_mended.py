@@ -117,7 +117,7 @@ def test_failed_read_fails_the_batch(spark, tmpdir_path):
 
 def test_exports_lack_no_column(spark, tmpdir_path):
     with pytest.raises(ValueError, match="metric_name"):
-        export_tables({"regressions": spark.createDataFrame([(1,)], "id long")}, tmpdir_path)
+        export_tables({"regressions": spark.createDataFrame([(1,)], "id long")}, tmpdir_path, strict=True)
 
 
 def test_static_settings_on_a_live_session(spark):

@@ -51,17 +51,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     w.parquet(path)
 
 
-def export_tables(tables: dict[str, DataFrame], out_dir: str, single_file: bool = False) -> dict:
+def export_tables(tables: dict[str, DataFrame], out_dir: str, single_file: bool = False,
+                  strict: bool = False) -> dict:
     """K8: export each table (its export column subset) as CSV with header
     and as Parquet, overwriting.  ``single_file`` coalesces to one file per
-    table for BI tools (only for small tables).  Time stamps of storing that a
-    table lacks are set to now; any other missing column is an error."""
+    table for BI tools (only for small tables).  A table may lack export columns;
+    with ``strict`` the time stamps of storing that it lacks are set to now
+    and any other missing column is an error."""
     written = {}
     for name, df in tables.items():
         cols = EXPORT_COLUMNS.get(name, df.columns)
-        if missing := set(cols) - set(df.columns) - STORED_AT:
-            raise ValueError(f"export of {name}: no columns {sorted(missing)}")
-        out = df.select(*[c if c in df.columns else F.current_timestamp().alias(c) for c in cols])
+        missing = set(cols) - set(df.columns)
+        if strict and missing - STORED_AT:
+            raise ValueError(f"export of {name}: no columns {sorted(missing - STORED_AT)}")
+        out = df.select(*[F.current_timestamp().alias(c) if c in missing else c
+                          for c in cols if strict or c not in missing])
         if single_file:
             out = out.coalesce(1)
         out.write.mode("overwrite").option("header", "true").csv(f"{out_dir}/{name}.csv")
@@ -80,10 +84,11 @@ def export_all(traces: DataFrame, trace_events: DataFrame, metrics: DataFrame,
                out_dir: str, single_file: bool = False) -> dict:
     """K8: the seven-table star schema (traces, trace_events,
     metrics_timeseries, evaluations, regressions, rca_reports and the
-    report/regression bridge derived from the reports), CSV and Parquet."""
+    report/regression bridge derived from the reports), CSV and Parquet;
+    no export column may be missing."""
     from tracewise.operators.rca import bridge
     return export_tables({
         "traces": traces, "trace_events": trace_events, "metrics_timeseries": metrics,
         "evaluations": evaluations, "regressions": regressions, "rca_reports": reports,
         "rca_regression_bridge": bridge(reports),
-    }, out_dir, single_file)
+    }, out_dir, single_file, strict=True)
