@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id."""
-    return op9_jaccard.one_of_each(docs)
+    """One document of each group of near duplicates (five-word shingles, 80 percent), that of the least doc_id."""
+    return op9_jaccard.one_of_each(docs, n=5, similar=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
