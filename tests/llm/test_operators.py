@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewise.llm import (op1_resample, op2_repeats, op3_tokens, op4_licences, op5_private, op6_warc, op7_rules,
                            op8_pieces, op9_jaccard, op10_decontaminate)
@@ -150,6 +151,34 @@ def test_jaccard(spark, docs, texts, edge_docs, no_docs):
     assert op9_jaccard.groups(no_docs).count() == 0
 
 
+def test_jaccard_block_of_several_sizes(spark):
+    """Sets of 105 and 106 shingles, J = 97/114, share 7 leading ones; the block of the latter spans sizes 104 to 107."""
+    def group(k):
+        def new(kind, n):
+            return [f"{kind}{k}x{i}" for i in range(n)]
+        p, q, s, a, b, d = (new(kind, n) for kind, n in zip("pqsabd", (100, 90, 94, 8, 9, 10)))
+        return [p + a, p + b, p + d, p[-3:] + a + q, p[-3:] + d + s] + [p + new("f", 300)] * 4 + [q] * 4 + [s] * 4
+    names = (39, 67, 87, 98, 116, 123, 162, 245, 288, 297, 319, 348)      # hashes that deal the pair to two blocks
+    rows = [(100 * k + i, " ".join(t)) for k in names for i, t in enumerate(group(k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in op9_jaccard.groups(docs).collect()}
+    assert [k for k in names if got[100 * k] != got[100 * k + 1]] == []
+
+
+def test_jaccard_bound(spark):
+    def least(a, b, s):
+        return max(1, -(-s * (a + b) // (100 + s)) - max(-(-s * a // 100), -(-s * b // 100)) + 1)
+    rows = [(a, lo, lo + w) for a in (1, 5, 20, 105, 106, 397, 1000) for lo in range(max(1, a * 3 // 4), a * 4 // 3)
+            for w in (0, 1, 3, 17)]
+    ranges = spark.createDataFrame(rows, "size long, lo long, hi long")
+    for s in (80, 85):
+        bound = op9_jaccard._least_met_in(*(F.col(c) for c in ("size", "lo", "hi")), s)
+        for r in ranges.select("*", bound.alias("bound")).collect():
+            sizes = [b for b in range(r.lo, r.hi + 1) if 100 * min(r.size, b) >= s * max(r.size, b)]
+            exact = min((least(r.size, b, s) for b in sizes), default=r.bound)
+            assert max(1, exact - 1) <= r.bound <= exact
+
+
 def test_decontamination(spark, edge_docs, no_docs):
     item = [f"w{i}" for i in range(30)]
     spoilt = [("x" if i % 6 == 5 else w) for i, w in enumerate(item)]

@@ -277,6 +277,19 @@ def _least_met(size: Column, other: Column, similar: int) -> Column:
     return F.greatest(F.lit(1), need - F.greatest(behind(size), behind(other)))
 
 
+def _least_met_in(size: Column, lo: Column, hi: Column, similar: int) -> Column:
+    """A lower bound of ``_least_met`` for all other sizes from ``lo`` to ``hi`` that can link.
+
+    Its ceilings make ``_least_met`` rise and fall between the ends.  Without those of the
+    other size (ceil(x / 100) <= (x + 99) / 100) it is concave in that size, hence least at an end.
+    """
+    lo, hi = F.greatest(lo, F.ceil(size * similar / 100 - 1e-6)), F.least(hi, F.floor(size * 100 / similar + 1e-6))
+    own = F.ceil(F.lit(similar) * size / F.lit(100) - 1e-6) - 1
+    plain = lambda n: F.lit(similar) * (size + n) / F.lit(100 + similar) - F.greatest(own, (F.lit(similar) * n - 1) / F.lit(100))
+    return F.when(lo == hi, _least_met(size, lo, similar)).otherwise(
+        F.greatest(F.lit(1), F.ceil(F.least(plain(lo), plain(hi)) - 1e-6)))
+
+
 def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, size, node of every document; links node, other between nodes).
 
@@ -319,8 +332,7 @@ def link_rows(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> tupl
            .groupBy("node", "root", "m_block").agg(F.count("*").alias("met"), F.max("size").alias("size"))
            .join(span, F.col("m_block") == F.col("s_block")))
     size, lo, hi = F.col("size"), F.col("b_min"), F.col("b_max")
-    least = F.least(*[_least_met(size, other, similar) for other in (
-        F.greatest(lo, F.ceil(size * similar / 100 - 1e-6)), F.least(hi, F.floor(size * 100 / similar + 1e-6)))])
+    least = _least_met_in(size, lo, hi, similar)
     asked = store(met.where((size * 100 >= lo * similar) & (hi * 100 >= size * similar) & (F.col("met") >= least))
                   .select("node", "root", F.col("m_block").alias("block")), "asked")
     held = group.join(asked.select("block").distinct(), "block", "left_semi").select("node", "root", "block")
