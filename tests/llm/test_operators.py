@@ -1,6 +1,7 @@
 """Each operator against a brute-force form, and on edge rows and empty tables."""
 import collections
 import hashlib
+import os
 import re
 
 import pytest
@@ -63,6 +64,30 @@ def test_licences(spark, edge_docs, no_docs):
     assert op4_licences.scan(no_docs).count() == 0
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_whole_licences(spark):
+    mit = next(t for n, t in op4_licences.NOTICES if t.startswith("MIT License"))
+    cases = [("ISC", "ISC License\n\nCopyright (c) 2021, A. Person\n\n" + ISC), ("MIT", "(c) 2020 A. Person\n" + mit[len("MIT License"):])]
+    cases += [("MIT", "\n".join(mark + line for line in ["Copyright (c) 2020 A. Person", "", *mit.split("\n")]))
+              for mark in ("# ", "// ", " * ")]
+    kept = "/usr/share/common-licenses/"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"),
+                       ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(kept + file):
+            with open(kept + file, encoding="utf-8") as f:
+                cases.append((name, f.read()))
+    rows = [(i, t) for i, (_, t) in enumerate(cases)] + [(len(cases), ISC[:-9])]
+    got = {r.doc_id: r.license for r in op4_licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in cases] + [None]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
