@@ -1,6 +1,7 @@
 """Each operator against a brute-force form, and on edge rows and empty tables."""
 import collections
 import hashlib
+import itertools
 import os
 import re
 
@@ -217,6 +218,22 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert op10_decontaminate.overlaps(no_docs, bench).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    """Items of 1 to 15 words are found with every pattern of as many substitutions as 80 percent allow, not with more."""
+    bench, rows, want = [], [], set()
+    for n in range(1, 16):
+        words, most = [f"i{n}w{k}" for k in range(n)], n // 5
+        bench.append((n, " ".join(words)))
+        for count in range(most + 2):
+            for gone in list(itertools.combinations(range(n), count))[:600 if count <= most else 20]:
+                text = ["x" if k in gone else w for k, w in enumerate(words)]
+                rows.append((len(rows), " ".join(["before", *text, "after it"])))
+                want |= {(len(rows) - 1, n, n, n - count)} if count <= most else set()
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    found = op10_decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {tuple(r) for r in found.collect()} ^ want == set()
+
+
 def test_resampling(spark, docs, labels, edge_docs, no_docs):
     own = spark.read.parquet(f"{SF}/labels.parquet")
     got = op1_resample.resample(docs, own, k=50).collect()

@@ -6,7 +6,9 @@ benchmark and corpus are joined; around each hit the words of both sides are
 aligned, and an overlap counts if some run of ``window`` aligned words (of all
 the item's words, if those are fewer) that holds the hit has at least
 ``similarity`` equal ones.  The two masks below miss no run of 16 words with up
-to three substitutions (all 560 patterns were tried).
+to three substitutions (all 560 patterns were tried).  An item of fewer words
+than ``window`` that may have e unequal ones is cut into e + 1 pieces of equal
+length besides: one of them stands in every overlap as it is.
 
 The corpus is scanned once.  A position's seed hash is first asked of a
 fixed-size bit table of the benchmark's hashes (2 MB, whatever the benchmark's
@@ -15,7 +17,7 @@ size: a full table only lets more through); what passes is joined by hash.
 Words are maximal runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.
 
 Defined results: null and empty texts overlap with nothing; items of fewer
-than ``shortest`` words are not looked for; items of one id are taken apart,
+than ``shortest`` words (1: those without words) are not looked for; items of one id are taken apart,
 and a pair's figures are those of its best item; a repeated document gives
 equal rows once; other columns are dropped (``overlaps``) or kept (``clean``).
 """
@@ -36,7 +38,7 @@ from tracewise.llm.common import ship_by_value, store
 MASKS = ("111011", "110111")
 WINDOW = 16
 SIMILARITY = 0.8
-SHORTEST = 8
+SHORTEST = 1
 _BITS = 24
 
 
@@ -76,7 +78,13 @@ def bit_table(seeds: DataFrame) -> np.ndarray:
     return np.packbits(table)
 
 
-def benchmark_items(benchmark: DataFrame, masks=MASKS, shortest: int = SHORTEST) -> DataFrame:
+def piece_length(size: int, similarity: float) -> int:
+    """Words of a piece of which ``size`` words hold one more than words may be unequal."""
+    return max(1, size // (size - need(size, similarity) + 1))
+
+
+def benchmark_items(benchmark: DataFrame, masks=MASKS, shortest: int = SHORTEST, window: int = WINDOW,
+                    similarity: float = SIMILARITY) -> DataFrame:
     """item (a number of its own), item_id, words (hashes), seeds [hash, first, span]."""
     ship_by_value()
 
@@ -87,11 +95,14 @@ def benchmark_items(benchmark: DataFrame, masks=MASKS, shortest: int = SHORTEST)
                 ids, words, seeds = [], [], []
                 for k in range(part.num_rows):
                     own = w.hash[w.first[k]:w.first[k + 1]]
-                    if len(own) < shortest:
+                    if len(own) < max(1, shortest):
                         continue
                     rows = []
-                    for mask in masks:
+                    length = piece_length(len(own), similarity) if len(own) < window else 0
+                    for mask in [*masks, "1" * length] if length else masks:
                         h, at = seed_hashes(own, np.zeros(len(own), np.int64), mask)
+                        if mask not in masks:          # side by side
+                            h, at = h[::length], at[::length]
                         rows += [{"hash": x, "first": p, "span": len(mask)} for x, p in zip(W.signed(h).tolist(), at.tolist())]
                     ids.append(part.column(0)[k].as_py())
                     words.append(W.signed(own).tolist())
@@ -184,10 +195,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
              shortest: int = SHORTEST) -> DataFrame:
     """Verified overlaps: doc_id, item_id, n_words (covered), n_equal."""
     ship_by_value()
-    items = store(benchmark_items(benchmark, masks, shortest), "items")
+    items = store(benchmark_items(benchmark, masks, shortest, window, similarity), "items")
     seeds = items.select("item", F.explode("seeds").alias("s")).select(
         "item", F.col("s.hash").alias("hash"), F.col("s.first").alias("i_first"), "s.span")
-    segments = store(corpus_segments(docs, bit_table(seeds), masks, window)
+    # the masks of pieces run over the corpus only if some item has such pieces: fewer sizes than ``window`` come here
+    size = F.size("words")
+    short = {piece_length(r.n, similarity) for r in items.where(size < window).select(size.alias("n")).distinct().collect()}
+    every = [*masks, *("1" * n for n in sorted(short) if "1" * n not in masks)]
+    segments = store(corpus_segments(docs, bit_table(seeds), every, window)
                      .select(F.monotonically_increasing_id().alias("segment"), "*"), "segments")
     hit = (segments.select("segment", F.explode("hits").alias("h"))
            .select("segment", F.col("h.hash").alias("hash"), F.col("h.first").alias("d_first")).join(seeds, "hash")
