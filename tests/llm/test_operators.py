@@ -218,6 +218,16 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert op10_decontaminate.overlaps(no_docs, bench).count() == 0
 
 
+def test_clean_judges_rows(spark):
+    """Of two rows without doc_id, and of two texts of one doc_id, only the leaked one goes."""
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, "see " + item), (None, "clean text"), (4, item), (4, "other text"), (5, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = [tuple(r) for r in op10_decontaminate.clean(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_decontamination_short_items(spark):
     """Items of 1 to 15 words are found with every pattern of as many substitutions as 80 percent allow, not with more."""
     bench, rows, want = [], [], set()

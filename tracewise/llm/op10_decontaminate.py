@@ -229,6 +229,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; all columns stay."""
-    leaked = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+    """``docs`` without the rows whose text overlaps with a benchmark item; all columns stay.
+
+    Rows are judged one by one, by doc_id and text: others of the same doc_id, or without one, stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    leaked = (overlaps(docs.select(key.alias("doc_id"), "text"), benchmark, **how)
+              .select(F.col("doc_id").alias("__leaked")).distinct())
+    return docs.join(leaked, key == F.col("__leaked"), "left_anti")
