@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import op4_licences, op6_warc
+from tracewise.llm import op4_licences, op6_warc, op12_search
 from tracewise.llm.common import read
 from tracewise.llm.op1_resample import resample
 from tracewise.llm.op10_decontaminate import overlaps
+from tracewise.llm.op11_runs import periodic_runs
+from tracewise.llm.op13_language import identify
 from tracewise.llm.op2_repeats import remove_repeats
 from tracewise.llm.op3_tokens import token_counts
 from tracewise.llm.op5_private import find
@@ -61,8 +63,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read(spark, sf_dir, "documents"), planted=True)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_suffix_array_dedup, op3_token_counts, op4_license_scan, op5_private_data,
-    op6_warc_revisits, op7_quality_rules, op8_sentencepiece, op9_jaccard_join, op10_decontamination)}
+    op6_warc_revisits, op7_quality_rules, op8_sentencepiece, op9_jaccard_join, op10_decontamination, op11_periodic_runs,
+    op12_ranked_search, op13_language_id)}
 
-SQL = {"op4_license_scan": op4_licences.SQL, "op6_warc_revisits": op6_warc.SQL}
+SQL = {"op4_license_scan": op4_licences.SQL, "op6_warc_revisits": op6_warc.SQL,
+       "op12_ranked_search": op12_search.SQL}

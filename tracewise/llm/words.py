@@ -32,27 +32,21 @@ def _geometric(base, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_LOW = _geometric(_BASE, 1 << 16)
-_HIGH_BASE = (_LOW[-1:] * _LOW[1:2])[0]
-
-
-def power_at(at: np.ndarray) -> np.ndarray:
-    """The hash base to the power ``at`` modulo 2^64, for any length."""
-    top = int(at.max()) if len(at) else 0
-    if top < 1 << 16:
-        return _LOW[at]
-    return _LOW[at & 0xFFFF] * _geometric(_HIGH_BASE, (top >> 16) + 1)[at >> 16]
-
-
 def run_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
                lengths: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each run ``values[s:s+n]`` (uint64, n >= 1); the runs lie back to back from 0.
 
+    Each value is mixed with its place before the sum: a plain polynomial modulo
+    2^64 gives a Thue-Morse word and its complement one hash, whatever its base.
     ``lengths`` replaces the runs' sizes where values of 0 at their ends don't count.
     """
-    inside = np.arange(len(values), dtype=np.int64) - np.repeat(starts, sizes)
-    lengths = sizes if lengths is None else lengths
-    return mix(np.add.reduceat(values * power_at(inside), starts) + lengths.astype(np.uint64) * _STEP)
+    inside = np.arange(len(values), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), sizes)
+    each = mix(values + (inside + np.uint64(1)) * _STEP)
+    if lengths is None:
+        lengths = sizes
+    else:
+        each[values == 0] = 0
+    return mix(np.add.reduceat(each, starts) + lengths.astype(np.uint64) * _BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,10 +112,10 @@ class Words:
     first: np.ndarray       # first word of each row, len(rows) + 1 entries
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Hash every word of every row; ``lower`` folds A-Z first."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE) -> Words:
+    """Hash every word of every row; ``lower`` folds A-Z first, ``apart`` marks the bytes between words."""
     n, rows = len(data), len(offsets) - 1
-    solid = ~SPACE[data]
+    solid = ~apart[data]
     begins = np.zeros(n + 1, dtype=bool)
     begins[offsets[:-1]] = True
     fresh = solid.copy()
@@ -152,6 +146,23 @@ def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return mix(acc + _N_STEP[n]), at
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices ``start[i] .. start[i] + size[i] - 1`` of all i, one after another."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - before, size)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray,
+               other: np.ndarray, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether ``data[start:start+size]`` equals ``other[other_start:other_start+other_size]``, run by run (no run empty)."""
+    same = size == other_size
+    if same.any():
+        n = size[same]
+        equal = data[ragged(start[same], n)] == other[ragged(other_start[same], n)]
+        same[same] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as Spark's long."""
     return x.view(np.int64)
