@@ -48,6 +48,7 @@ MERGE_PARTS = 256              # parts of an item's candidates that are cut to t
 #: Bytes between terms: ASCII without letters and digits.
 APART = np.zeros(256, dtype=bool)
 APART[:128] = [not chr(c).isalnum() for c in range(128)]
+_ROW_BITS, _KEY_BITS = np.uint64(16), np.uint64(48)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -101,7 +102,7 @@ def _frequencies(docs: DataFrame, q: Queries) -> dict[int, int]:
                 own = np.searchsorted(ordered, q.hash, side="right") - lo
                 term = np.repeat(np.arange(len(own)), own)
                 token = order[W.ragged(lo, own)]
-                same = W.same_bytes(_FOLD[data], w.start[token], (w.end - w.start)[token], q.data, q.start[term], q.size[term])
+                same = W.same_bytes(_FOLD[data], w.start[token], w.end[token] - w.start[token], q.data, q.start[term], q.size[term])
                 term, row = term[same], w.row[token[same]]
                 fresh = np.append(True, (term[1:] != term[:-1]) | (row[1:] != row[:-1]))[:len(term)]
                 df += np.bincount(term[fresh], minlength=len(df))
@@ -114,22 +115,22 @@ def _frequencies(docs: DataFrame, q: Queries) -> dict[int, int]:
 
 
 class _Slice:
-    """The documents of a slice: terms in the order of (document, hash), counted by hash."""
+    """The documents of a slice: terms in the order of (document, hash), counted by the hash's upper 48 bits.
+
+    Terms that share these bits count as one, which makes bounds larger; scores compare the bytes.
+    """
 
     def __init__(self, part, data, offsets, n_docs, n_terms):
         self.ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
         self.data = _FOLD[data]
         self.words = w = _terms(data, offsets)
-        order = np.argsort(w.hash, kind="stable")
-        row = w.row[order]
-        if len(part) <= 1 << 16:
-            row = row.astype(np.uint16)
-        self.order = order = order[np.argsort(row, kind="stable")]
-        hashed, row = w.hash[order], w.row[order]
-        fresh = np.append(True, (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1]))[:len(row)]
-        self.at = np.flatnonzero(fresh)
-        self.hash, self.row = hashed[self.at], row[self.at]
-        self.tf = np.diff(np.append(self.at, len(order)))
+        key = _cell_key(w.row, w.hash)
+        self.order = np.argsort(key)
+        key = key[self.order]
+        self.at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        self.key = key[self.at]
+        self.row = (self.key >> _KEY_BITS).astype(np.int64)
+        self.tf = np.diff(np.append(self.at, len(key)))
         self.first = np.searchsorted(self.row, np.arange(len(part) + 1))
         self.n = np.diff(w.first)
         self.m = 25 + (75 * self.n * n_docs) // max(n_terms, 1)
@@ -150,16 +151,11 @@ class _Slice:
     def scores(self, q: Queries, item: int, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact scores of documents for an item."""
         terms, times = q.terms[item], q.times[item]
-        hashed = q.hash[terms]
-        found = []
-        for r in rows:
-            a, b = self.first[r], self.first[r + 1]
-            at = np.searchsorted(self.hash[a:b], hashed)
-            found.append(np.where(at < b - a, a + at, a))
-        cell = np.concatenate(found)
         term = np.tile(np.arange(len(terms)), len(rows))
         doc = np.repeat(np.arange(len(rows)), len(terms))
-        hit = self.hash[cell] == hashed[term]
+        key = _cell_key(rows[doc], q.hash[terms[term]])
+        cell = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[cell] == key
         cell, term, doc = cell[hit], term[hit], doc[hit]
         out = np.zeros(len(rows), np.int64)
         if not len(cell):
@@ -168,13 +164,17 @@ class _Slice:
         token = self.order[W.ragged(self.at[cell], n)]
         own = np.repeat(terms[term], n)
         w = self.words
-        same = W.same_bytes(self.data, w.start[token], (w.end - w.start)[token], q.data, q.start[own], q.size[own])
+        same = W.same_bytes(self.data, w.start[token], w.end[token] - w.start[token], q.data, q.start[own], q.size[own])
         tf = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
         gain = (1_000_000_000 * tf) // (1000 * tf + 8 * self.m[rows[doc]])
         np.add.at(out, doc, weights[terms[term]] * times[term] * gain)
         return out
 
 
+def _cell_key(row: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    return (row.astype(np.uint64) << _KEY_BITS) | (hashed >> _ROW_BITS)
+
+
 def _places(load: int) -> int:
     """Signature rows of a block whose largest document has ``load`` (term, level) pairs: a power of two."""
     return 1 << max(6, (load * SPARSE - 1).bit_length())
@@ -192,7 +192,7 @@ class _Block:
         n = part.first[rows + 1] - part.first[rows]
         cell = W.ragged(part.first[rows], n)
         column = np.repeat(np.arange(len(rows)), n)
-        hashed, tf = part.hash[cell], part.tf[cell]
+        hashed, tf = part.key[cell] << _ROW_BITS, part.tf[cell]
         level = np.frexp(tf.astype(np.float64))[1]
         self.levels = int(level.max())
         self.width = _places(int(np.bincount(column, weights=level).max()))
@@ -212,7 +212,7 @@ class _Block:
         out = np.zeros((len(hashed), n))
         left, seen = np.arange(len(hashed)), None
         for at in range(self.levels):
-            own = hashed[left]
+            own = (hashed[left] >> _ROW_BITS) << _ROW_BITS
             rows = self.slices[_place(own, at, 0, self.width)]
             for i in range(1, PLACES):
                 rows &= self.slices[_place(own, at, i, self.width)]
@@ -240,7 +240,7 @@ def _search(q: Queries, weights: np.ndarray, n_docs: int, n_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {i: [] for i in asked}
         for batch in batches:
-            for part, data, offsets in W.text_slices(batch, slice_bytes=SLICE_BYTES):
+            for part, data, offsets in _slices(batch):
                 docs = _Slice(part, data, offsets, n_docs, n_terms)
                 for rows in docs.blocks(most):
                     bound = _Block(docs, rows).bounds(q.hash)
@@ -255,6 +255,11 @@ def _search(q: Queries, weights: np.ndarray, n_docs: int, n_terms: int):
     return run
 
 
+def _slices(batch: pa.RecordBatch):
+    for lo in range(0, len(batch), 1 << int(_ROW_BITS)):
+        yield from W.text_slices(batch.slice(lo, 1 << int(_ROW_BITS)), slice_bytes=SLICE_BYTES)
+
+
 def _take(docs: _Slice, q: Queries, item: int, weights, rows, top, best: list) -> None:
     """Score the documents that may enter the best ten, highest bound first; the others are proven too low."""
     least = best[-1][0] if len(best) == TOP else 1
