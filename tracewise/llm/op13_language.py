@@ -40,7 +40,7 @@ from tracewise.llm.common import ship_by_value
 ORDER = 4
 MODEL_GRAMS = 1 << 20          # strings that the models of all languages hold
 TASK_GRAMS = 1 << 21           # distinct strings a task holds before it sends them on
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 
 _BYTE = np.uint64(8)
