@@ -148,6 +148,44 @@ def test_quality_rules(spark, docs, texts, edge_docs, no_docs, labels):
     assert op7_rules.quality_rules(no_docs, labels.limit(0)).count() == 0
 
 
+def all_paths(unit, scores):
+    """The best sum of scores over every segmentation of ``unit``."""
+    best = [0.0] + [float("-inf")] * len(unit)
+    for end in range(1, len(unit) + 1):
+        for start in range(end):
+            if unit[start:end] in scores:
+                best[end] = max(best[end], best[start] + scores[unit[start:end]])
+    return best[-1]
+
+
+def test_best_path_of_a_unigram_model(monkeypatch):
+    import random
+
+    import sentencepiece
+    rnd = random.Random(3)
+    letters = "ab" + op8_pieces.MARK
+    names = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 6))) for _ in range(60)} | set(letters))
+    pieces = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), *names]
+    scores = {p: (-20.0 if p[:1] == "<" else -rnd.randrange(1, 40) / 4) for p in pieces}
+
+    class Small:
+        def __init__(self, model_file):
+            self.id_to_piece, self.get_score = pieces.__getitem__, lambda i: scores[pieces[i]]
+            self.is_byte, self.is_unknown = (lambda i: 0 < i <= 256), (lambda i: i == 0)
+            self.is_control = self.is_unused = lambda i: False
+            self.get_piece_size = lambda: len(pieces)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Small)
+    model = op8_pieces.PieceModel("none")
+    for _ in range(400):
+        text = "".join(rnd.choice("ab c") for _ in range(rnd.randrange(1, 14)))
+        ids = model.encode(text)
+        spelt = scores | {"c": scores["<0x63>"]}
+        assert abs(sum(scores[pieces[i]] for i in ids) - all_paths((op8_pieces.MARK + text.replace(" ", op8_pieces.MARK)), spelt)) < 1e-9
+        assert model.decode(ids) == text
+        assert op8_pieces._Encoder(model)([text])[0].tolist() == ids       # by units, as tasks do
+
+
 def test_pieces(docs, texts, edge_docs, no_docs):
     path = tokenizer_path("piece_bpe_32k.model")
     model = op8_pieces.PieceModel(path)
@@ -156,6 +194,8 @@ def test_pieces(docs, texts, edge_docs, no_docs):
         assert model.decode(r.ids) == texts[r.doc_id]
     both = op8_pieces.decode(op8_pieces.encode(edge_docs, path), path)
     assert both.where("not decoded <=> text").count() == 0
+    one_pass = op8_pieces.encode(edge_docs, path, decoded="decoded").collect()
+    assert sorted(one_pass, key=str) == sorted(both.collect(), key=str)
     assert op8_pieces.piece_report(no_docs, path).count() == 0
 
 

@@ -11,10 +11,21 @@ from pyspark.sql import types as T
 from tracewise.session import checkpoint_dir
 
 
+#: Bytes of one Arrow batch to a Python worker; rows alone are no bound where texts are long.
+ARROW_BATCH = 8 << 20
+_ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
 def ship_by_value() -> None:
-    """Let Python workers run this subpackage's functions without having it installed."""
+    """Let Python workers run this subpackage's functions without having it installed, on batches of bounded size.
+
+    A session that sets its own size of batches keeps it.
+    """
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules["tracewise.llm"])
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_ARROW_BYTES).rstrip("b") == str(_ARROW_DEFAULT):
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BATCH))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -37,10 +37,23 @@ from tracewise.llm.common import extended, ship_by_value
 MARK = "▁"
 #: A unit: blanks, then letters, or others and the letters behind them; a newline alone.
 _UNIT = re.compile(r" *[^\W\d_]+| *(?:[^\w \n]|[\d_])+[^\W\d_]*| +|\n")
-_KEPT_UNITS = 400_000          # units whose paths a task keeps
+_KEPT_UNITS = 100_000          # units whose paths a task keeps
 _KEPT_CHARS = 48               # longer units are not kept
 
 
+def _surface(sp) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    return [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode()
+            for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
+
+
+def _texts(surface: list[bytes], ids: np.ndarray, ends: list[int]) -> list[str]:
+    """The texts of id lists that lie back to back."""
+    flat = list(map(surface.__getitem__, ids.tolist()))
+    out = [b"".join(flat[a:b]) for a, b in zip(ends, ends[1:])]
+    return [(t[1:] if t[:1] == b" " else t).decode("utf-8", "surrogatepass") for t in out]
+
+
 class PieceModel:
     """The pieces of a .model file, their automaton and scores."""
 
@@ -63,13 +76,11 @@ class PieceModel:
         self.automaton.make_automaton()
         self.single = {p for p in plain if len(p) == 1}
         # pairs of characters that a piece joins across the end of a unit
-        self.joined = sorted({p[k:k + 2] for p in plain for k in range(len(p) - 1)
+        self.joined = sorted({p[k:k + 2].replace(MARK, " ") for p in plain for k in range(len(p) - 1)
                               if _UNIT.match(p[k]) and _UNIT.match(p[k:k + 2].replace(MARK, " ")).end() < 2})
         if any("\n" in p for p in plain):
             self.joined.append("\n")
-        self.surface = [p.replace(MARK, " ").encode() for p in self.pieces]
-        for b in range(256):
-            self.surface[self.byte_id[b]] = bytes([b])
+        self.surface = _surface(sp)
 
     def best(self, unit: str, raw_marks: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best path over ``unit``; positions in ``raw_marks`` are spelt in bytes."""
@@ -126,8 +137,7 @@ class PieceModel:
         return self.best(MARK + text.replace(" ", MARK), raw)
 
     def decode(self, ids) -> str:
-        out = b"".join([self.surface[i] for i in ids]).decode("utf-8", "surrogatepass")
-        return out[1:] if out.startswith(" ") else out
+        return _texts(self.surface, np.asarray(ids, np.int64), [0, len(ids)])[0]
 
 
 class _Encoder:
@@ -182,10 +192,13 @@ class _Encoder:
         return self.flat[take], total[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of its text column as array<int>."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the piece ids of its text column as array<int>.
+
+    ``decoded`` names a further column for the text that decoding these ids gives, made in the same pass.
+    """
     ship_by_value()
-    schema = extended(docs, [(ids, T.ArrayType(T.IntegerType()))])
+    schema = extended(docs, [(ids, T.ArrayType(T.IntegerType()))] + ([(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(PieceModel(path))
@@ -194,30 +207,31 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 got, ends = encoder(texts)
                 null = pa.array([t is None for t in texts])
-                col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32()), mask=null)
-                yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*part.schema.names, ids])
+                new = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32()), mask=null)]
+                if decoded:
+                    back = _texts(encoder.model.surface, got, ends.tolist())
+                    new.append(pa.array([None if t is None else b for t, b in zip(texts, back)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema=pa.schema(
+                    [*part.schema, pa.field(ids, new[0].type), *([pa.field(decoded, pa.string())] if decoded else [])]))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text of its ids column."""
+    """``df`` with the text of its ids column; a task holds the pieces' bytes alone."""
     ship_by_value()
     schema = extended(df, [(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = PieceModel(path).surface
+        import sentencepiece
+        surface = _surface(sentencepiece.SentencePieceProcessor(model_file=path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 col = part.column(part.schema.get_field_index(ids))
-                flat = list(map(surface.__getitem__, col.flatten().to_numpy(zero_copy_only=False).tolist()))
                 size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(size)]).tolist()
-                out = []
-                for a, b in zip(ends, ends[1:]):
-                    t = b"".join(flat[a:b])
-                    out.append((t[1:] if t[:1] == b" " else t).decode())
+                out = _texts(surface, col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).tolist())
                 texts = pa.array([t if ok else None for t, ok in zip(out, col.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text])
 
@@ -230,8 +244,7 @@ def piece_report(docs: DataFrame, path: str) -> DataFrame:
     ids_sha256 is over the comma-joined ids (null text: empty, like ""); round_trip
     says whether decoding gave the text back.
     """
-    ids = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-    both = decode(ids, path)
+    both = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, decoded="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
