@@ -44,8 +44,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_pieces, ids, round_trip: the texts as SentencePiece ids."""
     path = tokenizer_path("piece_bpe_32k.model")
-    ids = op8_pieces.encode(docs.select("doc_id", "source", "lang", "text"), path)
-    return op8_pieces.decode(ids, path).select(
+    ids = op8_pieces.encode(docs.select("doc_id", "source", "lang", "text"), path, decoded="decoded")
+    return ids.select(
         "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_pieces"), "ids",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
