@@ -6,11 +6,13 @@
   bucket, count).  Scores use the exact integer dot product and
   ``dot / (sqrt(|q|^2) * sqrt(|c|^2))``, a fixed sequence of correctly
   rounded IEEE operations, so every engine ranks identically.
-* Exact kNN: the query batch is broadcast (its size is checked first and
-  split into several passes beyond the limit); every task scores its chunk
-  rows against the batch with one matrix product and keeps only its local
-  top-n per query.  No (query, chunk) pair is ever materialised as a row;
-  a per-query merge of the local lists gives the global top-n.
+* Exact kNN is a block join in one plan: queries fall into blocks of bounded
+  size by hash, items into parts, and each (block, part) is a cell of one
+  shuffle.  A task holds a cell's queries, streams its items past them (one
+  matrix product a batch) and keeps the top-n of each query.  No (query,
+  item) pair becomes a row; a per-query merge of the lists gives the global
+  top-n.  The number of blocks is a scalar subquery, so neither queries nor
+  items pass the driver and nothing runs while planning.
 * Passage containment (expected sources) is an equi-join on a word 3-gram
   anchor from the passage interior, verified by ``instr``: no cross join.
 """
@@ -20,7 +22,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from tracewise.sources.lookups import (CONTEXT_SEPARATOR, DEFAULT_MAX_CONTEXT_CH
 
 def _ship_by_value() -> None:
     """Pickle this module's task functions by value, so Python workers need
-    no installed copy of the package (the scorers below run in mapInPandas)."""
+    no installed copy of the package (the scorers below run in mapInArrow)."""
     import sys
     from pyspark import cloudpickle
     mod = sys.modules[__name__]
@@ -46,8 +49,10 @@ _SHIPPED: list = []
 
 # token pattern of the hashed vectoriser: runs of 2+ word characters
 EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# broadcast budget of one query batch (dense float64 rows)
-MAX_QUERY_BATCH_BYTES = 64 << 20
+# dense float64 vectors of one block of queries, which a task holds
+QUERY_BLOCK_BYTES = 64 << 20
+# items scored against a block, and queries of it, at a time
+_ITEM_ROWS, _QUERY_ROWS = 2048, 1024
 # rows of one broadcast batch of one- or two-word passages (containment)
 MAX_TINY_PASSAGES = 10_000
 # passage anchors broadcast at most (beyond: shuffle join, AQE splits skew)
@@ -121,99 +126,172 @@ def hash_embed(df: DataFrame, key: list[str], text_col: str = "text", dim: int =
     return counts.withColumn("sq", F.sum(F.col("cnt") * F.col("cnt")).over(w))
 
 
-def token_buckets(df: DataFrame, key: list[str], text_col: str = "text", dim: int = EMBEDDING_DIM,
-                  stopwords: list[str] | None = None) -> DataFrame:
-    """One row per token: (key..., bucket); stopwords give a null bucket and
-    items without tokens one null row (``explode_outer``), so every item is
-    present.  Explode is narrow: the rows of one item stay consecutive in
-    their partition, which the kNN scorer relies on (no shuffle, no regroup)."""
+def token_buckets(text: Column, dim: int = EMBEDDING_DIM, stopwords: list[str] | None = None) -> Column:
+    """The bucket of every token of a text that is no stopword, as one array
+    (tokens repeat); a null text has none."""
     sw = stopwords if stopwords is not None else EVAL_STOPWORDS
-    tok = df.select(*key, F.explode_outer(F.regexp_extract_all(
-        F.lower(F.col(text_col)), F.lit(EMBED_TOKEN_PATTERN), 0)).alias("tok"))
-    b = F.when(F.col("tok").isNotNull() & ~F.col("tok").isin(sw), md5_bucket("tok", dim))
-    return tok.select(*key, b.alias("bucket"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(EMBED_TOKEN_PATTERN), 0)
+    kept = F.filter(tokens, lambda t: ~t.isin(sw))
+    return F.coalesce(F.transform(kept, lambda t: md5_bucket(t, dim)), F.array().cast("array<int>"))
 
 
-def _runs(ids: np.ndarray) -> np.ndarray:
-    """Start offsets of runs of equal consecutive ids."""
-    if len(ids) == 0:
-        return np.zeros(0, dtype=np.int64)
-    change = np.ones(len(ids), dtype=bool)
-    change[1:] = ids[1:] != ids[:-1]
-    return np.flatnonzero(change)
+# ---- V4: exact kNN -----------------------------------------------------------
 
+def _lists(col) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column back to back, and the length of each list."""
+    values = col.flatten()
+    return values.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
 
-def _count_matrix(run_of_row: np.ndarray, buckets: np.ndarray, n_runs: int, dim: int) -> np.ndarray:
-    m = np.zeros((n_runs, dim), dtype=np.float64)
-    ok = ~np.isnan(buckets)
-    np.add.at(m, (run_of_row[ok], buckets[ok].astype(np.int64)), 1.0)
-    return m
 
+class _Counts:
+    """Vectors given as bucket lists: squared L2 of the normalised count vectors."""
 
-# ---- V4: exact kNN -----------------------------------------------------------
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def matrix(self, col) -> np.ndarray:
+        values, size = _lists(col)
+        cell = np.repeat(np.arange(len(size)), size) * self.dim + values
+        return np.bincount(cell, minlength=len(size) * self.dim).reshape(len(size), self.dim).astype(np.float64)
 
-def _local_topn(qids: np.ndarray, qmat: np.ndarray, n: int, key_cols: list[str],
-                id_col: str, dim: int):
-    """mapInPandas body over (key..., bucket) token rows: rebuild the count
-    vector of every item from its consecutive rows (carrying an item cut by
-    an Arrow batch boundary into the next batch), score it against the
-    broadcast query batch and keep the ``n`` nearest per query (running
-    best over the partition)."""
-    qsq = (qmat * qmat).sum(axis=1)
-    nq = (qsq > 0).astype(np.float64)[None, :]
-    sqrt_q = np.sqrt(qsq)[None, :]
-
-    def trim(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["qid", "distance", "_sid"], kind="stable")
-        return frame.groupby("qid", sort=False).head(n)
-
-    def score(rows: pd.DataFrame):
-        ids = rows[id_col].astype(str).to_numpy()
-        starts = _runs(ids)
-        run_of_row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        cm = _count_matrix(run_of_row, rows["bucket"].to_numpy(dtype=np.float64), len(starts), dim)
-        items = rows.iloc[starts][key_cols].reset_index(drop=True)
-        items["_sid"] = ids[starts]
-        csq = (cm * cm).sum(axis=1)                     # exact: small integers
-        dot = cm @ qmat.T
-        denom = sqrt_q * np.sqrt(csq)[:, None]
+    def distances(self, items: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        sq_i, sq_q = (items * items).sum(axis=1), (queries * queries).sum(axis=1)   # exact: small integers
+        denom = np.sqrt(sq_q)[None, :] * np.sqrt(sq_i)[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            sc = np.where(denom > 0, dot / denom, 0.0)
-        dist = (nq + (csq > 0).astype(np.float64)[:, None]) - 2.0 * sc
-        take = min(n, len(items))
-        # the take-th smallest distance per query; every item up to it
-        # (ties included) is a candidate, then (distance, id) decides
-        kth = np.partition(dist, take - 1, axis=0)[take - 1]
-        r, c = np.nonzero(dist <= kth[None, :])
-        out = items.iloc[r].reset_index(drop=True)
-        out["qid"] = qids[c]
-        out["distance"] = dist[r, c]
-        return trim(out)
+            score = np.where(denom > 0, (items @ queries.T) / denom, 0.0)
+        return ((sq_q > 0).astype(np.float64)[None, :] + (sq_i > 0).astype(np.float64)[:, None]) - 2.0 * score
+
+
+class _Dense:
+    """Dense vectors: squared L2 (|q|^2 + |c|^2 - 2 q.c), settled to some decimals."""
+
+    def __init__(self, settle: int):
+        self.settle = settle
+
+    def matrix(self, col) -> np.ndarray:
+        values, size = _lists(col)
+        return values.astype(np.float64).reshape(len(size), -1)
+
+    def distances(self, items: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        own = (queries * queries).sum(axis=1)[None, :] + (items * items).sum(axis=1)[:, None]
+        return np.round(own - 2.0 * (items @ queries.T), self.settle)
+
+
+class _Cell:
+    """One block of queries and the best ``n`` of the items that went past it."""
+
+    def __init__(self, space, n: int, exclude_self: bool):
+        self.space, self.n, self.exclude_self = space, n, exclude_self
+        self.qid, self.vectors, self.best, self.least = [], [], None, None
+
+    def add_queries(self, batch) -> None:
+        if len(batch):
+            self.qid.append(batch.column("qid"))
+            self.vectors.append(self.space.matrix(batch.column("vec")))
+
+    def add_items(self, batch) -> None:
+        if not self.qid:
+            return
+        if self.least is None:
+            self.qid, self.vectors = pa.concat_arrays(self.qid), np.concatenate(self.vectors)
+            self.least = np.full(len(self.vectors), np.inf)    # the n-th best distance of each query
+        for lo in range(0, len(batch), _ITEM_ROWS):
+            part = batch.slice(lo, _ITEM_ROWS)
+            items = self.space.matrix(part.column("vec"))
+            for first in range(0, len(self.vectors), _QUERY_ROWS):
+                self._score(part, items, first)
+
+    def _score(self, part, items: np.ndarray, first: int) -> None:
+        own = slice(first, first + _QUERY_ROWS)
+        dist = self.space.distances(items, self.vectors[own])
+        if self.exclude_self:
+            ids = part.column("tie").to_numpy(zero_copy_only=False)
+            dist[ids[:, None] == self.qid[own].to_numpy(zero_copy_only=False)[None, :]] = np.inf
+        take = min(self.n, len(items))
+        # every item up to the take-th distance, ties included, may be among the best
+        bound = np.minimum(self.least[own], np.partition(dist, take - 1, axis=0)[take - 1])
+        r, c = np.nonzero((dist <= bound[None, :]) & np.isfinite(dist))
+        if not len(r):
+            return
+        rows = part.select(["tie", "item"]).take(pa.array(r))
+        found = pa.table({"q": pa.array(c + first), "distance": pa.array(dist[r, c]),
+                          "tie": rows.column("tie"), "item": rows.column("item")})
+        both = found if self.best is None else pa.concat_tables([self.best, found])
+        order = pc.sort_indices(both, sort_keys=[("q", "ascending"), ("distance", "ascending"), ("tie", "ascending")])
+        q = both.column("q").to_numpy()[order.to_numpy()]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.best = both.take(order.filter(pa.array(rank < self.n))).combine_chunks()
+        last = rank == self.n - 1
+        self.least[q[last]] = both.column("distance").to_numpy()[order.to_numpy()][last]
+
+    def result(self, keys: list[str]):
+        if self.best is None:
+            return
+        qid = self.qid.take(self.best.column("q").combine_chunks())
+        item = self.best.column("item").combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [*(item.field(k) for k in range(len(keys))), qid, self.best.column("distance").combine_chunks()],
+            names=[*keys, "qid", "distance"])
+
+
+def _block_topn(items: DataFrame, item_key: list[str], tie: Column, queries: DataFrame, n: int,
+                blocks: Column, space, exclude_self: bool = False) -> DataFrame:
+    """The ``n`` nearest items of every query: (item_key..., qid, distance, rank).
+
+    ``items`` has item_key and ``vec``, ``queries`` has qid and ``vec``;
+    ``blocks`` is the number of query blocks (a scalar subquery).
+    """
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.greatest(F.ceil(F.lit(tasks) / F.col("_blocks")), F.lit(1)).cast("int")
+    vec = items.schema["vec"].dataType
+    item_type = T.StructType([T.StructField(c, items.schema[c].dataType, True) for c in item_key])
+    it = items.select(F.struct(*item_key).cast(item_type).alias("item"), tie.alias("tie"), "vec")
+    q = (queries.select("qid", "vec").withColumn("_blocks", blocks).withColumn("_parts", parts)
+         .withColumn("_block", F.pmod(F.xxhash64("qid"), F.col("_blocks")).cast("int"))
+         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+         .select((F.col("_block") * F.col("_parts") + F.col("_part")).alias("cell"), F.lit(0).alias("kind"), "qid",
+                 F.col("vec").cast(vec).alias("vec"), F.lit(None).cast(item_type).alias("item"),
+                 F.lit(None).cast(it.schema["tie"].dataType).alias("tie")))
+    i = (it.withColumn("_blocks", blocks).withColumn("_parts", parts)
+         .withColumn("_part", F.pmod(F.xxhash64("tie"), F.col("_parts")).cast("int"))
+         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+         .select((F.col("_block") * F.col("_parts") + F.col("_part")).alias("cell"), F.lit(1).alias("kind"),
+                 F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "vec", "item", "tie"))
+    cells = (q.unionByName(i).repartitionById(tasks, F.pmod("cell", F.lit(tasks)))
+             .sortWithinPartitions("cell", "kind"))
+    _ship_by_value()
 
     def run(batches):
-        best, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            ids = pdf[id_col].astype(str).to_numpy()
-            last = _runs(ids)[-1]
-            carry = pdf.iloc[last:]               # may continue in the next batch
-            done = pdf.iloc[:last]
-            if len(done):
-                out = score(done)
-                best = out if best is None else trim(pd.concat([best, out], ignore_index=True))
-        if carry is not None and len(carry):
-            out = score(carry.reset_index(drop=True))
-            best = out if best is None else trim(pd.concat([best, out], ignore_index=True))
-        if best is not None:
-            yield best.drop(columns=["_sid"])
-    return run
+        cell, at = None, None
+        for batch in batches:
+            key = batch.column("cell").to_numpy() * 2 + batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            for lo, hi in zip(edges, edges[1:]):
+                if cell is None or key[lo] // 2 != at:
+                    if cell is not None:
+                        yield from cell.result(item_key)
+                    cell, at = _Cell(space, n, exclude_self), key[lo] // 2
+                own = batch.slice(lo, hi - lo)
+                cell.add_items(own) if key[lo] % 2 else cell.add_queries(own)
+        if cell is not None:
+            yield from cell.result(item_key)
+
+    schema = T.StructType([*item_type.fields, T.StructField("qid", queries.schema["qid"].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    local = cells.mapInArrow(run, schema)
+    w = Window.partitionBy("qid").orderBy("distance", tie)
+    return (local.withColumn("rank", F.row_number().over(w) - 1)
+            .where(F.col("rank") < n).withColumn("rank", F.col("rank").cast("int")))
+
+
+def _blocks_of(queries: DataFrame, row_bytes: Column, block_bytes: int) -> Column:
+    """Blocks of at most about ``block_bytes`` that the queries make, one at least."""
+    total = F.coalesce(F.sum(row_bytes), F.lit(0))
+    return queries.agg(F.greatest(F.ceil(total / F.lit(block_bytes)), F.lit(1)).cast("int").alias("n")).scalar()
 
 
 def knn(items: DataFrame, item_key: list[str], queries: DataFrame, n: int,
-        dim: int = EMBEDDING_DIM, batch_bytes: int = MAX_QUERY_BATCH_BYTES,
+        dim: int = EMBEDDING_DIM, batch_bytes: int = QUERY_BLOCK_BYTES,
         item_text: str = "text", query_text: str = "text",
         stopwords: list[str] | None = None) -> DataFrame:
     """For every query (``qid``) the ``n`` nearest items by squared
@@ -222,39 +300,13 @@ def knn(items: DataFrame, item_key: list[str], queries: DataFrame, n: int,
     are given as text (one row per item, unique ids); items or queries
     without tokens still take part.
 
-    Queries are broadcast in batches of at most ``batch_bytes`` of dense
-    vectors (the size is checked from the query count first); more queries
-    mean more passes over the items, never a larger broadcast.
+    Queries form blocks of about ``batch_bytes`` of dense vectors; every block
+    meets every item once.
     """
-    spark = items.sparkSession
-    id_col = item_key[0]
-    qv = (token_buckets(queries, ["qid"], query_text, dim, stopwords)
-          .groupBy("qid").agg(F.collect_list("bucket").alias("b")))
-    n_queries = qv.count()
-    per_batch = max(1, batch_bytes // (dim * 8))
-    rows = token_buckets(spread(items), item_key, item_text, dim, stopwords)
-    schema = T.StructType([rows.schema[c] for c in item_key] +
-                          [T.StructField("qid", qv.schema["qid"].dataType),
-                           T.StructField("distance", T.DoubleType())])
-    parts = []
-    qv_sorted = qv.orderBy("qid")
-    for start in range(0, n_queries, per_batch):
-        batch = qv_sorted.offset(start).limit(per_batch).collect()  # <= batch_bytes dense
-        qids = np.array([r["qid"] for r in batch])
-        qmat = np.zeros((len(batch), dim), dtype=np.float64)
-        for i, r in enumerate(batch):
-            if r["b"]:
-                qmat[i] = np.bincount(np.asarray(r["b"], dtype=np.int64), minlength=dim)
-        _ship_by_value()
-        parts.append(rows.mapInPandas(_local_topn(qids, qmat, n, item_key, id_col, dim), schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    w = Window.partitionBy("qid").orderBy("distance", F.col(id_col).cast("string"))
-    return (local.withColumn("rank", F.row_number().over(w) - 1)
-            .where(F.col("rank") < n).withColumn("rank", F.col("rank").cast("int")))
+    it = spread(items).select(*item_key, token_buckets(F.col(item_text), dim, stopwords).alias("vec"))
+    q = queries.select("qid", token_buckets(F.col(query_text), dim, stopwords).alias("vec"))
+    blocks = _blocks_of(queries, F.lit(8 * dim), batch_bytes)
+    return _block_topn(it, item_key, F.col(item_key[0]).cast("string"), q, n, blocks, _Counts(dim))
 
 
 # ---- V5-V8: rank, pack, sources -------------------------------------------
@@ -375,66 +427,63 @@ def hit_rate_by_group(hits: DataFrame, group_col: str = "difficulty") -> DataFra
 
 # ---- V4 on dense vectors -------------------------------------------------------
 
-def _local_topn_dense(qids: np.ndarray, qmat: np.ndarray, n: int, id_col: str, vec_col: str,
-                      exclude_self: bool, settle: int):
-    """mapInPandas body: ``n`` nearest items of this partition per query of
-    the broadcast batch by squared L2 (|q|^2 + |c|^2 - 2 q.c), distances
-    settled to ``settle`` decimals, ties by item id."""
-    qq = (qmat * qmat).sum(axis=1)[None, :]
-
-    def run(batches):
-        best = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
-            cm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            cc = (cm * cm).sum(axis=1)[:, None]
-            dist = np.round((qq + cc) - 2.0 * (cm @ qmat.T), settle)
-            ids = pdf[id_col].to_numpy()
-            if exclude_self:
-                dist[ids[:, None] == qids[None, :]] = np.inf
-            take = min(n, len(pdf))
-            kth = np.partition(dist, take - 1, axis=0)[take - 1]
-            r, c = np.nonzero((dist <= kth[None, :]) & np.isfinite(dist))
-            out = pd.DataFrame({id_col: ids[r], "qid": qids[c], "distance": dist[r, c]})
-            best = out if best is None else pd.concat([best, out], ignore_index=True)
-            best = (best.sort_values(["qid", "distance", id_col], kind="stable")
-                    .groupby("qid", sort=False).head(n))
-        if best is not None:
-            yield best
-    return run
-
-
 def knn_dense(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n: int,
               exclude_self: bool = False, settle: int = 9,
-              batch_bytes: int = MAX_QUERY_BATCH_BYTES) -> DataFrame:
+              batch_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """V4 / J8 on dense vectors: for every query (``qid``, ``vec_col``) the
     ``n`` nearest items by squared L2 distance, ties by item id; with
     ``exclude_self`` an item never neighbours the query of the same id.
-    Query batches are broadcast within ``batch_bytes`` (dense float64)."""
-    spark = items.sparkSession
-    first = queries.select(vec_col).first()                  # one row: the width
-    dim = len(first[0]) if first else 1
-    per_batch = max(1, batch_bytes // (dim * 8))
-    qs = queries.select("qid", vec_col).orderBy("qid")
-    n_queries = qs.count()
-    it = spread(items.select(id_col, vec_col))
-    schema = T.StructType([it.schema[id_col], T.StructField("qid", queries.schema["qid"].dataType),
-                           T.StructField("distance", T.DoubleType())])
-    parts = []
-    for start in range(0, n_queries, per_batch):
-        batch = qs.offset(start).limit(per_batch).collect()   # <= batch_bytes dense
-        qids = np.array([r["qid"] for r in batch])
-        qmat = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in batch])
-        _ship_by_value()
-        parts.append(it.mapInPandas(_local_topn_dense(qids, qmat, n, id_col, vec_col,
-                                                      exclude_self, settle), schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+    Rows without a vector are left out.  Queries form blocks of about
+    ``batch_bytes`` (dense float64)."""
+    it = items.where(F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).alias("vec"))
+    q = queries.where(F.col(vec_col).isNotNull()).select("qid", F.col(vec_col).alias("vec"))
+    blocks = _blocks_of(q, F.lit(8) * F.size("vec"), batch_bytes)
+    return _block_topn(spread(it), [id_col], F.col(id_col), q, n, blocks, _Dense(settle), exclude_self)
+
+
+def knn_lsh(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, n: int, tables: int = 24,
+            bits: int = 8, seed: int = 42, exclude_self: bool = False, settle: int = 9) -> DataFrame:
+    """Approximate V4 on dense vectors, without comparing every query with every item.
+
+    Each of ``tables`` hash tables gives a vector the signs of its dot products
+    with ``bits`` random directions; an item is scored against a query if in
+    some table they differ in one sign at most (a query probes the buckets next
+    to its own).  Directions come from a seeded generator, all signs from one
+    pass over each side.  The equi-join on (table, signs) is dealt by key;
+    a bucket that many vectors share is split by the skew join.  Columns as in
+    ``knn_dense``; fewer than ``n`` rows if the buckets hold fewer items.
+    """
+    _ship_by_value()
+
+    def signed(df: DataFrame, key: str, flips: np.ndarray) -> DataFrame:
+        kept = df.where(F.col(vec_col).isNotNull()).select(key, F.col(vec_col).alias("vec"))
+        schema = T.StructType([*kept.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))])
+
+        def run(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                v = _Dense(settle).matrix(batch.column("vec"))
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], tables * bits))
+                sign = ((v @ planes) > 0).reshape(len(v), tables, bits)
+                code = sign @ (1 << np.arange(bits)) + (np.arange(tables) << bits)[None, :]
+                code = code[:, :, None] ^ flips[None, None, :]
+                offsets = np.arange(len(v) + 1) * tables * len(flips)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code.ravel(), pa.int64()))],
+                    names=[key, "vec", "buckets"])
+
+        return kept.mapInArrow(run, schema)
+
+    it = signed(items, id_col, np.zeros(1, np.int64)).withColumnRenamed("vec", "_item")
+    q = signed(queries, "qid", np.append(0, 1 << np.arange(bits))).withColumnRenamed("vec", "_query")
+    pairs = (q.select("qid", F.explode("buckets").alias("_bucket"))
+             .join(it.select(id_col, F.explode("buckets").alias("_bucket")), "_bucket").select("qid", id_col).distinct())
+    if exclude_self:
+        pairs = pairs.where(F.col(id_col) != F.col("qid"))
+    scored = pairs.join(q.select("qid", "_query"), "qid").join(it.select(id_col, "_item"), id_col)
+    square = F.aggregate(F.zip_with("_query", "_item", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
+                         F.lit(0.0), lambda acc, x: acc + x)
     w = Window.partitionBy("qid").orderBy("distance", id_col)
-    return (local.withColumn("rank", F.row_number().over(w) - 1)
-            .where(F.col("rank") < n).withColumn("rank", F.col("rank").cast("int")))
+    return (scored.select(id_col, "qid", F.round(square, settle).alias("distance"))
+            .withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < n))
