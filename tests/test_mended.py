@@ -79,19 +79,20 @@ def _events(spark):
                                               "stage_name string, status string, latency_ms double")
 
 
-@pytest.mark.parametrize("hot", [None, 1_000_000])
-def test_repeated_events_stay_single_rows(spark, hot):
+def test_repeated_events_stay_single_rows(spark):
     ev = _events(spark)
-    assert sorted((r.event_id, r.stage_order) for r in with_stage_order(ev, hot_threshold=hot).collect()) == [
+    assert sorted((r.event_id, r.stage_order) for r in with_stage_order(ev).collect()) == [
         ("e1", 0), ("e1", 1), ("e2", 2)]
     tr = spark.createDataFrame([("t", DAY)], "trace_id string, started_at timestamp_ntz")
-    got = trace_waterfall(ev, tr, hot_threshold=hot).orderBy("stage_order").collect()
+    got = trace_waterfall(ev, tr).orderBy("stage_order").collect()
     assert [(r.offset_ms, r.cumulative_latency_ms) for r in got] == [(0.0, 1.0), (0.0, 2.0), (1000.0, 4.0)]
 
 
-def test_stage_order_is_one_shuffle(spark):
+def test_stage_order_shuffles_events_once(spark):
+    """Event rows cross one exchange, dealt by trace and minute; the others carry totals."""
     plan = with_stage_order(_events(spark))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    windows = [x for x in plan.split("\n") if "Window [row_number()" in x]
+    assert len(windows) == 1 and "_b#" in windows[0].split("windowspecdefinition(")[1].split("timestamp_start")[0]
 
 
 def test_broken_lines_fail_the_scan(spark, tmpdir_path):

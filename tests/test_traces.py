@@ -1,7 +1,11 @@
 import datetime as dt
+import random
+import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracewise.operators.ranking import rank_within_groups
 from tracewise.operators.traces import (assemble_traces, stage_order_violations,
                                         trace_waterfall, with_stage_order)
 from tracewise.schemas import STAGE_EVENT
@@ -71,11 +75,6 @@ def test_stage_order_and_violations(spark):
 def test_waterfall(spark):
     ev_df = frame(spark)
     w = {r.event_id: r for r in trace_waterfall(ev_df, assemble_traces(ev_df)).collect()}
-    # the same through the distributed (hot-group) path
-    w2 = {r.event_id: r for r in trace_waterfall(ev_df, assemble_traces(ev_df),
-                                                 hot_threshold=None).collect()}
-    assert {k: (r.stage_order, r.cumulative_latency_ms) for k, r in w.items()} == \
-        {k: (r.stage_order, r.cumulative_latency_ms) for k, r in w2.items()}
     assert w["e3"].cumulative_latency_ms == 23.0 and w["e3"].offset_ms == 2000.0
     assert w["e6"].offset_ms == 0.001
 
@@ -87,6 +86,27 @@ def test_hot_trace_ranking_spans_partitions(spark):
              t0 + dt.timedelta(seconds=i), 1.0, "success", None, None, None, None)
             for i in range(3000)]
     df = spark.createDataFrame(rows, STAGE_EVENT)
-    got = with_stage_order(df, num_partitions=16, hot_threshold=500).where(F.col("trace_id") == "hot") \
+    got = with_stage_order(df).where(F.col("trace_id") == "hot") \
         .orderBy("timestamp_start").select("stage_order").collect()
     assert [r.stage_order for r in got] == list(range(len(got)))
+
+
+def test_prefix_scan_equals_one_window(spark):
+    # positions, sizes and running sums over many buckets, null times, null keys and null values
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot"] * 8 + ["a", None]), rnd.choice([None, *range(40)]), i,
+             rnd.choice([None, float(rnd.randrange(9))])) for i in range(2000)]
+    df = spark.createDataFrame([(k, None if t is None else T("2026-07-01 00:00:00") + dt.timedelta(seconds=37 * t), i, v)
+                                for k, t, i, v in rows], "k string, ts timestamp_ntz, id long, v double")
+    spark.sparkContext.setJobGroup("rank-plan", "planning")
+    got = rank_within_groups(df, ["k"], ["ts", "id"], running_sum="v")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("rank-plan")
+    spark.sparkContext.setJobGroup("rank-run", "running")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.select("k", "id", (F.row_number().over(w) - 1).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("_n"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"))
+    cols = ["k", "id", "_rank", "_n", "_cum"]
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.collect()))
+    # the rows themselves are dealt by (group, bucket), never by group
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(k#\d+, _b#", plan)

@@ -35,15 +35,12 @@ def window_trace_metrics(traces: DataFrame, windows: list[int] | None = None) ->
     t = _explode_windows(traces.select("started_at", "total_latency_ms", "has_error"),
                          "started_at", windows)
     keys = ["window_minutes", "window_start"]
-    counts = t.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("trace_count"),
-        (F.sum(F.col("has_error").cast("int")) / F.count(F.lit(1)) * 100.0).alias("error_rate_pct"))
-    pct = exact_percentiles(t, keys, "total_latency_ms", PERCENTILES)
-    out = counts.join(pct, keys, "left")
+    m = exact_percentiles(t, keys, "total_latency_ms", PERCENTILES,
+                          sums={"n": F.lit(1), "errors": F.col("has_error").cast("int")})
     # an empty latency series reads 0.0, like the reference
-    for c in PERCENTILES:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    return out
+    return m.select(*keys, F.col("n").cast("double").alias("trace_count"),
+                    (F.col("errors") / F.col("n") * 100.0).alias("error_rate_pct"),
+                    *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in PERCENTILES])
 
 
 def window_stage_means(events: DataFrame, traces: DataFrame,

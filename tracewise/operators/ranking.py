@@ -1,169 +1,125 @@
-"""Positions inside groups without putting a group into one task.
-
-``Window.partitionBy(key)`` sends every row of a key to one task; with one
-trace (the pooled ``untraced`` one) or one time window holding a third of
-all rows that task becomes the job.  Here the rows are range-partitioned on
-(key, order) instead, so a hot key is cut across many partitions; each task
-numbers its own rows, a small (key, partition) table of counts gives every
-segment its offset, and a join on (key, partition) adds it back.
-
-The range-partitioned, position-tagged rows are read twice (for the counts
-and for the rows).  Two independent range shuffles could sample different
-bounds, so the tagged rows are first cut off by a reliable checkpoint (in
-``spark.checkpoint.dir``): partition ids and positions are then fixed data,
-whatever the optimizer does with either read, and a lost executor
-re-reads them instead of recomputing a different split.  Callers pass the
-narrow (key, order, row-id) projection and join the rank back by row id.
+"""Positions and exact percentiles inside groups, without a group in one task.
+
+``Window.partitionBy(key)`` and Spark's ``percentile`` send every row of a key
+to one task; with one trace (the pooled ``untraced`` one) or one time window
+holding a third of all rows that task becomes the job.  Here a group is cut
+into ranges of its order by a monotone bucket of the order column: totals per
+(key, bucket) are pre-aggregated, a window over these few totals gives every
+bucket its offset, and only rows of one bucket meet in a task.  All groups
+take this way, large or small, in one lazy plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-_TMP = ["_pid", "_pos", "_cnt", "_first", "_off", "_ssum", "_soff"]
-# A group larger than this is "hot": it is cut across tasks by range
-# partitioning; smaller groups are handled whole by one task (window or
-# aggregate).  The hot-key list is bounded by rows / HOT_GROUP_ROWS.
-HOT_GROUP_ROWS = 1_000_000
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Keys of groups with more than ``threshold`` rows (partial-aggregated
-    count, so the hot groups themselves cost one row per task here)."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-            .where(F.col("_c") > threshold).select(*keys))
+#: Ranges of a doubling of the value: a bucket spans 0.017 percent of its values' size.
+RANGES_PER_DOUBLING = 4096
+#: Seconds of a time bucket.
+BUCKET_SECONDS = 60
 
 
-def _split_hot(df: DataFrame, keys: list[str], threshold: int | None):
-    """(cold rows, hot rows or None).  Hot keys are few by construction, so
-    they are broadcast for the split."""
-    if threshold is None:
-        return None, df
-    hot = hot_keys(df, keys, threshold)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(hot)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+def value_bucket(value: Column) -> Column:
+    """A long that never falls as the double ``value`` grows (NaN last, as Spark sorts); null for null."""
+    v = value.cast("double")
+    size = F.floor((F.log2(F.abs(v)) + 1100) * RANGES_PER_DOUBLING)     # the least double is 2^-1074
+    return (F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v == 0, F.lit(0))
+            .when(v < 0, -size).otherwise(size))
 
 
-def _window_ranks(df: DataFrame, keys, order, running_sum, rank_col, size_col, cum_col):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = (df.withColumn(rank_col, F.row_number().over(w) - 1)
-             .withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    if running_sum:
-        out = out.withColumn(cum_col, F.sum(running_sum).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return out
+def time_bucket(ts: Column) -> Column:
+    """The minute of a timestamp; null for null."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(BUCKET_SECONDS * 1_000_000))
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _same(left: str, right: str, cols: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
 
 
-def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
-                       running_sum: str | None = None, num_partitions: int | None = None,
-                       rank_col: str = "_rank", size_col: str = "_n",
-                       cum_col: str = "_cum", hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def rank_within_groups(df: DataFrame, keys: list[str], order: list[str], running_sum: str | None = None,
+                       bucket: Column | None = None, rank_col: str = "_rank", size_col: str = "_n",
+                       cum_col: str = "_cum") -> DataFrame:
     """Add ``rank_col`` (0-based position of the row inside its ``keys`` group
     when sorted by ``order``), ``size_col`` (group size) and optionally
-    ``cum_col`` (running sum of ``running_sum`` up to and including the row).
+    ``cum_col`` (running sum of ``running_sum`` up to and including the row;
+    null values add nothing, null until the first value).
 
-    Groups up to ``hot_threshold`` rows are ranked by a window (one task per
-    group); larger groups are cut across range partitions
-    (``hot_threshold=None`` sends every group that way).  Rows equal on
+    A segmented prefix scan: positions inside a (group, bucket), plus the
+    totals of the buckets before.  ``bucket`` must never fall along
+    ``order[0]``; by default it is the minute of that timestamp.  Rows equal on
     (keys, order) get distinct consecutive ranks in arbitrary order; give
     ``order`` a unique tie-break when that matters.
     """
     keys, order = list(keys), list(order)
-    cold, hot = _split_hot(df, keys, hot_threshold)
-    parts = []
-    if cold is not None:
-        parts.append(_window_ranks(cold, keys, order, running_sum, rank_col, size_col, cum_col))
-    if hot is not None:
-        parts.append(_range_ranks(hot, keys, order, running_sum, num_partitions,
-                                  rank_col, size_col, cum_col))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _range_ranks(df: DataFrame, keys: list[str], order: list[str], running_sum, num_partitions,
-                 rank_col, size_col, cum_col) -> DataFrame:
-    n = _num_partitions(df, num_partitions)
-    srt = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
-             .sortWithinPartitions(*(keys + order))
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_pos", F.monotonically_increasing_id()))
-    from tracewise.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    srt = srt.checkpoint(eager=True)
-    aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")]
-    if running_sum:
-        aggs.append(F.sum(running_sum).alias("_ssum"))
-    seg = srt.groupBy(*keys, "_pid").agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-              .withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*keys))))
+    rows = df.withColumn("_b", time_bucket(F.col(order[0])) if bucket is None else bucket)
+    totals = [F.count(F.lit(1)).alias("_cnt")] + ([F.sum(running_sum).alias("_sum")] if running_sum else [])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    seg = (rows.groupBy(*keys, "_b").agg(*totals)
+           .withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+           .withColumn(size_col, F.sum("_cnt").over(group)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    rows = rows.withColumn("_pos", F.row_number().over(inside) - 1)
     if running_sum:
-        seg = seg.withColumn("_soff", F.coalesce(F.sum("_ssum").over(before), F.lit(0.0)))
-    out = srt.join(seg, on=keys + ["_pid"])
-    out = out.withColumn(rank_col, F.col("_off") + F.col("_pos") - F.col("_first"))
+        seg = seg.withColumn("_sum_before", F.sum("_sum").over(before))
+        rows = rows.withColumn("_own", F.sum(running_sum).over(
+            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = rows.alias("r").join(seg.alias("s"), _same("r", "s", [*keys, "_b"]))
+    added = [(F.col("s._off") + F.col("r._pos")).alias(rank_col), F.col(f"s.{size_col}").alias(size_col)]
     if running_sum:
-        # a (partition, key) segment is bounded by one range partition
-        local = (Window.partitionBy("_pid", *keys).orderBy("_pos")
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn(cum_col, F.col("_soff") + F.sum(running_sum).over(local))
-    return out.drop(*[c for c in _TMP if c in out.columns])
+        own, past = F.col("r._own"), F.col("s._sum_before")
+        added.append(F.when(past.isNull(), own).when(own.isNull(), past).otherwise(past + own).alias(cum_col))
+    return out.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], *added)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], num_partitions: int | None = None,
-                      hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      sums: dict[str, Column] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation (pandas / numpy 'linear',
     Spark ``percentile``), one row per group: keys + one column per name in
     ``probs``.  Nulls are ignored; groups with no values are absent.
 
-    Groups up to ``hot_threshold`` values use Spark's exact ``percentile``
-    aggregate; for larger groups only the (at most two) rows around each
-    target position are pulled out of range-partitioned ranked data, so no
-    task ever holds a hot group.
+    ``sums`` adds columns of sums over all rows of a group, null values
+    included; a group without a value then has null percentiles.
+
+    Rows are first counted by (key, value) map-side, so equal values never
+    meet as rows.  Totals per range of values give each range the ranks it
+    holds, and only the ranges around the target ranks are sorted.
     """
-    keys = list(keys)
-    base = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    cold, hot = _split_hot(base, keys, hot_threshold)
-    parts = []
-    if cold is not None:
-        parts.append(cold.groupBy(*keys).agg(
-            *[F.percentile("_v", F.lit(float(p))).alias(name) for name, p in probs.items()]))
-    if hot is not None:
-        parts.append(_hot_percentiles(hot, keys, probs, num_partitions))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _hot_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float],
-                     num_partitions: int | None) -> DataFrame:
-    ranked = _range_ranks(base, keys, ["_v"], None, num_partitions, "_rank", "_n", "_cum")
-    sizes = ranked.select(*keys, "_n").distinct()
-    targets = []
-    for name, p in probs.items():
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(pos).cast("long")
-        targets.append(F.struct(F.lit(name).alias("_q"), lo.alias("_lo"),
-                                F.least(lo + 1, F.col("_n") - 1).alias("_hi"),
-                                (pos - F.floor(pos)).alias("_frac")))
-    t = sizes.select(*keys, F.explode(F.array(*targets)).alias("t")).select(*keys, "t.*")
-    ends = t.select(*keys, "_q", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_rank"),
-                    "_lo", "_hi", "_frac").distinct()
-    picked = ranked.select(*keys, "_rank", "_v").join(ends, on=keys + ["_rank"])
-    per_q = (picked.groupBy(*keys, "_q")
-             .agg(F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("a"),
-                  F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("b"),
-                  F.first("_frac").alias("t")))
-    # numpy's lerp: a + (b-a)*t below one half, b - (b-a)*(1-t) from one half
-    diff = F.col("b") - F.col("a")
-    val = F.when(F.col("t") >= 0.5, F.col("b") - diff * (F.lit(1.0) - F.col("t"))) \
-           .otherwise(F.col("a") + diff * F.col("t"))
-    per_q = per_q.select(*keys, "_q", val.alias("_val"))
-    return (per_q.groupBy(*keys)
-            .agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name) for name in probs]))
+    keys, sums = list(keys), dict(sums or {})
+    base = df.select(*keys, F.col(value).alias("_v"), *[c.alias(f"_s_{name}") for name, c in sums.items()])
+    if not sums:
+        base = base.where(F.col("_v").isNotNull())
+    counts = (base.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"), *[F.sum(f"_s_{s}").alias(f"_s_{s}") for s in sums])
+              .withColumn("_b", value_bucket(F.col("_v"))))
+    group = Window.partitionBy(*keys)
+    before = Window.unboundedPreceding, -1
+    seg = (counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), *[F.sum(f"_s_{s}").alias(f"_s_{s}") for s in sums])
+           .withColumn("_before", F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(*before)), F.lit(0)))
+           .withColumn("_n", F.sum("_c").over(group)))
+    for s in sums:
+        seg = seg.withColumn(f"_s_{s}", F.sum(f"_s_{s}").over(group))
+    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    # every target lies between the ranks floor and ceil of its place
+    ranks = [f(x) for x in place.values() for f in (F.floor, F.ceil)]
+    holds = [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")) for r in ranks]
+    seg = seg.where(reduce(lambda a, b: a | b, holds, (F.col("_n") == 0) & F.col("_b").isNull()))
+    picked = counts.alias("v").join(seg.alias("s"), _same("v", "s", [*keys, "_b"])).select(
+        *[F.col(f"v.{k}").alias(k) for k in keys], F.col("v._b").alias("_b"), F.col("v._v").alias("_v"),
+        F.col("v._c").alias("_c"), F.col("s._before").alias("_before"), F.col("s._n").alias("_n"),
+        *[F.col(f"s._s_{s}").alias(f"_s_{s}") for s in sums])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(*before)
+    picked = picked.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_at")) & (rank < F.col("_at") + F.col("_c")), F.col("_v")))
+
+    ends = picked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[F.max(f"_s_{s}").alias(f"_s_{s}") for s in sums],
+        *[at(f(x)).alias(f"_{end}_{name}") for name, x in place.items() for end, f in (("lo", F.floor), ("hi", F.ceil))])
+    return ends.select(*keys, *[F.col(f"_s_{s}").alias(s) for s in sums], *[
+        F.when(F.floor(x) == F.ceil(x), F.col(f"_lo_{name}").cast("double"))
+        .otherwise((F.ceil(x) - x) * F.col(f"_lo_{name}") + (x - F.floor(x)) * F.col(f"_hi_{name}")).alias(name)
+        for name, x in place.items()])

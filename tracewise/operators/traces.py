@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.numeric import py_round
-from tracewise.operators.ranking import HOT_GROUP_ROWS, rank_within_groups
+from tracewise.operators.ranking import rank_within_groups
 
 UNTRACED = "untraced"
 
@@ -63,28 +63,24 @@ def trace_rollup(events: DataFrame) -> DataFrame:
             .orderBy(F.col("started_at").desc(), F.col("trace_id")))
 
 
-def with_stage_order(events: DataFrame, num_partitions: int | None = None,
-                     hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def with_stage_order(events: DataFrame) -> DataFrame:
     """0-based position of each event in its trace by (start, event_id).
 
     The position is added to the rows themselves, so repeated deliveries of
-    an event stay single rows.  A hot trace is split across range partitions.
+    an event stay single rows.  A trace is split by minutes.
     """
-    ranked = rank_within_groups(events, ["trace_id"], ["timestamp_start", "event_id"],
-                                num_partitions=num_partitions, rank_col="_r",
-                                hot_threshold=hot_threshold)
+    ranked = rank_within_groups(events, ["trace_id"], ["timestamp_start", "event_id"], rank_col="_r")
     return ranked.select(*events.columns, F.col("_r").cast("int").alias("stage_order"))
 
 
-def stage_order_violations(events: DataFrame, expected: list[str],
-                           num_partitions: int | None = None) -> DataFrame:
+def stage_order_violations(events: DataFrame, expected: list[str]) -> DataFrame:
     """Traces whose fired stages are not a prefix of ``expected``.
 
     One row per violating trace: number of stages, the first bad position,
     what was expected there (null past the end) and what fired.
     """
     exp = F.array(*[F.lit(s) for s in expected])
-    ev = with_stage_order(events, num_partitions)
+    ev = with_stage_order(events)
     want = F.when(F.col("stage_order") < len(expected),
                   F.try_element_at(exp, F.col("stage_order") + 1))
     bad = want.isNull() | (want != F.col("stage_name"))
@@ -100,15 +96,13 @@ def stage_order_violations(events: DataFrame, expected: list[str],
     return agg.where(F.col("first_violation_order").isNotNull())
 
 
-def trace_waterfall(events: DataFrame, traces: DataFrame, num_partitions: int | None = None,
-                    hot_threshold: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def trace_waterfall(events: DataFrame, traces: DataFrame) -> DataFrame:
     """Stages of every trace in start order with the offset from the
     trace start and the running latency total."""
     ranked = rank_within_groups(
         events.select("trace_id", "timestamp_start", "event_id", "stage_name", "status", "latency_ms"),
         ["trace_id"], ["timestamp_start", "event_id"], running_sum="latency_ms",
-        num_partitions=num_partitions, rank_col="_r", cum_col="cumulative_latency_ms",
-        hot_threshold=hot_threshold)
+        rank_col="_r", cum_col="cumulative_latency_ms")
     starts = traces.select("trace_id", "started_at")
     offset_us = F.unix_micros(F.col("timestamp_start").cast("timestamp")) - \
         F.unix_micros(F.col("started_at").cast("timestamp"))
