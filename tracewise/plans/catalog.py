@@ -318,14 +318,14 @@ def _turn_traces(v):
 
 @query("combined_quality_report")
 def _combined_quality_report(v):
-    """J2 + A11 + A12: every answered turn with the stored scores and their mean."""
-    return EVL.combined_report(_turn_traces(v), _stored_evals(v))
+    """J2 + A11 + A12: every answered turn with its scores and their mean."""
+    return EVL.combined_report(_turn_traces(v), _all_evals(v))
 
 
 @query("eval_coverage")
 def _eval_coverage(v):
-    """Per-evaluator means and trace coverage of the stored evaluations."""
-    return EVL.eval_coverage(_stored_evals(v))
+    """Per-evaluator means and trace coverage of all evaluations."""
+    return EVL.eval_coverage(_all_evals(v))
 
 
 @query("calibration")
@@ -582,7 +582,7 @@ def _daily_digest(v):
 @query("summary_stats")
 def _summary_stats(v):
     """Report header counts."""
-    return RP.summary_stats(v.tr, _stored_evals(v), v.reg, v.rca)
+    return RP.summary_stats(v.tr, _all_evals(v), v.reg, v.rca)
 
 
 @query("kpi_overview")
@@ -661,8 +661,14 @@ def _trace_waterfall(v):
 
 @query("trace_detail")
 def _trace_detail(v):
-    """Trace header with its ordered events (and evaluations, if any)."""
-    return TR.trace_detail(v.tr, v.ev, _stored_evals(v))
+    """Trace headers with their ordered events and their evaluations.
+
+    The answered turns are traces too: they have evaluations, and no events.
+    """
+    turns = v.turns.select("trace_id", F.lit(None).cast("timestamp_ntz").alias("started_at"),
+                           F.lit(None).cast("double").alias("total_latency_ms"), F.lit(False).alias("has_error"))
+    traces = v.tr.select(*turns.columns).unionByName(turns)
+    return TR.trace_detail(traces, v.ev, _all_evals(v))
 
 
 @query("payload_summary")

@@ -430,17 +430,17 @@ FROM all_evals WHERE NOT skipped GROUP BY evaluator_name"""
 SQL["evaluator_pivot"] = with_(*EVAL_BASE) + "SELECT * FROM (" + pivot_sql(
     "(SELECT * FROM stored UNION ALL SELECT * FROM missing)") + ")"
 _mean = ("(SELECT avg(x) FROM unnest([" + ", ".join(f"p.{c}" for c in _SCORES) + "]) AS u(x))")
-SQL["combined_quality_report"] = with_(*EVAL_BASE, "piv AS (" + pivot_sql("stored") + ")") + f"""
+SQL["combined_quality_report"] = with_(*EVAL_BASE[:2], "piv AS (" + pivot_sql("all_evals") + ")") + f"""
 SELECT t.trace_id, t.conv_id, t.turn, length(t.answer) AS answer_chars,
        {", ".join(R('p.' + c, c) for c in _SCORES)},
        {R(_mean, 'avg_quality_score')}
 FROM turns t LEFT JOIN piv p ON t.trace_id = p.trace_id"""
-SQL["eval_coverage"] = with_(*EVAL_BASE) + f"""
+SQL["eval_coverage"] = with_(*EVAL_BASE[:2]) + f"""
 SELECT e.evaluator_name, {R('avg(e.score)', 'avg_score')}, count(e.score) AS n,
        c.scored_traces, c.total_traces
-FROM stored e CROSS JOIN (
+FROM all_evals e CROSS JOIN (
   SELECT count(*) FILTER (WHERE sc) AS scored_traces, count(*) AS total_traces
-  FROM (SELECT trace_id, bool_or(score IS NOT NULL) AS sc FROM stored GROUP BY trace_id)) c
+  FROM (SELECT trace_id, bool_or(score IS NOT NULL) AS sc FROM all_evals GROUP BY trace_id)) c
 WHERE e.score IS NOT NULL
 GROUP BY e.evaluator_name, c.scored_traces, c.total_traces"""
 CALIB = """calib AS (
@@ -687,8 +687,8 @@ FROM (SELECT CAST(started_at AS DATE) AS day, count(*) AS total_traces,
              count(*) FILTER (WHERE has_error) AS error_traces FROM tr GROUP BY 1) t
 LEFT JOIN (SELECT CAST(window_start AS DATE) AS day, count(*) AS n FROM reg GROUP BY 1) r ON t.day = r.day
 LEFT JOIN (SELECT CAST(window_start AS DATE) AS day, count(*) AS n FROM rca GROUP BY 1) c ON t.day = c.day"""
-SQL["summary_stats"] = with_(*FULL_RCA, *EVAL_BASE[:3]) + """
-SELECT (SELECT count(*) FROM tr) AS total_traces, (SELECT count(*) FROM stored) AS total_evaluations,
+SQL["summary_stats"] = with_(*FULL_RCA, *EVAL_BASE[:2]) + """
+SELECT (SELECT count(*) FROM tr) AS total_traces, (SELECT count(*) FROM all_evals) AS total_evaluations,
        (SELECT count(*) FROM reg) AS total_regressions, (SELECT count(*) FROM rca) AS total_rca_reports,
        (SELECT count(*) FROM tr WHERE has_error) AS error_traces"""
 SQL["kpi_overview"] = with_(EV) + f"""
@@ -744,13 +744,14 @@ SELECT s.trace_id, s.stage_order, s.event_id, s.stage_name, s.status, {R('s.late
        {R('(epoch_us(s.timestamp_start) - epoch_us(t.started_at)) / 1000.0', 'offset_ms')},
        {R('sum(s.latency_ms) OVER (PARTITION BY s.trace_id ORDER BY s.stage_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'cumulative_latency_ms')}
 FROM so s JOIN tr t ON s.trace_id = t.trace_id"""
-SQL["trace_detail"] = with_(EV, TR, SO, *EVAL_BASE[:3]) + f"""
+SQL["trace_detail"] = with_(EV, TR, SO, *EVAL_BASE[:2]) + f"""
 SELECT t.trace_id, t.started_at, {R('t.total_latency_ms', 'total_latency_ms')}, t.has_error, p.kind, p.seq,
        p.name, {R('p.value', 'value')}, p.detail
-FROM tr t JOIN (
+FROM (SELECT trace_id, started_at, total_latency_ms, has_error FROM tr
+  UNION ALL SELECT trace_id, NULL::TIMESTAMP, NULL::DOUBLE, false FROM turns) t JOIN (
   SELECT trace_id, 'event' AS kind, stage_order AS seq, stage_name AS name, latency_ms AS value, status AS detail FROM so
   UNION ALL
-  SELECT trace_id, 'evaluation', NULL::INTEGER, evaluator_name, score, reasoning FROM stored) p
+  SELECT trace_id, 'evaluation', NULL::INTEGER, evaluator_name, score, reasoning FROM all_evals) p
 ON t.trace_id = p.trace_id"""
 SQL["payload_summary"] = with_(EV) + """
 SELECT event_id, CASE WHEN output_summary IS NOT NULL THEN 'str' END AS summary_type,
