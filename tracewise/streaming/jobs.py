@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewise.functions.numeric import py_round
 from tracewise.operators.sinks import new_by_key
@@ -46,8 +47,13 @@ def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def trace_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """ST1: traces assembled from a stream; a trace closes after ``gap``
     without events and is emitted once (append mode).  Events later than the
-    watermark are dropped, like late events of a stored trace."""
-    ev = _as_event_time(events).withWatermark("timestamp_start", delay)
+    watermark are dropped, like late events of a stored trace;
+    ``session_batches`` keeps them."""
+    return _assembled(_as_event_time(events).withWatermark("timestamp_start", delay), gap).drop("session", "_last")
+
+
+def _assembled(ev: DataFrame, gap: str) -> DataFrame:
+    """Traces of the sessions of each trace id, with their session window and last start."""
     order = F.struct("timestamp_start", "event_id")
     slow = F.struct((-F.col("latency_ms")).alias("n"), F.col("timestamp_start"), F.col("event_id"))
     is_err = F.col("status") == "error"
@@ -60,41 +66,96 @@ def trace_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 h
                  F.min_by("stage_name", slow).alias("slowest_stage"),
                  F.max("latency_ms").alias("slowest_stage_latency_ms"),
                  F.max(is_err).alias("has_error"),
-                 F.min_by(F.when(is_err, F.col("stage_name")), F.when(is_err, order)).alias("error_stage"))
-            .drop("session"))
+                 F.min_by(F.when(is_err, F.col("stage_name")), F.when(is_err, order)).alias("error_stage"),
+                 F.max("timestamp_start").alias("_last")))
 
 
 def window_metrics_stream(traces: DataFrame, window_minutes: int, delay: str = "1 day") -> DataFrame:
     """ST2: tumbling-window trace metrics of one window size with exact
-    percentiles; a window is emitted once the watermark passes its end."""
+    percentiles; a window is emitted once the watermark passes its end.
+
+    Two chained aggregates: the state of the first is a row per (window,
+    latency) with its count, so equal values take no more room and a busy
+    window is dealt over all tasks; closed windows then flow through the
+    second, which weighs each latency with its count."""
     t = _as_event_time(traces, ("started_at",)).withWatermark("started_at", delay)
-    w = F.window("started_at", f"{int(window_minutes)} minutes")
-    return (t.groupBy(w.alias("w"))
-            .agg(F.count(F.lit(1)).cast("double").alias("trace_count"),
-                 (F.sum(F.col("has_error").cast("int")) / F.count(F.lit(1)) * 100.0).alias("error_rate_pct"),
-                 F.percentile("total_latency_ms", F.lit(0.5)).alias("latency_p50_ms"),
-                 F.percentile("total_latency_ms", F.lit(0.95)).alias("latency_p95_ms"),
-                 F.percentile("total_latency_ms", F.lit(0.99)).alias("latency_p99_ms"))
+    size = f"{int(window_minutes)} minutes"
+    values = (t.groupBy(F.window("started_at", size).alias("w"), "total_latency_ms")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("has_error").cast("int")).alias("errors")))
+    return (values.groupBy(F.window(F.col("w"), size).alias("w"))
+            .agg(F.sum("n").cast("double").alias("trace_count"),
+                 (F.sum("errors") / F.sum("n") * 100.0).alias("error_rate_pct"),
+                 *[F.percentile("total_latency_ms", F.lit(p), F.col("n")).alias(f"latency_p{round(100 * p)}_ms")
+                   for p in (0.5, 0.95, 0.99)])
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     F.lit(int(window_minutes)).alias("window_minutes"), "trace_count",
                     "error_rate_pct", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms"))
 
 
+def _stored(spark, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet folder, or no rows if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def session_batches(folder: str, gap_minutes: int = 30, delay_minutes: int = 60) -> Callable[[DataFrame, int], None]:
+    """ST1 with every event accounted for: a ``foreachBatch`` body over the raw
+    event stream.  Under ``folder``, per epoch:
+
+    ``closed``  traces whose last event lies ``gap_minutes`` behind the watermark,
+    ``late``    events that came behind the watermark, with it,
+    ``open``    the events of traces that are still open,
+    ``mark``    the newest event time so far.
+
+    The watermark is the newest event time of all epochs before, less
+    ``delay_minutes``.  At any time: events = events of closed traces + late + open.
+    An epoch reads only what earlier epochs wrote and replaces its own folders, so
+    one that is run again after a failure changes nothing.
+    """
+    mark_type = T.StructType([T.StructField("newest", T.TimestampType()), T.StructField("epoch", T.LongType())])
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        events = _as_event_time(batch)
+        before = _stored(spark, f"{folder}/mark", mark_type).where(F.col("epoch") < epoch)
+        last = before.orderBy(F.desc("epoch")).first()                    # one row
+        seen = last.newest if last else None
+        watermark = F.lit(seen) - F.expr(f"INTERVAL {int(delay_minutes)} MINUTES") if seen else F.lit(None).cast("timestamp")
+        events = events.withColumn("_late", F.coalesce(F.col("timestamp_start") < watermark, F.lit(False)))
+
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+
+        put(events.where("_late").drop("_late").withColumn("watermark", watermark), "late")
+        fresh = events.where(~F.col("_late")).drop("_late")
+        if last:
+            fresh = _stored(spark, f"{folder}/open/epoch={last.epoch}", fresh.schema).unionByName(fresh)
+        put(events.agg(F.max("timestamp_start").alias("newest")).select(F.greatest("newest", F.lit(seen).cast("timestamp")).alias("newest")),
+            "mark")
+        now = spark.read.schema(mark_type).parquet(f"{folder}/mark/epoch={epoch}").first().newest
+        sessions = _assembled(fresh, f"{int(gap_minutes)} minutes")
+        # not by session.end: a filter on the grouping window would be pushed below the merging of sessions
+        quiet = F.expr(f"INTERVAL {int(gap_minutes) + int(delay_minutes)} MINUTES")
+        closed = sessions.where(F.col("_last") <= F.lit(now) - quiet).drop("session")
+        put(closed.drop("_last"), "closed")
+        over = closed.select("trace_id", F.col("started_at").alias("_from"), F.col("_last").alias("_to"))
+        put(fresh.alias("e").join(over.alias("s"), F.col("e.trace_id").eqNullSafe(F.col("s.trace_id"))
+                                  & F.col("timestamp_start").between(F.col("_from"), F.col("_to")), "left_anti"), "open")
+
+    return run
+
+
 def sync_batch(table_path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """ST3: ``foreachBatch`` body that appends the rows of a micro-batch
     whose key is not in the table yet.  Re-running an epoch writes nothing
     twice (the anti-join sees the first attempt's rows)."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(batch.schema).parquet(table_path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":    # not the first batch: let it fail
-                raise
-            stored = None
-        rows = batch.dropDuplicates(key)
-        if stored is not None:
-            rows = new_by_key(rows, stored, key)
+        stored = _stored(batch.sparkSession, table_path, batch.schema)
+        rows = new_by_key(batch.dropDuplicates(key), stored, key)
         rows.write.mode("append").parquet(table_path)
     return run
 
@@ -111,3 +172,40 @@ def threshold_alerts_stream(metrics: DataFrame, config: DataFrame) -> DataFrame:
     return j.where(hit).select("metric_name", "window_start", "window_minutes",
                                F.col("value").alias("current_value"),
                                F.col("threshold").alias("baseline_value"))
+
+
+OUTBOX = T.StructType([T.StructField("alert_type", T.StringType()), T.StructField("reference_id", T.StringType()),
+                       T.StructField("metric_name", T.StringType()), T.StructField("window_start", T.TimestampType()),
+                       T.StructField("window_minutes", T.IntegerType()), T.StructField("current_value", T.DoubleType()),
+                       T.StructField("baseline_value", T.DoubleType())])
+
+
+def outbox_batch(folder: str, query: str, log_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """ST5 + L1: a ``foreachBatch`` sink for the flags of ``threshold_alerts_stream``.
+
+    Alerts of an epoch go to ``folder/query=<query>/epoch=<n>``, less those that any
+    other epoch or query holds and those with a successful attempt in the log of
+    ``log_path``.  An epoch never reads its own folder and replaces it, so an epoch
+    that was written but not committed puts nothing there twice when it runs again.
+    """
+    from tracewise.operators.alerts import outbox
+    from tracewise.schemas import ALERT_LOG
+    placed = T.StructType([*OUTBOX.fields, T.StructField("query", T.StringType()), T.StructField("epoch", T.LongType())])
+    key = ["alert_type", "reference_id"]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        due = batch.select(
+            F.lit("threshold").alias("alert_type"),
+            F.concat_ws("|", "metric_name", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss"),
+                        F.col("window_minutes").cast("string")).alias("reference_id"),
+            "metric_name", F.col("window_start").cast("timestamp").alias("window_start"),
+            F.col("window_minutes").cast("int").alias("window_minutes"),
+            "current_value", "baseline_value").dropDuplicates(key)
+        others = _stored(spark, folder, placed).where((F.col("query") != query) | (F.col("epoch") != epoch))
+        due = new_by_key(due, others, key)
+        if log_path:
+            due = outbox(due, _stored(spark, log_path, ALERT_LOG))
+        due.write.mode("overwrite").parquet(f"{folder}/query={query}/epoch={epoch}")
+
+    return run
