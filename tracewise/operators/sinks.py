@@ -52,12 +52,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
 
 
 def export_tables(tables: dict[str, DataFrame], out_dir: str, single_file: bool = False,
-                  strict: bool = False) -> dict:
+                  strict: bool = True) -> dict:
     """K8: export each table (its export column subset) as CSV with header
     and as Parquet, overwriting.  ``single_file`` coalesces to one file per
-    table for BI tools (only for small tables).  A table may lack export columns;
-    with ``strict`` the time stamps of storing that it lacks are set to now
-    and any other missing column is an error."""
+    table for BI tools (only for small tables).  If a table lacks export columns,
+    time stamps of storing are set to now and any other is an error; without
+    ``strict`` they are all left out."""
     written = {}
     for name, df in tables.items():
         cols = EXPORT_COLUMNS.get(name, df.columns)
