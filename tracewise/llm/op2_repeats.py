@@ -147,7 +147,8 @@ def _marked(rows: DataFrame) -> DataFrame:
     found = store(_decided(rows, "core", "context"), "phrases")
     same = ["core", "context"]
     own = F.struct("key", "id", "s")
-    seen = found.where("open").groupBy(*same).agg(F.count("*").alias("c_n"), F.min(own).alias("c_first"))
+    # stored like the keys above: a hot (core, context) is counted map-side, and its rows can be split in the join
+    seen = store(found.where("open").groupBy(*same).agg(F.count("*").alias("c_n"), F.min(own).alias("c_first")), "contexts")
     still = (found.where("open").join(seen, same)
              .select("key", "id", "s", "n", "d", (F.col("c_n") > 1).alias("full"), (own == F.col("c_first")).alias("shown"))
              .where("full or shown"))
