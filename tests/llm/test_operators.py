@@ -3,8 +3,11 @@ import collections
 import hashlib
 import itertools
 import os
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +287,53 @@ def test_decontamination_short_items(spark):
     assert {tuple(r) for r in found.collect()} ^ want == set()
 
 
+def _plain_overlaps(words, item):
+    """Best (covered, equal) of two word lists over all diagonals, every window of 16 words compared."""
+    best = None
+    a, b = np.array(words, dtype=object), np.array(item, dtype=object)
+    for d in range(16 - len(b), len(a) - 15):
+        lo, hi = max(0, -d), min(len(b), len(a) - d)
+        same = a[lo + d:hi + d] == b[lo:hi]
+        cover = np.zeros(len(same), dtype=bool)
+        for k in np.flatnonzero(np.convolve(same.astype(int), np.ones(16, dtype=int), "valid") >= 13):
+            cover[k:k + 16] = True
+        if cover.any():
+            got = int(cover.sum()), int((cover & same).sum())
+            best = got if best is None else max(best, got)
+    return best
+
+
+def test_decontamination_brute_force(spark):
+    """Items of 16 to 40 words, small vocabularies and substitutions: every pair and figure of the plain count."""
+    rnd = random.Random(5)
+    vocab = [f"v{i}" for i in range(60)]
+    items = {n: [rnd.choice(vocab) for _ in range(n)] for n in range(16, 41, 4)}
+    items[100], items[101] = ["la"] * 20, ["la", "li"] * 12
+    rows = {}
+    for i in range(90):
+        text = [rnd.choice(vocab) for _ in range(rnd.randrange(0, 60))]
+        item = items[rnd.choice(list(items))]
+        cut = item[rnd.randrange(0, 6):][:rnd.randrange(10, 41)]
+        at = rnd.randrange(0, len(text) + 1)
+        rows[i] = text[:at] + [w if rnd.random() > 0.15 else rnd.choice(vocab) for w in cut] + text[at:]
+    rows[90], rows[91] = ["la"] * 50, ["li"] * 15
+    found = op10_decontaminate.overlaps(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal) for r in found.collect()}
+    want = {(i, j): o for i, a in rows.items() for j, b in items.items() if (o := _plain_overlaps(a, b))}
+    assert len(want) > 40 and got == want
+
+
+def test_decontamination_of_one_repeated_word():
+    """20,000 equal words against an item of 300: each diagonal once, no row for each pair of hit and seed."""
+    words, item = np.full(20000, 7), np.full(300, 7)
+    hits = np.full(19995, 3), np.arange(19995)
+    start = time.monotonic()
+    assert op10_decontaminate.best_overlap(words, item, *hits, [(3, q, 6) for q in range(295)], 16, 0.8) == (300, 300)
+    assert time.monotonic() - start < 30
+
+
 def test_resampling(spark, docs, labels, edge_docs, no_docs):
     own = spark.read.parquet(f"{SF}/labels.parquet")
     got = op1_resample.resample(docs, own, k=50).collect()

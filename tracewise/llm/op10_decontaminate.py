@@ -40,6 +40,8 @@ WINDOW = 16
 SIMILARITY = 0.8
 SHORTEST = 1
 _BITS = 24
+# words of aligned pairs compared at a time
+_CELLS = 1 << 18
 
 
 def seed_hashes(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,36 +160,55 @@ def corpus_segments(docs: DataFrame, table: np.ndarray, masks=MASKS, window: int
         run, "doc_id long, words array<long>, hits array<struct<hash: long, first: int>>")
 
 
-def best_overlap(words: np.ndarray, item: np.ndarray, hits: list[tuple[int, int, int]],
-                 window: int, similarity: float) -> tuple[int, int] | None:
+def best_overlap(words: np.ndarray, item: np.ndarray, hit_hash: np.ndarray, hit_at: np.ndarray,
+                 seeds: list[tuple[int, int, int]], window: int, similarity: float) -> tuple[int, int] | None:
     """(covered words, equal ones among them) of the best alignment of two word
-    arrays, from hits (place in words, place in item, span); None if none counts."""
+    arrays; None if none counts.
+
+    ``hit_hash`` and ``hit_at`` are the hits in ``words`` (ascending places), ``seeds`` those of
+    the item (hash, first word, span).  Only diagonals on which a seed meets a hit are
+    looked at, each once however many do, some at a time (``_CELLS`` words).
+    """
     size = min(window, len(item))
     least, best = need(size, similarity), None
-    diagonals: dict[int, list[tuple[int, int]]] = {}
-    for p, q, span in hits:
-        diagonals.setdefault(p - q, []).append((q, span))
-    for d, own in diagonals.items():
-        a, b = max(0, -d), min(len(item), len(words) - d)
+    order = np.argsort(hit_hash, kind="stable")
+    hit_hash, hit_at = hit_hash[order], hit_at[order]
+    lo = np.searchsorted(hit_hash, [s[0] for s in seeds], "left")
+    hi = np.searchsorted(hit_hash, [s[0] for s in seeds], "right")
+    met = [(hit_at[a:b] - q, q, span) for a, b, (_, q, span) in zip(lo, hi, seeds) if a < b]
+    there = np.zeros(len(words) + len(item) + 1, dtype=bool)
+    for own, _, _ in met:
+        there[own + len(item)] = True
+    diagonals = np.flatnonzero(there) - len(item)
+    step = max(1, _CELLS // len(item))
+    for k in range(0, len(diagonals), step):
+        d = diagonals[k:k + step]
+        a, b = max(0, -int(d[-1])), min(len(item), len(words) - int(d[0]))      # item words that meet any word
         if b - a < size:
             continue
-        same = words[a + d:b + d] == item[a:b]
-        total = np.concatenate([[0], np.cumsum(same)])
-        good = total[size:] - total[:-size] >= least       # windows by first item word, from a
-        held = np.zeros(len(good) + 1, dtype=np.int64)      # those that hold a hit
-        for q, span in own:
-            lo, hi = max(0, q + span - size - a), min(len(good), q - a + 1)
-            if lo < hi:
-                held[lo] += 1
-                held[hi] -= 1
-        good &= np.cumsum(held)[:-1] > 0
-        if good.any():
-            cover = np.zeros(len(same) + 1, dtype=np.int64)
-            np.add.at(cover, np.flatnonzero(good), 1)
-            np.add.at(cover, np.flatnonzero(good) + size, -1)
-            cover = np.cumsum(cover)[:-1] > 0
-            got = int(cover.sum()), int((cover & same).sum())
-            best = got if best is None else max(best, got)
+        at = d[:, None] + np.arange(a, b)
+        inside = (at >= 0) & (at < len(words))
+        same = inside & (words[np.clip(at, 0, len(words) - 1)] == item[a:b])
+        total = np.zeros((len(d), b - a + 1), dtype=np.int64)
+        np.cumsum(same, axis=1, out=total[:, 1:])
+        good = inside[:, :b - a - size + 1] & inside[:, size - 1:] & (total[:, size:] - total[:, :-size] >= least)
+        held = np.zeros((len(d), good.shape[1] + 1), dtype=np.int64)            # windows that hold a hit
+        for own, q, span in met:
+            first, last = max(0, q + span - size - a), min(good.shape[1], q - a + 1)
+            if first < last:
+                row = np.searchsorted(d, own[np.searchsorted(own, d[0]):np.searchsorted(own, d[-1], "right")])
+                held[row, first] += 1
+                held[row, last] -= 1
+        good &= np.cumsum(held, axis=1)[:, :-1] > 0
+        some = np.flatnonzero(good.any(axis=1))
+        if not len(some):
+            continue
+        cover = np.zeros((len(some), b - a + 1), dtype=np.int64)
+        cover[:, :good.shape[1]] += good[some]
+        cover[:, size:] -= good[some]
+        covered = np.cumsum(cover, axis=1)[:, :-1] > 0
+        got = max(zip(covered.sum(axis=1).tolist(), (covered & same[some]).sum(axis=1).tolist()))
+        best = got if best is None else max(best, got)
     return best
 
 
@@ -196,28 +217,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
     """Verified overlaps: doc_id, item_id, n_words (covered), n_equal."""
     ship_by_value()
     items = store(benchmark_items(benchmark, masks, shortest, window, similarity), "items")
-    seeds = items.select("item", F.explode("seeds").alias("s")).select(
-        "item", F.col("s.hash").alias("hash"), F.col("s.first").alias("i_first"), "s.span")
+    seeds = items.select("item", F.explode(F.array_distinct("seeds.hash")).alias("hash"))
     # the masks of pieces run over the corpus only if some item has such pieces: fewer sizes than ``window`` come here
     size = F.size("words")
     short = {piece_length(r.n, similarity) for r in items.where(size < window).select(size.alias("n")).distinct().collect()}
     every = [*masks, *("1" * n for n in sorted(short) if "1" * n not in masks)]
     segments = store(corpus_segments(docs, bit_table(seeds), every, window)
                      .select(F.monotonically_increasing_id().alias("segment"), "*"), "segments")
-    hit = (segments.select("segment", F.explode("hits").alias("h"))
-           .select("segment", F.col("h.hash").alias("hash"), F.col("h.first").alias("d_first")).join(seeds, "hash")
-           .groupBy("segment", "item").agg(F.collect_list(F.struct("d_first", "i_first", "span")).alias("hits")))
-    both = (hit.join(segments.select("segment", "doc_id", "words"), "segment")
-            .join(items.select("item", "item_id", F.col("words").alias("i_words")), "item")
-            .select("doc_id", "item_id", "words", "i_words", "hits"))
+    # a pair of segment and item goes on once: hashes are distinct on both sides, places are met in the pair's task
+    pairs = (segments.select("segment", F.explode(F.array_distinct("hits.hash")).alias("hash"))
+             .join(seeds, "hash").select("segment", "item").distinct())
+    both = (pairs.join(segments.select("segment", "doc_id", "words", "hits"), "segment")
+            .join(items.select("item", "item_id", F.col("words").alias("i_words"), "seeds"), "item")
+            .select("doc_id", "item_id", "words", "i_words", "hits", "seeds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                d, i, words, item, hits = (batch.column(c)[k] for c in range(5))
-                got = best_overlap(words.values.to_numpy(), item.values.to_numpy(),
-                                   [tuple(h.values()) for h in hits.as_py()], window, similarity)
+                d, i, words, item, hits, own = (batch.column(c)[k] for c in range(6))
+                got = best_overlap(words.values.to_numpy(), item.values.to_numpy(), *(x.to_numpy() for x in hits.values.flatten()),
+                                   list(zip(*(x.to_pylist() for x in own.values.flatten()))), window, similarity)
                 if got:
                     out.append((d.as_py(), i.as_py(), *got))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)],
