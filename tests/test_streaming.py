@@ -274,3 +274,40 @@ def test_replayed_epoch_sends_nothing_twice(spark, tmpdir_path):
     flags(6, 7, 8).coalesce(1).write.mode("append").parquet(src)
     start().awaitTermination()
     assert len(held()) == 3
+
+
+def test_bad_lines_go_to_a_side_table(spark, tmpdir_path):
+    """Good events pass; the two bad lines come out with their file, also when an epoch runs again."""
+    from tracewise.streaming.jobs import event_stream, routed_batches
+    log, bad, good = (os.path.join(tmpdir_path, x) for x in ("log", "bad", "good"))
+    os.makedirs(log)
+    line = '{{"event_id": "{}", "trace_id": "t", "stage_name": "s", "timestamp_start": "2024-01-01T00:00:00Z", "latency_ms": 1.5}}'
+    for name, lines in (("a.json", [line.format("1"), "{not json", line.format("2")]), ("b.json", ["", line.format("3"), "[1"])):
+        with open(os.path.join(log, name), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    body = routed_batches(bad, lambda df, epoch: df.write.mode("overwrite").parquet(f"{good}/epoch={epoch}"))
+
+    def twice(df, epoch):
+        body(df, epoch)
+        body(df, epoch)
+
+    q = (event_stream(spark, log, max_files_per_trigger=1, with_corrupt=True).writeStream.foreachBatch(twice)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(good).collect()
+    assert sorted((r.event_id, r.latency_ms) for r in rows) == [("1", 1.5), ("2", 1.5), ("3", 1.5)]
+    assert sorted((r.line, os.path.basename(r._file), r._block_start) for r in spark.read.parquet(bad).collect()) == [
+        ("[1", "b.json", 0), ("{not json", "a.json", 0)]
+
+
+def test_stream_sync_of_buckets_equals_the_full_form(spark, tmpdir_path):
+    from tracewise.streaming.jobs import sync_traces_batch
+    ev, path = _write_events(spark, tmpdir_path)
+    table = os.path.join(tmpdir_path, "table")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    q = (stream.writeStream.foreachBatch(sync_traces_batch(table, 8)).option("checkpointLocation", os.path.join(tmpdir_path, "cp"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(table).drop("bucket")
+    want = assemble_traces(spark.read.parquet(path)).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.text import payload_summary
+from tracewise.functions.text import payload_summary, typed_summary
 from tracewise.operators.ranking import exact_percentiles
 from tracewise.sources.lookups import FAITHFULNESS_EVALUATORS, RELEVANCE_EVALUATORS
 
@@ -96,3 +96,13 @@ def payload_summaries(events: DataFrame, col: str = "output_summary", max_previe
     return events.select("event_id", s["type"].alias("summary_type"),
                          s["length"].cast("long").alias("summary_length"),
                          s["preview"].alias("summary_preview"))
+
+
+def argument_summaries(calls: DataFrame, col: str = "args", max_preview: int = 200) -> DataFrame:
+    """One row per argument of every call (``col``: array of JSON texts), with its place
+    and typed summary; arguments that are no JSON value (objects a method was called on) are left out."""
+    a = (calls.select("event_id", F.posexplode(col).alias("position", "arg"))
+         .select("event_id", "position", typed_summary("arg", max_preview).alias("s")).where(F.col("s.type") != "unknown"))
+    return a.select("event_id", "position", F.col("s.type").alias("arg_type"), F.col("s.length").alias("arg_length"),
+                    F.col("s.preview").alias("arg_preview"), F.col("s.keys").alias("arg_keys"),
+                    F.col("s.number").alias("arg_number"), F.col("s.flag").alias("arg_flag"))

@@ -13,8 +13,8 @@
   item) pair becomes a row; a per-query merge of the lists gives the global
   top-n.  The number of blocks is a scalar subquery, so neither queries nor
   items pass the driver and nothing runs while planning.
-* Passage containment (expected sources) is an equi-join on a word 3-gram
-  anchor from the passage interior, verified by ``instr``: no cross join.
+* Passage containment (expected sources) is an equi-join on the passage's
+  rarest gram by the corpus's own counts, verified by ``instr``: no cross join.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tracewise.functions.hashing import md5_bucket
 from tracewise.operators.partitioning import spread
-from tracewise.functions.text import EVAL_STOPWORDS, PY_WHITESPACE_CLASS, py_strip
+from tracewise.functions.text import EVAL_STOPWORDS, PY_WHITESPACE_CLASS, py_strip, validate_query
 from tracewise.sources.lookups import (CONTEXT_SEPARATOR, DEFAULT_MAX_CONTEXT_CHARS,
                                        EMBEDDING_DIM)
 
@@ -53,10 +53,8 @@ EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 QUERY_BLOCK_BYTES = 64 << 20
 # items scored against a block, and queries of it, at a time
 _ITEM_ROWS, _QUERY_ROWS = 2048, 1024
-# rows of one broadcast batch of one- or two-word passages (containment)
-MAX_TINY_PASSAGES = 10_000
-# passage anchors broadcast at most (beyond: shuffle join, AQE splits skew)
-MAX_BROADCAST_ANCHORS = 1_000_000
+# chunks of one list of the chunking fold
+_CHUNK_LIST = 256
 
 
 # ---- V1 / V2: chunking -----------------------------------------------------
@@ -66,7 +64,8 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
     merge greedily until the buffer (each paragraph followed by the
     separator) reaches ``min_len`` characters, flush the tail.
 
-    The fold carries the buffer length, so a step costs one concatenation;
+    The fold carries the buffer length, so a step costs one concatenation, and
+    finished chunks go to short lists (``_CHUNK_LIST``), so no step copies all of them;
     a flushed buffer is stripped by cutting the trailing separator (the
     paragraphs are stripped already) unless the separator is not blank.
     """
@@ -76,8 +75,9 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
                      lambda p: F.length(p) > 0)
     sep_len = len(separator)
     blank_sep = separator.strip() == ""
-    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("buf"),
-                    F.lit(0).alias("n"))
+    none = F.array().cast("array<string>")
+    init = F.struct(F.array().cast("array<array<string>>").alias("full"), none.alias("chunks"),
+                    F.lit("").alias("buf"), F.lit(0).alias("n"))
 
     def finished(buf, n):
         return F.substring(buf, 1, n - sep_len) if blank_sep else py_strip(buf)
@@ -86,15 +86,17 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
         buf = F.concat(acc["buf"], p, F.lit(separator))
         n = acc["n"] + F.length(p) + F.lit(sep_len)
         full = n >= min_len
+        turn = F.size(acc["chunks"]) >= _CHUNK_LIST
         return F.struct(
-            F.when(full, F.concat(acc["chunks"], F.array(finished(buf, n)))).otherwise(acc["chunks"])
-             .alias("chunks"),
+            F.when(turn, F.concat(acc["full"], F.array(acc["chunks"]))).otherwise(acc["full"]).alias("full"),
+            F.concat(F.when(turn, none).otherwise(acc["chunks"]),
+                     F.when(full, F.array(finished(buf, n))).otherwise(none)).alias("chunks"),
             F.when(full, F.lit("")).otherwise(buf).alias("buf"),
             F.when(full, F.lit(0)).otherwise(n).alias("n"))
 
     def finish(acc):
-        tail = finished(acc["buf"], acc["n"])
-        return F.when(acc["n"] > 0, F.concat(acc["chunks"], F.array(tail))).otherwise(acc["chunks"])
+        tail = F.when(acc["n"] > 0, F.array(finished(acc["buf"], acc["n"]))).otherwise(none)
+        return F.concat(F.flatten(acc["full"]), acc["chunks"], tail)
 
     return F.aggregate(paras, init, step, finish)
 
@@ -354,54 +356,78 @@ def _words(text: Column) -> Column:
     return F.split(text, r"\s+", -1)
 
 
+def _passage_grams(text: Column) -> Column:
+    """[kind, gram, place] of a passage: grams that every text containing it has.
+
+    Five words and more: 3-grams of the interior words (complete words in any
+    such text); three or four words: the interior words; one or two: the runs
+    of up to three characters of the first word; without a word: one gram that
+    every text has.
+    """
+    w = _words(text)
+    n = F.size(w)
+    first = F.get(F.array_remove(w, ""), F.lit(0))
+    chars = F.least(F.lit(3), F.length(first))
+
+    def grams(kind, values):
+        return F.transform(values, lambda g, i: F.struct(kind.alias("kind"), g.alias("gram"), i.alias("place")))
+
+    return (F.when(n >= 5, grams(F.lit("words3"), F.transform(
+                F.sequence(F.lit(2), F.greatest(n, F.lit(5)) - 3),
+                lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
+            .when(n >= 3, grams(F.lit("words1"), F.slice(w, 2, F.greatest(n - 2, F.lit(0)))))
+            .when(first.isNull(), grams(F.lit("any"), F.array(F.lit(""))))
+            .otherwise(grams(F.concat(F.lit("chars"), chars.cast("string")), F.transform(
+                F.sequence(F.lit(1), F.length(first) - chars + 1), lambda i: F.substring(first, i, chars)))))
+
+
+def _text_grams(text: Column, kinds: Column) -> Column:
+    """[kind, gram] of a text, distinct, of the kinds asked for."""
+    def grams(kind, values):
+        return F.when(F.array_contains(kinds, kind), F.transform(
+            F.array_distinct(values), lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))) \
+            .otherwise(F.array().cast("array<struct<kind: string, gram: string>>"))
+
+    def runs(n):                      # a lookahead takes the n next characters at every place
+        return F.regexp_extract_all(text, F.lit(r"(?=(" + r"\S" * n + r"))\S"), 1)
+
+    words3 = F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(r"(?=(\S+ \S+ \S+))\S+"), 1)
+    return F.concat(grams("words3", words3), grams("words1", _words(text)), grams("chars3", runs(3)),
+                    grams("chars2", runs(2)), grams("chars1", runs(1)), grams("any", F.array(F.lit(""))))
+
+
 def contained_in(passages: DataFrame, docs: DataFrame, pid: str = "qid", ptext: str = "query",
                  did: str = "doc_id", dtext: str = "text") -> DataFrame:
-    """(pid, did) for every document whose text contains the passage.
-
-    Candidates come from an equi-join on an interior word 3-gram of the
-    passage (words 2-4: complete words in any containing document) against
-    the documents' word 3-grams, which one regex pass extracts (one gram per
-    word start, whitespace normalised); ``instr`` verifies.  Passages of 3-4
-    words anchor on one interior word; one- or two-word passages fall back to
-    a broadcast scan of the distinct document words (built only when such
-    passages exist).
+    """(pid, did) for every document whose text contains the passage, once.
+
+    Each passage has grams that every text containing it must have
+    (``_passage_grams``).  Their document counts are taken over the whole
+    corpus, and the passage's rarest gram alone is joined with the documents'
+    grams; one that no document has ends the passage.  ``instr`` verifies in the
+    join that fetches the text.  Grams travel as 64-bit hashes; equal hashes of
+    different grams only add candidates.  One lazy plan for all passages: which
+    kinds of grams the corpus pass has to make is a scalar subquery.  A null
+    passage or text is contained in nothing and contains nothing.
     """
-    pw = passages.select(pid, ptext, _words(F.col(ptext)).alias("_w"))
-    n = F.size("_w")
-    anchored = pw.select(
-        pid, ptext,
-        F.when(n >= 5, F.concat_ws(" ", F.element_at("_w", 2), F.element_at("_w", 3),
-                                   F.element_at("_w", 4)))
-         .when(n >= 3, F.element_at("_w", 2)).alias("_anchor"),
-        F.when(n >= 5, F.lit(3)).when(n >= 3, F.lit(1)).otherwise(F.lit(0)).alias("_g"))
-    # one gram per word start: a lookahead captures the next three words
-    norm = F.regexp_replace(F.col(dtext), r"\s+", " ")
-    grams3 = spread(docs).select(did, F.explode(F.regexp_extract_all(
-        norm, F.lit(r"(?=(\S+ \S+ \S+))\S+"), 1)).alias("_anchor"))
-    anchors = anchored.where(F.col("_g") == 3).select(pid, ptext, "_anchor")
-    if anchors.count() <= MAX_BROADCAST_ANCHORS:
-        # bounded: a common 3-gram then never gathers its documents in one task
-        anchors = F.broadcast(anchors)
-    cand = anchors.join(grams3, "_anchor").select(pid, did, ptext)
-    kinds = {r["_g"] for r in anchored.select("_g").distinct().collect()}  # at most 3 values
-    if kinds & {0, 1}:
-        words = docs.select(did, F.explode(F.array_distinct(_words(F.col(dtext)))).alias("_anchor"))
-        one = (anchored.where(F.col("_g") == 1).select(pid, ptext, "_anchor")
-               .join(words, "_anchor").select(pid, did, ptext))
-        # one or two words: the first word lies inside one document word;
-        # a passage without any word is in every document.  Such passages
-        # are broadcast in batches of at most MAX_TINY_PASSAGES rows.
-        short = (pw.where(n < 3).select(pid, ptext, F.element_at(F.array_remove("_w", ""), 1)
-                                        .alias("_first")).orderBy(pid))
-        hit = F.col("_first").isNull() | (F.instr(F.col("_anchor"), F.col("_first")) > 0)
-        cand = cand.unionByName(one)
-        n_short = short.count()
-        for start in range(0, n_short, MAX_TINY_PASSAGES):
-            batch = short.offset(start).limit(MAX_TINY_PASSAGES)
-            cand = cand.unionByName(words.join(F.broadcast(batch), hit).select(pid, did, ptext))
-    cand = cand.distinct()
-    return (cand.join(docs.select(did, dtext), did)
-            .where(F.instr(F.col(dtext), F.col(ptext)) > 0).select(pid, did))
+    def key(g):
+        return F.xxhash64(g["kind"], g["gram"])
+
+    p = passages.select(pid, ptext).where(F.col(ptext).isNotNull()).withColumn("_grams", _passage_grams(F.col(ptext)))
+    kinds = p.agg(F.collect_set(F.get(F.col("_grams"), F.lit(0))["kind"]).alias("kinds")).scalar()      # of six
+    asked = p.select(pid, ptext, F.explode("_grams").alias("_g")).select(
+        pid, ptext, key(F.col("_g")).alias("_key"), F.col("_g")["place"].alias("_place"))
+    held = (spread(docs.select(did, dtext)).where(F.col(dtext).isNotNull())
+            .select(did, F.explode(_text_grams(F.col(dtext), kinds)).alias("_g")).select(did, key(F.col("_g")).alias("_key"))
+            .join(asked.select("_key").distinct(), "_key", "left_semi"))
+    counts = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (asked.join(counts, "_key", "left")
+              .groupBy(pid, ptext).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_place").alias("place"),
+                                                      F.col("_key").alias("key"))).alias("_a"))
+              .where(F.col("_a.n") > 0).select(pid, ptext, F.col("_a.key").alias("_key")))
+    candidates = held.join(rarest, "_key").select(pid, ptext, did)
+    texts = docs.select(F.col(did).alias("_did"), F.col(dtext).alias("_text"))
+    return (candidates.join(texts, F.col(did).eqNullSafe(F.col("_did")) & (F.instr(F.col("_text"), F.col(ptext)) > 0))
+            .select(pid, did).distinct())
 
 
 # ---- A13 / A14 ------------------------------------------------------------------
@@ -414,15 +440,34 @@ def hit_rate_at_k(hits: DataFrame) -> DataFrame:
                       .alias("hit_rate_at_k"))
 
 
-def hit_rate_by_group(hits: DataFrame, group_col: str = "difficulty") -> DataFrame:
+def retrieval_hits(questions: DataFrame, ranked: DataFrame, expected: DataFrame) -> DataFrame:
+    """A13 per question: is_valid, ``hit`` (an expected document is among the
+    ranked chunks' documents), the ranked documents and the expected ones among
+    them.  ``expected`` (qid, doc_id) is met by a semi-join, never gathered."""
+    _, ok, _ = validate_query(F.col("query"))
+    got = ranked.select("qid", F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    want = expected.select("qid", F.col("doc_id").cast("string").alias("doc_id"))
+    met = got.join(want, ["qid", "doc_id"], "left_semi").select("qid", "doc_id", F.lit(True).alias("met"))
+    lists = (got.join(met, ["qid", "doc_id"], "left").groupBy("qid")
+             .agg(F.sort_array(F.collect_list("doc_id")).alias("retrieved"),              # k at most
+                  F.sort_array(F.collect_list(F.when(F.col("met"), F.col("doc_id")))).alias("expected_retrieved")))
+    return (questions.withColumn("is_valid", ok).join(lists, "qid", "left")
+            .withColumn("hit", F.coalesce(F.size("expected_retrieved") > 0, F.lit(False))))
+
+
+def hit_rate_by_group(hits: DataFrame, group_col: str = "difficulty", latency_col: str | None = None) -> DataFrame:
     """Per group and overall (rollup): total, hits, errors (rejected
-    queries) and hit rate in percent over the answered ones."""
+    queries) and hit rate in percent; with ``latency_col`` also the mean latency
+    of the accepted queries."""
+    more = [] if latency_col is None else [
+        F.avg(F.when(F.col("is_valid"), F.col(latency_col))).alias("avg_latency_ms")]
     g = hits.rollup(group_col).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.col("hit").cast("long")).alias("hits"),
-        F.sum((~F.col("is_valid")).cast("long")).alias("errors"))
+        F.sum((~F.col("is_valid")).cast("long")).alias("errors"), *more)
     return g.select(F.coalesce(F.col(group_col), F.lit("OVERALL")).alias(group_col), "total", "hits",
-                    "errors", (F.col("hits") / F.col("total") * 100.0).alias("hit_rate_pct"))
+                    "errors", (F.col("hits") / F.col("total") * 100.0).alias("hit_rate_pct"),
+                    *(["avg_latency_ms"] if more else []))
 
 
 # ---- V4 on dense vectors -------------------------------------------------------

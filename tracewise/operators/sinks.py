@@ -7,7 +7,8 @@ idempotent and safe to re-run after a failed attempt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.schemas import EXPORT_COLUMNS
@@ -15,6 +16,8 @@ from tracewise.schemas import EXPORT_COLUMNS
 
 #: columns that say when a row was stored
 STORED_AT = {"created_at", "detected_at"}
+#: hash buckets of a table kept for incremental sync
+SYNC_BUCKETS = 256
 
 
 def append_events_jsonl(events: DataFrame, path: str) -> None:
@@ -36,6 +39,51 @@ def sync_traces(events: DataFrame, stored_traces: DataFrame) -> DataFrame:
     return new_by_key(assemble_traces(events), stored_traces, ["trace_id"])
 
 
+def append_bucketed(rows: DataFrame, path: str, key: str, buckets: int = SYNC_BUCKETS) -> None:
+    """Append rows to a table partitioned by the hash bucket of ``key``."""
+    rows = rows.withColumn("bucket", _bucket(key, buckets))
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def new_traces_bucketed(events: DataFrame, path: str, buckets: int = SYNC_BUCKETS) -> DataFrame:
+    """K2 over a table of ``append_bucketed``: traces of ``events`` not stored yet.
+
+    Reads the ids of the buckets that the events' ids fall into, no other
+    file of the table, and assembles the events of new ids only.  The touched
+    buckets are read first (at most ``buckets`` numbers come to the driver), so
+    that they prune the scan as a partition filter.  An absent table
+    holds nothing.
+    """
+    from tracewise.operators.traces import assemble_traces
+    spark = events.sparkSession
+    ids = events.select("trace_id").distinct().withColumn("bucket", _bucket("trace_id", buckets))
+    touched = [r.bucket for r in ids.select("bucket").distinct().collect()]
+    stored = stored_rows(spark, path, "trace_id string, bucket int").where(F.col("bucket").isin(touched))
+    new = ids.join(stored, (ids["bucket"] == stored["bucket"]) & ids["trace_id"].eqNullSafe(stored["trace_id"]), "left_anti")
+    new = new.select(F.col("trace_id").alias("_new"))
+    return assemble_traces(events.join(new, F.col("trace_id").eqNullSafe(F.col("_new")), "left_semi"))
+
+
+def sync_traces_bucketed(events: DataFrame, path: str, buckets: int = SYNC_BUCKETS) -> None:
+    """K2 / ST3: append the traces of ``events`` that the bucketed table lacks.  Late events of a
+    stored trace stay out; a second run over the same events appends nothing."""
+    append_bucketed(new_traces_bucketed(events, path, buckets), path, "trace_id", buckets)
+
+
+def stored_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet folder, or no rows if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def delete_then_insert(table: DataFrame, drop_when: Column, rows: DataFrame) -> DataFrame:
     """K6: the table without the rows matching ``drop_when``, plus ``rows``."""
     return table.where(~F.coalesce(drop_when, F.lit(False))).unionByName(rows.select(*table.columns))

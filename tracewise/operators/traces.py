@@ -10,7 +10,7 @@ id) ships one partial row per task.  No ``collect_list`` of a trace.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.numeric import py_round
@@ -113,8 +113,8 @@ def trace_waterfall(events: DataFrame, traces: DataFrame) -> DataFrame:
                     "cumulative_latency_ms"))
 
 
-def events_of_trace(events: DataFrame, trace_id: str | None = None) -> DataFrame:
-    """Events (of one trace, or all) in start order."""
+def events_of_trace(events: DataFrame, trace_id: str | Column | None = None) -> DataFrame:
+    """Events (of one trace, or all) in start order; the id may be a scalar subquery."""
     ev = events if trace_id is None else events.where(F.col("trace_id") == trace_id)
     return ev.orderBy("timestamp_start", "event_id")
 

@@ -476,16 +476,7 @@ def _lookup_topic_source(v):
 
 
 def _hits(v):
-    src = RT.sources_per_query(_ranked(v))
-    exp = _expected(v).groupBy("qid").agg(
-        F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
-    q = v.questions.select("qid", "difficulty", "query")
-    from tracewise.functions.text import validate_query
-    _, ok, _ = validate_query(F.col("query"))
-    return (q.withColumn("is_valid", ok).join(src, "qid", "left").join(exp, "qid", "left")
-            .withColumn("hit", F.coalesce(F.size(F.array_intersect(
-                F.coalesce("expected", F.array().cast("array<string>")),
-                F.coalesce("sources", F.array().cast("array<string>")))) > 0, F.lit(False))))
+    return RT.retrieval_hits(v.questions, _ranked(v), _expected(v))
 
 
 @query("hit_rate_at_k")
@@ -500,6 +491,20 @@ def _hit_rate_by_group(v):
     return RT.hit_rate_by_group(_hits(v))
 
 
+@query("retrieval_rows")
+def _retrieval_rows(v):
+    """A13 per question: what was retrieved, what of it was expected, and the hit."""
+    return _hits(v).select("qid", "query", "difficulty", "is_valid", "retrieved", "expected_retrieved", "hit")
+
+
+@query("question_bank_report")
+def _question_bank_report(v):
+    """Hit rate and mean latency by difficulty; a question's latency is the
+    mean of the traces of its query id."""
+    lat = v.tr.groupBy(F.col("query_id").cast("long").alias("qid")).agg(F.avg("total_latency_ms").alias("latency_ms"))
+    return RT.hit_rate_by_group(_hits(v).join(lat, "qid", "left"), latency_col="latency_ms")
+
+
 @query("retrieve_batch")
 def _retrieve_batch(v):
     """V9: validation -> embedding -> kNN -> rank -> pack -> prompt for the
@@ -677,6 +682,28 @@ def _payload_summary(v):
     return RP.payload_summaries(v.ev, "output_summary")
 
 
+@query("payload_arguments")
+def _payload_arguments(v):
+    """Typed summaries of the arguments of every call, those that are no JSON left out."""
+    e = v.table("events")
+    def quoted(c):
+        return F.concat(F.lit('"'), c, F.lit('"'))
+    failed = F.col("event_type") == "error"
+    args = F.array(F.col("props"), F.col("value").cast("string"), quoted(F.col("event_type")), failed.cast("string"),
+                   F.when(failed, quoted(F.lit("failed"))).otherwise(F.lit("null")),
+                   F.concat(F.lit("["), F.concat_ws(",", "user_id", "event_id"), F.lit("]")),
+                   F.col("user_id").cast("string"), F.concat(F.lit("<"), F.col("event_type"), F.lit(" object>")))
+    return RP.argument_summaries(e.select(F.col("event_id").cast("string").alias("event_id"), args.alias("args")), "args")
+
+
+@query("trace_events_of")
+def _trace_events_of(v):
+    """The events of one trace in start order: the trace of most stages (ties: least id)."""
+    top = v.tr.orderBy(F.desc("num_stages"), "trace_id").select("trace_id").limit(1)
+    return TR.events_of_trace(v.ev, top.scalar()).select(
+        "trace_id", "event_id", "stage_name", "timestamp_start", "timestamp_end", "latency_ms", "status")
+
+
 @query("sync_new_traces")
 def _sync_new_traces(v):
     """Traces a second sync inserts (ids not stored by the first)."""

@@ -616,6 +616,20 @@ SELECT coalesce(difficulty, 'OVERALL') AS difficulty, count(*) AS total,
        {R('sum(CAST(hit AS BIGINT)) / count(*) * 100.0', 'hit_rate_pct')}
 FROM hits GROUP BY ROLLUP (difficulty)"""
 
+SQL["retrieval_rows"] = with_(*RETR) + """
+SELECT q.qid, q.query, q.difficulty, h.is_valid, s.sources AS retrieved,
+       CASE WHEN s.sources IS NOT NULL THEN list_filter(s.sources, lambda d: list_contains(coalesce(x.docs, []), d)) END AS expected_retrieved,
+       h.hit
+FROM questions q JOIN hits h ON h.qid = q.qid LEFT JOIN srcs s ON s.qid = q.qid
+LEFT JOIN (SELECT qid, list(CAST(doc_id AS VARCHAR)) AS docs FROM expected GROUP BY qid) x ON x.qid = q.qid"""
+SQL["question_bank_report"] = with_(EV, TR, *RETR) + f"""
+SELECT coalesce(difficulty, 'OVERALL') AS difficulty, count(*) AS total,
+       CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits, CAST(sum(CAST(NOT is_valid AS BIGINT)) AS BIGINT) AS errors,
+       {R('sum(CAST(hit AS BIGINT)) / count(*) * 100.0', 'hit_rate_pct')},
+       {R('avg(CASE WHEN is_valid THEN latency_ms END)', 'avg_latency_ms')}
+FROM hits LEFT JOIN (SELECT CAST(query_id AS BIGINT) AS qid, avg(total_latency_ms) AS latency_ms FROM tr GROUP BY 1) l USING (qid)
+GROUP BY ROLLUP (difficulty)"""
+
 
 def _batch_sql() -> str:
     from tracewise.operators.evaluate import NO_CONTEXT_PLACEHOLDER, RAG_PROMPT
@@ -756,6 +770,30 @@ ON t.trace_id = p.trace_id"""
 SQL["payload_summary"] = with_(EV) + """
 SELECT event_id, CASE WHEN output_summary IS NOT NULL THEN 'str' END AS summary_type,
        length(output_summary) AS summary_length, left(output_summary, 200) AS summary_preview FROM ev"""
+SQL["payload_arguments"] = f"""
+WITH calls AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, unnest(range(8)) AS i, props, value, event_type, user_id, event_id AS eid FROM events),
+args AS (
+  SELECT event_id, CAST(i AS INTEGER) AS position, CAST(CASE i
+    WHEN 0 THEN props WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN '"' || event_type || '"'
+    WHEN 3 THEN CAST(event_type = 'error' AS VARCHAR) WHEN 4 THEN CASE WHEN event_type = 'error' THEN '"failed"' ELSE 'null' END
+    WHEN 5 THEN '[' || user_id || ',' || eid || ']' WHEN 6 THEN CAST(user_id AS VARCHAR)
+    ELSE '<' || event_type || ' object>' END AS VARCHAR) AS a
+  FROM calls),
+typed AS (SELECT event_id, position, CAST(a AS JSON) AS j, json_type(a) AS t FROM args WHERE json_valid(a))
+SELECT event_id, position,
+       CASE t WHEN 'NULL' THEN 'NoneType' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list'
+              WHEN 'OBJECT' THEN 'dict' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS arg_type,
+       CASE t WHEN 'VARCHAR' THEN length(j ->> '$') WHEN 'ARRAY' THEN CAST(json_array_length(j) AS BIGINT) END AS arg_length,
+       CASE t WHEN 'VARCHAR' THEN left(j ->> '$', 200) END AS arg_preview,
+       CASE t WHEN 'OBJECT' THEN json_keys(j)[1:10] END AS arg_keys,
+       {R("CASE WHEN t IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(j AS DOUBLE) END", 'arg_number')},
+       CASE t WHEN 'BOOLEAN' THEN CAST(j AS BOOLEAN) END AS arg_flag
+FROM typed"""
+SQL["trace_events_of"] = with_(EV, TR) + f"""
+SELECT trace_id, event_id, stage_name, timestamp_start, timestamp_end, {R('latency_ms', 'latency_ms')}, status
+FROM ev WHERE trace_id = (SELECT trace_id FROM tr ORDER BY num_stages DESC, trace_id LIMIT 1)
+ORDER BY timestamp_start, event_id"""
 SQL["sync_new_traces"] = with_(EV, TR) + f"""
 SELECT {_TRC} FROM tr WHERE trace_id NOT IN (
   SELECT DISTINCT trace_id FROM ev WHERE timestamp_start < TIMESTAMP '2024-01-20 12:00:00')"""

@@ -11,23 +11,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.functions.numeric import py_round
-from tracewise.operators.sinks import new_by_key
+from tracewise.operators.sinks import new_by_key, stored_rows, sync_traces_bucketed
 from tracewise.schemas import STAGE_EVENT
 
 
 def event_stream(spark, path: str, fmt: str = "json", schema=STAGE_EVENT,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """The growing event log as a stream (files appended to ``path``)."""
+                 max_files_per_trigger: int | None = None, with_corrupt: bool = False) -> DataFrame:
+    """The growing event log as a stream (files appended to ``path``).
+
+    A line that is no event fails the stream.  With ``with_corrupt`` (JSON lines) it
+    comes as a row of nulls with the line in ``_corrupt_record``, and every row has its
+    file, block start and block length, for ``routed_batches``.
+    """
+    if with_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     r = spark.readStream.schema(schema).format(fmt)
+    if fmt == "json":
+        r = (r.option("mode", "PERMISSIVE" if with_corrupt else "FAILFAST")
+             .option("columnNameOfCorruptRecord", "_corrupt_record")
+             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX][X]"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+    events = r.load(path)
+    if with_corrupt:
+        events = events.select("*", F.col("_metadata.file_path").alias("_file"),
+                               F.col("_metadata.file_block_start").alias("_block_start"),
+                               F.col("_metadata.file_block_length").alias("_block_length"))
+    return events
+
+
+def routed_batches(bad_path: str, then: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body over ``event_stream(..., with_corrupt=True)`` that writes
+    corrupt lines (line, file, block) to ``bad_path/epoch=<n>`` and passes the others on.
+
+    An epoch replaces its own folder, so one that runs again after a failure puts no line there twice.
+    """
+    where = ["_file", "_block_start", "_block_length"]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        bad = batch.where(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("line"), *where)
+        bad.write.mode("overwrite").parquet(f"{bad_path}/epoch={epoch}")
+        then(batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", *where), epoch)
+
+    return run
 
 
 def _as_event_time(df: DataFrame, cols=("timestamp_start", "timestamp_end")) -> DataFrame:
@@ -92,16 +123,6 @@ def window_metrics_stream(traces: DataFrame, window_minutes: int, delay: str = "
                     "error_rate_pct", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms"))
 
 
-def _stored(spark, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet folder, or no rows if nothing has been written there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def session_batches(folder: str, gap_minutes: int = 30, delay_minutes: int = 60) -> Callable[[DataFrame, int], None]:
     """ST1 with every event accounted for: a ``foreachBatch`` body over the raw
     event stream.  Under ``folder``, per epoch:
@@ -121,7 +142,7 @@ def session_batches(folder: str, gap_minutes: int = 30, delay_minutes: int = 60)
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         events = _as_event_time(batch)
-        before = _stored(spark, f"{folder}/mark", mark_type).where(F.col("epoch") < epoch)
+        before = stored_rows(spark, f"{folder}/mark", mark_type).where(F.col("epoch") < epoch)
         last = before.orderBy(F.desc("epoch")).first()                    # one row
         seen = last.newest if last else None
         watermark = F.lit(seen) - F.expr(f"INTERVAL {int(delay_minutes)} MINUTES") if seen else F.lit(None).cast("timestamp")
@@ -133,7 +154,7 @@ def session_batches(folder: str, gap_minutes: int = 30, delay_minutes: int = 60)
         put(events.where("_late").drop("_late").withColumn("watermark", watermark), "late")
         fresh = events.where(~F.col("_late")).drop("_late")
         if last:
-            fresh = _stored(spark, f"{folder}/open/epoch={last.epoch}", fresh.schema).unionByName(fresh)
+            fresh = stored_rows(spark, f"{folder}/open/epoch={last.epoch}", fresh.schema).unionByName(fresh)
         put(events.agg(F.max("timestamp_start").alias("newest")).select(F.greatest("newest", F.lit(seen).cast("timestamp")).alias("newest")),
             "mark")
         now = spark.read.schema(mark_type).parquet(f"{folder}/mark/epoch={epoch}").first().newest
@@ -154,12 +175,20 @@ def sync_batch(table_path: str, key: list[str]) -> Callable[[DataFrame, int], No
     whose key is not in the table yet.  Re-running an epoch writes nothing
     twice (the anti-join sees the first attempt's rows)."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        stored = _stored(batch.sparkSession, table_path, batch.schema)
+        stored = stored_rows(batch.sparkSession, table_path, batch.schema)
         rows = new_by_key(batch.dropDuplicates(key), stored, key)
         rows.write.mode("append").parquet(table_path)
     return run
 
 
+def sync_traces_batch(table_path: str, buckets: int) -> Callable[[DataFrame, int], None]:
+    """ST3 over raw events: ``foreachBatch`` body that appends the traces whose id the bucketed
+    table lacks, reading only the buckets that the batch touches."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        sync_traces_bucketed(batch, table_path, buckets)
+    return run
+
+
 def threshold_alerts_stream(metrics: DataFrame, config: DataFrame) -> DataFrame:
     """ST5: closed metric windows breaching a configured threshold
     (stream-static join with the small config table)."""
@@ -202,10 +231,10 @@ def outbox_batch(folder: str, query: str, log_path: str | None = None) -> Callab
             "metric_name", F.col("window_start").cast("timestamp").alias("window_start"),
             F.col("window_minutes").cast("int").alias("window_minutes"),
             "current_value", "baseline_value").dropDuplicates(key)
-        others = _stored(spark, folder, placed).where((F.col("query") != query) | (F.col("epoch") != epoch))
+        others = stored_rows(spark, folder, placed).where((F.col("query") != query) | (F.col("epoch") != epoch))
         due = new_by_key(due, others, key)
         if log_path:
-            due = outbox(due, _stored(spark, log_path, ALERT_LOG))
+            due = outbox(due, stored_rows(spark, log_path, ALERT_LOG))
         due.write.mode("overwrite").parquet(f"{folder}/query={query}/epoch={epoch}")
 
     return run
