@@ -53,8 +53,8 @@ EMBED_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 QUERY_BLOCK_BYTES = 64 << 20
 # items scored against a block, and queries of it, at a time
 _ITEM_ROWS, _QUERY_ROWS = 2048, 1024
-# chunks of one list of the chunking fold
-_CHUNK_LIST = 256
+# paragraphs of one part of the chunking fold
+_CHUNK_PART = 256
 
 
 # ---- V1 / V2: chunking -----------------------------------------------------
@@ -64,8 +64,9 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
     merge greedily until the buffer (each paragraph followed by the
     separator) reaches ``min_len`` characters, flush the tail.
 
-    The fold carries the buffer length, so a step costs one concatenation, and
-    finished chunks go to short lists (``_CHUNK_LIST``), so no step copies all of them;
+    The fold carries the buffer length, so a step costs one concatenation.  Spark
+    copies what a fold carries at every step: paragraphs are folded in parts of
+    ``_CHUNK_PART``, and the chunks so far are carried from part to part only;
     a flushed buffer is stripped by cutting the trailing separator (the
     paragraphs are stripped already) unless the separator is not blank.
     """
@@ -76,8 +77,6 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
     sep_len = len(separator)
     blank_sep = separator.strip() == ""
     none = F.array().cast("array<string>")
-    init = F.struct(F.array().cast("array<array<string>>").alias("full"), none.alias("chunks"),
-                    F.lit("").alias("buf"), F.lit(0).alias("n"))
 
     def finished(buf, n):
         return F.substring(buf, 1, n - sep_len) if blank_sep else py_strip(buf)
@@ -86,19 +85,30 @@ def chunk_text(text: Column, separator: str = "\n\n", min_len: int = 200) -> Col
         buf = F.concat(acc["buf"], p, F.lit(separator))
         n = acc["n"] + F.length(p) + F.lit(sep_len)
         full = n >= min_len
-        turn = F.size(acc["chunks"]) >= _CHUNK_LIST
         return F.struct(
-            F.when(turn, F.concat(acc["full"], F.array(acc["chunks"]))).otherwise(acc["full"]).alias("full"),
-            F.concat(F.when(turn, none).otherwise(acc["chunks"]),
-                     F.when(full, F.array(finished(buf, n))).otherwise(none)).alias("chunks"),
+            F.when(full, F.concat(acc["chunks"], F.array(finished(buf, n)))).otherwise(acc["chunks"])
+             .alias("chunks"),
             F.when(full, F.lit("")).otherwise(buf).alias("buf"),
             F.when(full, F.lit(0)).otherwise(n).alias("n"))
 
+    def once(value, body):                   # ``body`` of a value that is computed once
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def part(acc, ps):
+        inner = F.aggregate(ps, F.struct(none.alias("chunks"), acc["buf"].alias("buf"), acc["n"].alias("n")), step)
+        return once(inner, lambda i: F.struct(F.concat(acc["chunks"], i["chunks"]).alias("chunks"), i["buf"].alias("buf"),
+                                              i["n"].alias("n")))
+
     def finish(acc):
-        tail = F.when(acc["n"] > 0, F.array(finished(acc["buf"], acc["n"]))).otherwise(none)
-        return F.concat(F.flatten(acc["full"]), acc["chunks"], tail)
+        tail = finished(acc["buf"], acc["n"])
+        return F.when(acc["n"] > 0, F.concat(acc["chunks"], F.array(tail))).otherwise(acc["chunks"])
+
+    def parts(ps):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(ps) - 1) / _CHUNK_PART), F.lit(0)).cast("int")),
+                           lambda k: F.slice(ps, k * _CHUNK_PART + 1, F.lit(_CHUNK_PART)))
 
-    return F.aggregate(paras, init, step, finish)
+    init = F.struct(none.alias("chunks"), F.lit("").alias("buf"), F.lit(0).alias("n"))
+    return once(paras, lambda ps: F.when(ps.isNotNull(), F.aggregate(parts(ps), init, part, finish)))
 
 
 def chunk_documents(docs: DataFrame, separator: str = "\n\n", min_len: int = 200,
