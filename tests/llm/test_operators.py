@@ -136,6 +136,29 @@ def test_warc(spark, tmpdir_path):
     assert op6_warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_copies_and_odd_rows(spark, tmpdir_path):
+    """A large group of copies, null ids, all control characters in a url, a very long payload, other columns."""
+    copy, null, long = "c" * 150, "n" * 150, "long \r\n\r\n " * 200_000
+    url = "u" + "".join(map(chr, [*range(0x21), 0x25, 0x7F])) + "%41"
+    rows = [(i, url, copy, "x") for i in range(5, 900)] + [(None, "u", copy, "x"), (None, "u", null, None), (None, "u", null, "y")]
+    rows += [(1000, "u", long, "x"), (1001, "u", "single" * 40, "x"), (1002, "u", None, "x"), (None, "u", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(7)
+    path = tmpdir_path + "/warc-odd"
+    got = op6_warc.warc_round_trip(pages, path).collect()
+    want = []
+    for page, _, html, _ in rows:
+        html = html or ""
+        kind = ("revisit", 5) if html == copy and page != 5 else ("response", None)
+        want.append((page, len(html), hashlib.sha256(html.encode()).hexdigest(), *kind))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    back = op6_warc.read_archives(spark, path).collect()
+    assert {r.url for r in back if r.page_id and r.page_id < 900} == {url}
+    assert sum(len(r.block) for r in back) == 150 * 3 + len(long) + 240
+    every = {r.page_id: r.payload for r in op6_warc.resolved_records(pages).collect()}
+    assert every[5] == copy and every[6] == "" and every[1000] == long
+
+
 def test_quality_rules(spark, docs, texts, edge_docs, no_docs, labels):
     own = spark.read.parquet(f"{SF}/labels.parquet")
     for r in op7_rules.quality_rules(docs, own).collect():

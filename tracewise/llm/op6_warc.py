@@ -1,21 +1,29 @@
 """WARC: revisit resolution over page captures.
 
-Headers (page, payload size and digest) are shuffled by payload digest and
-aggregated to the first page of each digest; that small table is joined back,
-so each page becomes a response or a revisit of an earlier response.  The
-records are written as WARC/1.1 archives with fresh headers (a record ends with
-two CRLFs, which is the line separator of Spark's text writer here), read back
-whole file by whole file, cut by Content-Length, and each revisit is joined to
-the response its WARC-Refers-To names.
+Headers (page, url, payload size and digest) are shuffled by payload digest and
+aggregated to the first page of each digest; joined back to the headers, that
+makes each page a response or a revisit of an earlier response.  Payloads stay
+where they are read: a bitmap of the repeated digests (``SIEVE_BITS`` places,
+8 MB at most, so it is broadcast) tells which payloads may be repeated; all
+others are written from where they are.  Of those it marks, the digest's payload
+is shuffled once per task that has it, not once per copy, and given to the
+responses.  A digest marked by chance takes that way too: the result is exact.
+
+The records are written as WARC/1.1 archives with fresh headers (a record ends
+with two CRLFs, which is the line separator of Spark's text writer here), read
+back whole file by whole file, cut by Content-Length, and each revisit is joined
+to the response its WARC-Refers-To names.
 
 Payloads under ``min_bytes`` are always stored.  Archives hold at most
-``records_per_file`` records.
+``records_per_file`` records and are one gzip member each.
 
 Defined results: a null html is an empty payload; a page row that occurs twice
 is a response twice when its page_id is the smallest of its payload, a revisit
-twice otherwise; a null page_id never gets to be the one revisited (it is a
-response if all rows of the payload have none); control characters in a url are
-percent-encoded in the header and decoded on reading.
+twice otherwise, and its records share their id; a null page_id never gets to be
+the one revisited (it is a response if all rows of the payload have none);
+control characters, blanks and percent signs of a url are percent-encoded in the
+header and decoded on reading; other columns of pages are left out; an empty
+table gives no record; a payload may be as long as one Spark value.
 """
 
 from __future__ import annotations
@@ -26,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import shared_path, ship_by_value
+from tracewise.llm.common import shared_path, ship_by_value, store
 
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 4000
+SIEVE_BITS = 26                # log2 of the places of the bitmap of repeated digests: 8 MB at most
 _CRLF = "\r\n"
 # ---- fixed values of the WARC 1.1 format ------------------------------------
 VERSION = "WARC/1.1"
@@ -37,24 +46,61 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # -----------------------------------------------------------------------------
 
 
-def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest, record_type, refers_to."""
+def _captures(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest of ``pages``."""
     page = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"),
                         F.coalesce("html", F.lit("")).alias("payload"))
-    page = page.withColumns({"payload_bytes": F.octet_length("payload").cast("long"),
+    return page.withColumns({"payload_bytes": F.octet_length("payload").cast("long"),
                              "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    # the headers alone are shuffled and pre-aggregated; only digests seen twice matter
-    first = (page.where(F.col("payload_bytes") >= min_bytes)
-             .groupBy(F.col("payload_digest").alias("r_digest"))
-             .agg(F.min("page_id").alias("r_page"), F.count("*").alias("r_n"))
-             .where("r_n > 1 and r_page is not null").select("r_digest", "r_page"))
-    got = page.join(first, F.col("payload_digest") == F.col("r_digest"), "left")
+
+
+def _firsts(heads: DataFrame, min_bytes: int) -> DataFrame:
+    """r_digest, r_page: the first page of each payload that is there twice or more."""
+    return (heads.where(F.col("payload_bytes") >= min_bytes)
+            .groupBy(F.col("payload_digest").alias("r_digest"))
+            .agg(F.min("page_id").alias("r_page"), F.count("*").alias("r_n"))
+            .where("r_n > 1 and r_page is not null").select("r_digest", "r_page"))
+
+
+def resolve(heads: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The headers with record_type and refers_to."""
+    got = heads.join(firsts, F.col("payload_digest") == F.col("r_digest"), "left")
     revisit = F.col("r_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("r_page"))
-    return got.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
+    return got.select("page_id", "url", "payload_bytes", "payload_digest",
                       F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                       F.when(revisit, F.col("r_page")).alias("refers_to"))
 
 
+def _sieved(df: DataFrame, firsts: DataFrame, digest: str = "payload_digest", bits: int = SIEVE_BITS) -> DataFrame:
+    """``df`` with ``repeated``: false only where the digest is none of ``firsts``."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    maps = firsts.select(place("r_digest").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("s_bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("s_map"))
+    at = F.bitmap_bit_position(place(digest))
+    byte = F.conv(F.hex(F.substring("s_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (df.join(F.broadcast(maps), F.bitmap_bucket_number(place(digest)) == F.col("s_bucket"), "left")
+            .withColumn("repeated", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+            .drop("s_bucket", "s_map"))
+
+
+def resolved_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """page_id, url, payload (empty for revisits), payload_digest, record_type, refers_to of every page row."""
+    page = _captures(pages)
+    heads = store(page.drop("payload"), "warc-heads")
+    firsts = store(_firsts(heads, min_bytes), "warc-firsts")
+    columns = ["page_id", "url", "payload", "payload_digest", "record_type", "refers_to"]
+    page = _sieved(page, firsts)
+    response = {"record_type": F.lit("response"), "refers_to": F.lit(None).cast(heads.schema["page_id"].dataType)}
+    alone = page.where("not repeated").withColumns(response).select(columns)
+    # map-side, a task sends each of these payloads once, however many copies it has
+    payloads = page.where("repeated").groupBy(F.col("payload_digest").alias("p_digest")).agg(F.first("payload").alias("payload"))
+    marked = resolve(_sieved(heads, firsts).where("repeated"), firsts)
+    revisits = marked.where("record_type = 'revisit'").withColumn("payload", F.lit("")).select(columns)
+    originals = (marked.where("record_type = 'response'")
+                 .join(payloads, F.col("payload_digest") == F.col("p_digest")).select(columns))
+    return alone.unionByName(originals).unionByName(revisits)
+
+
 def _record_id(page_id: Column) -> Column:
     """A stable record name of a page: the same page always has the same."""
     h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit("null"))))
@@ -64,10 +110,10 @@ def _record_id(page_id: Column) -> Column:
 
 
 def _safe(url: Column) -> Column:
-    for code in [0x25, *range(0x00, 0x21), 0x7F]:
-        if code in (0x25, 0x0D, 0x0A, 0x20, 0x09, 0x00):
-            url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}" if code != 0x25 else "%25"))
-    return url
+    coded = url
+    for code in [0x25, *range(0x00, 0x21), 0x7F]:                      # the percent sign first
+        coded = F.replace(coded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20%\x7F]"), coded).otherwise(url)
 
 
 def records(resolved: DataFrame, date: str) -> DataFrame:
@@ -93,7 +139,7 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
                    min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write the deduplicated archives of ``pages`` (page_id, url, html) to ``path``."""
-    (records(resolve(pages, min_bytes), date).write
+    (records(resolved_records(pages, min_bytes), date).write
      .option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
