@@ -2,18 +2,23 @@
 A16).
 
 Scores are native column expressions over token arrays, so a table of
-(trace_id, query, context, answer) is scored in one projection; the four
-evaluators become long rows by ``inline`` of a 4-element array -- no UDF.
-A judge can be plugged in as a vectorised (pandas) function; without one
-the judge rows are stored as skipped, like the reference without a key.
+(trace_id, query, context, answer) is scored in one projection; the
+evaluators become long rows by ``inline`` of an array -- no UDF.  They are
+entries of a registry (name -> what it measures and a column expression): a
+further one, native or a vectorised (pandas) function, appears in the scored
+rows, the pivot, the combined report and the means of the reports.  Without a
+judge, the judge rows are stored as skipped, like the reference without a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewise.functions.numeric import py_round
 from tracewise.operators.partitioning import spread
@@ -22,7 +27,7 @@ from tracewise.functions.text import (content_tokens, faithfulness_overlap, is_f
 from tracewise.sources.lookups import (EVALUATOR_NAMES, FAITHFULNESS_EVALUATORS,
                                        FAITHFULNESS_REASONING, FALLBACK_PREFIX,
                                        JUDGE_CONTEXT_CHARS, JUDGE_SKIPPED_REASONING,
-                                       RELEVANCE_EVALUATORS, RELEVANCE_REASONING)
+                                       RELEVANCE_REASONING)
 
 EVAL_COLS = ["trace_id", "evaluator_name", "score", "reasoning", "skipped", "attempt"]
 
@@ -102,46 +107,125 @@ def judge_skipped() -> Column:
                     F.lit(True).alias("skipped"))
 
 
+class Inputs(NamedTuple):
+    """What an evaluator reads: the texts of a turn, and their content words."""
+    query: Column
+    context: Column
+    answer: Column
+    query_tokens: Column
+    context_tokens: Column
+    answer_tokens: Column
+
+
+@dataclass(frozen=True)
+class Evaluator:
+    """``score`` returns a struct(score, reasoning, skipped) column; ``measures``
+    names the quality that reports average it under (``avg_<measures>_score``)."""
+    name: str
+    measures: str
+    score: Callable[[Inputs], Column]
+
+
+Registry = dict[str, Evaluator]
+JUDGEMENT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("reasoning", T.StringType()),
+                          T.StructField("skipped", T.BooleanType())])
+
+
+def registry(judge: Callable[[Column, Column, Column, str], Column] | None = None,
+             more: tuple[Evaluator, ...] = ()) -> Registry:
+    """The four evaluators, in the order they are run and pivoted, then ``more``.
+
+    ``judge(query, context, answer, kind)`` may return a struct(score, reasoning,
+    skipped) column.
+    """
+    def heuristic(score: Column, reasoning: str) -> Column:
+        return F.struct(score.alias("score"), F.lit(reasoning).alias("reasoning"), F.lit(False).alias("skipped"))
+
+    def judged(kind: str) -> Callable[[Inputs], Column]:
+        return lambda i: judge(i.query, i.context, i.answer, kind) if judge else judge_skipped()
+
+    scores = [
+        lambda i: heuristic(faithfulness_overlap(i.answer, i.context, i.answer_tokens, i.context_tokens), FAITHFULNESS_REASONING),
+        lambda i: heuristic(relevance_keyword(i.query, i.answer, i.query_tokens, i.answer_tokens), RELEVANCE_REASONING),
+        judged("faithfulness"), judged("relevance")]
+    entries = [Evaluator(name, "faithfulness" if name in FAITHFULNESS_EVALUATORS else "relevance", score)
+               for name, score in zip(EVALUATOR_NAMES, scores)]
+    found: Registry = {}
+    for e in [*entries, *more]:
+        if e.name in found:
+            raise ValueError(f"evaluator {e.name!r} is registered twice")
+        found[e.name] = e
+    return found
+
+
+def pandas_evaluator(name: str, measures: str, fn: Callable) -> Evaluator:
+    """An evaluator from ``fn(query, context, answer)`` of pandas series.
+
+    It returns a series of scores or a frame (score, reasoning).  A null score is
+    a skipped one; another number of rows than given, or a score outside 0 to 1,
+    is an error.
+    """
+    import pandas as pd
+
+    def score(query, context, answer):
+        got = fn(query, context, answer)
+        frame = got if isinstance(got, pd.DataFrame) else pd.DataFrame({"score": got})
+        if len(frame) != len(query):
+            raise ValueError(f"evaluator {name!r} returned {len(frame)} scores for {len(query)} rows")
+        value = pd.to_numeric(frame["score"]).astype("float64").reset_index(drop=True)
+        if not value.dropna().between(0, 1).all():
+            raise ValueError(f"evaluator {name!r} returned a score outside 0 to 1")
+        reason = frame["reasoning"].reset_index(drop=True) if "reasoning" in frame else pd.Series([""] * len(frame), dtype=object)
+        return pd.DataFrame({"score": value, "reasoning": reason, "skipped": value.isna()})
+
+    score.__annotations__ = {k: pd.Series for k in ("query", "context", "answer")} | {"return": pd.DataFrame}
+    run = F.pandas_udf(score, JUDGEMENT)
+    return Evaluator(name, measures, lambda i: run(i.query, i.context, i.answer))
+
+
+def measure_means(evaluators: Registry | None = None) -> list[Column]:
+    """Per measured quality the mean score over its evaluators."""
+    by: dict[str, list[str]] = {}
+    for e in (evaluators or registry()).values():
+        by.setdefault(e.measures, []).append(e.name)
+    return [F.avg(F.when(F.col("evaluator_name").isin(names), F.col("score"))).alias(f"avg_{m}_score")
+            for m, names in by.items()]
+
+
 def evaluate_all(turns: DataFrame, judge: Callable[[Column, Column, Column, str], Column] | None = None,
-                 attempt: int = 0) -> DataFrame:
-    """X4 (scoring part): four evaluator rows per (trace_id, query, context,
-    answer) row.  ``judge(query, context, answer, kind)`` may return a
-    struct(score, reasoning, skipped) column, e.g. a pandas UDF."""
+                 attempt: int = 0, evaluators: Registry | None = None) -> DataFrame:
+    """X4 (scoring part): a row per (trace_id, query, context, answer) row and
+    evaluator; ``evaluators`` defaults to the four with ``judge``."""
+    evaluators = evaluators or registry(judge)
     q, c, a = F.col("query"), F.col("context"), F.col("answer")
     # token sets once per row (a separate projection keeps them shared);
     # tokenising long contexts is CPU work: use every core
     turns = spread(turns).select("trace_id", "query", "context", "answer",
                          content_tokens(q).alias("_qt"), content_tokens(c).alias("_ct"),
                          content_tokens(a).alias("_at"))
-
-    def row(name, res):
-        return F.struct(F.lit(name).alias("evaluator_name"), res["score"].alias("score"),
-                        res["reasoning"].alias("reasoning"), res["skipped"].alias("skipped"))
-
-    heur_f = F.struct(faithfulness_overlap(a, c, F.col("_at"), F.col("_ct")).alias("score"),
-                      F.lit(FAITHFULNESS_REASONING).alias("reasoning"), F.lit(False).alias("skipped"))
-    heur_r = F.struct(relevance_keyword(q, a, F.col("_qt"), F.col("_at")).alias("score"),
-                      F.lit(RELEVANCE_REASONING).alias("reasoning"), F.lit(False).alias("skipped"))
-    jf = judge(q, c, a, "faithfulness") if judge else judge_skipped()
-    jr = judge(q, c, a, "relevance") if judge else judge_skipped()
-    rows = F.array(row(EVALUATOR_NAMES[0], heur_f), row(EVALUATOR_NAMES[1], heur_r),
-                   row(EVALUATOR_NAMES[2], jf), row(EVALUATOR_NAMES[3], jr))
-    return (turns.select("trace_id", F.inline(rows))
+    given = Inputs(q, c, a, F.col("_qt"), F.col("_ct"), F.col("_at"))
+    rows = []
+    for e in evaluators.values():
+        res = e.score(given)
+        rows.append(F.struct(F.lit(e.name).alias("evaluator_name"), res["score"].alias("score"),
+                             res["reasoning"].alias("reasoning"), res["skipped"].alias("skipped")))
+    return (turns.select("trace_id", F.inline(F.array(*rows)))
             .withColumn("attempt", F.lit(attempt)))
 
 
 def evaluate_missing(turns: DataFrame, stored: DataFrame, force: bool = False,
-                     judge=None) -> DataFrame:
+                     judge=None, evaluators: Registry | None = None) -> DataFrame:
     """Evaluation rows a run appends: only (trace_id, evaluator) pairs not
     stored yet; with ``force`` every pair again (appended as a new attempt)."""
+    evaluators = evaluators or registry(judge)
     if force:
         nxt = stored.groupBy("trace_id").agg((F.max("attempt") + 1).alias("_next"))
-        return (evaluate_all(turns, judge).join(nxt, "trace_id", "left")
+        return (evaluate_all(turns, evaluators=evaluators).join(nxt, "trace_id", "left")
                 .withColumn("attempt", F.coalesce(F.col("_next"), F.lit(0))).drop("_next"))
     # traces with all evaluators stored are not scored at all
-    complete = (stored.where(F.col("evaluator_name").isin(list(EVALUATOR_NAMES))).groupBy("trace_id")
-                .agg(F.count_distinct("evaluator_name").alias("_n")).where(F.col("_n") == len(EVALUATOR_NAMES)))
-    fresh = evaluate_all(turns.join(complete, "trace_id", "left_anti"), judge)
+    complete = (stored.where(F.col("evaluator_name").isin(list(evaluators))).groupBy("trace_id")
+                .agg(F.count_distinct("evaluator_name").alias("_n")).where(F.col("_n") == len(evaluators)))
+    fresh = evaluate_all(turns.join(complete, "trace_id", "left_anti"), evaluators=evaluators)
     return fresh.join(stored.select("trace_id", "evaluator_name").distinct(),
                       ["trace_id", "evaluator_name"], "left_anti")
 
@@ -168,14 +252,12 @@ def row_mean(cols: list[str]) -> Column:
                   F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr))
 
 
-def combined_report(traces: DataFrame, evals: DataFrame, names: list[str] | None = None) -> DataFrame:
+def combined_report(traces: DataFrame, evals: DataFrame, evaluators: Registry | None = None) -> DataFrame:
     """J2 + A11 + A12: traces left-joined with their evaluator columns and
     the mean quality score."""
-    names = names or EVALUATOR_NAMES
-    piv = evaluator_pivot(evals, names)
-    score_cols = [n for n in names if "faithfulness" in n or "relevance" in n]
-    return (traces.join(piv, "trace_id", "left")
-            .withColumn("avg_quality_score", row_mean(score_cols)))
+    names = list(evaluators or registry())
+    return (traces.join(evaluator_pivot(evals, names), "trace_id", "left")
+            .withColumn("avg_quality_score", row_mean(names)))
 
 
 def eval_coverage(evals: DataFrame) -> DataFrame:
@@ -206,15 +288,10 @@ def calibration_summary(calib: DataFrame) -> DataFrame:
                       (F.col("gr") > F.col("br")).alias("relevance_separates_good_bad"))
 
 
-def quality_trend(evals: DataFrame, axis: str) -> DataFrame:
-    """Mean faithfulness and relevance (over their two evaluators each)
-    along an ordering axis (creation date, or turn position)."""
-    return evals.groupBy(axis).agg(
-        F.avg(F.when(F.col("evaluator_name").isin(FAITHFULNESS_EVALUATORS), F.col("score")))
-         .alias("avg_faithfulness_score"),
-        F.avg(F.when(F.col("evaluator_name").isin(RELEVANCE_EVALUATORS), F.col("score")))
-         .alias("avg_relevance_score"),
-        F.count(F.col("score")).alias("n_scores"))
+def quality_trend(evals: DataFrame, axis: str, evaluators: Registry | None = None) -> DataFrame:
+    """Mean score per measured quality (faithfulness, relevance) over its
+    evaluators along an ordering axis (creation date, or turn position)."""
+    return evals.groupBy(axis).agg(*measure_means(evaluators), F.count(F.col("score")).alias("n_scores"))
 
 
 def parse_responses(raw: Column) -> tuple[Column, Column, Column]:
@@ -234,13 +311,3 @@ def parse_judge_reply(reply: Column) -> Column:
               .otherwise(F.coalesce(F.try_variant_get(parsed, "$.reasoning", "string"), F.lit("")))
     return F.struct(score.alias("score"), reason.alias("reasoning"),
                     score.isNull().alias("skipped"))
-
-
-def faithfulness_relevance_means(evals: DataFrame) -> DataFrame:
-    """A17 (evaluation measures): mean score over the two faithfulness and
-    the two relevance evaluators."""
-    return evals.agg(
-        F.avg(F.when(F.col("evaluator_name").isin(FAITHFULNESS_EVALUATORS), F.col("score")))
-         .alias("avg_faithfulness_score"),
-        F.avg(F.when(F.col("evaluator_name").isin(RELEVANCE_EVALUATORS), F.col("score")))
-         .alias("avg_relevance_score"))

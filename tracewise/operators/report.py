@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.text import payload_summary, typed_summary
+from tracewise.operators.evaluate import Registry, measure_means
 from tracewise.operators.ranking import exact_percentiles
-from tracewise.sources.lookups import FAITHFULNESS_EVALUATORS, RELEVANCE_EVALUATORS
 
 # ---- fixed values: dashboard status labels --------------------------------
 STATUS_ERROR_LABEL = "❌ error"
@@ -46,19 +46,16 @@ def summary_stats(traces: DataFrame, evaluations: DataFrame, regressions: DataFr
         "total_traces", "total_evaluations", "total_regressions", "total_rca_reports", "error_traces")
 
 
-def bi_measures(traces: DataFrame, evaluations: DataFrame, regressions: DataFrame) -> DataFrame:
+def bi_measures(traces: DataFrame, evaluations: DataFrame, regressions: DataFrame,
+                evaluators: Registry | None = None) -> DataFrame:
     """BI measures: mean latency, error rate as a ratio, inclusive P95
-    (exact, distributed), mean faithfulness / relevance over their two
-    evaluators, count of critical regressions."""
+    (exact, distributed), mean faithfulness / relevance (and what else
+    ``evaluators`` measure), count of critical regressions."""
     t = traces.agg(F.avg("total_latency_ms").alias("avg_trace_latency_ms"),
                    (F.count(F.when(F.col("has_error"), 1)) / F.count(F.lit(1))).alias("error_rate"))
     p = exact_percentiles(traces.withColumn("_all", F.lit(1)), ["_all"], "total_latency_ms",
                           {"p95_trace_latency_ms": 0.95}).drop("_all")
-    e = evaluations.agg(
-        F.avg(F.when(F.col("evaluator_name").isin(FAITHFULNESS_EVALUATORS), F.col("score")))
-         .alias("avg_faithfulness_score"),
-        F.avg(F.when(F.col("evaluator_name").isin(RELEVANCE_EVALUATORS), F.col("score")))
-         .alias("avg_relevance_score"))
+    e = evaluations.agg(*measure_means(evaluators))
     r = regressions.agg(F.count(F.when(F.col("severity") == "critical", 1))
                         .alias("critical_regression_count"))
     return t.crossJoin(p).crossJoin(e).crossJoin(r)
