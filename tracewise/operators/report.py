@@ -98,8 +98,9 @@ def payload_summaries(events: DataFrame, col: str = "output_summary", max_previe
 def argument_summaries(calls: DataFrame, col: str = "args", max_preview: int = 200) -> DataFrame:
     """One row per argument of every call (``col``: array of JSON texts), with its place
     and typed summary; arguments that are no JSON value (objects a method was called on) are left out."""
-    a = (calls.select("event_id", F.posexplode(col).alias("position", "arg"))
-         .select("event_id", "position", typed_summary("arg", max_preview).alias("s")).where(F.col("s.type") != "unknown"))
+    # summed up inside the array: a filter after explode is evaluated on the finished summary, not on a second one
+    summaries = F.transform(F.col(col), lambda arg: typed_summary(arg, max_preview))
+    a = (calls.select("event_id", F.posexplode(summaries).alias("position", "s")).where(F.col("s.type") != "unknown"))
     return a.select("event_id", "position", F.col("s.type").alias("arg_type"), F.col("s.length").alias("arg_length"),
                     F.col("s.preview").alias("arg_preview"), F.col("s.keys").alias("arg_keys"),
                     F.col("s.number").alias("arg_number"), F.col("s.flag").alias("arg_flag"))
