@@ -47,6 +47,31 @@ def test_repeats(spark, docs, texts, edge_docs, no_docs):
     assert op2_repeats.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_long_passages(spark):
+    """Passages of over 50 words in two documents each: removed whole from 400 bytes on, left whole below."""
+    rnd = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 5))) for _ in range(n))
+
+    rows, want = [], {}
+    for size in (300, 394, 399, 400, 401, 520) * 3:
+        passage = words(200)[:size]
+        assert len(passage.split()) > 50
+        for copy in "12":                                # the bytes beside the passage differ
+            before, after = f"{words(60)} {copy}", f"{copy} {words(60)}"
+            text = before + passage + after
+            kept = before + after if size >= 400 else text
+            want[len(rows)] = (len(text), len(text) - len(kept), int(size >= 400), hashlib.sha256(kept.encode()).hexdigest())
+            rows.append((len(rows), text))
+    for _ in range(20):
+        text = words(180)
+        want[len(rows)] = (len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest())
+        rows.append((len(rows), text))
+    got = op2_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len(got) == len(want)
+
+
 def test_token_counts(docs, texts, edge_docs, no_docs):
     from tokenizers import Tokenizer
     path = tokenizer_path("byte_bpe_50k.json")
